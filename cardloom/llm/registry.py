@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import linkcreds
+from . import decontam, linededup, linkcreds
 
 
 def queries():
-    return {"op7_linked_secrets": linkcreds.op7_linked_secrets}
+    return {
+        "op3_line_dedup": linededup.op3_line_dedup,
+        "op4_decontamination": decontam.op4_decontamination,
+        "op7_linked_secrets": linkcreds.op7_linked_secrets,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op3_line_dedup": linededup.ORACLE, "op4_decontamination": decontam.ORACLE}
