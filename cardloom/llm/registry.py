@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, linkcreds
+from . import decontam, fitpack, linededup, linkcreds, repair
 
 
 def queries():
     return {
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_decontamination": decontam.op4_decontamination,
+        "op5_packing": fitpack.op5_packing,
         "op7_linked_secrets": linkcreds.op7_linked_secrets,
+        "op10_repair_ids": repair.op10_repair_ids,
     }
 
 
