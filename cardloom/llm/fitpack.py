@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import keep, table, text_key
-from .chunkcodec import ChunkCodec
+from .chunkcodec import codec
 
 #: Cells that lengths are split into, besides one for each length.
 CELLS = 4096
@@ -36,10 +36,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size:
     """A row per piece: id_, key_, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = ChunkCodec(tokenizer, spaced=True), np.array([end_id], "<u4").tobytes()
+        ids_of, end = codec(tokenizer, True), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for i, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codec.encode(batch.column(2).to_pylist()), strict=True):
+            for i, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of.encode(batch.column(2).to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 at, piece = 0, 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fitpack, linededup, linkcreds, repair
+from . import decontam, fitpack, linededup, linkcreds, repair, toxickn
 
 
 def queries():
     return {
+        "op2_toxicity": toxickn.op2_toxicity,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": fitpack.op5_packing,

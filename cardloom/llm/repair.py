@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import new_path, table, text_key
-from .chunkcodec import ChunkCodec
+from .chunkcodec import codec
 from .fitpack import public
 
 BLOCK = "shard int, block int, n_tokens long, first_rule int, doc_ids array<long>, keys array<long>, sym_at array<int>, tok_at array<int>, rules binary, spans binary, symbols binary"
@@ -91,7 +91,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocab: int = 49_408, block_tokens: int = 1_000_000) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end, shard = ChunkCodec(tokenizer, spaced=False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        ids_of, end, shard = codec(tokenizer, False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ids: list[int] = []
         keys: list[int] = []
         parts: list[bytes] = []
@@ -111,7 +111,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
-            for i, k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codec.encode(batch.column(2).to_pylist()), strict=True):
+            for i, k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of.encode(batch.column(2).to_pylist()), strict=True):
                 ids.append(i)
                 keys.append(k)
                 parts.append(b + end)
