@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .base import table
 
 WORD = re.compile(r"\w+")
-DISCOUNT = 1.0
+#: Taken off what a class has counted: of the words that a word follows, and of the texts that hold a pair.
+DISCOUNT, PAIR_DISCOUNT = 1.0, 6.0
 #: Numbers that describe a text.
 FEATURES = 5
 
@@ -46,7 +47,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             w = words(t)
-            seen.update(zip([y] * len(w), ["", *w], w, strict=False))
+            seen.update({(y, h, x) for h, x in zip(["", *w], w, strict=False)})  # a text counts an expression once
         keys = list(seen)
         cols = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["y", "h", "w", "n"])
@@ -75,7 +76,7 @@ class Model:
         own, mass = [], []
         for y in (0, 1):
             n, total = even[y] * bigrams[f"n{y}"].to_numpy(float)[known], even[y] * of(f"n{y}")
-            part = np.maximum(n - DISCOUNT, 0) / np.maximum(np.maximum(total[h], n), 1)
+            part = np.maximum(n - PAIR_DISCOUNT, 0) / np.maximum(np.maximum(total[h], n), 1)
             own.append(part)
             mass.append(np.maximum(1 - np.bincount(h, part, size), 1e-6))
         self.left = np.log(mass[1]) - np.log(mass[0])

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cardloom.llm import fitpack, repair
-from cardloom.llm.chunkcodec import ChunkCodec
+from cardloom.llm.chunkcodec import codec
 
 Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 ODD = [
@@ -18,15 +19,21 @@ ODD = [
 ]
 
 
-def raw(name, texts):
+@lru_cache
+def whole(name):
     t = Tokenizer.from_file(fitpack.public(name))
     t.encode_special_tokens = True
+    return t
+
+
+def raw(name, texts):
+    t = whole(name)
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_librarys_ids(name, spaced):
-    got = [np.frombuffer(b, "<u4").tolist() for b in ChunkCodec(fitpack.public(name), spaced).encode(ODD)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in codec(fitpack.public(name), spaced).encode(ODD)]
     assert got == raw(name, ODD)
 
 
@@ -34,7 +41,7 @@ def test_pieces_give_the_librarys_ids(name, spaced):
 @given(st.lists(st.text(alphabet="ab C'sé\n\t  \x1c1.,́ΣI", max_size=40), max_size=5))
 def test_pieces_on_random_texts(texts):
     for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        assert [np.frombuffer(b, "<u4").tolist() for b in ChunkCodec(fitpack.public(name), spaced).encode(texts)] == raw(name, texts)
+        assert [np.frombuffer(b, "<u4").tolist() for b in codec(fitpack.public(name), spaced).encode(texts)] == raw(name, texts)
 
 
 def frame(spark, texts):
