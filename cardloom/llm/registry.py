@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fitpack, linededup, linkcreds, repair, toxickn
+from . import decontam, fitpack, knnjoin, linededup, linkcreds, repair, toxickn
 
 
 def queries():
     return {
+        "op1_topk": knnjoin.op1_topk,
         "op2_toxicity": toxickn.op2_toxicity,
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_decontamination": decontam.op4_decontamination,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_line_dedup": linededup.ORACLE, "op4_decontamination": decontam.ORACLE}
+    return {"op1_topk": knnjoin.ORACLE, "op3_line_dedup": linededup.ORACLE, "op4_decontamination": decontam.ORACLE}
