@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fitpack, knnjoin, linededup, linkcreds, repair, toxickn
+from . import decontam, fitpack, knnjoin, linededup, linkcreds, ratjoin, repair, toxickn
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": fitpack.op5_packing,
         "op7_linked_secrets": linkcreds.op7_linked_secrets,
+        "op9_jaccard_join": ratjoin.op9_jaccard_join,
         "op10_repair_ids": repair.op10_repair_ids,
     }
 
