@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, fitpack, knnjoin, linededup, linkcreds, ratjoin, repair, toxickn
+import corpus_pipeline
+
+from . import decontam, fitpack, knnjoin, licenses, linededup, linkcreds, pseudolm, ratjoin, repair, toxickn
 
 
 def queries():
@@ -12,9 +14,12 @@ def queries():
         "op3_line_dedup": linededup.op3_line_dedup,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_packing": fitpack.op5_packing,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_linked_secrets": linkcreds.op7_linked_secrets,
+        "op8_pseudo_likelihood": pseudolm.op8_pseudo_likelihood,
         "op9_jaccard_join": ratjoin.op9_jaccard_join,
         "op10_repair_ids": repair.op10_repair_ids,
+        "pipeline": corpus_pipeline.run,
     }
 
 
