@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .base import ascii_lower, keep, same, table, text_key
 
 GROUPS = 64
-#: Rows of one side of a cell, and shingles that the order's sample may name.
-CELL, NAMED = 512, 300_000
+#: Rows of one side of a cell, shingles that the order's sample may name, and the count from which a point says "so many or more".
+CELL, NAMED, FULL = 512, 1_500_000, 65_535
 #: Nodes up to which a list of ids may be broadcast.
 SMALL = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -73,7 +73,15 @@ def shingle_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def points_of(sets: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype("<u4") if sets else np.zeros((0, GROUPS), "<u4")
+    return np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).clip(max=FULL).astype("<u2") if sets else np.zeros((0, GROUPS), "<u2")
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of coordinate minima of rows; without a bound where both sides are full."""
+    least = np.minimum(a, b)
+    if (full := least == FULL).any():
+        least[full] = 1 << 40
+    return least.sum(1, dtype=np.int64)
 
 
 def features(words: DataFrame, width: int, percent: int, named: np.ndarray, seen: np.ndarray) -> DataFrame:
@@ -101,20 +109,20 @@ def features(words: DataFrame, width: int, percent: int, named: np.ndarray, seen
     return words.mapInArrow(run, "id_ long, key_ long, n long, set_ binary, point binary, first array<long>")
 
 
-def common_shingles(words: DataFrame, width: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of about `sample` rows holds in more than one row, sorted, and in how many. Only for the order."""
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a random sample of about `sample` rows holds in more than one row, sorted, and in how many. Only for the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), width))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.view(np.int64) for s in sets]) if sets else np.zeros(0, np.int64))], names=["s"])
 
-    every = max(1, words.count() // sample)
-    some = words.where(F.pmod(F.xxhash64("id_", "key_"), F.lit(every)) == 0).limit(2 * sample)
-    found = some.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(NAMED).toPandas()
-    s = found["s"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(s)
-    return s[order], found["n"].to_numpy(np.int64)[order]
+    some = docs.sample(min(1.0, sample / max(1, docs.count())), seed=1)
+    found = word_hashes(some, id_col, text_col).mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    most = np.lexsort((s, -n))[:NAMED]
+    order = most[np.argsort(s[most])]
+    return s[order], n[order]
 
 
 def possible(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -146,7 +154,7 @@ class CountTree:
             size = sizes[q]
             near = (100 * hi[node] >= percent * size) & (percent * lo[node] <= 100 * size)
             q, node = q[near], node[near]
-            bound = np.concatenate([np.minimum(points[q[i : i + 8192]], high[node[i : i + 8192]]).sum(1, dtype=np.int64) for i in range(0, len(q), 8192)] or [np.zeros(0, np.int64)])
+            bound = np.concatenate([overlap(points[q[i : i + 8192]], high[node[i : i + 8192]]) for i in range(0, len(q), 8192)] or [np.zeros(0, np.int64)])
             open_ = possible(bound, sizes[q], lo[node], percent)
             q, node, bound = q[open_], node[open_], bound[open_]
             if level:
@@ -162,7 +170,7 @@ def numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def blobs(col: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<u4").reshape(-1, width).astype(np.int64)
+    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, width).astype(np.int64)
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +180,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = numbers(batch, "a", "b", "na", "nb")
-            ok = possible(np.minimum(blobs(batch.column("pa"), GROUPS), blobs(batch.column("pb"), GROUPS)).sum(1), na, nb, percent)
+            ok = possible(overlap(blobs(batch.column("pa"), GROUPS), blobs(batch.column("pb"), GROUPS)), na, nb, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
@@ -195,7 +203,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row_ and s (its shingles) of the nodes that the pairs name, from their texts; a node may come more than once, once from a task."""
+    need = pairs.select(F.col("a").alias("row_")).unionByName(pairs.select(F.col("b").alias("row_"))).distinct()
+    wanted = keep(rows.join(need, "row_", "left_semi").select("row_", F.col("id_").alias("w_id_"), F.col("key_").alias("w_key_")), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    d = docs.select(F.col(id_col).cast("long").alias("d_id_"), F.col(text_col).cast("string").alias("d_text_"), text_key(F.col(text_col)).alias("d_key_"))
+    texts = d.join(side, d["d_id_"].eqNullSafe(side["w_id_"]) & (d["d_key_"] == side["w_key_"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for batch in batches:
+            ids, sets = [], []
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2), width), strict=True):
+                if i not in given:
+                    given.add(i)
+                    ids.append(i)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["row_", "s"])
+
+    hashed = word_hashes(texts.select("row_", "d_text_"), "row_", "d_text_").select(F.col("id_").alias("row_"), "key_", "w_")
+    return keep(hashed.mapInArrow(run, "row_ long, s binary"), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -272,32 +303,25 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: int = 2000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: int = 20_000) -> DataFrame:
     """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id."""
-    words = word_hashes(docs, id_col, text_col)
-    named, seen = common_shingles(words, width, sample)
-    rows = keep(features(words, width, percent, named, seen).withColumn("row_", F.monotonically_increasing_id()), "points")
+    named, seen = common_shingles(docs, id_col, text_col, width, sample)
+    rows = keep(features(word_hashes(docs, id_col, text_col), width, percent, named, seen).withColumn("row_", F.monotonically_increasing_id()), "points")
     classes = keep(rows.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
-    nodes = keep(rows.join(classes.select(F.col("node").alias("row_")), "row_", "left_semi").select("row_", "id_", "key_", "n", "point", "first"), "nodes")
-    firsts = nodes.select("row_", F.explode("first").alias("key"))
+    reps = rows.join(classes.select(F.col("node").alias("row_")), "row_", "left_semi")
+    nodes = reps.select("row_", "n", "point")
+    firsts = reps.select("row_", F.explode("first").alias("key"))
     groups = firsts.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub")).where("members > 1")
     held = keep(firsts.join(groups, "key").select("key", "row_", "hub", "members"), "groups")
-    to_hub = keep(bounded(held.where("row_ != hub").select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct(), nodes, percent), "open")
-    several = held.where("members > 2").select("key", "row_", "hub")
-    need = several.select("row_").unionByName(to_hub.select(F.col("a").alias("row_"))).unionByName(to_hub.select(F.col("b").alias("row_"))).distinct()
-    wanted = keep(nodes.join(need, "row_", "left_semi").select("row_", F.col("id_").alias("w_id_"), F.col("key_").alias("w_key_")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = words.join(side, words["id_"].eqNullSafe(side["w_id_"]) & (words["key_"] == side["w_key_"])).select("row_", F.lit(0).alias("z_"), "w_")
+    nodes = keep(nodes.join(held.select("row_").distinct(), "row_", "left_semi"), "nodes")
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(2), width)], pa.binary())], names=["row_", "s"])
+    def linked(pairs: DataFrame) -> DataFrame:
+        return keep(verified(pairs, sets_of(docs, id_col, text_col, width, rows, pairs), percent), "links")
 
-    sets = keep(texts.mapInArrow(collect, "row_ long, s binary").dropDuplicates(["row_"]), "sets")
-    links = keep(verified(to_hub, sets, percent), "links")
-    labels = components(links)
+    labels = components(linked(keep(bounded(held.where("row_ != hub").select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct(), nodes, percent), "open")))
+    several = held.where("members > 2").select("key", "row_", "hub")
     for closest in (True, False):
-        more = keep(verified(crossing(several, labels, nodes, percent, closest), sets, percent), "links")
+        more = linked(keep(crossing(several, labels, nodes, percent, closest), "open"))
         stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
         labels = components(stars.unionByName(more))
     named_ = classes.join(labels.withColumnRenamed("row_", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
