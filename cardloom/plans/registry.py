@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import contact_queries, page_queries
+
 
 def queries():
-    return {}
+    return {n: q for m in (contact_queries, page_queries) for n, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {n: s for m in (contact_queries, page_queries) for n, (_, s) in m.QUERIES.items() if s}
