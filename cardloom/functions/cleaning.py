@@ -115,7 +115,7 @@ def extract_title(profile_title: Column, structured: Column, name: Column, bio:
 
 def parse_title(title: Column) -> Column:
     """C20: struct(primary, secondary, roles) of a title cut at commas and semicolons."""
-    roles = F.filter(F.transform(F.split(title, "[,;]"), F.trim), lambda x: x != "")
+    roles = F.filter(F.transform(F.split(title, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.get(roles, 0).alias("primary"), F.get(roles, 1).alias("secondary"), roles.alias("roles"))
 
 
@@ -141,7 +141,7 @@ def clean_location_profile(location: Column) -> Column:
     c = F.regexp_replace(c, V.EMAIL, " ")
     for p in V.LOCATION_LABELS:
         c = F.regexp_replace(c, p, " ")
-    parts = F.filter(F.transform(F.split(c, r"[\n;|,](?!\s*\d)"), F.trim), lambda x: (x != "") & good_location(x))
+    parts = F.filter(F.transform(F.split(c, r"[\n;|,](?!\s*\d)"), lambda x: F.trim(x)), lambda x: (x != "") & good_location(x))
     parts = F.when((F.size(parts) == 0) & good_location(c), F.array(c)).otherwise(parts)
     value = F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(squeeze(c))
     none = F.array().cast("array<string>")
@@ -172,7 +172,7 @@ def normalize_location(location: Column) -> Column:
     """struct(location, changed, phones): phone-like runs go, white space is evened out, Washington, D.C. gets its usual form."""
     v = present(location)
     run = r"\+?\d[\d\s\-\(\)\.]{7,}"
-    phones = F.transform(F.filter(matches(v, run), lambda p: F.length(digits(p)) >= 7), F.trim)
+    phones = F.transform(F.filter(matches(v, run), lambda p: F.length(digits(p)) >= 7), lambda x: F.trim(x))
     a = F.when(F.size(phones) > 0, F.regexp_replace(v, run, "")).otherwise(v)
     keeps = any_of([a.rlike(p) for p in V.PRESERVED_PLACES])
     gentle = F.trim(F.regexp_replace(F.regexp_replace(a, r"\n+", ", "), r"\s+", " "))

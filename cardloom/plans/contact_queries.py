@@ -8,7 +8,8 @@ from pyspark.sql.functions import col as C
 from ..functions import cleaning as K
 from ..functions import fixed as V
 from ..functions import text as T
-from ..operators import dedup, enrich, stats
+from ..operators import dedup, enrich, html, listing, stats
+from ..sources import contacts as contact_io
 from .contacts import BASE, CONTACTS, PROFILES, contacts, profiles
 
 EMAIL_RE, STRICT, LOOSE = V.EMAIL, V.STRICT_PHONE, V.LOOSE_PHONE
@@ -112,6 +113,24 @@ def long_rows(spark, sf):
     return enrich.actions_long(enriched(spark, sf)).where("field <> 'bio'")
 
 
+def profile_links(spark, sf):
+    """Profiles as links, their position the number that ends the address."""
+    return profiles(spark, sf).select(F.col("name").alias("text"), F.regexp_extract("profile_url", r"(\d+)\z", 1).cast("int").alias("position"))
+
+
+def listed(spark, sf):
+    """Contacts as listings of pages of ten."""
+    return contacts(spark, sf).select((C("row_id") % 7).alias("listing_id"), (F.floor(C("row_id") / 70) + 1).alias("page_num"), (F.floor(C("row_id") / 7) % 10).alias("position"), "name", "profile_url")
+
+
+def cleaned_after(spark, sf):
+    """The whole run on contacts: dedup, enrichment, cleaning of what it merged."""
+    d = enrich.enrich(dedup.dedup_contacts(contacts(spark, sf)).drop("first_row"), profiles(spark, sf))
+    m = d.select("row_id", *(C(f"merged_{c}.value").alias(c) for c in stats.REPORTED))
+    how = {"name": K.clean_name, "email": K.extract_email}
+    return m.select("row_id", *(f(C(c)).alias(f"clean_{c}") for c, f in how.items()))
+
+
 QUERIES = {
     "c1_extract_emails": (per_row(lambda: dict(emails=F.array_join(T.extract_emails(C("email")), ","))), f"{CONTACTS} select row_id, coalesce(lower(nullif(regexp_extract(email, '{EMAIL_RE}'), '')), '') as emails from contacts"),
     "c2_extract_phones": (
@@ -265,6 +284,46 @@ QUERIES = {
  select unnest(list_filter([case when a < 0.8 * n then 'few_names' end, case when u < 0.5 * n then 'few_urls' end, case when d > 0 then 'contaminated:' || d end], lambda x: x is not null)) as issue from q"""),
     "w3_slice_rows": (on_contacts(lambda d: d.orderBy("row_id").offset(20).limit(50).select("row_id", "name")), f"{CONTACTS} select row_id, name from contacts order by row_id limit 50 offset 20"),
     "w4_sample_rows": (on_contacts(lambda d: d.orderBy("row_id").limit(5).select("row_id", "name")), f"{CONTACTS} select row_id, name from contacts order by row_id limit 5"),
+    "j2_match_by_name": (
+        lambda s, d: enrich.match_profiles_by_name(contacts(s, d).withColumn("profile_url", F.nullif(F.col("profile_url"), F.when(F.col("row_id") % 4 == 0, F.col("profile_url")))), profile_links(s, d)),
+        f"""{CONTACTS}, {PROFILES}, c as (select row_id, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) > 1))) as cw from contacts where profile_url is null or row_id % 4 = 0),
+ lk as (select lw, min(position) as position from (select list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) > 1))) as lw, regexp_extract(profile_url, '(\\d+)$', 1)::int as position from profiles) group by 1),
+ m as (select row_id, position, len(list_intersect(cw, lw)) / len(list_distinct(cw || lw)) as score from c, lk where len(list_intersect(cw, lw)) > 0),
+ r as (select *, row_number() over (partition by row_id order by score desc, position) as rn from m where score >= 0.8) select row_id, position::int as position, round(score, 4) as score from r where rn = 1""".replace("r as (select *, row_number() over (partition by row_id", "rk as (select *, row_number() over (partition by row_id").replace("from r where rn = 1", "from rk where rn = 1"),
+    ),
+    "j4_page_fingerprint": (
+        lambda s, d: enrich.page_fingerprint_check(listed(s, d)),
+        f"""{CONTACTS}, li as (select row_id % 7 as listing_id, row_id // 70 + 1 as page_num, row_id // 7 % 10 as position, name, profile_url from contacts),
+ h as (select listing_id, page_num, list(name order by position) filter (position <= 5) as ns, list(profile_url order by position) filter (position <= 5) as us, list(coalesce(profile_url, '-') order by position) filter (position <= 5) as u2, arg_max(name, position) as ln, arg_min(name, position) as tn from li group by all),
+ o as (select listing_id, ns as ns1, u2 as us1, ln as ln1, tn as tn1 from h where page_num = 1)
+ select h.listing_id, page_num, case when page_num = 1 then 'first' when o.listing_id is null then 'valid' when len(ns) > 0 and u2 = us1 then 'duplicate_urls' when len(ns) > 0 and ns = ns1 then 'duplicate_names' when ln = ln1 and tn = tn1 then 'duplicate_boundaries' else 'unique' end as verdict
+ from h left join o on o.listing_id = h.listing_id""",
+    ),
+    "s7_latest_pattern": (
+        lambda s, d: listing.latest_pattern(contacts(s, d).select(T.email_domain(C("email")).alias("domain"), C("row_id").alias("cached_at"), (C("row_id") * 7 % 101).alias("confidence"), C("profile_url").alias("pattern")).where("domain is not null")),
+        f"{CONTACTS}, {DOMAIN}, k as (select domain, row_id as cached_at, row_id * 7 % 101 as confidence, profile_url as pattern from doms where domain is not null) select domain, max(cached_at) as cached_at, arg_max(confidence, cached_at) as confidence, max_by(coalesce(pattern, '~'), cached_at) as pattern from k where confidence >= 70 group by 1".replace("max_by(coalesce(pattern, '~'), cached_at) as pattern", "nullif(max_by(coalesce(pattern, '~'), cached_at), '~') as pattern"),
+    ),
+    "x1_union_pages": (
+        lambda s, d: dedup.dedup_scrape(listing.union_pages([contacts(s, d).where(C("row_id") % 2 == 0), contacts(s, d).where(C("row_id") % 2 == 1)])).select("row_id"),
+        f"{CONTACTS}, {D2} select row_id from r2",
+    ),
+    "x3_prefer_stage": (
+        lambda s, d: listing.prefer_stage("row_id", contacts(s, d).where(C("row_id") % 3 == 0).select("row_id", F.lit("cleaned").alias("stage")), contacts(s, d).where(C("row_id") % 2 == 0).select("row_id", F.lit("enriched").alias("stage")), contacts(s, d).select("row_id", F.lit("scraped").alias("stage"))),
+        f"{CONTACTS} select row_id, case when row_id % 3 = 0 then 'cleaned' when row_id % 2 = 0 then 'enriched' else 'scraped' end as stage from contacts",
+    ),
+    "s5_export_view": (
+        lambda s, d: contact_io.export_view(contacts(s, d), columns=["name", "email", "profile_url"]).withColumnsRenamed({"Name": "name", "Email": "email", "Profile URL": "profile_url"}),
+        f"{CONTACTS} select coalesce(name, '') as name, coalesce(email, '') as email, coalesce(profile_url, '') as profile_url from contacts",
+    ),
+    "h18_fill_missing_fields": (
+        lambda s, d: html.fill_missing_fields(contacts(s, d), contacts(s, d).select("row_id", F.concat(F.lit("/p/"), "row_id").alias("profile_url"), F.lit("Fellow").alias("title"), "location")).select("row_id", "profile_url", "title", F.size("methods").alias("filled")),
+        f"{CONTACTS} select row_id, coalesce(profile_url, '/p/' || row_id) as profile_url, coalesce(title, 'Fellow') as title, ((profile_url is null)::int + (title is null)::int)::int as filled from contacts",
+    ),
+    "p1_contact_pipeline": (
+        lambda s, d: stats.cleaning_report(cleaned_after(s, d), ["name", "email"]),
+        None,
+    ),
+    "j7_duplicate_pairs": (lambda s, d: (lambda c: dedup.duplicate_pairs(c, dedup.dedup_fuzzy(c)))(contacts(s, d)), None),
     "d3_dedup_fuzzy": (on_contacts(dedup.dedup_fuzzy), None),
     "j1a_enrichment_metadata": (lambda s, d: enrich.enrichment_metadata(enriched(s, d)), None),
     "j1b_fallback_clean": (lambda s, d: enrich.fallback_clean(enriched(s, d)), None),

@@ -1,3 +1,130 @@
-"""Queries on stored pages."""
+"""Queries on stored pages and documents, each with its DuckDB SQL (None where SQL can't express it)."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.functions import col as C
+
+from ..functions import fixed as V
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import dedup, html, listing
+
+
+def pages(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+
+
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def nodes(spark, sf):
+    return html.html_nodes(pages(spark, sf))
+
+
+def links(spark, sf):
+    return html.html_links(nodes(spark, sf), pages(spark, sf))
+
+
+def per_page(columns):
+    return lambda spark, sf: pages(spark, sf).select("page_id", *(c.alias(n) for n, c in columns().items()))
+
+
+def names(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
+PAGE, OFFSET = names(U.lowered(V.PAGE_PARAMS)), names(U.lowered(V.OFFSET_PARAMS))
+PARAMS = r"""p0 as (select page_id, url, string_split(nullif(regexp_extract(url, '\?([^#]*)', 1), ''), '&') as q from pages),
+p as (select page_id, url, unnest(range(0, len(q))) as pos, unnest(q) as kv from p0),
+prm as (select page_id, url, pos::int as pos, url_decode(replace(split_part(kv, '=', 1), '+', ' ')) as name, case when contains(kv, '=') then url_decode(replace(substr(kv, instr(kv, '=') + 1), '+', ' ')) else '' end as value from p where kv <> '')"""
+TEXT = r"""t as (select page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as t from pages)"""
+DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '')"
+
+QUERIES = {
+    "s2_read_pages": (lambda s, d: pages(s, d).select("page_id", "url", F.length("html").alias("chars")), "select page_id, url, length(html)::int as chars from pages"),
+    "c1_document_emails": (
+        lambda s, d: documents(s, d).select("doc_id", F.array_join(T.extract_emails(C("text")), ",").alias("emails")),
+        rf"""with a as (select doc_id, list_transform(regexp_extract_all(text, '{V.EMAIL}'), lambda x: lower(x)) as m from documents) select doc_id, coalesce(array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ','), '') as emails from a""",
+    ),
+    "c9_document_phone": (
+        lambda s, d: documents(s, d).select("doc_id", T.phone_near(C("text")).alias("phone")),
+        f"""select doc_id, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in V.NEAR_PHONES)}) as phone from documents""",
+    ),
+    "u2_url_params": (lambda s, d: U.url_params(pages(s, d)), f"with {PARAMS} select page_id, pos, name, value from prm"),
+    "u1_param_type": (
+        lambda s, d: U.url_params(pages(s, d)).select("name", U.param_type(C("name")).alias("kind")).distinct(),
+        f"with {PARAMS} select distinct name, case when lower(name) in ({PAGE}) then 'page' when lower(name) in ({OFFSET}) then 'offset' when lower(name) in ({names(U.lowered(U.SIZE_PARAMS))}) then 'size' end as kind from prm",
+    ),
+    "u3_suggest_pagination": (
+        lambda s, d: pages(s, d).select("page_id", U.suggest_pagination(C("url")).alias("x")).select("page_id", "x.type", "x.confidence"),
+        f"""with {PARAMS}, g as (select distinct page_id from prm where lower(name) in ({PAGE}, {OFFSET})), k as (select page_id, case {" ".join(f"when d = '{k}' or d like '%.{k}' then '{v}'" for k, v in U.KNOWN_SITES.items())} end as known from (select page_id, {DOMAIN} as d from pages))
+ select page_id, coalesce(known, case when g.page_id is not null then 'pagination' else 'single-page' end) as type, case when known is not null or g.page_id is not null then 'high' else 'low' end as confidence from k left join g using (page_id)""",
+    ),
+    "u4_detect_page_param": (
+        lambda s, d: pages(s, d).select("page_id", U.page_param(C("url")).alias("x")).select("page_id", "x.type", "x.name", "x.value"),
+        rf"""with {PARAMS}, g as (select *, row_number() over (partition by page_id order by pos) as rn from prm where lower(name) in ({PAGE}, {OFFSET}) and regexp_matches(value, '^\d+$'))
+ select page_id, case when g.name is null then null when lower(g.name) in ({PAGE}) then 'parameter' else 'offset' end as type, g.name, g.value::bigint as value from pages left join (select * from g where rn = 1) g using (page_id)""",
+    ),
+    "u5_path_page": (
+        lambda s, d: pages(s, d).select("page_id", U.path_page(F.regexp_replace("url", r"\?page=", "/page/")).alias("x")).select("page_id", "x.pattern", "x.page"),
+        r"""with u as (select page_id, regexp_extract(replace(url, '?page=', '/page/'), '^https?://[^/?#]+([^?#]*)', 1) as path from pages), m as (select *, nullif(regexp_extract(path, '(?i)/(?:page|p)/(\d+)', 1), '') as n from u)
+ select page_id, case when n is not null then regexp_replace(path, '/\d+', '/{page}') end as pattern, n::bigint as page from m""",
+    ),
+    "u6_base_url": (
+        per_page(lambda: {"base": U.base_url(C("url"))}),
+        f"""with {PARAMS}, k as (select page_id, string_agg(url_encode(name) || '=' || url_encode(value), '&' order by pos) as q from prm where name not in ({names([*V.PAGE_PARAMS, *V.OFFSET_PARAMS])}) group by 1)
+ select page_id, regexp_replace(url, '\\?.*', '') || coalesce('?' || q, '') as base from pages left join k using (page_id)""",
+    ),
+    "u8_page_urls": (
+        lambda s, d: U.page_urls(pages(s, d).where(U.page_param(C("url")).isNotNull()).select("page_id", F.lit("parameter").alias("type"), U.page_param(C("url"))["name"].alias("name"), "url", F.lit(10).alias("size")), 1, 3).select("page_id", "page", "page_url"),
+        rf"""with {PARAMS}, g as (select *, row_number() over (partition by page_id order by pos) as rn from prm where lower(name) in ({PAGE}, {OFFSET}) and regexp_matches(value, '^\d+$')), f as (select page_id, name from g where rn = 1),
+ q as (select prm.page_id, n.n as page, string_agg(url_encode(prm.name) || '=' || case when prm.name = f.name then n.n::varchar else url_encode(prm.value) end, '&' order by pos) as q from prm join f on f.page_id = prm.page_id cross join (select unnest(range(1, 4))::int as n) n group by all)
+ select page_id, page, regexp_replace(url, '\?.*', '') || '?' || q as page_url from q join pages using (page_id)""",
+    ),
+    "u10_pattern_confidence": (
+        per_page(lambda: {"score": U.pattern_confidence(F.when(C("url").contains("?"), "url-analysis").otherwise("manual"), F.when(C("page_id") % 2 == 0, "parameter").otherwise("offset"), C("page_id") % 3 == 0, C("page_id") % 5 == 0, C("page_id") % 7 == 0)}),
+        "select page_id, least(100, case when contains(url, '?') then 15 else 40 end + case when page_id % 2 = 0 then 20 else 15 end + case when page_id % 3 = 0 then 20 else 0 end + case when page_id % 5 = 0 then 15 else 0 end + case when page_id % 7 = 0 then 10 else 0 end)::int as score from pages",
+    ),
+    "h29_max_page": (
+        per_page(lambda: {"max_page": html.max_page_from_text(F.concat(F.lit("Showing 1-10 of "), C("page_id").cast("string"), F.lit(" people")))}),
+        "select page_id, case when page_id > 0 then ceil(page_id / 10)::bigint end as max_page from pages",
+    ),
+    "h33_page_content_stats": (
+        lambda s, d: html.page_content_stats(pages(s, d)),
+        rf"""with {TEXT}, m as (select *, len(list_distinct(regexp_extract_all(t, '{V.EMAIL}')))::int as emails, len(regexp_extract_all(html, '(?i)href=.mailto:'))::int as ml from t)
+ select page_id, length(t) > 100 as has_content, emails, greatest(ml, emails) as contacts, md5(left(t, 1000)) as digest from m""",
+    ),
+    "h34_path_prefix": (
+        per_page(lambda: {"prefix": U.path_prefix(F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("/us/people/p-"), C("page_id").cast("string")))}),
+        "select page_id, '/us/people' as prefix from pages",
+    ),
+    "d4_first_seen_content": (
+        lambda s, d: dedup.first_seen_content(html.page_content_stats(pages(s, d)), "page_id", "digest"),
+        f"with {TEXT}, h as (select page_id, md5(left(t, 1000)) as digest from t) select page_id, digest, min(page_id) over (partition by digest) < page_id as duplicate from h",
+    ),
+    "w2_page_number": (
+        lambda s, d: listing.page_number(pages(s, d)),
+        rf"""with {PARAMS}, g as (select *, row_number() over (partition by page_id order by pos) as rn from prm where lower(name) in ({PAGE}, {OFFSET}) and regexp_matches(value, '^\d+$')),
+ f as (select page_id, value::bigint as v from g where rn = 1 and lower(name) in ({PAGE})) select page_id, coalesce(v, row_number() over (partition by regexp_extract(url, '^(https?://[^/?#]+)', 1) order by url, page_id)) as page_num from pages left join f using (page_id)""",
+    ),
+    "w1_page_boundary": (
+        lambda s, d: listing.page_boundary(pages(s, d).select((C("page_id") % 9).alias("listing_id"), (F.floor(C("page_id") / 9) + 1).alias("page_num"), (F.length("html") % 4 > 0).alias("valid"))),
+        """with l as (select page_id % 9 as listing_id, page_id // 9 + 1 as page_num, length(html) % 4 > 0 as valid from pages), a as (select * from l where page_num <= 500),
+ e as (select listing_id, min(page_num) as last_page from a where valid and not exists (select 1 from a b where b.listing_id = a.listing_id and b.valid and b.page_num in (a.page_num + 1, a.page_num + 2)) group by 1)
+ select distinct a.listing_id, coalesce(last_page, 0) as last_page, coalesce(last_page, 0) < 499 as confirmed, coalesce(last_page, 0) >= 500 as capped from a left join e on e.listing_id = a.listing_id""",
+    ),
+    "h1_html_nodes": (lambda s, d: nodes(s, d).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(C("tag") == "a").alias("links"), F.sum(F.length("own_text")).alias("chars")), None),
+    "h2_html_links": (links, None),
+    "h3_email_candidates": (lambda s, d: html.email_candidates(nodes(s, d)), None),
+    "h4_phone_candidates": (lambda s, d: html.phone_candidates(nodes(s, d)), None),
+    "h5_name_candidates": (lambda s, d: html.name_candidates(nodes(s, d)), None),
+    "h7_contacts_from_pages": (lambda s, d: html.contacts_from_pages(nodes(s, d), pages(s, d)), None),
+    "h8_link_scores": (lambda s, d: html.link_scores(links(s, d)), None),
+    "h13_social_links": (lambda s, d: html.social_links(links(s, d)), None),
+    "h26_profile_links": (lambda s, d: html.profile_links(links(s, d)), None),
+    "h28_pagination_controls": (lambda s, d: html.pagination_controls(nodes(s, d)), None),
+    "h30_infinite_scroll": (lambda s, d: html.infinite_scroll_score(pages(s, d)), None),
+    "u7_compare_urls": (lambda s, d: pages(s, d).select("page_id", U.compare_urls(F.concat("url", F.lit("?page=2")), F.concat("url", F.lit("?page=3"))).alias("x")).select("page_id", "x.*"), None),
+}
