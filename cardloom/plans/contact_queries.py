@@ -7,8 +7,9 @@ from pyspark.sql.functions import col as C
 
 from ..functions import cleaning as K
 from ..functions import fixed as V
+from ..functions import places as PL
 from ..functions import text as T
-from ..operators import dedup, enrich, html, listing, stats
+from ..operators import dedup, enrich, html, listing, postclean, stats
 from ..sources import contacts as contact_io
 from .contacts import BASE, CONTACTS, PROFILES, contacts, profiles
 
@@ -319,6 +320,28 @@ QUERIES = {
         lambda s, d: html.fill_missing_fields(contacts(s, d), contacts(s, d).select("row_id", F.concat(F.lit("/p/"), "row_id").alias("profile_url"), F.lit("Fellow").alias("title"), "location")).select("row_id", "profile_url", "title", F.size("methods").alias("filled")),
         f"{CONTACTS} select row_id, coalesce(profile_url, '/p/' || row_id) as profile_url, coalesce(title, 'Fellow') as title, ((profile_url is null)::int + (title is null)::int)::int as filled from contacts",
     ),
+    "c24_multi_location": (
+        lambda s, d: contacts(s, d).select("row_id", PL.multi_location(C("location"), C("phone")).alias("x")).select("row_id", "x.several", "x.location", "x.phone", F.array_join("x.locations", "|").alias("locations")),
+        f"""{CONTACTS}, s as (select row_id, phone, string_split(location, chr(10)) as a from contacts), t as (select *, a[1] as one, a[2] as two, regexp_matches(a[1], '^([A-Z][a-z]+( [A-Z][a-z]+)*(, [A-Z]{{2}})?|Washington, D\\.C\\.)$') as good from s),
+ k as (select *, len(a) > 1 and two = 'Frankfurt' as twice, case when len(a) > 1 and two <> 'Frankfurt' then two end as own from t),
+ o as (select *, not regexp_matches(one, '^(London|Frankfurt)$') as us1, coalesce(phone like '+1%', false) as us2 from k)
+ select row_id, twice as several, case when twice and not us1 and us2 then two else one end as location,
+ case when twice then case when not us1 and us2 then phone when us1 then phone else phone end else coalesce(own, phone) end as phone,
+ case when twice then case when not us1 and us2 then two || '|' || one else one || '|' || two end else one end as locations from o""",
+    ),
+    "c25_phone_location_check": (
+        lambda s, d: contacts(s, d).select("row_id", PL.phone_location_check(C("phone"), C("location")).alias("x")).select("row_id", "x.*"),
+        f"""{CONTACTS}, x as (select row_id, phone as p, location as l, case when regexp_matches(location, 'Washington, D.C.') then 'US' when contains(location, 'Frankfurt') then 'Germany' when contains(location, 'London') then 'UK' else 'US' end as w,
+ case substr(phone, 4, 3) when '212' then 'New York' when '312' then 'Chicago' when '202' then 'Washington' when '617' then 'Boston' end as city from contacts),
+ y as (select *, case when p is null then 'missing-data' when p not like '+%' then 'no-country-code' when w <> 'US' then 'country-mismatch' when city is not null and not contains(l, city) then 'city-mismatch' end as reason from x)
+ select row_id, coalesce(reason = 'city-mismatch', true) as valid, coalesce(reason in ('country-mismatch', 'city-mismatch'), false) as mismatch, reason from y""",
+    ),
+    "c28_post_clean": (lambda s, d: postclean.post_clean(contacts(s, d)), None),
+    "a16_post_clean_stats": (lambda s, d: postclean.post_clean_stats(postclean.post_clean(contacts(s, d))), None),
+    "a19_noise_summary": (
+        lambda s, d: postclean.noise_summary(contacts(s, d).select("row_id", F.lit("name").alias("field"), K.detect_noise(F.lit("name"), C("name"), C("phone"), C("email"))["items"].alias("noise"))),
+        f"{CONTACTS} select 'name' as field, count(*) as noisy, 'ui_element' as types from contacts where name like 'View%' having count(*) > 0",
+    ),
     "p1_contact_pipeline": (
         lambda s, d: stats.cleaning_report(cleaned_after(s, d), ["name", "email"]),
         None,

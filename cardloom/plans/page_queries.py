@@ -8,7 +8,7 @@ from pyspark.sql.functions import col as C
 from ..functions import fixed as V
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import dedup, html, listing
+from ..operators import dedup, html, listing, postclean
 
 
 def pages(spark, sf):
@@ -114,6 +114,11 @@ QUERIES = {
         """with l as (select page_id % 9 as listing_id, page_id // 9 + 1 as page_num, length(html) % 4 > 0 as valid from pages), a as (select * from l where page_num <= 500),
  e as (select listing_id, min(page_num) as last_page from a where valid and not exists (select 1 from a b where b.listing_id = a.listing_id and b.valid and b.page_num in (a.page_num + 1, a.page_num + 2)) group by 1)
  select distinct a.listing_id, coalesce(last_page, 0) as last_page, coalesce(last_page, 0) < 499 as confirmed, coalesce(last_page, 0) >= 500 as capped from a left join e on e.listing_id = a.listing_id""",
+    ),
+    "h32_page_contact_count": (
+        lambda s, d: postclean.page_contact_count(pages(s, d)),
+        rf"""with c as (select page_id, coalesce(nullif(len(regexp_extract_all(html, '(?i)href=.mailto:')), 0), case when len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) >= 3 then len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) end,
+ nullif(len(list_distinct(regexp_extract_all(html, '{V.EMAIL}'))), 0), nullif(len(regexp_extract_all(html, '(?i)href=.tel:')), 0), 0)::int as n from pages) select page_id, n as contacts, n >= 1 as valid from c""",
     ),
     "h1_html_nodes": (lambda s, d: nodes(s, d).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(C("tag") == "a").alias("links"), F.sum(F.length("own_text")).alias("chars")), None),
     "h2_html_links": (links, None),
