@@ -14,9 +14,17 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 #: Words that a Python worker remembers of each kind, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
-#: White space that the short way doesn't take.
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+CACHE_WORDS, CACHE_CHARS = 900_000, 40
+#: White space that the short way doesn't take: all but space and line feed, the part beyond ASCII second.
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+WIDE_SPACE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def plain(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace():
+        return False
+    return not any(c in text for c in ASCII_SPACE) and (text.isascii() or not any(c in text for c in WIDE_SPACE))
 
 
 def byte_letters() -> list[str]:
@@ -77,7 +85,7 @@ class ChunkCodec:
                 words = text.replace("\n", " ").split(" ")
                 return b"".join([self.first.whole(w) if "Σ" in w or "İ" in w else self.first[w.lower()] for w in words if w])
             return b"".join(map(self.first.__getitem__, filter(None, text.lower().replace("\n", " ").split(" "))))
-        if ODD_SPACE.search(text):
+        if not plain(text):
             return b"".join([self.first.whole(p) for p in self.cut(text)])
         out, first, rest = [], self.first, self.rest
         for line in text.split("\n"):

@@ -12,10 +12,10 @@ first n - ceil(percent n / 100) + 1 shingles of both cannot be disjoint). The or
 has seen often; any order is exact, this one keeps common passages from drawing documents together.
 
 1. Documents with equal sets are one node from here on, so exact copies make no pairs.
-2. In each group the least node is a hub; each member is bounded and then compared with its hub. Linked components follow.
+2. Groups are parted by size: linked sets differ in size by the factor 100 / percent at most, so each node goes to the cell of
+   its own band of sizes and to that of the next. In each cell the least node is a hub; each member is bounded and then compared with its hub. Linked components follow.
 3. What a group still holds in different components is compared: members outside its largest component are looked up in
-   trees over all members, first with the closest of each other component, then with all. Groups are cut into cells of
-   bounded size, so a group that a third of all nodes belong to is spread over tasks.
+   trees over all members, first with the closest only, at last with all. Groups are cut into blocks of bounded size, so one that a third of all nodes belong to is spread over tasks.
 Every link between different sets is thus found or lies inside a component that other links have already joined.
 
 Words are runs of anything but ASCII white space, A-Z lowered; fewer words than a shingle give one shingle of them all; texts
@@ -248,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Open pairs (a, b) inside a group but across components; with `closest` only the best of each other component per query."""
+    """Open pairs (a, b) inside a group but across components; with `closest` only the best for each query of a block."""
     m = members.join(labels, "row_", "left").withColumn("comp", F.coalesce("comp", "row_"))
     per = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
     split = per.groupBy("key").agg(F.sum("c").alias("all_"), F.max(F.struct("c", "comp")).alias("big")).where(F.col("all_") > F.col("big.c")).select("key", "all_", F.col("big.comp").alias("big"), (F.col("all_") - F.col("big.c")).alias("out_"))
@@ -274,10 +274,10 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
         i, j, bound = i[ok], j[ok], bound[ok]
         if closest and len(i):
             score = bound / np.maximum(n[i] + n[j] - bound, 1)
-            order = np.lexsort((-score, comp[j], i))
+            order = np.lexsort((-score, i))
             i, j = i[order], j[order]
             head = np.ones(len(i), bool)
-            head[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
+            head[1:] = i[1:] != i[:-1]
             i, j = i[head], j[head]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], names=["a", "b"])
 
@@ -304,15 +304,19 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: int = 20_000) -> DataFrame:
-    """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id."""
+    """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id, and component_, which tells components apart whose ids are all null (null for empty sets)."""
     named, seen = common_shingles(docs, id_col, text_col, width, sample)
     rows = keep(features(word_hashes(docs, id_col, text_col), width, percent, named, seen).withColumn("row_", F.monotonically_increasing_id()), "points")
     classes = keep(rows.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
     reps = rows.join(classes.select(F.col("node").alias("row_")), "row_", "left_semi")
     nodes = reps.select("row_", "n", "point")
     firsts = reps.select("row_", F.explode("first").alias("key"))
-    groups = firsts.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub")).where("members > 1")
-    held = keep(firsts.join(groups, "key").select("key", "row_", "hub", "members"), "groups")
+    groups = firsts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = keep(firsts.join(groups.select("key"), "key").join(reps.select("row_", "n"), "row_"), "shared")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
+    banded = shared.select("row_", F.explode(F.array(band, band + 1)).alias("band"), "key").select("row_", F.xxhash64("key", "band").alias("key"))
+    cells = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub")).where("members > 1")
+    held = keep(banded.join(cells, "key").select("key", "row_", "hub", "members"), "groups")
     nodes = keep(nodes.join(held.select("row_").distinct(), "row_", "left_semi"), "nodes")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -320,25 +324,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     labels = components(linked(keep(bounded(held.where("row_ != hub").select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct(), nodes, percent), "open")))
     several = held.where("members > 2").select("key", "row_", "hub")
-    for closest in (True, False):
+    for closest in (True, True, False):
         more = linked(keep(crossing(several, labels, nodes, percent, closest), "open"))
         stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
         labels = components(stars.unionByName(more))
     named_ = classes.join(labels.withColumnRenamed("row_", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named_.groupBy("comp").agg(F.min("least_").alias("component_id"))
-    final = named_.join(least, "comp").select(F.col("set_").alias("c_set_"), "component_id")
+    final = named_.join(least, "comp").select(F.col("set_").alias("c_set_"), "component_id", F.col("comp").alias("component_"))
     out = rows.join(final, rows["set_"] == final["c_set_"], "left")
-    return out.select("id_", "key_", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id_")).alias("component_id"))
+    return out.select("id_", "key_", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id_")).alias("component_id"), "component_")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each component: the one of its least id (null ids last), of repeated ids the least text hash; columns as they are."""
-    found = jaccard_components(docs, id_col, text_col, **how)
-    keeper = found.where((F.col("n_shingles") == 0) | F.col("id_").eqNullSafe(F.col("component_id"))).select(F.col("id_").alias("k_id_"), F.col("key_").alias("k_key_"), "n_shingles").distinct()
-    keeper = keeper.where("n_shingles = 0").unionByName(keeper.where("n_shingles > 0").groupBy("k_id_").agg(F.min("k_key_").alias("k_key_"), F.first("n_shingles").alias("n_shingles")))
+    found = keep(jaccard_components(docs, id_col, text_col, **how), "found")
+    first = found.where("component_ is not null").groupBy("component_").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_")).alias("m"))
+    stays = found.where("component_ is null").select("id_", "key_").distinct().unionByName(first.select("m.id_", "m.key_"))
+    f, k = found.select("id_", "key_").distinct().alias("f"), stays.alias("k")
+    goes = keep(f.join(k, F.col("f.id_").eqNullSafe(F.col("k.id_")) & F.col("f.key_").eqNullSafe(F.col("k.key_")), "left_anti").select(F.col("f.id_").alias("g_id_"), F.col("f.key_").alias("g_key_")), "goes")
     marked = docs.withColumn("text_key_", text_key(F.col(text_col)))
-    kept = marked.join(keeper, marked[id_col].eqNullSafe(keeper["k_id_"]) & (marked["text_key_"] == keeper["k_key_"]), "left_semi")
-    return kept.dropDuplicates([id_col, "text_key_"]).select(*docs.columns)
+    side = F.broadcast(goes) if goes.count() <= SMALL else goes
+    kept = marked.join(side, marked[id_col].eqNullSafe(side["g_id_"]) & marked["text_key_"].eqNullSafe(side["g_key_"]), "left_anti")
+    if not found.groupBy("id_", "key_").count().where("count > 1").isEmpty():  # only then are there repeated rows to drop
+        kept = kept.dropDuplicates([id_col, "text_key_"])
+    return kept.select(*docs.columns)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

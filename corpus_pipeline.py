@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm import decontam, fitpack, linededup, ratjoin, toxickn
-from cardloom.llm.base import new_path, table, text_key
+from cardloom.llm.base import keep, new_path, table, text_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.col("at_").isNotNull()).select("id_", "key_").distinct()
+    bad = keep(found.where(F.col("at_").isNotNull()).select("id_", "key_").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= ratjoin.SMALL else bad
     d = docs.select(*COLUMNS).withColumn("text_key_", text_key(F.col("text")))
     return d.join(bad, d["doc_id"].eqNullSafe(bad["id_"]) & (d["text_key_"] == bad["key_"]), "left_anti").select(*COLUMNS)
 
