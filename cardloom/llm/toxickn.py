@@ -15,7 +15,8 @@ documents without a shuffle.
 
 Null or wordless text has no evidence and gets the curve's value at zero; without labels of both classes every score is the
 share of toxic labels (0 if there are none). A document labelled more than once is toxic if any label says so; null labels
-count for nothing; repeated rows are scored alike; an empty table gives an empty result; other columns pass through.
+count for nothing; repeated rows are scored alike; an empty table gives an empty result; other columns
+pass through, but for one named toxicity_, which is replaced.
 """
 
 from __future__ import annotations
@@ -156,12 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     finally:
         both.unpersist()
     model = Model(uni, bi, [t["f0"], t["f1"], t["cont"]])
-    spread = evidence(texts.where(fold == 0).select("y", "t_"), model, "t_").select("y", "evidence_").orderBy("y", "evidence_").toPandas()
+    spread = evidence(texts.where(fold == 0).select("y", "t_"), model, "t_").select("y", "__evidence").orderBy("y", "__evidence").toPandas()
     if spread["y"].nunique() < 2:
         return share
     y = spread["y"].to_numpy(float)
     taken = Counter(v for _, v in chosen)
-    model.fit(np.stack(spread["evidence_"].to_numpy()), y, np.where(y == 1, sizes[1] / taken[1], sizes[0] / taken[0]))
+    model.fit(np.stack(spread["__evidence"].to_numpy()), y, np.where(y == 1, sizes[1] / taken[1], sizes[0] / taken[0]))
     return model
 
 
@@ -172,18 +173,19 @@ def evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = held.value.evidence(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float64())), pa.array(held.value.score(x), pa.float64())], names=[*batch.schema.names, "evidence_", "score_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float64())), pa.array(held.value.score(x), pa.float64())], names=[*batch.schema.names, "__evidence", "toxicity_"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, evidence_ array<double>, score_ double")
+    return docs.mapInArrow(run, f"{schema}, `__evidence` array<double>, toxicity_ double")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000) -> DataFrame:
     """docs with toxicity_ (0 to 1), fitted on the given labels and the documents they name."""
+    docs = docs.drop("toxicity_")
     model = fit(docs, labels, id_col, text_col, label_col, per_class)
     if isinstance(model, float):
         return docs.withColumn("toxicity_", F.lit(model))
-    return evidence(docs, model, text_col).drop("evidence_").withColumnRenamed("score_", "toxicity_")
+    return evidence(docs, model, text_col).drop("__evidence")
 
 
 def held_out(id_col: Column) -> Column:

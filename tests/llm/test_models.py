@@ -97,11 +97,11 @@ def test_notices_hold_a_core_word():
 def test_pseudo_likelihood(spark):
     r = random.Random(3)
     cycle = [f"c{i}" for i in range(12)]
-    rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(r.randint(20, 60)))) for i in range(300)]
+    rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(r.randint(20, 60)))) for i in range(600)]
     mixed = [(1000 + i, " ".join(r.choice(cycle) for _ in range(40))) for i in range(10)]
     odd = [(2000, None), (2001, ""), (2002, "..."), (None, "c1 c2 c3"), rows[0]]
-    docs = spark.createDataFrame([(d, t, 0, 1) for d, t in rows + mixed + odd], DOCS)
-    out = pseudolm.score_documents(docs).collect()
+    docs = spark.createDataFrame([(d, t, 0, 1) for d, t in rows + mixed + odd], DOCS).coalesce(1)
+    out = pseudolm.score_documents(docs, step=64).collect()
     assert len(out) == docs.count()
     by = {x["id_"]: x for x in out}
     assert by[2000]["n_tokens"] == 0 and by[2001]["log_likelihood"] == 0 and by[2002]["per_token"] is None
