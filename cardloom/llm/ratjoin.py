@@ -37,7 +37,7 @@ from .base import ascii_lower, keep, same, table, text_key
 
 GROUPS = 64
 #: Rows of one side of a cell, shingles that the order's sample may name, and the count from which a point says "so many or more".
-CELL, NAMED, FULL = 512, 1_500_000, 65_535
+CELL, NAMED, FULL = 512, 500_000, 65_535
 #: Nodes up to which a list of ids may be broadcast.
 SMALL = 1_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -118,10 +118,15 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sam
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.view(np.int64) for s in sets]) if sets else np.zeros(0, np.int64))], names=["s"])
 
     some = docs.sample(min(1.0, sample / max(1, docs.count())), seed=1)
-    found = word_hashes(some, id_col, text_col).mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").toPandas()
-    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    most = np.lexsort((s, -n))[:NAMED]
-    order = most[np.argsort(s[most])]
+    found = keep(word_hashes(some, id_col, text_col).mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    left, least = NAMED, None
+    for r in found.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # at most a row per row of the sample
+        if r["k"] > left:
+            break
+        left, least = left - r["k"], r["n"]
+    named = found.where(F.col("n") >= F.lit(least)).orderBy("s").toPandas()  # at most NAMED rows
+    s, n = named["s"].to_numpy(np.int64).view(np.uint64), named["n"].to_numpy(np.int64)
+    order = np.argsort(s)
     return s[order], n[order]
 
 
