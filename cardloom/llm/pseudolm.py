@@ -1,6 +1,6 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every word from the two before and the two after it: the embeddings of the four, one table for each
+A small network predicts every word and mark from the two before and the two after it: the embeddings of the four, one table for each
 place, are summed and squashed, and the word's probability is that of its class times that within the class. A document's
 score is the sum of the logarithms over its words, each predicted with itself left out.
 
@@ -10,7 +10,7 @@ once: each task runs Adam over its own documents in numpy from common starting v
 parameters, weighted by their words, in a sum by parameter; what tasks send grows with the corpus, what reaches the driver
 is one model. Scoring is another pass, without a shuffle.
 
-Null and wordless texts have no words, a score of 0 and no score per word; repeated rows are scored alike; over an empty
+Null and blank texts have no words, a score of 0 and no score per word; repeated rows are scored alike; over an empty
 table nothing is trained and the result is empty; other columns are ignored.
 """
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .base import keep, table
 
-WORD = re.compile(r"\w+")
-#: Classes and words in each, size of the hidden layer, words of context on either side, words in a step of training.
-CLASSES, MEMBERS, HIDDEN, SIDE, STEP = 32, 32, 16, 2, 32_768
+WORD = re.compile(r"\w+|[^\w\s]")
+#: Classes and words in each, size of the hidden layer, words of context on either side, most words in a step of training.
+CLASSES, MEMBERS, HIDDEN, SIDE, STEP = 32, 32, 16, 2, 16_384
 VOCAB = CLASSES * MEMBERS
+#: Steps that a task should take at least, and the fewest words of a step where a corpus is too small for that.
+STEPS, LEAST_STEP = 256, 64
 #: Words, rare ones too, whose id a task remembers.
 KNOWN = 300_000
 PLACES = [-2, -1, 1, 2]
@@ -45,8 +47,9 @@ def words(text: str | None) -> list[str]:
 class Vocabulary(dict):
     """Word to id; words without one go to a bucket."""
 
-    def __init__(self, frequent: list[str], others: int):
+    def __init__(self, frequent: list[str], others: int, total: int = 0):
         super().__init__((w, MEMBERS + i) for i, w in enumerate(frequent))
+        self.total = total  # words of the corpus, repeated ones too
         self.share = -float(np.log(max(1.0, others / MEMBERS)))  # of a bucket's probability, for each word in it
 
     def __missing__(self, word: str) -> int:
@@ -163,20 +166,28 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
     counts = keep(docs.select("t_").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     frequent = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(VOCAB - MEMBERS).collect()]
-    return Vocabulary(frequent, counts.count() - len(frequent))
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Vocabulary(frequent, distinct - len(frequent), total)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, step: int = STEP) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocab: Vocabulary, step: int | None = None) -> dict[str, np.ndarray]:
+    """Without a step given, small corpora take fewer tasks and smaller steps, so that each task takes STEPS of them."""
+    texts = docs.select("t_")
+    parts = texts.rdd.getNumPartitions()
+    if (tasks := max(1, vocab.total // (STEPS * LEAST_STEP))) < parts:
+        texts, parts = texts.coalesce(tasks), tasks
+    step = step or min(STEP, max(LEAST_STEP, vocab.total // (parts * STEPS)))
     held = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n = start(), 0
-        adam = Adam(p)
+        adam, r = Adam(p), np.random.default_rng(3)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo in range(0, len(texts), 500):
                 ids, _ = held.value.flat(texts[lo : lo + 500])
                 at = np.flatnonzero(ids < VOCAB)
+                r.shuffle(at)
                 for k in range(0, len(at), step):
                     adam.step(gradient(p, ids, at[k : k + step]))
                 n += len(at)
@@ -184,7 +195,7 @@ def train(docs: DataFrame, vocab: Vocabulary, step: int = STEP) -> dict[str, np.
             flat = np.concatenate([p[k].ravel() for k in SHAPES]).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
 
-    mean = docs.select("t_").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # one row per parameter
+    mean = texts.mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # one row per parameter
     if not len(mean):
         return start()
     flat, out, lo = mean.sort_values("i")["x"].to_numpy(np.float32), {}, 0
@@ -194,8 +205,8 @@ def train(docs: DataFrame, vocab: Vocabulary, step: int = STEP) -> dict[str, np.
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:
-    """One row per row of docs: id_, n_tokens, log_likelihood (sum), per_token. Small corpora train better with smaller steps."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int | None = None) -> DataFrame:
+    """One row per row of docs: id_, n_tokens, log_likelihood (sum), per_token."""
     d = docs.select(F.col(id_col).cast("long").alias("i_"), F.col(text_col).cast("string").alias("t_"))
     vocab = vocabulary(d)
     model = docs.sparkSession.sparkContext.broadcast((vocab, train(d, vocab, step)))

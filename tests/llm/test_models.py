@@ -110,6 +110,23 @@ def test_pseudo_likelihood(spark):
     assert pseudolm.score_documents(docs.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_counts_marks(spark):
+    docs = spark.createDataFrame([(1, "...", 0, 1), (2, "Is it, c1?", 0, 1), (3, " \n", 0, 1)], DOCS)
+    by = {x["id_"]: x for x in pseudolm.score_documents(docs).collect()}
+    assert [by[i]["n_tokens"] for i in (1, 2, 3)] == [3, 5, 0]
+    assert by[1]["log_likelihood"] < 0 and by[1]["per_token"] is not None and by[3]["per_token"] is None
+
+
+def test_pseudo_likelihood_at_the_production_step(spark):
+    r = random.Random(3)
+    cycle = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(r.randint(20, 60)))) for i in range(300)]
+    mixed = [(1000 + i, " ".join(r.choice(cycle) for _ in range(40))) for i in range(10)]
+    by = {x["id_"]: x for x in pseudolm.score_documents(spark.createDataFrame([(d, t, 0, 1) for d, t in rows + mixed], DOCS)).collect()}
+    ordered, random_ = np.mean([by[i]["per_token"] for i in range(300)]), np.mean([by[1000 + i]["per_token"] for i in range(10)])
+    assert ordered > random_ + 0.3 and ordered > -np.log(12)
+
+
 def test_gradient_is_that_of_the_score():
     r = np.random.default_rng(0)
     ids = np.concatenate([[pseudolm.VOCAB] * 2, r.integers(0, pseudolm.VOCAB, 40), [pseudolm.VOCAB] * 2]).astype(np.int16)
