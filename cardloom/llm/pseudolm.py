@@ -4,11 +4,15 @@ A small network predicts every word and mark from the two before and the two aft
 place, are summed and squashed, and the word's probability is that of its class times that within the class. A document's
 score is the sum of the logarithms over its words, each predicted with itself left out.
 
-The vocabulary counts all words of all documents; its most frequent words get an id of their own, in classes of like
-frequency, and all others share the buckets of the first class, evenly. Training passes over every word of every document
-once: each task runs Adam over its own documents in numpy from common starting values, and Spark averages the tasks'
-parameters, weighted by their words, in a sum by parameter; what tasks send grows with the corpus, what reaches the driver
-is one model. Scoring is another pass, without a shuffle.
+The vocabulary counts all words of all documents. Its classes and the words in each grow with the fourth root of their total,
+so the number of words with an id of their own grows with its square root; all others share the buckets of the first class. A
+bucket's probability is dealt among its words by their counts: the words without an id meet the full table of counts in a
+join, and each document sums the logarithms. Texts are turned into ids once, in the shared folder, for training and scoring.
+
+Training passes over every word of every document once: each task runs Adam over its own documents in numpy from common
+starting values, where embeddings move in the steps that meet them, and Spark averages the tasks' parameters, weighted by
+their words, in sums of WIDE parameters a row; what tasks send grows with the corpus, what reaches the driver is one model.
+Scoring is another pass; only a row of figures for each document meets its sum.
 
 Null and blank texts have no words, a score of 0 and no score per word; repeated rows are scored alike; over an empty
 table nothing is trained and the result is empty; other columns are ignored.
@@ -18,26 +22,37 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import keep, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
-#: Classes and words in each, size of the hidden layer, words of context on either side, most words in a step of training.
+#: Least classes and words in each, size of the hidden layer, words of context on either side, most words in a step of training.
 CLASSES, MEMBERS, HIDDEN, SIDE, STEP = 32, 32, 16, 2, 16_384
 VOCAB = CLASSES * MEMBERS
 #: Steps that a task should take at least, and the fewest words of a step where a corpus is too small for that.
 STEPS, LEAST_STEP = 256, 64
-#: Words, rare ones too, whose id a task remembers.
-KNOWN = 300_000
+#: Words without an id of their own whose bucket a task remembers; parameters in a row of the sums; texts in a run of ids.
+KNOWN, WIDE, RUN = 300_000, 64, 500
 PLACES = [-2, -1, 1, 2]
-SHAPES = {"e": (len(PLACES), VOCAB + 1, HIDDEN), "h": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "m": (CLASSES, HIDDEN, MEMBERS), "mb": (CLASSES, MEMBERS)}
+
+
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """Of the parameters for so many classes of so many words."""
+    return {"e": (len(PLACES), side * side + 1, HIDDEN), "h": (HIDDEN,), "c": (HIDDEN, side), "cb": (side,), "m": (side, HIDDEN, side), "mb": (side, side)}
+
+
+def side_of(total: int) -> int:
+    """Classes, and words in each, for a corpus of so many words."""
+    return max(CLASSES, int(np.ceil(total**0.25)))
 
 
 def words(text: str | None) -> list[str]:
@@ -47,116 +62,137 @@ def words(text: str | None) -> list[str]:
 class Vocabulary(dict):
     """Word to id; words without one go to a bucket."""
 
-    def __init__(self, frequent: list[str], others: int, total: int = 0):
-        super().__init__((w, MEMBERS + i) for i, w in enumerate(frequent))
-        self.total = total  # words of the corpus, repeated ones too
-        self.share = -float(np.log(max(1.0, others / MEMBERS)))  # of a bucket's probability, for each word in it
+    def __init__(self, frequent: list[str], side: int = CLASSES, buckets: dict[int, int] | None = None, total: int = 0):
+        super().__init__((w, side + i) for i, w in enumerate(frequent))
+        self.frequent, self.side, self.buckets, self.total = frequent, side, buckets or {}, total
+        self.most, self.type = KNOWN + len(frequent), "H" if side * side < 1 << 16 else "I"
+        self.share = np.array([-np.log(max(1, self.buckets.get(i, 1))) for i in range(side)])  # a word's count comes with the join
 
     def __missing__(self, word: str) -> int:
-        i = zlib.crc32(word.encode()) % MEMBERS
-        if len(self) < KNOWN:
+        i = zlib.crc32(word.encode()) % self.side
+        if len(self) < self.most:
             self[word] = i
         return i
 
     def __reduce__(self):
-        return _revive, ([x for x in self.items() if x[1] >= MEMBERS], self.share)
+        return Vocabulary, (self.frequent, self.side, self.buckets, self.total)
 
-    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, with padding between them, and the number of words of each."""
-        pad = [VOCAB] * SIDE
-        out, n = list(pad), []
-        for t in texts:
-            w = words(t)
-            n.append(len(w))
-            out += map(self.__getitem__, w)
-            out += pad
-        return np.array(out, np.int16), np.array(n, np.int64)
+    def flat(self, runs: list[bytes]) -> np.ndarray:
+        """Ids of all texts, with padding between them."""
+        pad = array(self.type, [self.side**2] * SIDE).tobytes()
+        return np.frombuffer(pad + pad.join(runs) + pad, self.type)
 
 
-def _revive(items, share):
-    v = Vocabulary([], 1)
-    v.update(items)
-    v.share = share
-    return v
+def start(side: int = CLASSES, seed: int = 11) -> dict[str, np.ndarray]:
+    r = np.random.default_rng(seed)
+    return {k: (r.normal(scale=0.1, size=s) if len(s) > 1 and k != "cb" else np.zeros(s)).astype(np.float32) for k, s in shapes(side).items()}
 
 
-def start(seed: int = 11) -> dict[str, np.ndarray]:
-    r = np.random.default_rng(seed)
-    return {k: (r.normal(scale=0.1, size=s) if len(s) > 1 and k != "cb" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+def softmax(z: np.ndarray, scale: np.float32) -> np.ndarray:
+    """In place, each row with `scale` as its sum."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (scale / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    return z
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def log_softmax_at(z: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The logarithm at one place of each row; changes z."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(j)), j]
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray):
-    """For the words at the given places: hidden layer, class and member log-probabilities, by class in order."""
-    order = np.argsort(ids[at] // MEMBERS, kind="stable")
+    """For the words at the given places, by class in order: hidden layer, and classes and members before the softmax."""
+    side = len(p["cb"])
+    order = np.argsort(ids[at] // side, kind="stable")
     at = at[order]
     y = ids[at]
-    h = p["h"] + sum(p["e"][k][ids[at + o]] for k, o in enumerate(PLACES))
-    h = np.tanh(h)
-    lc = log_softmax(h @ p["c"] + p["cb"])
-    edge = np.searchsorted(y // MEMBERS, np.arange(CLASSES + 1))
-    lm = np.empty((len(y), MEMBERS), np.float32)
-    for k in range(CLASSES):
+    h = p["h"] + sum(p["e"][k].take(ids[at + o], 0) for k, o in enumerate(PLACES))
+    np.tanh(h, out=h)
+    zc = h @ p["c"]
+    zc += p["cb"]
+    edge = np.searchsorted(y // side, np.arange(side + 1))
+    zm = np.empty((len(y), side), h.dtype)
+    for k in range(side):
         a, b = edge[k], edge[k + 1]
         if a < b:
-            lm[a:b] = log_softmax(h[a:b] @ p["m"][k] + p["mb"][k])
-    return order, at, y, h, lc, lm, edge
+            np.matmul(h[a:b], p["m"][k], out=zm[a:b])
+            zm[a:b] += p["mb"][k]
+    return order, at, y, h, zc, zm, edge
 
 
-def log_likelihood(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, share: float) -> np.ndarray:
-    out = np.empty(len(at), np.float64)
+def log_likelihood(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Of the words at the given places; `share` is added for each bucket."""
+    side = len(p["cb"])
+    out, share = np.empty(len(at), np.float64), np.broadcast_to(share, side)
     for lo in range(0, len(at), STEP):
-        order, _, y, _, lc, lm, _ = forward(p, ids, at[lo : lo + STEP])
-        i = np.arange(len(y))
-        out[lo + order] = lc[i, y // MEMBERS] + lm[i, y % MEMBERS] + np.where(y < MEMBERS, share, 0.0)
+        order, _, y, _, zc, zm, _ = forward(p, ids, at[lo : lo + STEP])
+        out[lo + order] = log_softmax_at(zc, y // side) + log_softmax_at(zm, y % side) + np.where(y < side, share[y % side], 0.0)
     return out
 
 
-def gradient(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    _, at, y, h, lc, lm, edge = forward(p, ids, at)
+def slopes(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> dict:
+    """The gradient; that of the embeddings as rows and their values, for each place."""
+    side = len(p["cb"])
+    _, at, y, h, zc, zm, edge = forward(p, ids, at)
     i = np.arange(len(y))
-    dc, dm = np.exp(lc), np.exp(lm)
-    dc[i, y // MEMBERS] -= 1
-    dm[i, y % MEMBERS] -= 1
     scale = np.float32(1 / len(y))
-    dc, dm = dc * scale, dm * scale
-    g = {"c": h.T @ dc, "cb": dc.sum(0), "m": np.zeros(SHAPES["m"], np.float32), "mb": np.zeros(SHAPES["mb"], np.float32), "e": np.zeros(SHAPES["e"], np.float32)}
+    dc, dm = softmax(zc, scale), softmax(zm, scale)
+    dc[i, y // side] -= scale
+    dm[i, y % side] -= scale
+    g = {"c": h.T @ dc, "cb": dc.sum(0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
     dh = dc @ p["c"].T
-    for k in range(CLASSES):
+    for k in range(side):
         a, b = edge[k], edge[k + 1]
         if a < b:
             g["m"][k], g["mb"][k] = h[a:b].T @ dm[a:b], dm[a:b].sum(0)
             dh[a:b] += dm[a:b] @ p["m"][k].T
     dh *= 1 - h * h
-    g["h"] = dh.sum(0)
-    for k, o in enumerate(PLACES):
+    g["h"], g["e"] = dh.sum(0), []
+    for o in PLACES:
         x = ids[at + o]
         order = np.argsort(x, kind="stable")
         x = x[order]
-        head = np.flatnonzero(np.diff(x, prepend=-1))
-        g["e"][k][x[head]] = np.add.reduceat(dh[order], head)
+        head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        g["e"].append((x[head], np.add.reduceat(dh.take(order, 0), head)))
     return g
 
 
+def gradient(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    g = slopes(p, ids, at)
+    e = np.zeros_like(p["e"])
+    for k, (x, d) in enumerate(g["e"]):
+        e[k][x] = d
+    return g | {"e": e}
+
+
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict) -> None:
         self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) / (1 + self.t / 400)
+        rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) / (1 + self.t / 400))
         for k, x in self.p.items():
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.001 * (g[k] * g[k] - self.v[k])
-            x -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            if k == "e":
+                for x_, m_, v_, (rows, d) in zip(x, self.m[k], self.v[k], g[k], strict=True):
+                    m, v = m_[rows], v_[rows]
+                    m += np.float32(0.1) * (d - m)
+                    v += np.float32(0.001) * (d * d - v)
+                    m_[rows], v_[rows] = m, v
+                    x_[rows] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+            else:
+                self.m[k] += np.float32(0.1) * (g[k] - self.m[k])
+                self.v[k] += np.float32(0.001) * (g[k] * g[k] - self.v[k])
+                x -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w, n: every word of the column t_."""
 
-
-def vocabulary(docs: DataFrame) -> Vocabulary:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
@@ -164,42 +200,73 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
                 seen.update(words(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    counts = keep(docs.select("t_").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    frequent = [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(VOCAB - MEMBERS).collect()]
-    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return Vocabulary(frequent, distinct - len(frequent), total)
+    return keep(docs.select("t_").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+
 
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    side = side_of(total)
+    top = [(r["w"], r["n"]) for r in counts.orderBy(F.desc("n"), "w").limit(side * side - side).collect()]
+    bucket = F.crc32(F.col("w").cast("binary")) % side
+    buckets = {r["b"]: r["n"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}  # `side` rows
+    for w, n in top:
+        buckets[zlib.crc32(w.encode()) % side] -= n
+    return Vocabulary([w for w, _ in top], side, buckets, total)
 
-def train(docs: DataFrame, vocab: Vocabulary, step: int | None = None) -> dict[str, np.ndarray]:
+
+def encode(docs: DataFrame, held) -> DataFrame:
+    """A row per row of docs, kept: r_ (its own number), i_, ids, rare (the words without an id of their own)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, at = held.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            i, texts = batch.column(0), batch.column(1)
+            for lo in range(0, batch.num_rows, RUN):
+                ids, rare = [], []
+                for t in texts[lo : lo + RUN].to_pylist():
+                    w = words(t)
+                    own = array(v.type, map(v.__getitem__, w))
+                    ids.append(own.tobytes())
+                    rare.append([x for x, k in zip(w, own, strict=True) if k < v.side])
+                numbers = pa.array(np.arange(at, at + len(ids)))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([numbers, i[lo : lo + RUN], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["r_", "i_", "ids", "rare"])
+
+    return keep(docs.select("i_", "t_").mapInArrow(run, "r_ long, i_ long, ids binary, rare array<string>"), "ids")
+
+
+def train(coded: DataFrame, held, step: int | None = None) -> dict[str, np.ndarray]:
     """Without a step given, small corpora take fewer tasks and smaller steps, so that each task takes STEPS of them."""
-    texts = docs.select("t_")
+    texts, side, total = coded.select("ids"), held.value.side, held.value.total
     parts = texts.rdd.getNumPartitions()
-    if (tasks := max(1, vocab.total // (STEPS * LEAST_STEP))) < parts:
+    if (tasks := max(1, total // (STEPS * LEAST_STEP))) < parts:
         texts, parts = texts.coalesce(tasks), tasks
-    step = step or min(STEP, max(LEAST_STEP, vocab.total // (parts * STEPS)))
-    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    step = step or min(STEP, max(LEAST_STEP, total // (parts * STEPS)))
+    names = [f"x{j}" for j in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, n = start(), 0
+        v, p, n = held.value, start(side), 0
         adam, r = Adam(p), np.random.default_rng(3)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids, _ = held.value.flat(texts[lo : lo + 500])
-                at = np.flatnonzero(ids < VOCAB)
+            for lo in range(0, batch.num_rows, RUN):
+                ids = v.flat(batch.column(0)[lo : lo + RUN].to_pylist())
+                at = np.flatnonzero(ids < side * side)
                 r.shuffle(at)
                 for k in range(0, len(at), step):
-                    adam.step(gradient(p, ids, at[k : k + step]))
+                    adam.step(slopes(p, ids, at[k : k + step]))
                 n += len(at)
         if n:
-            flat = np.concatenate([p[k].ravel() for k in SHAPES]).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
+            flat = np.concatenate([p[k].ravel() for k in p]).astype(float) * n
+            rows = np.concatenate([flat, np.zeros(-len(flat) % WIDE)]).reshape(-1, WIDE)
+            columns = [np.arange(len(rows)), np.full(len(rows), n), *rows.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["i", "n", *names])
 
-    mean = texts.mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()  # one row per parameter
+    sums = texts.mapInArrow(run, "i long, n long, " + ", ".join(f"{x} double" for x in names)).groupBy("i")
+    mean = sums.agg(*((F.sum(x) / F.sum("n")).alias(x) for x in names)).toPandas()  # one value per parameter
     if not len(mean):
-        return start()
-    flat, out, lo = mean.sort_values("i")["x"].to_numpy(np.float32), {}, 0
-    for k, s in SHAPES.items():
+        return start(side)
+    flat, out, lo = mean.sort_values("i")[names].to_numpy(np.float32).ravel(), {}, 0
+    for k, s in shapes(side).items():
         n = int(np.prod(s))
         out[k], lo = flat[lo : lo + n].reshape(s), lo + n
     return out
@@ -207,24 +274,30 @@ def train(docs: DataFrame, vocab: Vocabulary, step: int | None = None) -> dict[s
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int | None = None) -> DataFrame:
     """One row per row of docs: id_, n_tokens, log_likelihood (sum), per_token."""
+    sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("i_"), F.col(text_col).cast("string").alias("t_"))
-    vocab = vocabulary(d)
-    model = docs.sparkSession.sparkContext.broadcast((vocab, train(d, vocab, step)))
+    counts = word_counts(d)
+    held = sc.broadcast(vocabulary(counts))
+    coded = encode(d, held)
+    model = sc.broadcast(train(coded, held, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = model.value
+        v, p = held.value, model.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for lo in range(0, len(texts), 500):
-                ids, n = v.flat(texts[lo : lo + 500])
-                ll = np.concatenate([[0.0], np.cumsum(log_likelihood(p, ids, np.flatnonzero(ids < VOCAB), v.share))])
+            for lo in range(0, batch.num_rows, RUN):
+                part = batch.slice(lo, RUN)
+                runs = part.column(2).to_pylist()
+                ids = v.flat(runs)
+                ll = np.concatenate([[0.0], np.cumsum(log_likelihood(p, ids, np.flatnonzero(ids < v.side**2), v.share))])
+                n = np.array([len(x) for x in runs], np.int64) // ids.itemsize
                 end = np.cumsum(n)
-                total[lo : lo + len(n)], count[lo : lo + len(n)] = ll[end] - ll[end - n], n
-            mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(total), mean], names=["id_", "n_tokens", "log_likelihood", "per_token"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(ll[end] - ll[end - n])], names=["r_", "id_", "n_tokens", "ll"])
 
-    return d.mapInArrow(run, "id_ long, n_tokens long, log_likelihood double, per_token double")
+    scored = coded.select("r_", "i_", "ids").mapInArrow(run, "r_ long, id_ long, n_tokens long, ll double")
+    rare = coded.select("r_", F.explode("rare").alias("w")).join(counts.where("n > 1"), "w")  # the logarithm of 1 is 0
+    total = F.col("ll") + F.coalesce("own", F.lit(0.0))
+    out = scored.join(rare.groupBy("r_").agg(F.sum(F.log("n")).alias("own")), "r_", "left")
+    return out.select("id_", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))
 
 
 def op8_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

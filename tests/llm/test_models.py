@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy and the properties that any fit must keep."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -127,6 +128,23 @@ def test_pseudo_likelihood_at_the_production_step(spark):
     assert ordered > random_ + 0.3 and ordered > -np.log(12)
 
 
+def test_words_of_a_bucket_share_it_by_their_counts(spark):
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(pseudolm.VOCAB - pseudolm.MEMBERS)] * 12
+    r.shuffle(common)
+    same = [w for w in (f"r{i}" for i in range(200)) if zlib.crc32(w.encode()) % pseudolm.MEMBERS == 7][:2]
+    rows = [(1, same[0]), (2, same[1]), (3, f"{same[1]} " * 7)] + [(10 + i, " ".join(common[i::40])) for i in range(40)]
+    by = {x["id_"]: x["log_likelihood"] for x in pseudolm.score_documents(spark.createDataFrame([(d, t, 0, 1) for d, t in rows], DOCS)).collect()}
+    assert by[2] - by[1] == pytest.approx(np.log(8), abs=1e-5)
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    docs = spark.range(300).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5999)), lambda i: F.concat(F.lit("w"), i % 4000)), " ").alias("t_"))
+    v = pseudolm.vocabulary(pseudolm.word_counts(docs))
+    assert v.total == 1_800_000 and len(v.frequent) == 37 * 36 and sum(v.buckets.values()) == 1_800_000 - 37 * 36 * 600
+    assert pseudolm.side_of(16 * v.total) == 74
+
+
 def test_gradient_is_that_of_the_score():
     r = np.random.default_rng(0)
     ids = np.concatenate([[pseudolm.VOCAB] * 2, r.integers(0, pseudolm.VOCAB, 40), [pseudolm.VOCAB] * 2]).astype(np.int16)
