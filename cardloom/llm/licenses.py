@@ -7,8 +7,11 @@ word) and on parts of them mixed with license words. A temperature, fitted on he
 probabilities; under `least` a paragraph stays unknown. A prediction counts only if the paragraph also holds most of the
 word pairs of one of the family's notices (`share`), which names the matching template.
 
-Scoring is one pass over all documents without a shuffle. Paragraphs without any word that occurs in a notice's core can't
-be confirmed and are passed over by a substring test first, which changes no result.
+Notices wrapped over several lines are found too (`wrapped`): the shortest runs of lines without a blank one between them that
+hold `share` of a notice's word pairs are named as a paragraph is, and grow by the lines next to them that hold more of it.
+
+Scoring is one pass over all documents without a shuffle. To hold `share` of a notice's pairs, a text must hold at least one of
+any set of pairs that is larger than what may be missing; texts without a word of such a set are passed over by a substring test.
 
 Null and empty texts have no paragraphs; repeated rows give a row each; an empty table gives an empty result; other columns
 are ignored.
@@ -84,6 +87,45 @@ def pairs(w: list[str]) -> set[tuple[str, ...]]:
 TEMPLATES = [(f, k, pairs(words(t))) for f, ts in NOTICES.items() for k, t in enumerate(ts)]
 
 
+def anchors(share: float) -> list[set[str]]:
+    """For each template words of which a text must hold one to hold `share` of its pairs."""
+    out = []
+    for _, _, t in TEMPLATES:
+        most = sorted(t, key=lambda q: (-max(map(len, q)), q))
+        spare = sum(1 for n in range(len(t)) if n / len(t) >= share)  # so many pairs may be missing
+        out.append({max(q, key=len) for q in most[: spare + 1]})
+    return out
+
+
+def runs(lines: list[list[str]], t: set[tuple[str, ...]], share: float) -> list[tuple[int, int]]:
+    """The shortest runs of lines (first, last), none of them blank, that hold `share` of the pairs."""
+    at, before = [], None  # pairs in order: first and last line
+    for k, w in enumerate(lines):
+        if not w:
+            before = None
+            at.append((k, k, None))  # no run crosses it
+            continue
+        if before is not None and (before[1], w[0]) in t:
+            at.append((before[0], k, (before[1], w[0])))
+        at += [(k, k, q) for q in (zip(w, w[1:], strict=False) if len(w) > 1 else [tuple(w)]) if q in t]
+        before = k, w[-1]
+    if len({q for _, _, q in at if q}) / len(t) < share:
+        return []
+    out: dict[int, int] = {}
+    for i, (a, _, q) in enumerate(at):
+        if q is None or i and at[i - 1][0] == a and at[i - 1][2] is not None:
+            continue
+        held: set = set()
+        for _, b, q in at[i:]:
+            if q is None:
+                break
+            held.add(q)
+            if len(held) / len(t) >= share:
+                out[b] = a  # the last start is the nearest
+                break
+    return [(a, b) for b, a in out.items()]
+
+
 class Classifier:
     """Sparse multinomial logistic regression with a temperature."""
 
@@ -161,15 +203,34 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = 400, paragr
     return Classifier(sorted(r["p"] for r in p.collect()))
 
 
+def find(m: Classifier, lines: list[str], least: float, share: float, wrapped: bool, near: list[int]) -> list[tuple[int, int, tuple[str, int, float]]]:
+    """First and last line and name of each notice, by the templates that are near."""
+    split = [words(x) for x in lines]
+    if not wrapped:
+        return [(k, k, hit) for k, w in enumerate(split) if w and (hit := m.name(lines[k], least, share))]
+    found, free = [], [True] * len(lines)
+    for a, b in sorted({x for k in near for x in runs(split, TEMPLATES[k][2], share)}, key=lambda x: (x[1] - x[0], x)):
+        if all(free[a : b + 1]) and (hit := m.name("\n".join(lines[a : b + 1]), least, share)):
+            t = next(t for f, k, t in TEMPLATES if (f, k) == hit[:2])
+            held = lambda a, b: len(t & pairs([x for w in split[a : b + 1] for x in w]))  # noqa: B023, E731
+            while b + 1 < len(lines) and split[b + 1] and free[b + 1] and held(a, b + 1) > held(a, b):
+                b += 1
+            while a and split[a - 1] and free[a - 1] and held(a - 1, b) > held(a, b):
+                a -= 1
+            free[a : b + 1] = [False] * (b + 1 - a)
+            found.append((a, b, hit))
+    return sorted(found)
+
+
 SCHEMA = "id_ long, n_paragraphs long, found array<struct<start:int,stop:int,family:string,template:int,probability:double>>"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, share: float = 0.6, model: Classifier | None = None) -> DataFrame:
-    """One row per row of docs: id_, n_paragraphs (not blank), found (spans of confirmed paragraphs)."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, share: float = 0.6, model: Classifier | None = None, wrapped: bool = False) -> DataFrame:
+    """One row per row of docs: id_, n_paragraphs (lines that aren't blank), found (spans of confirmed lines or, if `wrapped`, runs of lines)."""
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, some = held.value, anchors(share)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("family", pa.string()), ("template", pa.int32()), ("probability", pa.float64())]))
         for batch in batches:
             counts, found = [], []
@@ -177,12 +238,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 lines = (t or "").split("\n")
                 counts.append(sum(1 for x in lines if x and not x.isspace()))
                 spans, low = [], (t or "").lower()
-                if any(c in low for c in CORE):
-                    at = 0
+                if near := [k for k, ws in enumerate(some) if any(w in low for w in ws)]:
+                    at = [0]
                     for x in lines:
-                        if any(c in x.lower() for c in CORE) and (hit := m.name(x, least, share)):
-                            spans.append({"start": at, "stop": at + len(x), "family": hit[0], "template": hit[1], "probability": hit[2]})
-                        at += len(x) + 1
+                        at.append(at[-1] + len(x) + 1)
+                    for a, b, hit in find(m, lines, least, share, wrapped, near):
+                        spans.append({"start": at[a], "stop": at[b + 1] - 1, "family": hit[0], "template": hit[1], "probability": hit[2]})
                 found.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["id_", "n_paragraphs", "found"])
 
@@ -190,7 +251,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
-    out = scan_licenses(table(spark, sf_dir, "documents"))
+    out = scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
     families = F.array_sort(F.array_distinct(F.transform("found", lambda s: s["family"])))
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["family"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return out.select(F.col("id_").alias("doc_id"), "n_paragraphs", F.size("found").cast("long").alias("n_notices"), F.array_join(families, ",").alias("families"), spans.alias("spans"))

@@ -91,6 +91,19 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs.limit(0), model=model).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    wrapped = {
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met",
+        "mit": "Released under the\nMIT License.",
+    }
+    rows = [(i, f"w1 w2\n{t}\n\nw3 w4") for i, t in enumerate(wrapped.values())] + [(9, "Released under the\n\nMIT License."), (10, "w5 w6\nw7")]
+    docs = spark.createDataFrame([(d, t, 0, 1) for d, t in rows], DOCS)
+    out = {x["id_"]: [(s["family"], s["start"], s["stop"]) for s in x["found"]] for x in licenses.scan_licenses(docs, wrapped=True).collect()}
+    assert out == {i: [(f, 6, 6 + len(t))] for i, (f, t) in enumerate(wrapped.items())} | {9: [], 10: []}
+
+
 def test_notices_hold_a_core_word():
     assert all(any(c in n.lower() for c in licenses.CORE) for ns in licenses.NOTICES.values() for n in ns)
 
