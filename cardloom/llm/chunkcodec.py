@@ -3,7 +3,8 @@
 Neither pre-tokenizer lets a token reach across a single space or line feed that stands between two characters that are not
 white space, so a text's ids are those of its words, one after another. Words repeat, and the model sees each word once per
 task. Texts with any other white space, and words that are more than Latin letters, go through the whole tokenizer.
-Special tokens' strings in a text are ordinary text.
+With `added`, texts that hold the string of one of the file's added tokens go whole through the file's own tokenizer, which
+gives one id for it; else such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ class Words(dict):
 
 
 class ChunkCodec:
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, added: bool = False):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -77,6 +78,8 @@ class ChunkCodec:
         self.tok, self.spaced = tok, spaced
         self.first = Words(tok, "", digits=not spaced)  # word files take every digit alone
         self.rest = Words(tok, " ", self.first)
+        self.own = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()] if added else []
         self.feed = self.first.whole("\n")
 
     def one(self, text: str) -> bytes:
@@ -108,10 +111,13 @@ class ChunkCodec:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         for t in texts:
-            yield self.one(t) if t else b""
+            if t and any(a in t for a in self.added):
+                yield array("I", self.own.encode(t, add_special_tokens=False).ids).tobytes()
+            else:
+                yield self.one(t) if t else b""
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, spaced: bool) -> ChunkCodec:
+def codec(path: str, spaced: bool, added: bool = False) -> ChunkCodec:
     """One codec for each file in a Python worker, so that tasks which run there one after another share its words."""
-    return ChunkCodec(path, spaced)
+    return ChunkCodec(path, spaced, added)

@@ -32,11 +32,11 @@ from .chunkcodec import codec
 CELLS = 4096
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, end_id: int, with_ids: bool) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: int, end_id: int, with_ids: bool, added: bool = False) -> DataFrame:
     """A row per piece: id_, key_, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = codec(tokenizer, True), np.array([end_id], "<u4").tobytes()
+        ids_of, end = codec(tokenizer, True, added), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for i, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of.encode(batch.column(2).to_pylist()), strict=True):
@@ -126,9 +126,9 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {"key": (a[:, 0] << 48) + a[:, 1], "rank": a[:, 1], "seq": a[:, 2], "offset": a[:, 3]}
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id_, key_, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    p = keep(pieces_of(docs, tokenizer, id_col, text_col, size, end_id, with_ids), "pieces")
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """One row per piece: id_, key_, piece, start, length, ids_crc32, (ids,) sequence_id, offset. `added` as in chunkcodec."""
+    p = keep(pieces_of(docs, tokenizer, id_col, text_col, size, end_id, with_ids, added), "pieces")
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     per_cell = max(64, sum(counts.values()) // CELLS)
     cells = np.ones(size + 1, np.int64)
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
 
 def op5_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    out = pack(table(spark, sf_dir, "documents"), tokenizer or public("byte_bpe_50k.json"))
+    out = pack(table(spark, sf_dir, "documents"), tokenizer or public("byte_bpe_50k.json"), added=True)
     return out.select(F.col("id_").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

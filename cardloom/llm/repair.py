@@ -89,9 +89,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return x
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocab: int = 49_408, block_tokens: int = 1_000_000) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, vocab: int = 49_408, block_tokens: int = 1_000_000, added: bool = False) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, shard = codec(tokenizer, False), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        ids_of, end, shard = codec(tokenizer, False, added), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ids: list[int] = []
         keys: list[int] = []
         parts: list[bytes] = []
@@ -169,5 +169,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 def op10_repair_ids(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = new_path(spark, "ids")
-    write_ids(table(spark, sf_dir, "documents"), path, tokenizer or public("word_bpe_49k.json"))
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer or public("word_bpe_49k.json"), added=True)
     return read_ids(spark, path).select(F.col("id_").alias("doc_id"), "start", "n_tokens", "ids_crc32")

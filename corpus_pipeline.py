@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return fitpack.pack(docs, fitpack.public("byte_bpe_50k.json")).drop("key_").withColumnRenamed("id_", "doc_id")
+    return fitpack.pack(docs, fitpack.public("byte_bpe_50k.json"), added=True).drop("key_").withColumnRenamed("id_", "doc_id")
 
 
 STAGES = [

@@ -44,6 +44,18 @@ def test_pieces_on_random_texts(texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in codec(fitpack.public(name), spaced).encode(texts)] == raw(name, texts)
 
 
+def test_queries_give_the_untouched_librarys_ids(spark, tmp_path):
+    texts = ["plain words", "a <|endoftext|> b", "x<|endoftext|>\ny", "<|startoftext|>É <|ENDOFTEXT|>", None, "", *ODD[10:13]]
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        lib = Tokenizer.from_file(fitpack.public(name))
+        got = [np.frombuffer(b, "<u4").tolist() for b in codec(fitpack.public(name), spaced, True).encode(texts)]
+        assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda name, end: {i: zlib.crc32(np.array([*Tokenizer.from_file(fitpack.public(name)).encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in fitpack.op5_packing(spark, str(tmp_path)).collect()} == crc("byte_bpe_50k.json", 0)
+    assert {r["doc_id"]: r["ids_crc32"] for r in repair.op10_repair_ids(spark, str(tmp_path)).collect()} == crc("word_bpe_49k.json", 1)
+
+
 def frame(spark, texts):
     rows = [(i if i != 3 else None, t, "x", 1) for i, t in enumerate(texts)]
     rows += [rows[8], (8, "other text of the same id", "x", 1)]
