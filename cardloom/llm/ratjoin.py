@@ -6,14 +6,18 @@ coordinate minima, and so does a point and a tree node that keeps the greatest c
 and counts; queries go down the nodes that the bound leaves open, and the pairs that reach the leaves are compared in full.
 
 One tree over a large corpus would not do: with hashed groups, counts of equally long texts differ by little, and every
-query would visit every leaf (see README). So trees are built over documents that share a shingle among the first of their
-set, in one order of all shingles: linked sets always share one there (at least percent of the larger set is common, so the
-first n - ceil(percent n / 100) + 1 shingles of both cannot be disjoint). The order puts shingles last that a bounded sample
-has seen often; any order is exact, this one keeps common passages from drawing documents together.
+query would visit every leaf (see README). So trees are built over documents that agree in a whole group of a finer hashing:
+linked sets of a and b shingles differ in D = (100 - percent) (a + b) / (100 + percent) shingles at most, and each of these
+spoils one group. Sets are thus hashed into more than D groups, their number fixed by a band of sizes (a set also takes part
+in the next bands that it may link with), and a group's key is a hash of the shingles in it. Of its non-empty groups, by
+index, a set offers the first D + 1 + spare; linked sets then share at least spare + 1 keys, so each may put aside the `spare`
+keys that are most frequent in the corpus, by exact counts. A passage that many documents share therefore draws them
+together only where nearly all of a text is that passage. A set with too few non-empty groups offers keys of other hashings
+too, and, if these are all alike, meets the others of its kind in one group.
 
 1. Documents with equal sets are one node from here on, so exact copies make no pairs.
-2. Groups are parted by size: linked sets differ in size by the factor 100 / percent at most, so each node goes to the cell of
-   its own band of sizes and to that of the next. In each cell the least node is a hub; each member is bounded and then compared with its hub. Linked components follow.
+2. Keys are counted, and of each set the rarest D + 1 stay. Keys that only one set holds vanish, and of keys with the same
+   members one is left. Each node is bounded and compared with the hub (least node) it shares most keys with. Linked components follow.
 3. What a group still holds in different components is compared: members outside its largest component are looked up in
    trees over all members, first with the closest only, at last with all. Groups are cut into blocks of bounded size, so one that a third of all nodes belong to is spread over tasks.
 Every link between different sets is thus found or lies inside a component that other links have already joined.
@@ -30,16 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import ascii_lower, keep, same, table, text_key
 
 GROUPS = 64
-#: Rows of one side of a cell, shingles that the order's sample may name, and the count from which a point says "so many or more".
-CELL, NAMED, FULL = 512, 500_000, 65_535
+#: Rows of one side of a cell, and the count from which a point says "so many or more".
+CELL, FULL = 512, 65_535
 #: Nodes up to which a list of ids may be broadcast.
-SMALL = 1_000_000
+SMALL = 200_000
+#: A band of sizes ends where the next size is more than RISE times its first; hashings tried for sets with empty groups.
+RISE, HASHINGS = 1.5, 3
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -84,50 +90,115 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.sum(1, dtype=np.int64)
 
 
-def features(words: DataFrame, width: int, percent: int, named: np.ndarray, seen: np.ndarray) -> DataFrame:
+def edges_upto(n: int) -> np.ndarray:
+    """Least sizes of the bands, until past n."""
+    e = [1, 2]
+    while e[-1] <= n:
+        e.append(max(e[-1] + 1, int(e[-1] * RISE)))
+    return np.array(e, np.int64)
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many shingles linked sets of a and b shingles may differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+class Lists:
+    """Keys offered by the sets of a batch: of each list its set, how many keys of it must stay, and the keys."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        edges = edges_upto(200 * int(self.n.max(initial=1)) // percent + 2)
+        own = np.searchsorted(edges, self.n, "right") - 1
+        with np.errstate(over="ignore"):
+            for up in range(len(edges) - 1):
+                c = np.minimum(own + up, len(edges) - 2)
+                take = (self.n > 0) & ((100 * self.n >= percent * edges[c]) if up else True) & (own + up < len(edges) - 1)
+                if not take.any():
+                    break
+                top = edges[c + 1] - 1
+                apart = most_apart(self.n, np.minimum(100 * self.n // percent, top), percent)
+                take &= apart > 0  # sets that may not differ are equal, and equal sets are one node
+                most = most_apart(top, top, percent) + 1
+                spare = -(-most // 5)
+                groups = most + spare + 1 + (most + spare) // 16
+                self.offer(take, c, apart, spare, groups)
+
+    def offer(self, take: np.ndarray, band: np.ndarray, apart: np.ndarray, spare: np.ndarray, groups: np.ndarray) -> None:
+        for hashing in range(HASHINGS):
+            d = np.flatnonzero(take)
+            if not len(d):
+                return
+            n, k = self.n[d], groups[d]
+            x = self.all[np.repeat(take, self.n)]
+            mix = (x ^ (x >> np.uint64(31))) * ODD[hashing]
+            mix ^= mix >> np.uint64(29)
+            first = np.cumsum(k) - k
+            slot = (mix % np.repeat(k, n).astype(np.uint64)).astype(np.int64) + np.repeat(first, n)
+            sums = np.zeros(int(k.sum()), np.uint64)
+            np.add.at(sums, slot, mix * ODD[3])
+            full = np.flatnonzero(np.bincount(slot, minlength=len(sums)))
+            owner = np.repeat(np.arange(len(d)), k)[full]
+            have = np.bincount(owner, minlength=len(d))
+            rank = np.arange(len(full)) - np.repeat(np.cumsum(have) - have, have)
+            need = apart[d] + 1 + spare[d]
+            used = rank < need[owner]
+            full, owner = full[used], owner[used]
+            keys = mixed([sums[full], (full - first[owner]).astype(np.uint64), (band[d][owner] * HASHINGS + hashing).astype(np.uint64)])
+            offered = np.minimum(have, need)
+            self.parts.append((d, np.maximum(offered - spare[d], 0), offered, keys))
+            take = take & False
+            take[d[have < need]] = True
+        d = np.flatnonzero(take)
+        if len(d):
+            self.parts.append((d, np.ones(len(d), np.int64), np.ones(len(d), np.int64), mixed([band[d].astype(np.uint64), np.full(len(d), 7, np.uint64)])))
+
+    def arrow(self) -> pa.Array:
+        """array<struct<keep, keys>> of each set."""
+        d, keep_, size, keys = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(4))
+        order = np.argsort(d, kind="stable")
+        starts = (np.cumsum(size) - size)[order]
+        size = size[order]
+        ends = np.cumsum(size)
+        keys = keys[np.repeat(starts - (ends - size), size) + np.arange(int(size.sum()))].view(np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys))
+        outer = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=len(self.n)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer), pa.StructArray.from_arrays([pa.array(keep_[order].astype(np.int32)), inner], names=["keep", "keys"]))
+
+
+def features(words: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(2), width))
-            firsts = []
-            for s in sets:
-                take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                if len(named):
-                    j = np.minimum(np.searchsorted(named, s), len(named) - 1)
-                    s = s[np.lexsort((s, np.where(named[j] == s, seen[j], 0)))]
-                firsts.append(s[:take].view(np.int64))
-            offsets = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            first = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([p.tobytes() for p in points_of(sets)], pa.binary()), first,
-                ],
-                names=["id_", "key_", "n", "set_", "point", "first"],
-            )
-
-    return words.mapInArrow(run, "id_ long, key_ long, n long, set_ binary, point binary, first array<long>")
-
-
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a random sample of about `sample` rows holds in more than one row, sorted, and in how many. Only for the order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(2), width))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.view(np.int64) for s in sets]) if sets else np.zeros(0, np.int64))], names=["s"])
-
-    some = docs.sample(min(1.0, sample / max(1, docs.count())), seed=1)
-    found = keep(word_hashes(some, id_col, text_col).mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    left, least = NAMED, None
-    for r in found.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # at most a row per row of the sample
-        if r["k"] > left:
-            break
-        left, least = left - r["k"], r["n"]
-    named = found.where(F.col("n") >= F.lit(least)).orderBy("s").toPandas()  # at most NAMED rows
-    s, n = named["s"].to_numpy(np.int64).view(np.uint64), named["n"].to_numpy(np.int64)
-    order = np.argsort(s)
-    return s[order], n[order]
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                batch = whole.slice(lo, 1000)
+                sets = list(shingle_sets(batch.column(2), width))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([p.tobytes() for p in points_of(sets)], pa.binary()), Lists(sets, percent).arrow(),
+                    ],
+                    names=["id_", "key_", "n", "set_", "point", "lists"],
+                )
+
+    return words.mapInArrow(run, "id_ long, key_ long, n long, set_ binary, point binary, lists array<struct<keep:int,keys:array<long>>>")
+
+
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """key, row_, hub (its least member), members: the groups of two nodes or more, one of those with the same members."""
+    lists = reps.select("row_", F.posexplode("lists").alias("list", "l_")).select("row_", "list", "l_.keep", F.size("l_.keys").alias("size"), "l_.keys")
+    offers = lists.select("row_", "list", "keep", "size", F.explode("keys").alias("key"))
+    often = offers.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    both = offers.join(often, "key")
+    of_list = Window.partitionBy("row_", "list")
+    ranked = both.withColumn("place", F.row_number().over(of_list.orderBy("often", "key"))).withColumn("alone", F.col("size") - F.count("*").over(of_list))
+    kept = keep(ranked.where(F.col("place") + F.col("alone") <= F.col("keep")).select("key", "row_"), "keys")
+    hashed = F.xxhash64("row_")
+    per = kept.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub"), F.bit_xor(hashed).alias("h1"), F.sum(F.shiftrightunsigned(hashed, 20)).alias("h2")).where("members > 1")
+    one = per.groupBy("members", "hub", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("alike"))
+    return keep(kept.join(one.select("key", "members", "hub", "alike"), "key"), "groups")
 
 
 def possible(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -211,9 +282,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row_ and s (its shingles) of the nodes that the pairs name, from their texts; a node may come more than once, once from a task."""
-    need = pairs.select(F.col("a").alias("row_")).unionByName(pairs.select(F.col("b").alias("row_"))).distinct()
+def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, need: DataFrame) -> DataFrame:
+    """row_ and s (its shingles) of the needed nodes, from their texts; a node may come more than once, once from a task."""
     wanted = keep(rows.join(need, "row_", "left_semi").select("row_", F.col("id_").alias("w_id_"), F.col("key_").alias("w_key_")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     d = docs.select(F.col(id_col).cast("long").alias("d_id_"), F.col(text_col).cast("string").alias("d_text_"), text_key(F.col(text_col)).alias("d_key_"))
@@ -261,20 +331,20 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
     parts, blocks = F.ceil(F.col("all_") / CELL).cast("int"), F.ceil(F.col("out_") / CELL).cast("int")
     own = lambda k, seed: F.pmod(F.xxhash64(F.lit(seed), "row_"), k).cast("int")
     upto = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    cols = ["key", "row_", "comp", "n", "point", "hub", "big"]
+    cols = ["key", "row_", "comp", "n", "point", "big"]
     queries = m.where("comp != big").withColumn("qb", own(blocks, 1)).withColumn("tb", upto(parts)).select(*cols, "qb", "tb", F.lit(1).alias("asks"))
     targets = m.withColumn("tb", own(parts, 2)).withColumn("qb", upto(blocks)).select(*cols, "qb", "tb", F.lit(0).alias("asks"))
     dealt = queries.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb", "asks")
 
     def solve(cell: pa.Table) -> pa.RecordBatch | None:
-        row, comp, n, hub, big, asks = (cell.column(c).to_numpy() for c in ("row_", "comp", "n", "hub", "big", "asks"))
+        row, comp, n, big, asks = (cell.column(c).to_numpy() for c in ("row_", "comp", "n", "big", "asks"))
         point = blobs(cell.column("point"), GROUPS)
         q, t = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
         if not len(q) or not len(t):
             return None
         i, j, bound = CountTree(point[t], n[t]).pairs(point[q], n[q], percent)
         i, j = q[i], t[j]
-        ok = (comp[i] != comp[j]) & (row[i] != hub[i]) & (row[j] != hub[j])
+        ok = comp[i] != comp[j]
         ok &= (comp[j] == big[j]) | (row[i] < row[j])  # of two that both ask, one way is enough
         i, j, bound = i[ok], j[ok], bound[ok]
         if closest and len(i):
@@ -308,29 +378,24 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: int = 20_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id, and component_, which tells components apart whose ids are all null (null for empty sets)."""
-    named, seen = common_shingles(docs, id_col, text_col, width, sample)
-    rows = keep(features(word_hashes(docs, id_col, text_col), width, percent, named, seen).withColumn("row_", F.monotonically_increasing_id()), "points")
+    rows = keep(features(word_hashes(docs, id_col, text_col), width, percent).withColumn("row_", F.monotonically_increasing_id()), "points")
     classes = keep(rows.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
-    reps = rows.join(classes.select(F.col("node").alias("row_")), "row_", "left_semi")
-    nodes = reps.select("row_", "n", "point")
-    firsts = reps.select("row_", F.explode("first").alias("key"))
-    groups = firsts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = keep(firsts.join(groups.select("key"), "key").join(reps.select("row_", "n"), "row_"), "shared")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) - 1e-9).cast("int")
-    banded = shared.select("row_", F.explode(F.array(band, band + 1)).alias("band"), "key").select("row_", F.xxhash64("key", "band").alias("key"))
-    cells = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub")).where("members > 1")
-    held = keep(banded.join(cells, "key").select("key", "row_", "hub", "members"), "groups")
-    nodes = keep(nodes.join(held.select("row_").distinct(), "row_", "left_semi"), "nodes")
+    held = shared_keys(rows.select("row_", "lists").join(classes.select(F.col("node").alias("row_")), "row_", "left_semi"))
+    near = keep(held.select("row_").distinct(), "near")
+    nodes = keep(rows.select("row_", "n", "point").join(near, "row_", "left_semi"), "nodes")
+    sets = sets_of(docs, id_col, text_col, width, rows, near)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return keep(verified(pairs, sets_of(docs, id_col, text_col, width, rows, pairs), percent), "links")
-
-    labels = components(linked(keep(bounded(held.where("row_ != hub").select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct(), nodes, percent), "open")))
-    several = held.where("members > 2").select("key", "row_", "hub")
-    for closest in (True, True, False):
-        more = linked(keep(crossing(several, labels, nodes, percent, closest), "open"))
+        return keep(verified(pairs, sets, percent), "links")
+
+    most = held.where("row_ != hub").groupBy("row_", "hub").agg(F.sum("alike").alias("c")).groupBy("row_").agg(F.max(F.struct("c", -F.col("hub"))).alias("m"))
+    first = most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b"))
+    labels = components(linked(keep(bounded(first, nodes, percent), "open")))
+    members = held.select("key", "row_")
+    for closest in (True, False):
+        more = linked(keep(crossing(members, labels, nodes, percent, closest), "open"))
         stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
         labels = components(stars.unionByName(more))
     named_ = classes.join(labels.withColumnRenamed("row_", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))

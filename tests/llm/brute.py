@@ -15,8 +15,8 @@ def shingles(text, width):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1)))
 
 
-def components(rows, width, percent):
-    """(doc_id, text) rows to (doc_id, size, component)."""
+def roots(rows, width, percent):
+    """The sets of (doc_id, text) rows, and for each row the number of a row that stands for its component."""
     sets = [shingles(t, width) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -30,10 +30,16 @@ def components(rows, width, percent):
         a, b = sets[i], sets[j]
         if a and b and 100 * len(a & b) >= percent * len(a | b):
             up[top(i)] = top(j)
+    return sets, [top(i) for i in range(len(rows))]
+
+
+def components(rows, width, percent):
+    """(doc_id, text) rows to (doc_id, size, component)."""
+    sets, top = roots(rows, width, percent)
     ids = defaultdict(list)
     for i, (d, _) in enumerate(rows):
-        ids[top(i)].append(d)
-    return sorted(((d, len(sets[i]), min((x for x in ids[top(i)] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+        ids[top[i]].append(d)
+    return sorted(((d, len(sets[i]), min((x for x in ids[top[i]] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def base_spans(text):
