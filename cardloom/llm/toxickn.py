@@ -1,17 +1,20 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary texts. A class's lowest level counts how many different words it saw a
-word follow, discounts that, and gives the mass freed to a level that both classes share; its bigrams back off to that in
-the same way, and expressions too rare to survive the discount are left to the backoff. The larger class is scaled to the
-size of the smaller, so rare words weigh the same in both. A text's evidence is the difference of its two length-normalised
-log-likelihoods: over all words, and, as toxic expressions are short, over its highest word, run of three words and three
-highest words. A logistic curve over these and the length, fitted on labelled texts that gave no counts, makes it a
-probability.
+Two models, one of toxic and one of ordinary texts, of the same three parts. A bigram keeps its discounted share of what its
+class saw after a word; what is left goes to the class's words, counted by how many different words each follows; what their
+discount leaves goes to a spelling of the word, letter by letter, from the letters before it. Spelling backs off from
+`LETTERS` letters to fewer, by continuation counts again, and its lowest orders are counts that both classes share. So an
+expression that a class has often is told from one it never has, a rare or unseen word is judged by the stem it shares with
+others, and what neither class has seen costs both the same. Discounts are n1 / (n1 + 2 n2) of each class and order.
+
+A text's evidence is the difference of its two length-normalised log-likelihoods: over all words, and, as toxic expressions
+are short, over its highest word, run of three words and three highest words. A logistic curve over these and the length,
+fitted on labelled texts that gave no counts, makes it a probability.
 
 The classifier is fitted on a bounded sample: of each class at most `per_class` labelled documents, those with the least
-hash of their id; two thirds give counts, one third the curve. Counting runs in Spark; the model is the table of words and
-bigrams of that sample that occur twice or more, so its size is bounded by the sample. Scoring is one pass over the
-documents without a shuffle.
+hash of their id; two thirds give counts, one third the curve. Counting runs in Spark; the model is the table of words,
+bigrams and letter runs of that sample that occur twice or more, so its size is bounded by the sample. Scoring is one pass
+over the documents without a shuffle.
 
 Null or wordless text has no evidence and gets the curve's value at zero; without labels of both classes every score is the
 share of toxic labels (0 if there are none). A document labelled more than once is toxic if any label says so; null labels
@@ -30,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import keep, table
 
 WORD = re.compile(r"\w+")
-#: Taken off what a class has counted: of the words that a word follows, and of the texts that hold a pair.
-DISCOUNT, PAIR_DISCOUNT = 1.0, 6.0
+#: Letters of the longest run that spelling counts, and up to which orders both classes share their counts.
+LETTERS, SHARED = 5, 2
+FIRST, LAST = "\x02", "\x03"
 #: Numbers that describe a text.
 FEATURES = 5
+#: Spelled words that a worker remembers; only for speed.
+REMEMBERED = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -54,38 +60,116 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["y", "h", "w", "n"])
 
 
+def letters(text: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def codes(runs: list[str], order: int) -> np.ndarray:
+    """A code for each run of `order` letters."""
+    m = letters(runs).reshape(len(runs), order)
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(runs), np.uint64)
+        for j in range(order):
+            out = out * STEP + m[:, j]
+    return out
+
+
+class Level:
+    """One order of spelling: each run's discounted share in both classes, and the mass that a run of one letter less leaves."""
+
+    def __init__(self, runs: list[str], counts: np.ndarray, before: list[str], totals: np.ndarray, discounts: np.ndarray, order: int):
+        code, place = codes(runs, order), codes(before, order - 1)
+        at = np.argsort(place)
+        self.place, total = place[at], totals[at]
+        up = np.argsort(code)
+        self.code = code[up]
+        under = np.searchsorted(self.place, codes([r[:-1] for r in runs], order - 1))
+        part = np.maximum(counts - discounts, 0) / np.maximum(total[under], 1e-9)
+        self.part = part[up]
+        self.left = np.stack([1 - np.bincount(under, part[:, y], len(place)) for y in (0, 1)], 1)
+        self.left[total <= 0] = 1.0
+
+    @staticmethod
+    def find(table: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        j = np.minimum(np.searchsorted(table, code), len(table) - 1)
+        return j, table[j] == code
+
+
+class Spelling:
+    """Log-likelihoods of words, letter by letter."""
+
+    def __init__(self, levels: list[Level], alphabet: int):
+        self.levels, self.alphabet = levels, alphabet
+
+    def logs(self, some: list[str]) -> np.ndarray:
+        """A row per word: ordinary, toxic."""
+        if not some:
+            return np.zeros((0, 2))
+        u = letters([FIRST + w + LAST for w in some])
+        size = np.array([len(w) + 2 for w in some])
+        start = np.repeat(np.cumsum(size) - size, size)
+        i = np.arange(len(u))
+        p = np.full((len(u), 2), 1.0 / self.alphabet)
+        run, before = np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64)
+        power = np.uint64(1)
+        with np.errstate(over="ignore"):
+            for k, level in enumerate(self.levels, 1):
+                # run: code of the k letters that end here; before: of the k - 1 that end one earlier
+                whole = i - k + 1 >= start
+                run = run + np.where(whole, u[np.maximum(i - k + 1, 0)], 0).astype(np.uint64) * power
+                if k > 1:
+                    before = np.where(i > 0, last[i - 1], 0).astype(np.uint64)
+                last, power = run, power * STEP
+                at, known = level.find(level.place, before)
+                go = np.flatnonzero(known & whole & (i > start))
+                if len(level.code):
+                    j, there = level.find(level.code, run[go])
+                    p[go] = np.where(there[:, None], level.part[j], 0.0) + level.left[at[go]] * p[go]
+        logs = np.log(np.maximum(p, 1e-300))
+        logs[i == start] = 0
+        return np.add.reduceat(logs, np.cumsum(size) - size)
+
+
 class Model:
     """Log-likelihood ratios: of words, of the mass each history leaves, and of the bigrams that are kept."""
 
-    def __init__(self, unigrams, bigrams, followed: list[int]):
-        """unigrams: w, f0, f1 (words each class saw it follow), n0, n1, cont; bigrams: h, w, n0, n1; followed: sums of f0, f1, cont."""
-        self.at = {w: i + 1 for i, w in enumerate(unigrams["w"])}
+    def __init__(self, unigrams, bigrams, followed: np.ndarray, discounts: np.ndarray, spelling: Spelling):
+        """unigrams: w, f0, f1 (words each class saw it follow), n0, n1; bigrams: h, w, n0, n1; followed: sums of f0, f1; discounts: of words and of pairs, for both classes."""
+        self.spelling, self.remembered = spelling, {}
+        names = list(unigrams["w"])
+        self.at = {w: i + 1 for i, w in enumerate(names)}
         size = len(self.at) + 1
-        of = lambda name: np.concatenate([[0.0], unigrams[name].to_numpy(float)])
-        even = [min(1.0, followed[1] / max(followed[0], 1)), min(1.0, followed[0] / max(followed[1], 1))]  # the larger class weighs no more
-        shared = np.maximum(of("cont") - DISCOUNT, 0) / max(followed[2], 1)
-        shared += (1 - shared.sum()) / size
-        p = []
-        for y in (0, 1):
-            own = np.maximum(even[y] * of(f"f{y}") - DISCOUNT, 0) / max(even[y] * followed[y], 1)
-            p.append(own + (1 - own.sum()) * shared)
-        self.word = np.log(p[1]) - np.log(p[0])
+        f = unigrams[["f0", "f1"]].to_numpy(float)
+        own = np.maximum(f - discounts[0], 0) / np.maximum(followed, 1)
+        self.rest = 1 - own.sum(0)  # what the words leave to spelling
+        p = np.concatenate([[[1.0, 1.0]], own + self.rest * np.exp(spelling.logs(names))])
+        self.word = np.log(p[:, 1]) - np.log(p[:, 0])
         h = np.array([self.at.get(x, 0) for x in bigrams["h"]], np.int64)
         w = np.array([self.at.get(x, 0) for x in bigrams["w"]], np.int64)
         known = (h > 0) & (w > 0)
         h, w = h[known], w[known]
-        own, mass = [], []
-        for y in (0, 1):
-            n, total = even[y] * bigrams[f"n{y}"].to_numpy(float)[known], even[y] * of(f"n{y}")
-            part = np.maximum(n - PAIR_DISCOUNT, 0) / np.maximum(np.maximum(total[h], n), 1)
-            own.append(part)
-            mass.append(np.maximum(1 - np.bincount(h, part, size), 1e-6))
-        self.left = np.log(mass[1]) - np.log(mass[0])
-        kept = np.log(own[1] + mass[1][h] * p[1][w]) - np.log(own[0] + mass[0][h] * p[0][w]) - self.left[h] - self.word[w]
+        n = np.concatenate([[[0.0, 0.0]], unigrams[["n0", "n1"]].to_numpy(float)])
+        part = np.maximum(bigrams[["n0", "n1"]].to_numpy(float)[known] - discounts[1], 0) / np.maximum(n[h], 1)
+        mass = np.maximum(1 - np.stack([np.bincount(h, part[:, y], size) for y in (0, 1)], 1), 1e-6)
+        self.left = np.log(mass[:, 1]) - np.log(mass[:, 0])
+        both = np.log(part + mass[h] * p[w])
+        kept = both[:, 1] - both[:, 0] - self.left[h] - self.word[w]
         order = np.argsort(h * size + w)
         self.code, self.kept, self.size = (h * size + w)[order], kept[order], size
         self.curve, self.middle = np.zeros(1 + FEATURES), np.zeros(FEATURES)
 
+    def unknown(self, some: list[str]) -> None:
+        """Spell the words that are not remembered."""
+        if len(self.remembered) > REMEMBERED:
+            self.remembered.clear()
+        new = list({w for w in some if w not in self.remembered})
+        with np.errstate(divide="ignore"):
+            logs = self.spelling.logs(new) + np.log(np.maximum(self.rest, 1e-12))
+        self.remembered.update(zip(new, (logs[:, 1] - logs[:, 0]).tolist(), strict=True))
+
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """For each text: the ratio per word, over the word and the run of three words where it is highest, over the three highest words, and the log of the length."""
         at, out = self.at, np.zeros((len(texts), FEATURES))
@@ -99,7 +183,12 @@ class Model:
             starts = (np.cumsum(n) - n)[full]
             h = np.concatenate([[0], ids[:-1]])
             h[starts] = 0
+            strange = np.flatnonzero(ids == 0)
+            flat = [x for w in some for x in w]
+            odd = [flat[i] for i in strange]
+            self.unknown(odd)
             s = self.word[ids] + self.left[h]
+            s[strange] += np.array([self.remembered[x] for x in odd])
             if len(self.code):
                 code = h * self.size + ids
                 j = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
@@ -134,6 +223,54 @@ class Model:
         self.curve = np.concatenate([b[:1], b[1:] / scale])
 
 
+def discount(ones: float, twos: float) -> float:
+    """The usual estimate from how many things were seen once and twice; a half where that says nothing."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def seen(*names: str) -> list[Column]:
+    return [F.count_if(F.col(n) == k).alias(f"{n}_{k}") for n in names for k in (1, 2)]
+
+
+def discounts_of(row, *names: str) -> np.ndarray:
+    return np.array([discount(row[f"{n}_1"], row[f"{n}_2"]) for n in names])
+
+
+def spelling_of(words_: DataFrame) -> Spelling:
+    """From w, n0, n1: counts of all runs of up to LETTERS letters, of which those seen twice come to the driver."""
+    t = F.concat(F.lit(FIRST), "w", F.lit(LAST))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k)))
+    runs = F.flatten(F.array(*(F.when(F.length(t) >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, LETTERS + 1))))
+    raw = keep(words_.select(F.explode(runs).alias("g"), "n0", "n1").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "runs")
+    held = (F.length("g") == LETTERS) | (F.substring("g", 1, 1) == FIRST)
+    longer = raw.where(F.length("g") > 1).groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
+    some = raw.where(held).unionByName(longer.where(~held)).where(F.col("g") != FIRST)
+    pooled = F.length("g") <= SHARED
+    some = keep(some.select("g", *(F.when(pooled, F.col("n0") + F.col("n1")).otherwise(F.col(n)).alias(n) for n in ("n0", "n1"))), "letters")
+    size = F.length("g").alias("k")
+    cut = {r["k"]: discounts_of(r, "n0", "n1") for r in some.groupBy(size).agg(*seen("n0", "n1")).collect()}  # LETTERS rows
+    before = some.groupBy(F.expr("left(g, length(g) - 1)").alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 2").toPandas()
+    kept = some.where("n0 + n1 >= 2").toPandas()  # both are bounded by the sample's words
+    alphabet = some.where(F.length("g") == 1).count() + 1
+    levels = []
+    by, of = dict(list(before.groupby(before["g"].str.len()))), dict(list(kept.groupby(kept["g"].str.len())))
+    for k in range(1, LETTERS + 1):
+        if k not in of or k - 1 not in by:
+            break
+        levels.append(Level(list(of[k]["g"]), of[k][["n0", "n1"]].to_numpy(float), list(by[k - 1]["g"]), by[k - 1][["n0", "n1"]].to_numpy(float), cut[k], k))
+    return Spelling(levels, alphabet)
+
+
+def counted(both: DataFrame) -> Model:
+    """The model of a table h, w, n0, n1: in how many texts of each class w follows h."""
+    words_ = keep(both.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1")), "words")
+    t = words_.agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"), *seen("f0", "f1")).first()
+    pair = discounts_of(both.agg(*seen("n0", "n1")).first(), "n0", "n1")
+    uni = words_.where("n0 + n1 >= 2").orderBy("w").toPandas()
+    bi = both.where("greatest(n0, n1) >= 2").orderBy("h", "w").toPandas()
+    return Model(uni, bi, np.array([t["f0"] or 0, t["f1"] or 0], float), np.stack([discounts_of(t, "f0", "f1"), pair]), spelling_of(words_))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> Model | float:
     """The model, or a constant score where the labels don't hold both classes."""
     lab = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("l_id_")).agg(F.max(label_col).cast("int").alias("y"))
@@ -148,15 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     fold = F.pmod(F.xxhash64(F.lit("fold"), "l_id_"), F.lit(3))
     texts = docs.select(F.col(id_col).alias("d_id_"), F.col(text_col).alias("t_")).join(F.broadcast(small), F.col("d_id_") == F.col("l_id_"))
     pairs = texts.where(fold > 0).select("y", "t_").mapInArrow(_pairs, "y int, h string, w string, n long")
-    both = pairs.groupBy("h", "w").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))).cache()
-    try:
-        sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1"), F.count("*").alias("cont")]
-        uni = both.groupBy("w").agg(*sums).where("n0 + n1 >= 2").orderBy("w").toPandas()
-        bi = both.where("greatest(n0, n1) >= 2").orderBy("h", "w").toPandas()
-        t = both.agg(*sums).first()
-    finally:
-        both.unpersist()
-    model = Model(uni, bi, [t["f0"], t["f1"], t["cont"]])
+    model = counted(keep(pairs.groupBy("h", "w").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1))), "pairs"))
     spread = evidence(texts.where(fold == 0).select("y", "t_"), model, "t_").select("y", "__evidence").orderBy("y", "__evidence").toPandas()
     if spread["y"].nunique() < 2:
         return share

@@ -1,12 +1,17 @@
 """Trained operators: held-out accuracy and the properties that any fit must keep."""
 
 import random
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
 from cardloom.llm import licenses, pseudolm, toxickn
 
 DOCS = "doc_id long, text string, score_ int, y int"
@@ -52,13 +57,25 @@ def test_toxicity_without_labels(spark, labelled):
     assert toxickn.score_toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_ratio_is_that_of_the_two_models():
-    import pandas as pd
-
-    uni = pd.DataFrame({"w": ["a", "b"], "n0": [50, 5], "n1": [5, 50], "f0": [20, 3], "f1": [3, 20], "cont": [23, 23]})
-    m = toxickn.Model(uni, pd.DataFrame({"h": [], "w": [], "n0": [], "n1": []}), [23, 23, 46])
-    x = m.evidence(["b b b", "a a a", "", None, "zz"])
-    assert x[0, 0] > 0 > x[1, 0] and (x[2] == 0).all() and (x[3] == 0).all() and abs(x[4, 0]) < 1
+def test_evidence_is_that_of_plain_kneser_ney(spark):
+    r = random.Random(8)
+    stems = ["ko", "lumi", "tra", "venda"]
+    word = lambda y: r.choice(stems) + r.choice(["n", "ra", "sti"]) if r.random() < 0.8 else ("vile" if y else "fair") + r.choice("abcdef")
+    texts = [(i % 3 == 0, " ".join(word(i % 3 == 0) for _ in range(r.randint(1, 12)))) for i in range(60)]
+    pairs: dict = {}
+    for y, t in texts:
+        w = t.split()
+        for k in {*zip(["", *w], w, strict=False)}:
+            pairs.setdefault(k, [0, 0])[y] += 1
+    model = toxickn.counted(spark.createDataFrame([(h, w, *n) for (h, w), n in pairs.items()], "h string, w string, n0 long, n1 long"))
+    ratio = brute.toxic_ratio(pairs)
+    for t in [t for _, t in texts[:20]] + ["vilex", "fairq lumira", "zzz", "vilea vileb", "kon trara é"]:
+        w = t.split()
+        want = [ratio(h, x) for h, x in zip(["", *w], w, strict=False)]
+        x = model.evidence([t, None, ""])
+        assert x[0, 0] == pytest.approx(np.mean(want)) and x[0, 1] == pytest.approx(max(want)) and x[0, 4] == pytest.approx(np.log(len(w)))
+        assert not x[1:].any()
+    assert ratio("", "vilex") > 1 > -1 > ratio("", "fairq")
 
 
 def brute_licenses(model, text, least=0.5, share=0.6):
