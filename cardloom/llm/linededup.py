@@ -2,9 +2,10 @@
 
 A text is split at line feeds. Every three consecutive lines, not all of them empty, form a window. Among equal windows of
 the whole corpus the one that stands first, by (document id, line), stays; every later one is removed, and what is removed
-from a text is the union of the positions its later windows cover. Texts of fewer than three lines have no window.
+from a text is the union of the positions its later windows cover. A text of fewer than three lines is one window of its
+own, equal only to texts of the same lines.
 
-Windows are compared by a 64-bit and an independent 32-bit hash of their three lines. Counting them is a hash aggregate
+Windows are compared by a 64-bit and an independent 32-bit hash of their lines. Counting them is a hash aggregate
 with map-side combining, so a window that a third of all rows share costs one row per task; only repeated windows meet
 the documents' windows again, in an equi-join whose skewed keys AQE splits.
 
@@ -21,11 +22,14 @@ from .base import table, text_key
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per window: w1, w2 (hashes), id_, key_, pos."""
+    """A row per window: w1, w2 (hashes), id_, key_, pos, span (its lines)."""
     lines = docs.select(F.col(id_col).alias("id_"), text_key(F.col(text_col)).alias("key_"), F.split(F.col(text_col), "\n", -1).alias("l_"))
-    at = lines.where(F.size("l_") >= 3).select("id_", "key_", "l_", F.explode(F.sequence(F.lit(0), F.size("l_") - 3)).alias("pos"))
+    at = lines.where(F.col("l_").isNotNull()).select("id_", "key_", "l_", F.least(F.size("l_"), F.lit(3)).alias("span"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("l_") - 3, F.lit(0)))).alias("pos"))
     three = [F.get("l_", F.col("pos") + k) for k in range(3)]
-    return at.where((three[0] != "") | (three[1] != "") | (three[2] != "")).select(F.xxhash64(*three).alias("w1"), F.hash(*three).alias("w2"), "id_", "key_", "pos")
+    some = F.coalesce(*three) != ""
+    for t in three[1:]:
+        some = some | F.coalesce(t != "", F.lit(False))
+    return at.where(some).select(F.xxhash64("span", *three).alias("w1"), F.hash("span", *three).alias("w2"), "id_", "key_", "pos", "span")
 
 
 def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,8 +38,8 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("id_", "key_", "pos")
     repeated = windows.groupBy("w1", "w2").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where(~F.col("first_").eqNullSafe(F.col("last_"))).select("w1", "w2", "first_")
     later = windows.join(repeated, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first_")))
-    starts = later.groupBy("id_", "key_").agg(F.collect_set("pos").alias("starts_"))
-    spread = F.flatten(F.transform("starts_", lambda p: F.array(p, p + 1, p + 2)))
+    starts = later.groupBy("id_", "key_").agg(F.collect_set("pos").alias("starts_"), F.max("span").alias("span"))
+    spread = F.flatten(F.transform("starts_", lambda p: F.sequence(p, p + F.col("span") - 1)))
     return starts.select("id_", "key_", F.array_sort(F.array_distinct(spread)).alias("covered"))
 
 
@@ -63,10 +67,10 @@ def sha(c: Column) -> Column:
 
 SQL_LINES = """
 l as (select doc_id, text, string_split(text, chr(10)) as a from documents),
-w as (select doc_id, text, p, a[p] || chr(10) || a[p + 1] || chr(10) || a[p + 2] as t
-      from (select doc_id, text, a, unnest(range(1, len(a) - 1)) as p from l where len(a) >= 3)),
-f as (select *, min({'d': doc_id, 'p': p}) over (partition by t) as first_one from w where t <> chr(10) || chr(10)),
-c as (select doc_id, text, list_distinct(flatten(list([p, p + 1, p + 2]))) as cov
+w as (select doc_id, text, p, n, n || ':' || array_to_string(a[p : p + 2], chr(10)) as t
+      from (select doc_id, text, a, least(len(a), 3) as n, unnest(range(1, greatest(len(a) - 1, 2))) as p from l where text is not null)),
+f as (select *, min({'d': doc_id, 'p': p}) over (partition by t) as first_one from w where t not in ('1:', '2:' || chr(10), '3:' || chr(10) || chr(10))),
+c as (select doc_id, text, list_distinct(flatten(list(range(p, p + n)))) as cov
       from f where first_one <> {'d': doc_id, 'p': p} group by doc_id, text)"""
 
 ORACLE = f"""with {SQL_LINES}

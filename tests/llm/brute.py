@@ -1,6 +1,7 @@
 """Plain Python versions of what the operators return."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -81,13 +82,13 @@ def contamination(docs, items, span=10):
 
 
 def deduped_lines(docs):
-    """(doc_id, text) with later three-line windows removed; docs have distinct (id, text)."""
-    first, lines = {}, {}
+    """(doc_id, text) with later windows of three lines, or of a whole shorter text, removed; docs have distinct (id, text)."""
+    windows, first = {}, {}
     for d, t in docs:
         if t is not None:
-            lines[d, t] = t.split("\n")
-            for p in range(len(lines[d, t]) - 2):
-                k = tuple(lines[d, t][p : p + 3])
+            ls = t.split("\n")
+            windows[d, t] = [tuple(ls[p : p + 3]) for p in range(max(1, len(ls) - 2))]
+            for p, k in enumerate(windows[d, t]):
                 place = ((d is not None, d or 0), p, t)
                 if any(k) and (k not in first or place < first[k]):
                     first[k] = place
@@ -96,10 +97,78 @@ def deduped_lines(docs):
         if t is None:
             out.append((d, None))
             continue
-        ls, gone = lines[d, t], set()
-        for p in range(len(ls) - 2):
-            k = tuple(ls[p : p + 3])
+        gone = set()
+        for p, k in enumerate(windows[d, t]):
             if any(k) and first[k] != ((d is not None, d or 0), p, t):
-                gone |= {p, p + 1, p + 2}
-        out.append((d, "\n".join(x for i, x in enumerate(ls) if i not in gone)))
+                gone |= set(range(p, p + len(k)))
+        out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)))
     return sorted(out, key=str)
+
+
+def spelled(words, longest=5, shared=2):
+    """(class, word) to probability: Kneser-Ney over letters, from {word: (n0, n1)}, runs seen once left to the backoff."""
+    raw, c = defaultdict(lambda: [0, 0]), {}
+    for w, n in words.items():
+        t = f"^{w}$"
+        for k in range(1, longest + 1):
+            for i in range(len(t) - k + 1):
+                for y in (0, 1):
+                    raw[t[i : i + k]][y] += n[y]
+    longer = defaultdict(lambda: [0, 0])
+    for g, n in raw.items():
+        for y in (0, 1):
+            longer[g[1:]][y] += n[y] > 0
+    for g, n in raw.items():
+        if g != "^":
+            v = n if len(g) == longest or g[0] == "^" else longer[g]
+            c[g] = [sum(v)] * 2 if len(g) <= shared else v
+    cut = {k: [discount([v[y] for g, v in c.items() if len(g) == k]) for y in (0, 1)] for k in {len(g) for g in c}}
+    after = defaultdict(list)
+    for g in c:
+        after[g[:-1]].append(g)
+    letters = sum(len(g) == 1 for g in c) + 1
+
+    def probability(y, w):
+        t, out = f"^{w}$", 1.0
+        for i in range(1, len(t)):
+            p = 1 / letters
+            for k in range(1, min(longest, i + 1) + 1):
+                follow = after.get(t[i - k + 1 : i], [])
+                total = sum(c[g][y] for g in follow)
+                if sum(sum(c[g]) for g in follow) < 2 or not total:
+                    continue
+                part = {g: max(c[g][y] - cut[k][y], 0) / total for g in follow if sum(c[g]) >= 2}
+                p = part.get(t[i - k + 1 : i + 1], 0) + (1 - sum(part.values())) * p
+            out *= p
+        return out
+
+    return probability
+
+
+def discount(values):
+    ones, twos = values.count(1), values.count(2)
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def toxic_ratio(pairs):
+    """(history, word) to the log of how much likelier toxic is, from {(h, w): (n0, n1)}."""
+    n, f = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (_, w), v in pairs.items():
+        for y in (0, 1):
+            n[w][y] += v[y]
+            f[w][y] += v[y] > 0
+    spell, known = spelled(n), {w for w in n if sum(n[w]) >= 2}
+    words_cut = [discount([v[y] for v in f.values()]) for y in (0, 1)]
+    pairs_cut = [discount([v[y] for v in pairs.values()]) for y in (0, 1)]
+    total = [sum(v[y] for v in f.values()) for y in (0, 1)]
+    own = {w: [max(f[w][y] - words_cut[y], 0) / total[y] for y in (0, 1)] for w in known}
+    rest = [1 - sum(v[y] for v in own.values()) for y in (0, 1)]
+
+    def likelihood(y, h, w):
+        p = own.get(w, [0, 0])[y] + rest[y] * spell(y, w)
+        if h not in known:
+            return p
+        part = {x: max(v[y] - pairs_cut[y], 0) / max(n[h][y], 1) for (g, x), v in pairs.items() if g == h and max(v) >= 2 and x in known}
+        return part.get(w, 0) + (1 - sum(part.values())) * p
+
+    return lambda h, w: math.log(likelihood(1, h, w)) - math.log(likelihood(0, h, w))
