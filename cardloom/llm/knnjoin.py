@@ -8,7 +8,8 @@ cell is sent to a group only if d >= |pivot, pivot| - group radius - bound. Grou
 equi-join on (group, part), so a cell that a third of all rows fall into is spread over parts; each block pair is one matrix
 product and gives k rows per query, and the best k of these are ranked in a window.
 
-Summaries are at most `pivots` rows of k + 1 numbers. Vectors become floor(256 x) first; scores are exact integers.
+Summaries are at most `pivots` rows of k + 1 numbers for each length of vectors: the k + 1 nearest different ids, of which a
+query's own is one at most. Vectors become floor(256 x) first; scores are exact integers, held at the ends of a long beyond it.
 Vectors of different lengths never meet. Null vectors, and those that hold null or non-finite components, take no part;
 of a repeated query id the least vector asks; repeated candidates each count as a row, and rows of the query's id are no
 candidates; a null id is no query and no
@@ -91,22 +92,31 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     queries = data.where(F.pmod("vid", F.lit(every)) == 0).groupBy("vid").agg(F.min("v").alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stat = {r["dim"]: (r["n"], r["top2"]) for r in data.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top2")).collect()}  # one row per vector length
-    sample = {d: data.where(F.size("v") == d).orderBy(F.xxhash64("v"), "vid").limit(4 * pivots).select("v").collect() for d in stat}  # bounded
-    points = {d: np.unique(np.array([r["v"] for r in rows], float).reshape(len(rows), d), axis=0) for d, rows in sample.items()}
+    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vid")
+    some = data.withColumn("dim", F.size("v")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= 4 * pivots).select("dim", "v").collect()  # bounded for each vector length
+    sample: dict[int, list] = {d: [] for d in stat}
+    for r in some:
+        sample[r["dim"]].append(r["v"])
+    points = {d: np.unique(np.array(rows, float).reshape(len(rows), d), axis=0) for d, rows in sample.items()}
     points = {d: p[np.linspace(0, len(p) - 1, min(pivots, len(p))).astype(int)] for d, p in points.items()}
     top2 = max((t for _, t in stat.values()), default=0.0)
     cells = Cells(points, top2)
     held = keep(assign(data, cells, False), "cells")
     asked = keep(assign(queries, cells, True), "queries")
-    own = held.groupBy("vid").count().agg(F.max("count")).first()[0] or 1  # rows of one id, which may stand before a query's candidates
-    kept = k + min(own, 64)
-    near = {(r["dim"], r["cell"]): r["near"] for r in held.groupBy("dim", "cell", "d").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell").orderBy("d"))).where(F.col("r") <= kept).groupBy("dim", "cell").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("d", F.least("n", F.lit(kept)).cast("int"))))).alias("near")).collect()}  # at most `pivots` rows per vector length
+    closest = Window.partitionBy("dim", "cell").orderBy("d", "vid")
+    least = held.groupBy("dim", "cell", "vid").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(closest)).where(F.col("r") <= k + 1)
+    near: dict[tuple[int, int], list] = {}
+    for r in least.select("dim", "cell", "vid", "d").collect():  # k + 1 rows of each cell
+        near.setdefault((r["dim"], r["cell"]), []).append((r["d"], r["vid"]))
     groups = {(r["dim"], r["cell"]): (r["n"], r["far"]) for r in asked.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}  # as many
     reach: dict[int, dict[int, np.ndarray]] = {}  # of each group, for each cell: the least distance from its pivot that is needed
     for (dim, g), (_, far) in groups.items():
         apart = cells.apart[dim][g]
-        upper = np.sort(np.concatenate([far + apart[c] + np.array(near[dim, c][:kept]) for c in range(len(apart)) if (dim, c) in near]))
-        bound = upper[kept - 1] if own <= 64 and len(upper) >= kept else np.inf
+        upper: dict[int, float] = {}
+        for c in range(len(apart)):
+            for d, i in near.get((dim, c), []):
+                upper[i] = min(upper.get(i, np.inf), far + apart[c] + d)
+        bound = sorted(upper.values())[k] if len(upper) > k else np.inf  # one of the k + 1 ids may be the query's
         reach.setdefault(dim, {})[g] = apart - far - bound - 1e-6 * (1 + apart)
     total = sum(n for n, _ in stat.values())
     parts = max(1, min(256, total // part_rows))
@@ -116,8 +126,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
             dims, cell, d, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             vec = batch.column(4)
             for dim in np.unique(dims):
+                of_dim = np.flatnonzero(dims == dim)
                 for g, least in reach.get(int(dim), {}).items():
-                    go = np.flatnonzero((dims == dim) & (d >= least[cell]))
+                    go = of_dim[d[of_dim] >= least[cell[of_dim]]]
                     for lo in range(0, len(go), part_rows):
                         some = go[lo : lo + part_rows]
                         blob = b"".join(vec.take(pa.array(some)).to_pylist())
