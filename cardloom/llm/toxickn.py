@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,33 +61,55 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["y", "h", "w", "n"])
 
 
-def letters(text: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-
-
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def codes(runs: list[str], order: int) -> np.ndarray:
-    """A code for each run of `order` letters."""
-    m = letters(runs).reshape(len(runs), order)
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(runs), np.uint64)
-        for j in range(order):
-            out = out * STEP + m[:, j]
-    return out
+class Runs:
+    """The letters of some words, each between FIRST and LAST, and codes of the runs of letters that end at each place."""
+
+    def __init__(self, some: list[str]):
+        self.letters = np.frombuffer("".join([FIRST + w + LAST for w in some]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        size = np.array([len(w) + 2 for w in some])
+        self.head = np.cumsum(size) - size
+        self.word = np.repeat(np.arange(len(some)), size)
+        self.start = self.head[self.word]
+        self.at = np.arange(len(self.letters))
+
+    def orders(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each order k: k, places where a run of k letters ends (no run is FIRST alone), and codes of the run, of all but its last letter and of all but its first."""
+        run, power = np.zeros(len(self.at), np.uint64), np.uint64(1)
+        for k in range(1, LETTERS + 1):
+            whole = np.flatnonzero((self.at - k + 1 >= self.start) & (self.at > self.start))
+            shorter = run
+            with np.errstate(over="ignore"):
+                run = run + np.where(self.at - k + 1 >= self.start, self.letters[np.maximum(self.at - k + 1, 0)], np.uint64(0)) * power
+                power = power * STEP
+            yield k, whole, run[whole], shorter[whole - 1] if k > 1 else np.zeros(len(whole), np.uint64), shorter[whole]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From w, n0, n1: how often each class has each run."""
+    for batch in batches:
+        r, n = Runs(batch.column(0).to_pylist()), [batch.column(k).to_numpy() for k in (1, 2)]
+        for k, at, run, before, after in r.orders() if len(batch) else ():
+            code, one, inverse = np.unique(run, return_index=True, return_inverse=True)
+            sums = [np.bincount(inverse, x[r.word[at]], len(code)).astype(np.int64) for x in n]
+            cols = [code, before[one], after[one]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(code), k, np.int32)), *(pa.array(c.view(np.int64)) for c in cols), pa.array((at - k + 1 == r.start[at])[one]), *map(pa.array, sums)],
+                names=["k", "code", "before", "after", "head", "n0", "n1"],
+            )
 
 
 class Level:
     """One order of spelling: each run's discounted share in both classes, and the mass that a run of one letter less leaves."""
 
-    def __init__(self, runs: list[str], counts: np.ndarray, before: list[str], totals: np.ndarray, discounts: np.ndarray, order: int):
-        code, place = codes(runs, order), codes(before, order - 1)
+    def __init__(self, code: np.ndarray, counts: np.ndarray, before: np.ndarray, place: np.ndarray, totals: np.ndarray, discounts: np.ndarray):
         at = np.argsort(place)
         self.place, total = place[at], totals[at]
         up = np.argsort(code)
         self.code = code[up]
-        under = np.searchsorted(self.place, codes([r[:-1] for r in runs], order - 1))
+        under = np.searchsorted(self.place, before)
         part = np.maximum(counts - discounts, 0) / np.maximum(total[under], 1e-9)
         self.part = part[up]
         self.left = np.stack([1 - np.bincount(under, part[:, y], len(place)) for y in (0, 1)], 1)
@@ -106,57 +129,45 @@ class Spelling:
 
     def logs(self, some: list[str]) -> np.ndarray:
         """A row per word: ordinary, toxic."""
-        if not some:
-            return np.zeros((0, 2))
-        u = letters([FIRST + w + LAST for w in some])
-        size = np.array([len(w) + 2 for w in some])
-        start = np.repeat(np.cumsum(size) - size, size)
-        i = np.arange(len(u))
-        p = np.full((len(u), 2), 1.0 / self.alphabet)
-        run, before = np.zeros(len(u), np.uint64), np.zeros(len(u), np.uint64)
-        power = np.uint64(1)
-        with np.errstate(over="ignore"):
-            for k, level in enumerate(self.levels, 1):
-                # run: code of the k letters that end here; before: of the k - 1 that end one earlier
-                whole = i - k + 1 >= start
-                run = run + np.where(whole, u[np.maximum(i - k + 1, 0)], 0).astype(np.uint64) * power
-                if k > 1:
-                    before = np.where(i > 0, last[i - 1], 0).astype(np.uint64)
-                last, power = run, power * STEP
-                at, known = level.find(level.place, before)
-                go = np.flatnonzero(known & whole & (i > start))
-                if len(level.code):
-                    j, there = level.find(level.code, run[go])
-                    p[go] = np.where(there[:, None], level.part[j], 0.0) + level.left[at[go]] * p[go]
+        return np.concatenate([np.zeros((0, 2)), *(self.some(some[lo : lo + 8192]) for lo in range(0, len(some), 8192))])
+
+    def some(self, words_: list[str]) -> np.ndarray:
+        r = Runs(words_)
+        p = np.full((len(r.at), 2), 1.0 / self.alphabet)
+        for level, (_, where, run, before, _) in zip(self.levels, r.orders(), strict=False):
+            at, known = level.find(level.place, before)
+            go = np.flatnonzero(known)
+            j, there = level.find(level.code, run[go])
+            p[where[go]] = np.where(there[:, None], level.part[j], 0.0) + level.left[at[go]] * p[where[go]]
         logs = np.log(np.maximum(p, 1e-300))
-        logs[i == start] = 0
-        return np.add.reduceat(logs, np.cumsum(size) - size)
+        logs[r.head] = 0
+        return np.add.reduceat(logs, r.head)
 
 
 class Model:
     """Log-likelihood ratios: of words, of the mass each history leaves, and of the bigrams that are kept."""
 
     def __init__(self, unigrams, bigrams, followed: np.ndarray, discounts: np.ndarray, spelling: Spelling):
-        """unigrams: w, f0, f1 (words each class saw it follow), n0, n1; bigrams: h, w, n0, n1; followed: sums of f0, f1; discounts: of words and of pairs, for both classes."""
+        """Arrow tables - unigrams: w, f0, f1 (words each class saw it follow), n0, n1; bigrams: h, w, n0, n1; followed: sums of f0, f1; discounts: of words and of pairs, for both classes."""
         self.spelling, self.remembered = spelling, {}
-        names = list(unigrams["w"])
+        names = unigrams["w"].to_pylist()
         self.at = {w: i + 1 for i, w in enumerate(names)}
         size = len(self.at) + 1
-        f = unigrams[["f0", "f1"]].to_numpy(float)
+        both = lambda t, a, b: np.stack([t[a].to_numpy(), t[b].to_numpy()], 1).astype(float)
+        f = both(unigrams, "f0", "f1")
         own = np.maximum(f - discounts[0], 0) / np.maximum(followed, 1)
         self.rest = 1 - own.sum(0)  # what the words leave to spelling
         p = np.concatenate([[[1.0, 1.0]], own + self.rest * np.exp(spelling.logs(names))])
         self.word = np.log(p[:, 1]) - np.log(p[:, 0])
-        h = np.array([self.at.get(x, 0) for x in bigrams["h"]], np.int64)
-        w = np.array([self.at.get(x, 0) for x in bigrams["w"]], np.int64)
+        h, w = (np.array([self.at.get(x, 0) for x in bigrams[c].to_pylist()], np.int64) for c in ("h", "w"))
         known = (h > 0) & (w > 0)
         h, w = h[known], w[known]
-        n = np.concatenate([[[0.0, 0.0]], unigrams[["n0", "n1"]].to_numpy(float)])
-        part = np.maximum(bigrams[["n0", "n1"]].to_numpy(float)[known] - discounts[1], 0) / np.maximum(n[h], 1)
+        n = np.concatenate([[[0.0, 0.0]], both(unigrams, "n0", "n1")])
+        part = np.maximum(both(bigrams, "n0", "n1")[known] - discounts[1], 0) / np.maximum(n[h], 1)
         mass = np.maximum(1 - np.stack([np.bincount(h, part[:, y], size) for y in (0, 1)], 1), 1e-6)
         self.left = np.log(mass[:, 1]) - np.log(mass[:, 0])
-        both = np.log(part + mass[h] * p[w])
-        kept = both[:, 1] - both[:, 0] - self.left[h] - self.word[w]
+        logs = np.log(part + mass[h] * p[w])
+        kept = logs[:, 1] - logs[:, 0] - self.left[h] - self.word[w]
         order = np.argsort(h * size + w)
         self.code, self.kept, self.size = (h * size + w)[order], kept[order], size
         self.curve, self.middle = np.zeros(1 + FEATURES), np.zeros(FEATURES)
@@ -176,7 +187,8 @@ class Model:
         for lo in range(0, len(texts), 256):
             some = [words(t) for t in texts[lo : lo + 256]]
             n = np.array([len(w) for w in some])
-            ids = np.array([at.get(x, 0) for w in some for x in w], np.int64)
+            flat = [x for w in some for x in w]
+            ids = np.array([at.get(x, 0) for x in flat], np.int64)
             if not len(ids):
                 continue
             full = n > 0
@@ -184,7 +196,6 @@ class Model:
             h = np.concatenate([[0], ids[:-1]])
             h[starts] = 0
             strange = np.flatnonzero(ids == 0)
-            flat = [x for w in some for x in w]
             odd = [flat[i] for i in strange]
             self.unknown(odd)
             s = self.word[ids] + self.left[h]
@@ -237,28 +248,28 @@ def discounts_of(row, *names: str) -> np.ndarray:
 
 
 def spelling_of(words_: DataFrame) -> Spelling:
-    """From w, n0, n1: counts of all runs of up to LETTERS letters, of which those seen twice come to the driver."""
-    t = F.concat(F.lit(FIRST), "w", F.lit(LAST))
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.substring(t, i, F.lit(k)))
-    runs = F.flatten(F.array(*(F.when(F.length(t) >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, LETTERS + 1))))
-    raw = keep(words_.select(F.explode(runs).alias("g"), "n0", "n1").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "runs")
-    held = (F.length("g") == LETTERS) | (F.substring("g", 1, 1) == FIRST)
-    longer = raw.where(F.length("g") > 1).groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
-    some = raw.where(held).unionByName(longer.where(~held)).where(F.col("g") != FIRST)
-    pooled = F.length("g") <= SHARED
-    some = keep(some.select("g", *(F.when(pooled, F.col("n0") + F.col("n1")).otherwise(F.col(n)).alias(n) for n in ("n0", "n1"))), "letters")
-    size = F.length("g").alias("k")
-    cut = {r["k"]: discounts_of(r, "n0", "n1") for r in some.groupBy(size).agg(*seen("n0", "n1")).collect()}  # LETTERS rows
-    before = some.groupBy(F.expr("left(g, length(g) - 1)").alias("g")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 2").toPandas()
-    kept = some.where("n0 + n1 >= 2").toPandas()  # both are bounded by the sample's words
-    alphabet = some.where(F.length("g") == 1).count() + 1
+    """From w, n0, n1: counts of all runs of up to LETTERS letters, of which the codes of those seen twice come to the driver."""
+    one = [F.any_value(c).alias(c) for c in ("before", "after", "head")]
+    counts = words_.select("w", "n0", "n1").mapInArrow(_runs, "k int, code long, before long, after long, head boolean, n0 long, n1 long")
+    raw = keep(counts.groupBy("k", "code").agg(*one, F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "runs")
+    held = (F.col("k") == LETTERS) | F.col("head")
+    longer = raw.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("after").alias("code")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
+    cols = ["k", "code", "before", "n0", "n1"]
+    some = raw.where(held).select(*cols).unionByName(raw.where(~held).drop("n0", "n1").join(longer, ["k", "code"]).select(*cols))
+    pooled = F.col("k") <= SHARED
+    some = keep(some.select("k", "code", "before", *(F.when(pooled, F.col("n0") + F.col("n1")).otherwise(F.col(n)).alias(n) for n in ("n0", "n1"))), "letters")
+    cut = {r["k"]: discounts_of(r, "n0", "n1") for r in some.groupBy("k").agg(*seen("n0", "n1")).collect()}  # LETTERS rows
+    before = some.groupBy("k", F.col("before").alias("code")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 2").toArrow()
+    kept = some.where("n0 + n1 >= 2").toArrow()  # both are bounded by the sample's words
+    column = lambda t, c: t.column(c).to_numpy()
     levels = []
-    by, of = dict(list(before.groupby(before["g"].str.len()))), dict(list(kept.groupby(kept["g"].str.len())))
     for k in range(1, LETTERS + 1):
-        if k not in of or k - 1 not in by:
+        own, up = kept.filter(pc.equal(kept["k"], k)), before.filter(pc.equal(before["k"], k))
+        if not len(own):
             break
-        levels.append(Level(list(of[k]["g"]), of[k][["n0", "n1"]].to_numpy(float), list(by[k - 1]["g"]), by[k - 1][["n0", "n1"]].to_numpy(float), cut[k], k))
-    return Spelling(levels, alphabet)
+        both = lambda t: np.stack([column(t, "n0"), column(t, "n1")], 1).astype(float)
+        levels.append(Level(column(own, "code").view(np.uint64), both(own), column(own, "before").view(np.uint64), column(up, "code").view(np.uint64), both(up), cut[k]))
+    return Spelling(levels, some.where("k = 1").count() + 1)
 
 
 def counted(both: DataFrame) -> Model:
@@ -266,8 +277,8 @@ def counted(both: DataFrame) -> Model:
     words_ = keep(both.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1")), "words")
     t = words_.agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"), *seen("f0", "f1")).first()
     pair = discounts_of(both.agg(*seen("n0", "n1")).first(), "n0", "n1")
-    uni = words_.where("n0 + n1 >= 2").orderBy("w").toPandas()
-    bi = both.where("greatest(n0, n1) >= 2").orderBy("h", "w").toPandas()
+    uni = words_.where("n0 + n1 >= 2").orderBy("w").toArrow()
+    bi = both.where("greatest(n0, n1) >= 2").orderBy("h", "w").toArrow()
     return Model(uni, bi, np.array([t["f0"] or 0, t["f1"] or 0], float), np.stack([discounts_of(t, "f0", "f1"), pair]), spelling_of(words_))
 
 
