@@ -100,3 +100,59 @@ NOISE_LABELS = [
     r"(?i)^(Name):?\s*", r"(?i)^(Title|Position|Role):?\s*", r"(?i)^(Bio|About|Description):?\s*",
 ]
 PRESERVED_PLACES = [r"(?i)Washington,?\s*D\.?C\.?", r"(?i)St\.\s+\w+", r"\w+,\s*[A-Z]{2}\b", r"\w+,\s*[A-Z][a-z]+"]
+# Parts of addresses that are made up or belong to nobody.
+FAKE_MAIL = [
+    "test@", "example@", "demo@", "noreply@", "info@", "contact@", "admin@", "webmaster@", "postmaster@",
+    "support@", "help@", "sales@", "marketing@", "@example.com", "@test.com", "@localhost", "@domain.com",
+    "@example.org", "@fake.com",
+]
+# Title words that a name may carry, for mailbox forms.
+NAME_TITLES = ["Partner", "Associate", "Counsel", "Of Counsel", "Senior Partner", "Managing Partner"]
+# Parts of addresses of profile pages, in order of preference.
+PROFILE_PARTS = [
+    "/agents/", "/profile/", "/realtor/", "/team/", "/broker/", "/member/", "/lawyer/", "/Lawyers/",
+    "/attorney/", "/people/", "/professionals/", "/attorneys/", "/our-team/", "/staff/", "/about/", "/bio/",
+]
+# Texts of links that stand for an address.
+MAIL_LINKS = ["email", "e-mail", "send email", "contact email"]
+# Texts that are no names on cards, and in smart fields.
+CARD_NOT_NAMES = [
+    "sign in", "log in", "sign up", "register", "contact us", "about us", "view profile", "learn more", "read more",
+    "see more", "load more", "email", "phone", "call", "text", "message", "website", "address", "menu", "home",
+    "search", "filter", "back", "next", "previous",
+]
+SMART_NOT_NAMES = [
+    "email", "phone", "tel", "fax", "mobile", "cell", "address", "location", "city", "state", "country", "contact",
+    "info", "support", "sales", "admin", "click", "here", "more", "view", "profile", "read", "next", "prev",
+    "previous", "back", "home", "menu", "share", "print", "save", "edit", "delete", "remove", "loading", "please",
+    "wait", "error", "success",
+]
+# Phones on cards, smart phones, and phones on profile pages.
+CARD_PHONES = [
+    r"(?:\+1[-. ]?)?\(?([0-9]{3})\)?[-. ]?([0-9]{3})[-. ]?([0-9]{4})", r"([0-9]{3})[-. ]([0-9]{3})[-. ]([0-9]{4})",
+    r"\+1[-.\s]?\d{3}[-.\s]?\d{3}[-.\s]?\d{4}",
+]
+SMART_PHONES = [
+    r"\+?[1-9]\d{0,2}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}", r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    r"\d{3}[-.\s]\d{3}[-.\s]\d{4}",
+]
+PROFILE_PHONE = r"\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+LISTING_PHONE = r"[\+]?[(]?[0-9]{1,3}[)]?[-\s\.]?[(]?[0-9]{1,3}[)]?[-\s\.][0-9]{3,6}[-\s\.][0-9]{3,6}"
+SPELLED_MAIL = r"([a-zA-Z0-9._%+-]+)\s*[\[\(]?(?:at|AT|@)[\]\)]?\s*([a-zA-Z0-9.-]+)\s*[\[\(]?(?:dot|DOT|\.)[\]\)]?\s*([a-zA-Z]{2,})"
+# Words of job titles, and signs of places.
+JOB_WORDS = [
+    "CEO", "CTO", "CFO", "COO", "CMO", "CIO", "CISO", "President", "Vice President", "VP", "Director", "Manager", "Lead",
+    "Head", "Engineer", "Developer", "Designer", "Analyst", "Consultant", "Specialist", "Coordinator", "Associate",
+    "Senior", "Junior", "Principal", "Partner", "Founder", "Owner", "Attorney", "Lawyer", "Counsel", "Doctor",
+    "Professor", "Researcher",
+]
+PLACE_SIGNS = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "USA", "United States", "UK",
+    "United Kingdom", "Canada", "Australia", "Germany", "France", "Japan", "China", "India",
+]
+# Attributes that hold the address of a profile, in order.
+URL_ATTRIBUTES = ["data-url", "data-href", "data-link", "data-profile-url", "data-profile", "data-bio-url"]
+# Words of a title that stands below a profile's heading.
+HEADING_TITLES = ["partner", "associate", "counsel", "chair", "director"]

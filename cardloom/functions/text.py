@@ -131,14 +131,49 @@ def clean_email(text: Column) -> Column:
 
 
 def name_variations(name: Column) -> Column:
-    """Mailbox forms of a name, in order and distinct: f.l, fl, Fl, l, f, then with a middle name f.m.l and fml."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\b(mr|mrs|ms|dr|esq|jr|sr)\b\.?", " "), r"[^a-z\s'-]", " "))
-    w = F.filter(F.split(clean, r"\s+"), lambda x: x != "")
-    f, last, m = F.get(w, 0), F.try_element_at(w, F.lit(-1)), F.get(w, 1)
+    """Mailbox forms of a name, in order and distinct: f.l, fl, Fl, l, f, then with a middle name f.m.l and Fml (m and F as
+    initials); title words don't count, one word gives itself, null gives null."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(name, rf"(?i)\b({'|'.join(V.NAME_TITLES)})\b", ""), r"[^a-zA-Z\s]", ""))
+    w = F.filter(F.split(F.lower(clean), r"\s+"), lambda x: x != "")
+    f, last, m = F.get(w, 0), F.try_element_at(w, F.lit(-1)), F.substring(F.get(w, 1), 1, 1)
     i = F.substring(f, 1, 1)
     two = F.array(F.concat(f, F.lit("."), last), F.concat(f, last), F.concat(i, last), last, f)
-    three = F.array(F.concat(f, F.lit("."), m, F.lit("."), last), F.concat(i, F.substring(m, 1, 1), last))
-    return F.when(F.size(w) < 2, F.array(clean)).when(F.size(w) == 2, F.array_distinct(two)).otherwise(F.array_distinct(F.concat(two, three)))
+    three = F.array(F.concat(f, F.lit("."), m, F.lit("."), last), F.concat(i, m, last))
+    return F.when(name.isNull(), F.lit(None).cast("array<string>")).when(F.size(w) < 2, F.array(F.lower(clean))).when(F.size(w) == 2, F.array_distinct(two)).otherwise(F.array_distinct(F.concat(two, three)))
+
+
+def is_business_email(email: Column, domain: Column | None = None) -> Column:
+    """C11: a well-formed address without the parts of made-up ones and, with a domain, of that domain (a null domain asks for none)."""
+    low = F.lower(email)
+    ok = F.trim(email).rlike(rf"^{V.EMAIL}\z") & ~any_of([F.contains(low, F.lit(p)) for p in V.FAKE_MAIL])
+    if domain is not None:
+        ok = ok & F.coalesce(low.endswith(F.concat(F.lit("@"), F.lower(domain))), F.lit(True))
+    return F.coalesce(ok, F.lit(False))
+
+
+def name_near_email(text: Column, email: Column) -> Column:
+    """struct(name, score) of the capitalised run of one to five words before an address that scores best, or null: up to 50 for
+    nearness of its line, up to 40 for the parts of the mailbox it shares, 10 for two words; ties to the nearest line, then the first in it."""
+    at = F.instr(F.lower(text), F.lower(email))
+    before = F.when(at > 0, F.substr(text, F.lit(1), at - 1))
+    lines = F.reverse(F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    terms = F.filter(F.split(F.lower(F.split(email, "@")[0]), "[._-]+"), lambda t: F.length(t) >= 2)
+
+    def scored(line: Column, k: Column) -> Column:
+        # where the line's text stands last before the address
+        apart = F.length(line) + F.instr(F.reverse(before), F.reverse(line)) - 1
+        near = F.greatest(F.lit(0.0), F.lit(50.0) - apart / 2)
+
+        def one(run: Column, i: Column) -> Column:
+            words = F.split(F.lower(run), r"\s+")
+            shared = F.size(F.filter(terms, lambda t: F.exists(words, lambda w: w.contains(t) | t.contains(w))))
+            score = near + F.when(F.size(terms) > 0, shared / F.size(terms) * 40).otherwise(0.0) + F.when(F.size(words) >= 2, 10.0).otherwise(0.0)
+            return F.struct((-score).alias("s"), k.alias("k"), i.alias("i"), run.alias("name"))
+
+        return F.filter(F.transform(matches(line, r"\b([A-Z][a-z]+(?:[\s'-][A-Z][a-z]+){0,4})\b", 1), one), lambda c: is_valid_name(c["name"]))
+
+    best = F.array_min(F.flatten(F.transform(lines, scored)))
+    return F.when(best.isNotNull(), F.struct(best["name"].alias("name"), (-best["s"]).alias("score")))
 
 
 def match_key(c: Column) -> Column:

@@ -86,7 +86,8 @@ def enrichment_metadata(enriched: DataFrame) -> DataFrame:
     """Actions, removed noise ("x from field"), flags, review, overall confidence and the audit map of changed originals."""
     m = lambda k: [F.col(f"merged_{c}.{k}") for c in FIELDS]
     names = F.array(*(F.lit(c) for c in FIELDS))
-    removed = F.concat(*(F.transform(F.coalesce(F.col(f"merged_{c}.removed"), F.array().cast("array<string>")), lambda x, c=c: F.concat(x, F.lit(f" from {c}"))) for c in FIELDS))
+    said = lambda c: F.transform(F.coalesce(F.col(f"merged_{c}.removed"), F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(f" from {c}")))
+    removed = F.concat(*(said(c) for c in FIELDS))
     audit = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"merged_{c}.original").alias("was")) for c in FIELDS)), lambda e: e["was"].isNotNull()))
     return enriched.select(
         "row_id", F.map_from_arrays(names, F.array(*m("action"))).alias("actions"), removed.alias("removed"),
