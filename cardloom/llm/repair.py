@@ -2,12 +2,13 @@
 
 Documents are dealt by range of id and sorted, so shard after shard holds them in ascending order. A task encodes its
 documents and closes a block whenever it holds `block_tokens` ids. In each block the frequent pairs of ids are replaced by
-new symbols, round after round, many pairs in a round; no pair begins with the end id, so every document begins at a symbol.
+new symbols, the most frequent first, round after round, many pairs in a round, until no pair stands `least` times or all
+16-bit symbols are taken; no pair begins with the end id, so every document begins at a symbol.
 
 File format: Parquet, one row per block - shard, block, n_tokens; per document doc_ids, keys, first symbol (`sym_at`) and
 first id within the block (`tok_at`); `rules` (pairs of unsigned 16-bit symbols, the k-th defines symbol first_rule + k),
-`spans` (ids that each rule expands to, unsigned 32-bit) and `symbols` (unsigned 16-bit), all little-endian. A document is
-decoded from its own symbols alone; `spans` tells where an id lies without expanding what stands before it.
+`spans` (ids that each rule expands to, unsigned 32-bit) and `symbols` (unsigned 16-bit), all little-endian. `read_span`
+decodes a part of a document from its own symbols alone: `spans` tells where its ids lie without expanding what stands before.
 Blocks are written by Spark's committer, so a lost executor leaves no partial file behind.
 
 Null text is empty (its end id alone); null ids come first; repeated rows are written one after another; an empty table
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,11 @@ from .fitpack import public
 BLOCK = "shard int, block int, n_tokens long, first_rule int, doc_ids array<long>, keys array<long>, sym_at array<int>, tok_at array<int>, rules binary, spans binary, symbols binary"
 
 
-def compress(ids: np.ndarray, first_rule: int, end_id: int, rounds: int = 6, per_round: int = 2048, least: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first_rule: int, end_id: int, rounds: int | None = None, per_round: int = 4096, least: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (uint16) and rules (k x 2, uint16) of one block."""
     x, rules = ids.astype(np.uint16), np.zeros((0, 2), np.uint16)
-    room = min(rounds * per_round, 65_536 - first_rule)
-    for _ in range(rounds):
+    room = 65_536 - first_rule
+    for _ in count() if rounds is None else range(rounds):
         take = min(per_round, room - len(rules))
         if len(x) < 2 or take <= 0:
             break
@@ -167,6 +169,37 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     return out if with_ids else out.drop("ids")
 
 
+def span_of(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, first_rule: int, start: int, length: int) -> np.ndarray:
+    """Ids start to start + length of what the symbols stand for; only the symbols that cover them are expanded."""
+    width = np.where(symbols >= first_rule, spans[np.maximum(symbols.astype(np.int64) - first_rule, 0)] if len(spans) else 1, 1)
+    end = np.cumsum(width, dtype=np.int64)
+    a, b = np.searchsorted(end, start, side="right"), np.searchsorted(end, start + length)
+    before = int(end[a - 1]) if a else 0
+    return expand(symbols[a : b + 1], rules, first_rule)[start - before : start - before + length]
+
+
+def read_span(spark: SparkSession, path: str, wanted: list[int], start: int = 0, length: int = 1 << 62) -> DataFrame:
+    """id_, key_, ids (little-endian unsigned 32-bit) from `start` on, at most `length`, of the documents with the given ids.
+
+    Only blocks that hold one of them leave the scan. Ids that no document has give no row; a start past a document's end gives no ids."""
+    some = spark.read.schema(BLOCK).parquet(path).where(F.arrays_overlap("doc_ids", F.array(*(F.lit(int(i)) for i in wanted)).cast("array<long>")))
+    asked = set(wanted)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                symbols, rules, spans = np.frombuffer(r["symbols"], "<u2"), np.frombuffer(r["rules"], "<u2").reshape(-1, 2), np.frombuffer(r["spans"], "<u4")
+                sym, tok, out = [*r["sym_at"], len(symbols)], [*r["tok_at"], r["n_tokens"]], []
+                for j, i in enumerate(r["doc_ids"]):
+                    if i in asked:
+                        n = max(0, min(length, tok[j + 1] - tok[j] - start))
+                        ids = span_of(symbols[sym[j] : sym[j + 1]], rules, spans, r["first_rule"], start, n) if n else symbols[:0]
+                        out.append((i, r["keys"][j], ids.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["id_", "key_", "ids"])
+
+    return some.mapInArrow(decode, "id_ long, key_ long, ids binary")
+
+
 def op10_repair_ids(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = new_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, tokenizer or public("word_bpe_49k.json"), added=True)

@@ -123,6 +123,12 @@ def test_repair_round_trip(ids):
         assert spans[k] == len(repair.expand(np.array([100 + k], np.uint16), rules, 100))
     if len(ids) > 50:
         assert len(symbols) < len(x)
+    done, _ = repair.compress(x, 100, 1, per_round=3, least=2)
+    pairs = Counter((a, b) for a, b in zip(done[:-1].tolist(), done[1:].tolist(), strict=True) if a != 1)
+    runs = {p for p in pairs if p[0] == p[1]}  # a run of one symbol holds overlapping pairs
+    assert all(n < 3 or p in runs for p, n in pairs.items())
+    at = len(x) // 3
+    assert repair.span_of(symbols, rules, spans, 100, at, 7).tolist() == x[at : at + 7].tolist()
 
 
 def test_compressed_ids(spark, tmp_path):
@@ -140,6 +146,14 @@ def test_compressed_ids(spark, tmp_path):
         own = np.frombuffer(r["ids"], "<u4")
         assert r["start"] == at and r["n_tokens"] == len(own) and zlib.crc32(own.tobytes()) == r["ids_crc32"] and tuple(own.tolist()) in texts[r["id_"]]
         at += len(own)
+    stored = {}
+    for r in out:
+        stored.setdefault(r["id_"], []).append(np.frombuffer(r["ids"], "<u4").tolist())
+    for start, length in ((0, 1 << 40), (3, 5), (700, 300), (10**6, 2)):
+        some = {}
+        for r in repair.read_span(spark, path, [2, 8, 15, 16, 99], start, length).collect():
+            some.setdefault(r["id_"], []).append(np.frombuffer(r["ids"], "<u4").tolist())
+        assert {i: sorted(x) for i, x in some.items()} == {i: sorted(x[start : start + length] for x in stored[i]) for i in (2, 8, 15, 16)}
     empty = str(tmp_path / "none")
     repair.write_ids(docs.limit(0), empty, fitpack.public("word_bpe_49k.json"))
     assert repair.read_ids(spark, empty).count() == 0
