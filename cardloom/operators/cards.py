@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.text import any_of, digits, first_match, matches, no_text, presence_confidence, present
 from .html import SOCIAL, absolute
-from .trees import attr, class_part, distinct_by_value, first, has_class, holds, href, in_order, is_link, joined_url, texts, within
+from .trees import attr, class_part, distinct_by_value, first, has_class, holds, href, in_order, is_link, joined_url, page_text, texts, within
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 
@@ -117,6 +117,23 @@ def contacts_from_cards(cards: DataFrame) -> DataFrame:
     )
 
 
+def whole_pages(trees: DataFrame) -> DataFrame:
+    """Each page as one card, for rules that take a page as well as a card."""
+    return trees.select("page_id", "url", F.lit(0).alias("card_index"), "nodes", page_text(F.col("nodes")).alias("text"))
+
+
+def email_candidates(cards: DataFrame) -> DataFrame:
+    """H3: page_id, card_index, position, value, source, confidence of every address; high but for text, spelled and encoded ones."""
+    d = cards.select("page_id", "card_index", F.posexplode(card_emails(F.col("nodes"), F.col("text"), F.col("url"))).alias("position", "e"))
+    return d.select("page_id", "card_index", "position", F.col("e.v").alias("value"), "e.source", F.when(F.col("e.source").isin("text", "obfuscated", "encoded-href"), "medium").otherwise("high").alias("confidence"))
+
+
+def phone_candidates(cards: DataFrame) -> DataFrame:
+    """H4: page_id, card_index, position, value, digits, source, confidence of every phone; high for tel links and data attributes."""
+    d = cards.select("page_id", "card_index", F.posexplode(card_phones(F.col("nodes"), F.col("text"))).alias("position", "p"))
+    return d.select("page_id", "card_index", "position", F.col("p.shown").alias("value"), F.col("p.v").alias("digits"), "p.source", F.when(F.col("p.source").isin("tel", "data-attr"), "high").otherwise("medium").alias("confidence"))
+
+
 def data_urls(cards: DataFrame) -> DataFrame:
     """H9: the first address that a node's data attributes hold, by attribute order, made absolute, with its confidence."""
     v = lambda x: F.coalesce(*(F.when(attr(x, a).rlike("^(/|http)"), F.struct(attr(x, a).alias("value"), F.lit(a).alias("attribute"))) for a in V.URL_ATTRIBUTES))

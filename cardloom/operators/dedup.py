@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_key, present
+from ..functions.text import match_key, present, string_similarity
 
 TEXTS = ["name", "email", "phone", "title", "location", "profile_url"]
 
@@ -40,73 +37,54 @@ def dedup_scrape(df: DataFrame) -> DataFrame:
     return df.join(kept.unionByName(first).unionByName(rest), "row_id", "left_semi")
 
 
-FUZZY = "row_id long, duplicate boolean, original long, match_type string, match_key string"
-
-
-def similar(a: str, b: str) -> float:
-    """1 - edit distance / longer length, in one row of memory."""
-    if a == b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
-class Seen:
-    """The contacts that were unique so far; check() takes them in order."""
-
-    def __init__(self):
-        self.primary: dict[tuple[str, str], int] = {}
-        self.secondary: dict[tuple[str, str], dict] = {}
-
-    def check(self, c: dict) -> tuple:
-        for k in ("email", "profile_url"):
-            if c[k] and (k, c[k]) in self.primary:
-                return c["row_id"], True, self.primary[k, c[k]], "primary", k
-        for k in ("name", "phone"):
-            o = self.secondary.get((k, c[k])) if c[k] else None
-            if o is not None:
-                points = sum(1 if c[f] == o[f] else 0.5 * (similar(c[f], o[f]) >= 0.85) for f in TEXTS[:5] if c[f] and o[f])
-                if points >= 2:
-                    return c["row_id"], True, o["row_id"], "secondary", k
-        for k in ("email", "profile_url"):
-            if c[k]:
-                self.primary[k, c[k]] = c["row_id"]
-        for k in ("name", "phone"):
-            if c[k]:
-                self.secondary[k, c[k]] = c
-        return c["row_id"], False, None, None, None
-
-
-def dedup_fuzzy(df: DataFrame, rounds: int = 50) -> DataFrame:
-    """D3: each row against the unique rows before it, by address or url, then by name or phone with two points of agreement.
-
-    Rows that share a normalised key form components; a component is folded in row order. The fold is sequential by its rule,
-    so one component is one task.
-    """
-    keys = df.select("row_id", *(match_key(F.col(c)).alias(c) for c in TEXTS))
-    tokens = keys.select("row_id", F.explode(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(c + ":"), F.col(c))) for c in ("email", "profile_url", "name", "phone")))).alias("token")).where("token is not null")
-    label = keys.select("row_id", F.col("row_id").alias("comp"))
-    for _ in range(rounds):
-        least = tokens.join(label, "row_id").groupBy("token").agg(F.min("comp").alias("m"))
-        new = tokens.join(least, "token").groupBy("row_id").agg(F.min("m").alias("m"))
-        moved = label.join(new, "row_id", "left").select("row_id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        jump = moved.select(F.col("row_id").alias("comp"), F.col("comp").alias("up"))
-        moved = moved.join(jump, "comp", "left").select("row_id", F.least("comp", F.coalesce("up", "comp")).alias("comp")).checkpoint()
-        if moved.exceptAll(label).isEmpty():
-            break
-        label = moved
+#: Rows of one key that a task goes through in one piece; longer runs are joined by what each piece leaves behind.
+PIECE = 1_000_000
+KEYS = ("email", "profile_url", "name", "phone")
+
+
+def _agree(a: str, b: str) -> Column:
+    """Points of two rows' first five texts: 1 for equal, 0.5 for a similarity of 0.85."""
+    def points(f: str) -> Column:
+        x, y = F.col(f"{a}.{f}"), F.col(f"{b}.{f}")
+        return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 1.0).when(string_similarity(x, y) >= 0.85, 0.5).otherwise(0.0)
+
+    return sum((points(f) for f in TEXTS[:5]), F.lit(0.0))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = Seen()
-        rows = rows.sort_values("row_id").astype(object).where(rows.notna(), None)
-        out = [seen.check(r) for r in rows.to_dict("records")]
-        return pd.DataFrame(out, columns=["row_id", "duplicate", "original", "match_type", "match_key"]).astype({"original": "Int64"})
 
-    return keys.join(label, "row_id").groupBy("comp").applyInPandas(fold, FUZZY)
+def _checked(rows: DataFrame) -> DataFrame:
+    """What every row finds if the rows marked `unique` are those that were unique: me, unique, and the verdict as `now`."""
+    offers = rows.select("me", "unique", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"me.{k}").alias("value")) for k in KEYS))).alias("o")).where("o.value is not null")
+    piece = F.floor(F.col("me.row_id") / PIECE).alias("piece")
+    offers = offers.select("me", "o.kind", "o.value", piece, F.when(F.col("unique"), F.col("me")).alias("held"))
+    before = Window.partitionBy("kind", "value", "piece").orderBy("me.row_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = offers.withColumn("last", F.last("held", ignorenulls=True).over(before))
+    left = offers.groupBy("kind", "value", "piece").agg(F.max_by("held", F.when(F.col("held").isNotNull(), F.col("me.row_id"))).alias("held"))
+    earlier = Window.partitionBy("kind", "value").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.withColumn("carried", F.last("held", ignorenulls=True).over(earlier)).where("carried is not null").select("kind", "value", "piece", "carried")
+    found = inside.join(carried, ["kind", "value", "piece"], "left").select(F.col("me.row_id").alias("row_id"), "kind", F.coalesce("last", "carried").alias("other"))
+    per = found.groupBy("row_id").agg(*(F.any_value(F.when(F.col("kind") == k, F.col("other")), ignoreNulls=True).alias(k) for k in KEYS))
+    d = rows.select("me", "unique", F.col("me.row_id").alias("row_id")).join(per, "row_id", "left")
+    hit = {k: F.col(k).isNotNull() & (F.lit(True) if k in KEYS[:2] else _agree("me", k) >= 2) for k in KEYS}
+    verdict = F.coalesce(*(F.when(hit[k], F.struct(F.col(f"{k}.row_id").alias("original"), F.lit("primary" if k in KEYS[:2] else "secondary").alias("match_type"), F.lit(k).alias("match_key"))) for k in KEYS))
+    return d.select("me", "unique", verdict.alias("now"))
+
+
+def dedup_fuzzy(df: DataFrame) -> DataFrame:
+    """D3: each row against the unique rows before it, by address or url, then, with two points of agreement, by name or phone, where
+    the latest unique row of the key counts: row_id, duplicate, original, match_type, match_key.
+
+    The rule is sequential, but what a row finds depends on earlier rows alone, so its answer is the one marking of unique rows that
+    it gives back unchanged. That is found by checking all rows at once against a marking, at first of all rows, until no mark
+    changes; after n rounds all rows are right that hang on n others in a row at most. A key that many rows share is cut into
+    pieces of row ids, each sorted in a task. Needs a checkpoint directory. Rows without keys are unique; null ids are not allowed.
+    """
+    rows = df.select(F.struct("row_id", *(match_key(F.col(c)).alias(c) for c in TEXTS)).alias("me"), F.lit(True).alias("unique")).checkpoint()
+    while True:
+        seen = _checked(rows).checkpoint()
+        if seen.where(F.col("unique") != F.col("now").isNull()).isEmpty():
+            break
+        rows = seen.select("me", F.col("now").isNull().alias("unique"))
+    return seen.select(F.col("me.row_id").alias("row_id"), F.col("now").isNotNull().alias("duplicate"), "now.original", "now.match_type", "now.match_key")
 
 
 def duplicate_pairs(df: DataFrame, checked: DataFrame) -> DataFrame:

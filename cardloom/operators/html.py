@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import first_match, is_valid_name, matches, normalize_phone, present
+from ..functions.text import first_match, matches, present
 
 NODES = "page_id long, node_id int, parent_id int, path string, tag string, class string, attrs map<string,string>, text string, own_text string"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -94,72 +94,6 @@ def html_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("page_id", "node_id", "href", absolute(F.col("href"), F.col("base")).alias("url"), "text", "class", F.coalesce("img", F.lit(False)).alias("has_img"))
 
 
-def ranked(rows: list[tuple[DataFrame, str, str]], key: str) -> DataFrame:
-    """Union of (rows, source, confidence), the first source by list order and then position keeping each (page, key)."""
-    out = None
-    for rank, (d, source, confidence) in enumerate(rows):
-        d = d.select("page_id", "node_id", "value", F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), F.lit(rank).alias("rank"))
-        out = d if out is None else out.unionByName(d)
-    out = out.where("value is not null").withColumn("key_", F.expr(key))
-    w = Window.partitionBy("page_id", "key_").orderBy("rank", "node_id", "value")
-    return out.withColumn("r_", F.row_number().over(w)).where("r_ = 1").select("page_id", "node_id", "value", "source", "confidence", "rank")
-
-
-def email_candidates(nodes: DataFrame) -> DataFrame:
-    """H3: addresses of a page by seven sources, lower-cased; the first source keeps an address."""
-    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
-    every = lambda d, c: d.select("page_id", "node_id", F.explode(matches(F.lower(c), V.EMAIL)).alias("value"))
-    link = nodes.where("tag = 'a'")
-    mail = link.where(F.lower(href).startswith("mailto:"))
-    texts = nodes.where("own_text <> ''")
-    obfuscated = F.regexp_replace(F.regexp_replace(F.col("own_text"), r"(?i)\s*[\[(]\s*at\s*[\])]\s*", "@"), r"(?i)\s*[\[(]\s*dot\s*[\])]\s*", ".")
-    named = link.where(F.lower(F.col("class")).contains("email"))
-    return ranked(
-        [
-            (every(named, F.col("text")), "email-link-text", "high"), (every(named, href), "email-link-href", "high"), (every(mail, F.regexp_replace(href, r"\?.*", "")), "mailto", "high"),
-            (every(texts, F.col("own_text")), "text", "medium"), (every(nodes, F.coalesce(F.col("attrs")["data-email"], F.lit(""))), "data-attr", "high"),
-            (every(texts.where(obfuscated != F.col("own_text")), obfuscated), "obfuscated", "medium"), (every(link.where(href.contains("%40")), F.try_url_decode(href)), "encoded-href", "medium"),
-        ],
-        "value",
-    )
-
-
-def phone_candidates(nodes: DataFrame) -> DataFrame:
-    """H4: phones by tel links, text, data attributes and class hints; the key is their digits, ten at least."""
-    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
-    texts = nodes.where("own_text <> ''")
-    all_of = F.array_distinct(F.concat(*(matches(F.col("own_text"), p) for p in V.PHONES)))
-    hint = F.regexp_extract(F.col("own_text"), r"([+\d][\d\s().-]{8,})", 1)
-    return ranked(
-        [
-            (nodes.where((F.col("tag") == "a") & F.lower(href).startswith("tel:")).select("page_id", "node_id", F.regexp_replace(href, "(?i)^tel:", "").alias("value")), "tel", "high"),
-            (texts.select("page_id", "node_id", F.explode(all_of).alias("value")), "text", "medium"),
-            (nodes.select("page_id", "node_id", F.coalesce(F.col("attrs")["data-phone"], F.col("attrs")["data-tel"]).alias("value")), "data-attr", "high"),
-            (texts.where(F.lower(F.col("class")).rlike("phone|tel") & F.length(F.regexp_replace(hint, r"\D", "")).between(10, 11)).select("page_id", "node_id", F.trim(hint).alias("value")), "class-hint", "medium"),
-        ],
-        r"regexp_replace(value, '\\D', '')",
-    ).where(F.length(F.regexp_replace("value", r"\D", "")) >= 10)
-
-
-def name_candidates(nodes: DataFrame) -> DataFrame:
-    """H5: the best name of a page: class groups and headings by priority, then document order."""
-    c = F.lower(F.col("class"))
-    group = F.when(c.rlike("(^|[ _-])(full-?name|person-?name|agent-?name|attorney-?name)"), 0).when(c.rlike("name"), 1).when(F.col("tag").isin("h1", "h2"), 2).when(F.col("tag").isin("h3", "h4"), 3).when(F.col("tag").isin("strong", "b"), 4)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.col("text"), r"(?i)^(mr|mrs|ms|dr|prof)\.?\s+", ""), r"(?i),?\s+(jr|sr|esq|phd|md|ii|iii)\.?\z", ""))
-    ok = F.length(text).between(2, 100) & (F.size(F.split(text, r"\s+")) <= 5) & text.rlike(r"^[A-Z][\p{L}\s'.-]*\z")
-    d = nodes.select("page_id", "node_id", text.alias("value"), ((5 - group) * 10).alias("priority")).where(group.isNotNull() & ok & is_valid_name(text))
-    return d.groupBy("page_id").agg(F.min(F.struct((-F.col("priority")).alias("p"), "node_id", "value")).alias("m")).select("page_id", "m.node_id", "m.value", (-F.col("m.p")).alias("priority"))
-
-
-def contacts_from_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """The best name, address and phone of each page with their sources."""
-    e = email_candidates(nodes).groupBy("page_id").agg(F.min(F.struct("rank", "node_id", "value", "source")).alias("e"))
-    p = phone_candidates(nodes).groupBy("page_id").agg(F.min(F.struct("rank", "node_id", "value", "source")).alias("p"))
-    n = name_candidates(nodes).select("page_id", F.col("value").alias("name"))
-    d = pages.select("page_id", "url").join(n, "page_id", "left").join(e, "page_id", "left").join(p, "page_id", "left")
-    return d.select("page_id", "url", "name", F.col("e.value").alias("email"), normalize_phone(F.col("p.value")).alias("phone"), F.col("e.source").alias("email_source"), F.col("p.source").alias("phone_source"))
-
-
 SOCIAL = {"linkedin": r"linkedin\.com/(?:in|company)/([^/?#\"']+)", "twitter": r"(?:twitter|x)\.com/([^/?#\"']+)", "facebook": r"facebook\.com/([^/?#\"']+)", "github": r"github\.com/([^/?#\"']+)"}
 
 

@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.text import any_of, digits, first_match, is_business_email, matches, name_variations, normalize_phone, present
-from .trees import attr, class_part, first, has_class, href, in_order, is_link, texts, within
+from .trees import attr, class_part, first, has_class, href, in_order, is_link, page_text, texts, within
 
 PERSON = "array<struct<`@type`:string,name:string,email:string,telephone:string,jobTitle:string,description:string,worksFor:struct<name:string>>>"
 
 
-def page_text(nodes: Column) -> Column:
-    """The visible text of the page, white space squeezed."""
-    return F.coalesce(first(nodes, lambda n: n["tag"] == "body")["text"], F.get(nodes, 0)["text"])
-
-
 def cls(*tokens: str) -> list:
     return [lambda n, t=t: has_class(n, t) for t in tokens]
 

@@ -94,6 +94,11 @@ def in_order(nodes: Column, tests: list[Test], good: Callable[[Column], Column],
     return F.coalesce(*(of(t) for t in tests))
 
 
+def page_text(nodes: Column) -> Column:
+    """The visible text of the page, white space squeezed: of its body, or of everything where no body is marked."""
+    return F.coalesce(first(nodes, lambda n: n["tag"] == "body")["text"], F.array_join(texts(nodes, lambda n: n["up"] == -1), " "))
+
+
 def distinct_by_value(found: Column) -> Column:
     """Of structs with a field v, the first of each v."""
     v = F.transform(found, lambda x: x["v"])

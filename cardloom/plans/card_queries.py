@@ -60,6 +60,16 @@ def profile_pages(spark, sf):
     return trees.page_trees(built(spark, sf, f"select k as page_id, 'https://www.' || site || '/people/' || slug as url, {PROFILE} as html from x"))
 
 
+def links_of(spark, sf):
+    d = listing_pages(spark, sf)
+    return html.html_links(html.html_nodes(d), d)
+
+
+def social_pages(spark, sf):
+    site = "case k % 5 when 0 then 'https://www.linkedin.com/in/' || slug when 1 then 'https://twitter.com/' || slug || '?s=1' when 2 then 'https://facebook.com/' || slug when 3 then 'https://github.com/' || slug else 'https://x.org/' end"
+    return built(spark, sf, f"select k as page_id, 'https://' || site || '/' as url, '<p><a href=\"' || {site} || '\">me</a><a href=\"/in/' || slug || '\">in</a></p>' as html from x")
+
+
 def joined(*names):
     return lambda d: d.select(*(F.array_join(c, "|").alias(c) if c in names else C(c) for c in d.columns))
 
@@ -73,6 +83,7 @@ def contact_links(spark, sf):
 
 
 PLACE = "(k // 8)::bigint as page_id, (row_number() over (partition by k // 8 order by k) - 1)::int as card_index"
+URL_HERE = "'https://' || site || '/people/' || slug"
 URL = "case when k % 4 <> 1 then 'https://' || site || '/people/' || slug end"
 MAIL = "case when k % 5 < 4 then box || '@' || site end"
 TEN = "area || '-555-' || line"
@@ -81,6 +92,37 @@ SMART_TEN = "'(' || area || ') 555-' || line"
 SMART_PLACE = "case when k % 3 <> 1 and city in ('New York, NY', 'Boston, MA') then city end"
 
 QUERIES = {
+    "h2_listing_links": (
+        lambda s, d: links_of(s, d).select("page_id", "url", "text", "class", "has_img"),
+        f"""with {DUCK} select (k // 8)::bigint as page_id, 'https://' || site || '/people#top' as url, 'Up' as text, '' as class, false as has_img from x where k % 4 = 1
+ union all select (k // 8)::bigint, {URL_HERE}, case when k % 6 = 2 then name else 'View profile' end, 'more', k % 6 = 0 from x where k % 4 <> 1
+ union all select (k // 8)::bigint, 'mailto:' || box || '@' || site || case when k % 5 = 0 then '?subject=Hello' else '' end, case when k % 5 = 0 then 'Email' else 'Write' end, '', false from x where k % 5 < 2
+ union all select (k // 8)::bigint, 'tel:+1-' || {TEN}, 'Call', '', false from x where k % 4 = 0""",
+    ),
+    "h13_social_links": (
+        lambda s, d: (lambda p: html.social_links(html.html_links(html.html_nodes(p), p)))(social_pages(s, d)),
+        f"""with {DUCK}, u as (select k, slug, case k % 5 when 0 then 'linkedin' when 1 then 'twitter' when 2 then 'facebook' when 3 then 'github' end as platform from x)
+ select k::bigint as page_id, platform, case platform when 'linkedin' then 'https://www.linkedin.com/in/' || slug when 'twitter' then 'https://twitter.com/' || slug || '?s=1' else 'https://' || platform || '.com/' || slug end as url, slug as username from u where platform is not null""",
+    ),
+    "h26_profile_links": (
+        lambda s, d: html.profile_links(links_of(s, d)).select("page_id", "url", "text"),
+        f"with {DUCK} select (k // 8)::bigint as page_id, {URL_HERE} as url, case when k % 6 = 2 then name else 'View profile' end as text from x where k % 4 <> 1",
+    ),
+    "h3_email_candidates": (
+        lambda s, d: cards.email_candidates(listing_cards(s, d)),
+        f"""with {DUCK}, c as (select {PLACE}, k, {MAIL} as value from x) select page_id, card_index, 0 as position, value, case k % 5 when 0 then 'email-link-text' when 1 then 'mailto' when 2 then 'text' else 'data-attr' end as source,
+ case when k % 5 = 2 then 'medium' else 'high' end as confidence from c where value is not null""",
+    ),
+    "h4_phone_candidates": (
+        lambda s, d: cards.phone_candidates(listing_cards(s, d)),
+        f"""with {DUCK}, c as (select {PLACE}, k, {PHONE} as value from x) select page_id, card_index, 0 as position, value, regexp_replace(value, '\D', '', 'g') as digits, case when k % 4 = 0 then 'tel' else 'text' end as source,
+ case when k % 4 = 0 then 'high' else 'medium' end as confidence from c where value is not null""",
+    ),
+    "h5_name_candidates": (
+        lambda s, d: listing_cards(s, d).select("page_id", "card_index", cards.card_name(C("nodes")).alias("name")),
+        f"with {DUCK} select {PLACE}, name from x",
+    ),
+    "h7_contacts_from_pages": (lambda s, d: cards.contacts_from_cards(cards.whole_pages(trees.page_trees(s.read.parquet(f"{d}/pages.parquet")))), None),
     "h17_listing_cards": (
         lambda s, d: cards.listing_cards(listing_cards(s, d)),
         f"""with {DUCK} select {PLACE}, case when k % 3 < 2 then name end as name, {URL} as profile_url, case when k % 5 < 3 then box || '@' || site end as email, {PHONE} as phone,

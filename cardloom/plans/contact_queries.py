@@ -169,7 +169,12 @@ QUERIES = {
         f"""{CONTACTS}, w as (select row_id, string_split(lower(name), ' ') as w, regexp_matches(name, '^[A-Z][a-z]+ [A-Z][a-z]+$') as ok from contacts)
  select row_id, case when ok then w[1] || '.' || w[2] || '|' || w[1] || w[2] || '|' || left(w[1], 1) || w[2] || '|' || w[2] || '|' || w[1] end as variations from w""",
     ),
-    "c13_clean_email": (per_row(lambda: dict(value=T.clean_email(F.concat(F.lit("mailto:"), C("email"), F.lit("?subject=hi"))))), f"{CONTACTS} select row_id, lower(email) as value from contacts"),
+    "c13_clean_email": (
+        per_row(lambda: dict(value=T.clean_email(F.concat(F.when(C("row_id") % 3 == 0, " MailTo:<").when(C("row_id") % 3 == 1, "[").otherwise(""), F.coalesce("email", C("phone")), F.when(C("row_id") % 3 == 0, ">?subject=a@b.co").when(C("row_id") % 3 == 1, ") ").otherwise("?x"))))),
+        rf"""{CONTACTS}, a as (select row_id, trim(case row_id % 3 when 0 then ' MailTo:<' when 1 then '[' else '' end || coalesce(email, phone) || case row_id % 3 when 0 then '>?subject=a@b.co' when 1 then ') ' else '?x' end) as v from contacts),
+ b as (select row_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '(?i)^mailto:', ''), '\?.*', ''), '^[<\[(\s]+', ''), '[>\])\s]+$', '') as v from a)
+ select row_id, case when regexp_full_match(v, '{V.EMAIL}') then lower(v) end as value from b""",
+    ),
     "c14_method_confidence": (
         per_row(lambda: dict(email=T.email_confidence(C("email")), phone=T.phone_confidence(C("phone")))),
         f"""{CONTACTS} select row_id, case when email is not null then 80 + case when lower(split_part(email, '@', -1)) in ({quoted(V.PERSONAL_DOMAINS)}) then 10 when email ilike '%.com' then 5 else 0 end - case when instr(email, '@') < 3 then 20 else 0 end end::int as email,

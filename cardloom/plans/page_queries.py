@@ -122,13 +122,7 @@ QUERIES = {
     ),
     "h1_html_nodes": (lambda s, d: nodes(s, d).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(C("tag") == "a").alias("links"), F.sum(F.length("own_text")).alias("chars")), None),
     "h2_html_links": (links, None),
-    "h3_email_candidates": (lambda s, d: html.email_candidates(nodes(s, d)), None),
-    "h4_phone_candidates": (lambda s, d: html.phone_candidates(nodes(s, d)), None),
-    "h5_name_candidates": (lambda s, d: html.name_candidates(nodes(s, d)), None),
-    "h7_contacts_from_pages": (lambda s, d: html.contacts_from_pages(nodes(s, d), pages(s, d)), None),
     "h8_link_scores": (lambda s, d: html.link_scores(links(s, d)), None),
-    "h13_social_links": (lambda s, d: html.social_links(links(s, d)), None),
-    "h26_profile_links": (lambda s, d: html.profile_links(links(s, d)), None),
     "h28_pagination_controls": (lambda s, d: html.pagination_controls(nodes(s, d)), None),
     "h30_infinite_scroll": (lambda s, d: html.infinite_scroll_score(pages(s, d)), None),
     "u7_compare_urls": (lambda s, d: pages(s, d).select("page_id", U.compare_urls(F.concat("url", F.lit("?page=2")), F.concat("url", F.lit("?page=3"))).alias("x")).select("page_id", "x.*"), None),

@@ -22,7 +22,7 @@ def duck():
 
 
 def shown(v):
-    return "" if v is None or str(v) in ("nan", "<NA>", "None", "NaT") else f"{v:.6g}" if isinstance(v, float) else str(v)
+    return None if v is None or str(v) in ("nan", "<NA>", "None", "NaT") else f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
 def rows(frame, cols):
