@@ -110,6 +110,34 @@ def page_urls(patterns: DataFrame, first: int, last: int) -> DataFrame:
     return each.withColumn("page_url", out.when(F.col("type") == "path", F.replace(F.col("url"), F.lit("{page}"), n)))
 
 
+PATTERN = "struct<type:string,name:string,base_url:string,page:bigint,size:int,confidence:double,method:string>"
+
+
+def choose_pattern(d: DataFrame) -> DataFrame:
+    """Adds `pattern`, how a listing is paged, by the first of: settings by hand (`manual`, a map of page, offset, cursor or path to a
+    name), a `cached` struct(type, name), a numeric parameter of the `url`, the change from it to the next page's address (`next_url`), a
+    `scroll` score of 4 or more, a page number in the path. Null if none says so. Inputs may be null."""
+    url, manual, cached, scroll_score = (F.col(c) for c in ("url", "manual", "cached", "scroll"))
+    d = d.withColumns({"own_": page_param(url), "step_": compare_urls(url, F.col("next_url")), "path_": path_page(url), "base_": base_url(url)})
+    plain, null = F.regexp_replace(url, r"[?#].*", ""), lambda t: F.lit(None).cast(t)
+
+    def pattern(kind: Column, name: Column, base: Column, page: Column, size: Column, confidence: Column, method: str) -> Column:
+        return F.struct(kind.alias("type"), name.alias("name"), base.alias("base_url"), page.cast("long").alias("page"), size.cast("int").alias("size"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method")).cast(PATTERN)
+
+    by_hand = [
+        F.when(manual[k].isNotNull(), pattern(F.lit(t), manual[k], plain if k != "path" else manual[k], null("long"), F.lit(10) if k == "offset" else null("int"), null("double"), "manual"))
+        for k, t in (("page", "parameter"), ("offset", "offset"), ("cursor", "cursor"), ("path", "path"))
+    ]
+    known = F.when(cached.isNotNull(), pattern(cached["type"], cached["name"], F.col("base_"), null("long"), null("int"), null("double"), "cache"))
+    own, step, path = F.col("own_"), F.col("step_"), F.col("path_")
+    by_param = F.when(own.isNotNull(), pattern(own["type"], own["name"], url, own["value"], null("int"), F.lit(1.0), "url-parameter"))
+    sure = lambda method, kind: pattern_confidence(F.lit(method), kind, F.lit(method == "navigation"), F.lit(False), F.lit(method == "navigation")) / 100
+    by_next = F.when(step.isNotNull(), pattern(step["type"], step["name"], plain, null("long"), step["size"], sure("navigation", step["type"]), "navigation"))
+    by_scroll = F.when(scroll_score >= 4, pattern(F.lit("infinite-scroll"), null("string"), url, null("long"), null("int"), scroll_score / 10, "infinite-scroll-detection"))
+    by_path = F.when(path.isNotNull(), pattern(F.lit("path"), null("string"), path["pattern"], path["page"], null("int"), sure("url-analysis", F.lit("path")), "url-analysis"))
+    return d.withColumn("pattern", F.coalesce(*by_hand, known, by_param, by_next, by_scroll, by_path)).drop("own_", "step_", "path_", "base_")
+
+
 def pattern_confidence(method: Column, kind: Column, has_controls: Column, has_max: Column, has_next: Column) -> Column:
     """40/35/30/15 by method, 20/15 by type, 20 controls, 15 a greatest page, 10 a next link; at most 100."""
     s = F.when(method == "manual", 40).when(method == "cache", 35).when(method == "navigation", 30).when(method == "url-analysis", 15).otherwise(0)

@@ -5,7 +5,7 @@ Null or empty pages have no cards; cards without a field have null there; ties g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -242,3 +242,73 @@ def smart_contacts(cards: DataFrame) -> DataFrame:
     weights = {"email": 35, "name": 30, "phone": 15, "title": 10, "profile_url": 5, "location": 5}
     score = sum((F.when(F.col(c).isNotNull(), w).otherwise(0) for c, w in weights.items()), F.lit(0))
     return d.select("page_id", "card_index", *weights, score.alias("score"), F.size("e_").alias("all_emails"), F.size("p_").alias("all_phones"))
+
+
+def by_method(nodes: Column, text: Column, url: Column) -> dict[str, Column]:
+    """What each method of H20 finds on a card. Methods that need a place on the screen take the first heading or name (`coordinate-text`)."""
+    mail = first(nodes, lambda x: is_link(x) & href(x).startswith("mailto:"))
+    tel = first(nodes, lambda x: is_link(x) & href(x).startswith("tel:"))
+    link = first(nodes, lambda x: is_link(x) & (href(x) != "") & ~href(x).rlike("^(mailto:|tel:|#|javascript:)"))
+    return {
+        "mailto-link": F.lower(bare(href(mail), "mailto")), "regex-email": F.lower(first_match(text, V.EMAIL)), "tel-link": F.regexp_replace(href(tel), "^tel:", ""), "regex-phone": first_match(text, V.LOOSE_PHONE),
+        "href-link": joined_url(href(link), url), "coordinate-text": first(nodes, lambda x: x["tag"].isin(*HEADINGS) | class_part(x, "name"))["text"],
+    }
+
+
+def apply_field_methods(cards: DataFrame, config: DataFrame, domain: Column, fields: list[str]) -> DataFrame:
+    """For each card the fields by the method that its domain's settings (domain, field, method, confidence or null) name, with
+    methods, a map of field to method and confidence (85 by default). Cards without any field go; of two settings of a field the least
+    method counts; a domain without settings gives no rows."""
+    per = config.groupBy("domain", "field").agg(F.min(F.struct("method", F.coalesce("confidence", F.lit(85)).alias("confidence"))).alias("how"))
+    per = per.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("field", "how"))).alias("how_"))  # a row per domain
+    d = cards.withColumn("domain", domain).join(per, "domain").withColumns({f"m_{k}": present(v) for k, v in by_method(F.col("nodes"), F.col("text"), F.col("url")).items()})
+    names = ("mailto-link", "regex-email", "tel-link", "regex-phone", "href-link", "coordinate-text")
+    value = {f: F.coalesce(*(F.when(F.col("how_")[f]["method"] == k, F.col(f"m_{k}")) for k in names)) for f in fields}
+    d = d.withColumns({f: v for f, v in value.items()}).where(F.coalesce(*(F.col(f) for f in fields)).isNotNull())
+    got = F.map_filter("how_", lambda k, v: F.array_contains(F.filter(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull()), k))
+    return d.select("page_id", "card_index", "domain", *fields, got.alias("methods"))
+
+
+def visit_extract(trees: DataFrame) -> DataFrame:
+    """page_id, email (the first of high confidence, else the first), phone (the first), name (the first of eight selectors, 3 to 100
+    characters and five words at most) of each visited page."""
+    d = whole_pages(trees)
+    e, p = card_emails(F.col("nodes"), F.col("text"), F.col("url")), card_phones(F.col("nodes"), F.col("text"))
+    d = d.withColumns({"e_": e, "p_": p})
+    sure = F.get(F.filter("e_", lambda x: ~x["source"].isin("text", "obfuscated", "encoded-href")), 0)["v"]
+    token = lambda t: lambda x: has_class(x, t)
+    tests = [lambda x: x["tag"] == "h1", *map(token, ("attorney-name", "lawyer-name", "profile-name", "name")), lambda x: class_part(x, "name"), *map(token, ("bio-name", "person-name"))]
+    name = in_order(F.col("nodes"), tests, lambda t: F.length(t).between(3, 100) & (F.size(F.split(t, r"\s+")) <= 5))
+    return d.select("page_id", F.coalesce(sure, F.get("e_", 0)["v"]).alias("email"), F.get("p_", 0)["shown"].alias("phone"), name.alias("name"))
+
+
+def repeated_cards(trees: DataFrame, least: float = 65.0) -> DataFrame:
+    """page_id, n, like, score: elements that look like the first element of their parent and tag (`like`), by structure alone: tag 20,
+    parents up to three 15, number of children 15, tags of children 15, classes 15, links 10, address and phone 10. Each element meets one
+    other, so a list of any length costs its length."""
+    n = F.col("nodes")
+    own = F.filter(n, lambda x: ~x["tag"].isin("html", "head", "body", "script", "style", "meta", "link", "title", "br"))
+    d = trees.select("page_id", "nodes", F.explode(own).alias("x"))
+    inside = F.filter(n, lambda y: (y["n"] > F.col("x.n")) & (y["n"] <= F.col("x.last")))
+    kids = F.filter(n, lambda y: y["up"] == F.col("x.n"))
+    up = lambda k: F.get(n, k["up"])
+    chain = [F.col("x")]
+    for _ in range(3):
+        chain.append(up(chain[-1]))
+    look = F.struct(
+        F.array(*(F.struct(c["tag"].alias("tag"), F.split(c["cls"], r"\s+").alias("cls")) for c in chain[1:])).alias("parents"), F.size(kids).alias("count"), F.transform(kids, lambda y: y["tag"]).alias("tags"),
+        F.array_distinct(F.filter(F.split(F.col("x.cls"), r"\s+"), lambda c: c != "")).alias("cls"), F.size(F.filter(inside, lambda y: y["tag"] == "a")).alias("links"),
+        F.col("x.text").rlike(V.EMAIL).alias("email"), F.col("x.text").rlike(r"[\d\s\-().+]{7,}").alias("phone"),
+    )
+    each = d.where(F.size(kids) > 0).select("page_id", F.col("x.n").alias("n"), F.col("x.up").alias("up"), F.col("x.tag").alias("tag"), look.alias("me"))
+    each = each.withColumn("it", F.first(F.struct("n", "me")).over(Window.partitionBy("page_id", "up", "tag").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    a, b = F.col("me"), F.col("it.me")
+    pairs = F.filter(F.arrays_zip(a["parents"].alias("p"), b["parents"].alias("q")), lambda z: z["p"]["tag"].isNotNull() & z["q"]["tag"].isNotNull())
+    parents = F.aggregate(pairs, F.lit(0.0), lambda s, z: s + F.when(z["p"]["tag"] == z["q"]["tag"], F.when(F.exists(z["p"]["cls"], lambda c: (c != "") & F.array_contains(z["q"]["cls"], c)), 1.5).otherwise(1.0)).otherwise(0.0)) / F.greatest(F.size(pairs), F.lit(1))
+    kinds = F.array_distinct(F.concat(a["tags"], b["tags"]))
+    times = lambda tags, t: F.size(F.filter(tags, lambda y: y == t))
+    alike = F.aggregate(kinds, F.lit(0.0), lambda s, t: s + F.least(times(a["tags"], t), times(b["tags"], t)) / F.greatest(times(a["tags"], t), times(b["tags"], t))) / F.greatest(F.size(kinds), F.lit(1))
+    classes = F.when((F.size(a["cls"]) == 0) & (F.size(b["cls"]) == 0), 1.0).otherwise(2 * F.size(F.array_intersect(a["cls"], b["cls"])) / F.greatest(F.size(a["cls"]) + F.size(b["cls"]), F.lit(1)))
+    links = F.when((a["links"] > 0) == (b["links"] > 0), 5 + F.greatest(F.lit(0), 5 - F.abs(a["links"] - b["links"]))).otherwise(0)
+    score = 20 + 15 * parents + 15 * F.greatest(F.lit(0.0), 1 - F.abs(a["count"] - b["count"]) / 10) + 15 * alike + 15 * classes + links + F.when(a["email"] == b["email"], 5).otherwise(0) + F.when(a["phone"] == b["phone"], 5).otherwise(0)
+    return each.withColumn("score", F.round(score, 4)).where((F.col("n") != F.col("it.n")) & (F.col("score") >= least)).select("page_id", "n", F.col("it.n").alias("like"), "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_location_profile, detect_noise, split_name_title
 from ..functions.text import digits, no_text, present
+from .postclean import post_clean
 
 FIELDS = ["name", "email", "phone", "title", "location", "bio"]
 
@@ -161,3 +162,23 @@ def page_fingerprint_check(rows: DataFrame, first: int = 5) -> DataFrame:
     ends = (F.col("last.name") == F.col("last1.name")) & (F.col("top.name") == F.col("top1.name"))
     verdict = F.when(F.col("page_num") == 1, "first").when(F.col("h1").isNull(), "valid").when(same("profile_url"), "duplicate_urls").when(same("name"), "duplicate_names").when(ends, "duplicate_boundaries").otherwise("unique")
     return d.select("listing_id", "page_num", verdict.alias("verdict"))
+
+
+CORE = ["name", "email", "phone", "title", "location", "profile_url"]
+ASIDE = {"row_id", "enrichment", "domain", "domain_type", "confidence", "source"}
+
+
+def union_fields(contacts: DataFrame) -> list[str]:
+    """The fields to enrich: the core fields, then the table's other plain columns in order, without ids, metadata and nested ones."""
+    plain = [f.name for f in contacts.schema if f.name not in ASIDE and not f.name.startswith("_") and not f.dataType.typeName() in ("struct", "array", "map")]
+    return list(dict.fromkeys([*CORE, *plain]))
+
+
+def enrich_flow(contacts: DataFrame, profiles: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an enrichment run: contacts (merged, places and phones cleaned and scored), report (actions per field) and
+    review (the fields that a person should look at, with both values)."""
+    d = enrich(contacts, profiles)
+    merged = d.select("row_id", *(F.col(f"merged_{c}.value").alias(c) for c in FIELDS[:5]), "profile_url")
+    rows = actions_long(d)
+    review = rows.where("review").select("row_id", "field", "value", "original", "flag")
+    return {"contacts": post_clean(merged), "report": rows.groupBy("field", "action").agg(F.count("*").alias("contacts")), "review": review}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col as C
 
 from ..functions import text as T
+from ..functions import urls as U
 from ..operators import cards, html, matching, profiles, trees
 from .contacts import BASE
 
@@ -70,6 +71,25 @@ def social_pages(spark, sf):
     return built(spark, sf, f"select k as page_id, 'https://' || site || '/' as url, '<p><a href=\"' || {site} || '\">me</a><a href=\"/in/' || slug || '\">in</a></p>' as html from x")
 
 
+def site_methods(spark, sf):
+    """Settings of each site: addresses by link or by text, phones by link on half of the sites, names by place."""
+    d = built(spark, sf, "select distinct site as domain, (k div 8) % 17 % 2 as odd from x")
+    how = F.array(*(F.struct(F.lit(f).alias("field"), m.alias("method")) for f, m in (("name", F.lit("coordinate-text")), ("email", F.when(C("odd") == 0, "mailto-link").otherwise("regex-email")), ("phone", F.when(C("odd") == 0, "tel-link")))))
+    return d.select("domain", F.explode(F.filter(how, lambda h: h["method"].isNotNull())).alias("h"), F.lit(None).cast("int").alias("confidence")).select("domain", "h.field", "h.method", "confidence")
+
+
+def card_nodes(spark, sf):
+    return trees.page_trees(listing_pages(spark, sf)).select("page_id", F.explode(F.filter("nodes", lambda n: trees.has_class(n, "card"))).alias("c")).select("page_id", "c.n")
+
+
+def paging(spark, sf):
+    """Addresses with what each way of finding a pattern would go by."""
+    d = built(spark, sf, """select k, case k % 7 when 2 then 'https://' || site || '/list?page=' || cast(k % 50 as varchar(9)) || '&s=1' when 3 then 'https://' || site || '/list?nr=0' when 5 then 'https://' || site || '/list/page/3' else 'https://' || site || '/list' end as url,
+ case when k % 7 = 3 then 'https://' || site || '/list?nr=20' end as next_url, case when k % 7 in (2, 4) then 6 else 0 end as scroll from x""")
+    manual, cached = F.create_map(F.lit("offset"), F.lit("skip")), F.struct(F.lit("parameter").alias("type"), F.lit("pg").alias("name"))
+    return d.select("k", "url", F.when(C("k") % 7 == 0, manual).alias("manual"), F.when(C("k") % 7 == 1, cached).alias("cached"), "next_url", "scroll")
+
+
 def joined(*names):
     return lambda d: d.select(*(F.array_join(c, "|").alias(c) if c in names else C(c) for c in d.columns))
 
@@ -122,6 +142,42 @@ QUERIES = {
         lambda s, d: listing_cards(s, d).select("page_id", "card_index", cards.card_name(C("nodes")).alias("name")),
         f"with {DUCK} select {PLACE}, name from x",
     ),
+    "h20_apply_field_methods": (
+        lambda s, d: cards.apply_field_methods(listing_cards(s, d), site_methods(s, d), U.domain(C("url")), ["name", "email", "phone"]).select("page_id", "card_index", "domain", "name", "email", "phone", F.array_join(F.array_sort(F.map_keys("methods")), ",").alias("fields")),
+        f"""with {DUCK}, c as (select {PLACE}, site as domain, case when k % 3 < 2 then name end as name, case when (k // 8) % 17 % 2 = 0 then case when k % 5 < 2 then box || '@' || site end else case when k % 5 = 2 then box || '@' || site end end as email,
+ case when (k // 8) % 17 % 2 = 0 and k % 4 = 0 then '+1-' || {TEN} end as phone from x)
+ select *, array_to_string(list_filter([case when email is not null then 'email' end, case when name is not null then 'name' end, case when phone is not null then 'phone' end], lambda v: v is not null), ',') as fields
+ from c where name is not null or email is not null or phone is not null""",
+    ),
+    "h27_visit_extract": (
+        lambda s, d: cards.visit_extract(profile_pages(s, d)),
+        f"""with {DUCK} select k::bigint as page_id, case k % 6 when 0 then 'desk@other.net' when 1 then 'desk@other.net' when 2 then 'all@' || site when 3 then 'desk' || k || '@' || site when 4 then 'info@' || site else case when k % 4 = 2 then box || '@micro.net' end end as email,
+ case k % 5 when 0 then '1' || area || '555' || line when 1 then area || '.555.' || line when 2 then {TEN} end as phone, case when k % 3 = 2 then 'Our Team' else name end as name from x""",
+    ),
+    "h31_repeated_cards": (
+        lambda s, d: cards.repeated_cards(trees.page_trees(listing_pages(s, d))).join(card_nodes(s, d), ["page_id", "n"]).groupBy("page_id").agg(F.count("*").alias("alike")),
+        f"with {DUCK}, p as (select (k // 8)::bigint as page_id, count(*) as n from x group by 1) select page_id, n - 1 as alike from p where n > 1",
+    ),
+    "c15_adjust_confidence": (
+        lambda s, d: built(s, d, "select k, case k % 4 when 0 then 'name' when 1 then 'email' when 2 then 'phone' else 'profile_url' end as field, case k % 9 when 0 then name when 1 then box || '@' || site when 2 then area || '-555-' || line when 3 then '/people/' || slug when 4 then box when 5 then 'of one two three four five' when 7 then '' when 8 then lower(name) end as value, 60 + 5 * (k % 9) as base from x").select("k", T.adjust_confidence(C("field"), C("value"), C("base")).cast("int").alias("confidence"), T.confidence_band(T.adjust_confidence(C("field"), C("value"), C("base"))).alias("band")),
+        rf"""with {DUCK}, v as (select k, case k % 4 when 0 then 'name' when 1 then 'email' when 2 then 'phone' else 'profile_url' end as field, case k % 9 when 0 then name when 1 then box || '@' || site when 2 then area || '-555-' || line when 3 then '/people/' || slug when 4 then box when 5 then 'of one two three four five' when 7 then '' when 8 then lower(name) end as value, 60 + 5 * (k % 9) as base from x),
+ c as (select k, case when value is null or value = '' then 0 else greatest(0, least(100, base + case field
+  when 'name' then case when len(string_split(value, ' ')) between 2 and 4 and regexp_full_match(value, '[A-Z]\S*( [A-Z]\S*)*') then 10 when contains(value, '@') or regexp_matches(value, '\d{{3}}[-.\s]?\d{{3}}[-.\s]?\d{{4}}') then -30 when len(string_split(value, ' ')) < 2 then -20 when len(string_split(value, ' ')) > 5 then -15 else 0 end
+  when 'email' then case when regexp_full_match(value, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}') then 10 else -20 end
+  when 'phone' then case when length(regexp_replace(value, '\D', '', 'g')) between 10 and 11 then 10 else -20 end
+  else case when value like '/%' or value like 'http%' then 10 else -10 end end)) end::int as confidence from v)
+ select *, case when confidence >= 90 then 'high' when confidence >= 70 then 'medium' else 'low' end as band from c""",
+    ),
+    "u9_choose_pattern": (
+        lambda s, d: U.choose_pattern(paging(s, d)).select("k", C("pattern").alias("p")).select("k", "p.type", "p.name", "p.base_url", "p.page", "p.size", F.round("p.confidence", 2).alias("confidence"), "p.method"),
+        f"""with {DUCK}, b as (select k, 'https://' || site as b from x)
+ select k, case k % 7 when 0 then 'offset' when 1 then 'parameter' when 2 then 'parameter' when 3 then 'offset' when 4 then 'infinite-scroll' when 5 then 'path' end as type,
+  case k % 7 when 0 then 'skip' when 1 then 'pg' when 2 then 'page' when 3 then 'nr' end as name,
+  case k % 7 when 0 then b || '/list' when 1 then b || '/list' when 2 then b || '/list?page=' || (k % 50) || '&s=1' when 3 then b || '/list' when 4 then b || '/list' when 5 then '/list/page/{{page}}' end as base_url,
+  case k % 7 when 2 then k % 50 when 5 then 3 end::bigint as page, case k % 7 when 0 then 10 when 3 then 20 end::int as size,
+  case k % 7 when 2 then 1.0 when 3 then 0.75 when 4 then 0.6 when 5 then 0.35 end::double as confidence,
+  case k % 7 when 0 then 'manual' when 1 then 'cache' when 2 then 'url-parameter' when 3 then 'navigation' when 4 then 'infinite-scroll-detection' when 5 then 'url-analysis' end as method from b""",
+    ),
     "h7_contacts_from_pages": (lambda s, d: cards.contacts_from_cards(cards.whole_pages(trees.page_trees(s.read.parquet(f"{d}/pages.parquet")))), None),
     "h17_listing_cards": (
         lambda s, d: cards.listing_cards(listing_cards(s, d)),

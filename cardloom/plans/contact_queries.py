@@ -119,6 +119,13 @@ def profile_links(spark, sf):
     return profiles(spark, sf).select(F.col("name").alias("text"), F.regexp_extract("profile_url", r"(\d+)\z", 1).cast("int").alias("position"))
 
 
+def field_counts(d):
+    """How many rows have each field that an enrichment would take."""
+    fields = enrich.union_fields(d)
+    one = d.agg(*(F.count(T.present(C(f))).alias(f) for f in fields))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), C(f).alias("present")) for f in fields))).alias("x")).select("x.field", "x.present")
+
+
 def listed(spark, sf):
     """Contacts as listings of pages of ten."""
     return contacts(spark, sf).select((C("row_id") % 7).alias("listing_id"), (F.floor(C("row_id") / 70) + 1).alias("page_num"), (F.floor(C("row_id") / 7) % 10).alias("position"), "name", "profile_url")
@@ -340,6 +347,15 @@ QUERIES = {
  case substr(phone, 4, 3) when '212' then 'New York' when '312' then 'Chicago' when '202' then 'Washington' when '617' then 'Boston' end as city from contacts),
  y as (select *, case when p is null then 'missing-data' when p not like '+%' then 'no-country-code' when w <> 'US' then 'country-mismatch' when city is not null and not contains(l, city) then 'city-mismatch' end as reason from x)
  select row_id, coalesce(reason = 'city-mismatch', true) as valid, coalesce(reason in ('country-mismatch', 'city-mismatch'), false) as mismatch, reason from y""",
+    ),
+    "p2_enrich_flow": (
+        lambda s, d: enrich.enrich_flow(contacts(s, d), profiles(s, d))["review"].where("field <> 'bio'"),
+        f"{J1} select row_id, field, p as value, o as original, field || '_mismatch' as flag from act where action = 'REPLACED'",
+    ),
+    "x2_union_fields": (
+        lambda s, d: field_counts(contacts(s, d).withColumns({"bio": C("title"), "tags": F.array("name"), "_x": C("name"), "domain": C("email")})),
+        f"""{CONTACTS}, n as (select count(name) as name, count(email) as email, count(phone) as phone, count(title) as title, count(location) as location, count(profile_url) as profile_url, count(title) as bio from contacts)
+ select field, present from n unpivot (present for field in (name, email, phone, title, location, profile_url, bio))""",
     ),
     "c28_post_clean": (lambda s, d: postclean.post_clean(contacts(s, d)), None),
     "a16_post_clean_stats": (lambda s, d: postclean.post_clean_stats(postclean.post_clean(contacts(s, d))), None),
