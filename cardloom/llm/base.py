@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, else the context's own checkpoint folder.
 
-    Only where neither is set, as in local tests, is a temporary folder made.
+    Where neither is set, a local session, as in tests, gets a temporary folder; a cluster must name one, as its executors don't share theirs.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not root and held.isDefined():
         root = held.get()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
