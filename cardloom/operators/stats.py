@@ -164,8 +164,10 @@ def field_coverage(df: DataFrame, fields: list[str] = REPORTED) -> DataFrame:
     """Per field the valid rows and coverage, and the first five valid samples by row_id."""
     x = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields)))
     d = df.select("row_id", x.alias("x")).select("row_id", "x.*").withColumn("ok", validate_field(F.col("field"), F.col("value"))["valid"])
-    first = F.min_by(F.col("value"), F.when(F.col("ok"), F.col("row_id")))
-    return d.groupBy("field").agg(F.count_if("ok").alias("valid"), F.count("*").alias("total"), share(F.count_if("ok"), F.count("*")).alias("coverage"), F.when(F.count_if("ok") > 0, first).alias("first_valid"))
+    first = Window.partitionBy("field").orderBy("row_id")  # a row limit in the window leaves five rows of each field per task
+    some = d.where("ok").withColumn("r", F.row_number().over(first)).where("r <= 5").groupBy("field").agg(F.array_sort(F.collect_list(F.struct("r", "value"))).alias("s"))
+    counts = d.groupBy("field").agg(F.count_if("ok").alias("valid"), F.count("*").alias("total"), share(F.count_if("ok"), F.count("*")).alias("coverage"))
+    return counts.join(some.select("field", F.transform("s", lambda x: x["value"]).alias("samples")), "field", "left")
 
 
 def score_contacts(df: DataFrame) -> DataFrame:

@@ -82,6 +82,19 @@ def card_nodes(spark, sf):
     return trees.page_trees(listing_pages(spark, sf)).select("page_id", F.explode(F.filter("nodes", lambda n: trees.has_class(n, "card"))).alias("c")).select("page_id", "c.n")
 
 
+def paged(spark, sf):
+    """Pages with numbered links, and hints of endless lists on some."""
+    d = built(spark, sf, "select k, 'https://' || site || '/list' as url from x")
+    some = lambda n, text: F.when(C("k") % n == 0, text).otherwise("")
+    numbers = F.array_join(F.transform(F.sequence(F.lit(1), (C("k") % 5 + 1).cast("int")), lambda i: F.concat(F.lit("<a href='?p="), i.cast("string"), F.lit("'>"), i.cast("string"), F.lit("</a>"))), "")
+    body = F.concat(numbers, some(2, "<a class='go' rel='next'>on</a>"), some(3, "<button>Previous</button>"), some(4, "<img loading='lazy'>" * 6), some(6, "<script src='infinite-scroll.js'></script>"), some(5, "<button>Load more</button>"), some(7, "<script>new IntersectionObserver(f)</script>"))
+    return d.select(C("k").alias("page_id"), "url", F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+
+
+STEP_FROM = "case k % 4 when 0 then 'https://' || site || '/l?a=7&page=' || cast(k % 9 as varchar(9)) when 1 then 'https://' || site || '/l?start=0' when 2 then 'https://' || site || '/l/' || cast(k % 9 as varchar(9)) else 'https://' || site || '/l?x=1' end"
+STEP_TO = "case k % 4 when 0 then 'https://' || site || '/l?a=7&page=' || cast(k % 9 + 1 as varchar(9)) when 1 then 'https://' || site || '/l?start=20' when 2 then 'https://' || site || '/l/' || cast(k % 9 + 1 as varchar(9)) else 'https://' || site || '/l?x=5' end"
+
+
 def paging(spark, sf):
     """Addresses with what each way of finding a pattern would go by."""
     d = built(spark, sf, """select k, case k % 7 when 2 then 'https://' || site || '/list?page=' || cast(k % 50 as varchar(9)) || '&s=1' when 3 then 'https://' || site || '/list?nr=0' when 5 then 'https://' || site || '/list/page/3' else 'https://' || site || '/list' end as url,
@@ -142,6 +155,29 @@ QUERIES = {
         lambda s, d: listing_cards(s, d).select("page_id", "card_index", cards.card_name(C("nodes")).alias("name")),
         f"with {DUCK} select {PLACE}, name from x",
     ),
+    "h1_html_nodes": (
+        lambda s, d: html.html_nodes(listing_pages(s, d)).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(C("tag") == "a").alias("links"), F.sum(F.length("own_text")).alias("chars")),
+        f"""with {DUCK} select (k // 8)::bigint as page_id, (3 + sum(3 + (k % 4 <> 1 and k % 6 = 0)::int + (k % 5 < 4)::int + (k % 4 <> 2)::int + (k % 2 = 0)::int + (k % 3 <> 1)::int + (k % 7 = 0)::int))::bigint as nodes, sum(1 + (k % 5 < 2)::int + (k % 4 = 0)::int)::bigint as links,
+ sum(length(name) + case when k % 3 = 2 then 5 else 0 end + case when k % 4 = 1 then 2 when k % 6 = 2 then length(name) else 12 end + case when k % 5 < 2 then 5 when k % 5 = 2 then length(box || '@' || site) else 0 end
+  + case k % 4 when 0 then 4 when 1 then 14 when 3 then 12 else 0 end + case when k % 2 = 0 then 7 else 0 end + case when k % 3 <> 1 then length(city) else 0 end)::bigint as chars from x group by 1""",
+    ),
+    "h8_link_scores": (
+        lambda s, d: html.link_scores(links_of(s, d)).select("page_id", "url", "score"),
+        f"with {DUCK} select (k // 8)::bigint as page_id, {URL_HERE} as url, case when k % 6 = 2 then 100 else 95 end::int as score from x where k % 4 <> 1",
+    ),
+    "h28_pagination_controls": (
+        lambda s, d: html.pagination_controls(html.html_nodes(paged(s, d))),
+        f"""with {DUCK} select k::bigint as page_id, array_to_string(list_transform(range(1, k % 5 + 2), lambda i: i::varchar), ',') as numbers, (k % 5 + 1)::int as max_page, k % 2 = 0 as has_next, k % 3 = 0 as has_prev,
+ case when k % 5 > 0 then 'numeric' when k % 2 = 0 or k % 3 = 0 then 'next-prev' else 'none' end as kind from x""",
+    ),
+    "h30_infinite_scroll": (
+        lambda s, d: html.infinite_scroll_score(paged(s, d)),
+        f"with {DUCK} select k::bigint as page_id, (case when k % 4 = 0 then 2 else 0 end + case when k % 6 = 0 then 2 else 0 end + case when k % 5 = 0 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end)::int as score, case when k % 4 = 0 then 2 else 0 end + case when k % 6 = 0 then 2 else 0 end + case when k % 5 = 0 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end >= 4 as infinite from x",
+    ),
+    "u7_compare_urls": (
+        lambda s, d: built(s, d, f"select k, {STEP_FROM} as a, {STEP_TO} as b from x").select("k", U.compare_urls(C("a"), C("b")).alias("step")).select("k", "step.*"),
+        f"with {DUCK} select k, case k % 4 when 0 then 'parameter' when 1 then 'offset' when 2 then 'path' end as type, case k % 4 when 0 then 'page' when 1 then 'start' end as name, case when k % 4 = 1 then 20 end::bigint as size from x",
+    ),
     "h20_apply_field_methods": (
         lambda s, d: cards.apply_field_methods(listing_cards(s, d), site_methods(s, d), U.domain(C("url")), ["name", "email", "phone"]).select("page_id", "card_index", "domain", "name", "email", "phone", F.array_join(F.array_sort(F.map_keys("methods")), ",").alias("fields")),
         f"""with {DUCK}, c as (select {PLACE}, site as domain, case when k % 3 < 2 then name end as name, case when (k // 8) % 17 % 2 = 0 then case when k % 5 < 2 then box || '@' || site end else case when k % 5 = 2 then box || '@' || site end end as email,

@@ -369,7 +369,24 @@ QUERIES = {
     ),
     "j7_duplicate_pairs": (lambda s, d: (lambda c: dedup.duplicate_pairs(c, dedup.dedup_fuzzy(c)))(contacts(s, d)), None),
     "d3_dedup_fuzzy": (on_contacts(dedup.dedup_fuzzy), None),
-    "j1a_enrichment_metadata": (lambda s, d: enrich.enrichment_metadata(enriched(s, d)), None),
-    "j1b_fallback_clean": (lambda s, d: enrich.fallback_clean(enriched(s, d)), None),
-    "a20_field_coverage": (on_contacts(stats.field_coverage), None),
+    "j1a_enrichment_metadata": (
+        lambda s, d: enrich.enrichment_metadata(enriched(s, d)).select("row_id", *(C("actions")[c].alias(c) for c in stats.REPORTED), F.array_join(F.array_sort("flags"), ",").alias("flags"), "needs_review", "overall"),
+        f"""{J1}, c as (select *, {CONF} as conf from act) select row_id, {", ".join(f"max(action) filter (field = '{c}') as {c}" for c in ("name", "email", "phone", "title", "location"))},
+ coalesce(string_agg(field || '_mismatch', ',' order by field) filter (action = 'REPLACED'), '') as flags, bool_or(action = 'REPLACED') as needs_review,
+ case when count(conf) = 0 or 2 * count(*) filter (conf = 'low') > count(conf) then 'low' when 2 * count(*) filter (conf = 'high') > count(conf) then 'high' else 'medium' end as overall from c group by 1""",
+    ),
+    "j1b_fallback_clean": (
+        lambda s, d: enrich.fallback_clean(enriched(s, d)),
+        f"""{CONTACTS}, {PROFILES}, {SPLIT}, {LOCP} select c.row_id, case when c.profile_url is null then c.name when sp.t is null then sp.n else trim(left(sp.n, length(sp.n) - length(sp.t))) end as name,
+ case when c.profile_url is null then c.title else coalesce(c.title, case when sp.t is not null then 'Partner' end) end as title, case when c.profile_url is null then c.location else lp3.v end as location, case when c.profile_url is null then 'no_profile_url' end as reason
+ from contacts c join sp using (row_id) join lp3 using (row_id) where c.profile_url is null or c.profile_url not in (select profile_url from profiles)""",
+    ),
+    "a20_field_coverage": (
+        lambda s, d: stats.field_coverage(contacts(s, d)).select("field", "valid", "total", "coverage", F.array_join("samples", "|").alias("samples")),
+        rf"""{CONTACTS}, flat as (select row_id, unnest(['name', 'email', 'phone', 'title', 'location']) as field, unnest([name, email, phone, title, location]) as value from contacts),
+ v as (select *, case when value is null then false when field = 'name' then length(trim(value)) between 2 and 100 and len(string_split_regex(trim(value), '\s+')) <= 6 when field = 'email' then regexp_full_match(trim(value), '{EMAIL_RE}')
+  when field = 'phone' then length(regexp_replace(value, '\D', '', 'g')) between 7 and 15 else length(trim(value)) between 2 and 200 end as ok, row_number() over (partition by field, value is null order by row_id) as rn from flat),
+ r as (select *, row_number() over (partition by field, ok order by row_id) as r from v)
+ select field, count(*) filter (ok) as valid, count(*) as total, round(count(*) filter (ok) / count(*), 4) as coverage, string_agg(value, '|' order by row_id) filter (ok and r <= 5) as samples from r group by field""".replace(" r as (select *, row_number() over (partition by field, ok", " ranked as (select *, row_number() over (partition by field, ok").replace("from r group by field", "from ranked group by field"),
+    ),
 }

@@ -120,10 +120,5 @@ QUERIES = {
         rf"""with c as (select page_id, coalesce(nullif(len(regexp_extract_all(html, '(?i)href=.mailto:')), 0), case when len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) >= 3 then len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) end,
  nullif(len(list_distinct(regexp_extract_all(html, '{V.EMAIL}'))), 0), nullif(len(regexp_extract_all(html, '(?i)href=.tel:')), 0), 0)::int as n from pages) select page_id, n as contacts, n >= 1 as valid from c""",
     ),
-    "h1_html_nodes": (lambda s, d: nodes(s, d).groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(C("tag") == "a").alias("links"), F.sum(F.length("own_text")).alias("chars")), None),
     "h2_html_links": (links, None),
-    "h8_link_scores": (lambda s, d: html.link_scores(links(s, d)), None),
-    "h28_pagination_controls": (lambda s, d: html.pagination_controls(nodes(s, d)), None),
-    "h30_infinite_scroll": (lambda s, d: html.infinite_scroll_score(pages(s, d)), None),
-    "u7_compare_urls": (lambda s, d: pages(s, d).select("page_id", U.compare_urls(F.concat("url", F.lit("?page=2")), F.concat("url", F.lit("?page=3"))).alias("x")).select("page_id", "x.*"), None),
 }
