@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .text import any_of, digits, first_match, matches, no_text, normalize_phone, present
+from .text import any_of, digits, first_match, let, matches, no_text, normalize_phone, present
 
 REMOVED = "array<struct<type:string,value:string>>"
 
@@ -88,17 +88,17 @@ def good_name(name: Column) -> Column:
 
 def split_name_title(name: Column, profile_title: Column | None = None) -> Column:
     """struct(name, title, contaminated)."""
-    n = present(F.trim(name))
     ends = [rf"(?i){p}\z" for p in V.TITLE_ENDS]
-    title = normalize_title(F.coalesce(*(F.trim(first_match(n, p, 1)) for p in ends)))
-    cut = reduce(lambda other, p: F.when(n.rlike(p), F.trim(F.regexp_replace(n, p, ""))).otherwise(other), reversed(ends), n)
-    clean = squeeze(cut)
-    if profile_title is not None:
-        title = F.coalesce(normalize_title(present(profile_title)), title)
-    ok = good_name(clean)
-    return F.struct(
-        F.when(ok, clean).otherwise(n).alias("name"), F.when(n.isNotNull(), title).alias("title"), (ok & any_of([F.coalesce(n.rlike(p), F.lit(False)) for p in ends])).alias("contaminated")
-    )
+
+    def parts(n: Column) -> Column:
+        title = normalize_title(F.coalesce(*(F.trim(first_match(n, p, 1)) for p in ends)))
+        if profile_title is not None:
+            title = F.coalesce(normalize_title(present(profile_title)), title)
+        cut = reduce(lambda other, p: F.when(n.rlike(p), F.trim(F.regexp_replace(n, p, ""))).otherwise(other), reversed(ends), n)
+        ended = any_of([F.coalesce(n.rlike(p), F.lit(False)) for p in ends])
+        return let(squeeze(cut), lambda clean: let(good_name(clean), lambda ok: F.struct(F.when(ok, clean).otherwise(n).alias("name"), F.when(n.isNotNull(), title).alias("title"), (ok & ended).alias("contaminated"))))
+
+    return let(present(F.trim(name)), parts)
 
 
 def extract_title(profile_title: Column, structured: Column, name: Column, bio: Column) -> Column:
@@ -132,35 +132,41 @@ def good_location(c: Column) -> Column:
 def clean_location_profile(location: Column) -> Column:
     """struct(location, removed, several, locations): phones by three patterns in turn, addresses and labels become spaces; split at line feeds,
     semicolons, pipes and commas unless a digit follows; of several valid parts the first is the location; invalid gives null."""
-    v = present(F.trim(location))
-    removed, c = [], v
-    for p in V.LOCATION_PHONES:
-        removed.append(F.transform(matches(c, p), lambda x: F.concat(F.lit("phone: "), x)))
-        c = F.regexp_replace(c, p, " ")
-    removed.append(F.transform(matches(c, V.EMAIL), lambda x: F.concat(F.lit("email: "), x)))
-    c = F.regexp_replace(c, V.EMAIL, " ")
-    for p in V.LOCATION_LABELS:
-        c = F.regexp_replace(c, p, " ")
-    parts = F.filter(F.transform(F.split(c, r"[\n;|,](?!\s*\d)"), lambda x: F.trim(x)), lambda x: (x != "") & good_location(x))
-    parts = F.when((F.size(parts) == 0) & good_location(c), F.array(c)).otherwise(parts)
-    value = F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(squeeze(c))
     none = F.array().cast("array<string>")
-    return F.struct(F.when(good_location(value), value).alias("location"), F.coalesce(F.concat(*removed), none).alias("removed"), F.coalesce(F.size(parts) > 1, F.lit(False)).alias("several"), F.coalesce(parts, none).alias("locations"))
+    phones = lambda p: lambda c: F.struct(F.transform(matches(c, p), lambda x: F.concat(F.lit("phone: "), x)).alias("gone"), F.regexp_replace(c, p, " ").alias("left"))
+
+    def rest(c: Column, removed: list[Column]) -> Column:
+        mails = F.transform(matches(c, V.EMAIL), lambda x: F.concat(F.lit("email: "), x))
+        plain = reduce(lambda t, p: F.regexp_replace(t, p, " "), V.LOCATION_LABELS, F.regexp_replace(c, V.EMAIL, " "))
+        return let(plain, lambda t: let(valid_parts(t), lambda parts: placed(t, parts, F.coalesce(F.concat(*removed, mails), none))))
+
+    def valid_parts(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, r"[\n;|,](?!\s*\d)"), lambda x: F.trim(x)), lambda x: (x != "") & good_location(x))
+        return let(parts, lambda ps: F.when((F.size(ps) == 0) & good_location(t), F.array(t)).otherwise(ps))
+
+    def placed(t: Column, parts: Column, removed: Column) -> Column:
+        value = F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(squeeze(t))
+        return let(value, lambda v: F.struct(F.when(good_location(v), v).alias("location"), removed.alias("removed"), F.coalesce(F.size(parts) > 1, F.lit(False)).alias("several"), F.coalesce(parts, none).alias("locations")))
+
+    one, two, three = (phones(p) for p in V.LOCATION_PHONES)
+    return let(one(present(F.trim(location))), lambda a: let(two(a["left"]), lambda b: let(three(b["left"]), lambda c: rest(c["left"], [a["gone"], b["gone"], c["gone"]]))))
 
 
 def detect_noise(field: Column, value: Column, phone: Column, email: Column) -> Column:
     """struct(items, clean): interface phrases (reported), labels (stripped), the row's own phone or address in another field, and artifacts (cleaned)."""
-    v = F.trim(value)
-    item = lambda kind, found: F.when(found.isNotNull(), F.struct(F.lit(kind).alias("type"), found.alias("matched")))
-    own_phone = F.when((field != "phone") & (F.length(digits(phone)) >= 10) & F.contains(digits(v), F.right(digits(phone), F.lit(10))), first_match(v, V.LOCATION_PHONES[0]))
-    own_email = F.when((field != "email") & F.contains(F.lower(v), F.lower(present(email))), first_match(v, V.EMAIL))
-    items = [item("ui_element", first_match(v, p)) for p in V.NOISE_UI] + [item("label", first_match(v, p)) for p in V.NOISE_LABELS]
-    items += [item("duplicate_phone", own_phone), item("duplicate_email", own_email)]
-    artifacts = [(r"\n{3,}", "newlines"), (r" {3,}", "spaces"), (r"&[a-z]+;|&#\d+;", "entity"), (r"<[^>]+>", "tag")]
-    items += [item(f"artifact_{n}", first_match(v, p)) for p, n in artifacts]
-    clean = reduce(lambda c, p: F.regexp_replace(c, p, ""), V.NOISE_LABELS, v)
-    clean = squeeze(F.regexp_replace(F.regexp_replace(clean, r"<[^>]+>", " "), r"&[a-z]+;|&#\d+;", " "))
-    return F.struct(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("items"), clean.alias("clean"))
+    def found(v: Column) -> Column:
+        item = lambda kind, found: F.when(found.isNotNull(), F.struct(F.lit(kind).alias("type"), found.alias("matched")))
+        own_phone = F.when((field != "phone") & (F.length(digits(phone)) >= 10) & F.contains(digits(v), F.right(digits(phone), F.lit(10))), first_match(v, V.LOCATION_PHONES[0]))
+        own_email = F.when((field != "email") & F.contains(F.lower(v), F.lower(present(email))), first_match(v, V.EMAIL))
+        items = [item("ui_element", first_match(v, p)) for p in V.NOISE_UI] + [item("label", first_match(v, p)) for p in V.NOISE_LABELS]
+        items += [item("duplicate_phone", own_phone), item("duplicate_email", own_email)]
+        artifacts = [(r"\n{3,}", "newlines"), (r" {3,}", "spaces"), (r"&[a-z]+;|&#\d+;", "entity"), (r"<[^>]+>", "tag")]
+        items += [item(f"artifact_{n}", first_match(v, p)) for p, n in artifacts]
+        clean = reduce(lambda c, p: F.regexp_replace(c, p, ""), V.NOISE_LABELS, v)
+        clean = squeeze(F.regexp_replace(F.regexp_replace(clean, r"<[^>]+>", " "), r"&[a-z]+;|&#\d+;", " "))
+        return F.struct(F.filter(F.array(*items), lambda x: x.isNotNull()).alias("items"), clean.alias("clean"))
+
+    return let(F.trim(value), found)
 
 
 def is_only_noise(clean: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     return present(F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body refers to it; plans stay as small as what is written."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 

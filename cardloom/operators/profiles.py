@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import any_of, digits, first_match, is_business_email, matches, name_variations, normalize_phone, present
+from ..functions.text import any_of, digits, first_match, is_business_email, let, matches, name_variations, normalize_phone, present
 from .trees import attr, class_part, first, has_class, href, in_order, is_link, page_text, texts, within
 
 PERSON = "array<struct<`@type`:string,name:string,email:string,telephone:string,jobTitle:string,description:string,worksFor:struct<name:string>>>"
@@ -79,18 +79,17 @@ def profile_bio(nodes: Column) -> Column:
 def items_in(nodes: Column, box: Column, tags: tuple[str, ...], most: int) -> Column:
     """Texts of the items inside a node, null if there are no items."""
     inside = F.filter(nodes, lambda n: n["tag"].isin(*tags) & (n["n"] > box["n"]) & (n["n"] <= box["last"]))
-    return F.when(box.isNotNull() & (F.size(inside) > 0), F.filter(F.transform(inside, lambda n: n["text"]), lambda t: F.length(t).between(1, most)))
+    return let(inside, lambda xs: F.when(box.isNotNull() & (F.size(xs) > 0), F.filter(F.transform(xs, lambda n: n["text"]), lambda t: F.length(t).between(1, most))))
 
 
 def listed(nodes: Column, tests: list, words: tuple[str, ...], tags: tuple[str, ...] = ("li",), most: int = 100_000, whole: bool = False) -> Column:
     """Items of the first selector whose first node has any (with `whole`, else its text), else of the parent of the first heading that
     holds a word and has items beside it."""
-    tries = []
-    for t in tests:
-        box = first(nodes, t)
-        tries.append(items_in(nodes, box, tags, most))
-        if whole:
-            tries.append(F.when(F.length(box["text"]) > 0, F.array(box["text"])))
+    def of(box: Column) -> Column:
+        items = items_in(nodes, box, tags, most)
+        return F.coalesce(items, F.when(F.length(box["text"]) > 0, F.array(box["text"]))) if whole else items
+
+    tries = [let(first(nodes, t), of) for t in tests]
     heads = F.filter(nodes, lambda n: n["tag"].isin("h2", "h3", "h4") & any_of([F.lower(n["text"]).contains(w) for w in words]))
     parents = F.transform(heads, lambda h: items_in(nodes, F.get(nodes, h["up"]), tags, most))
     return F.coalesce(*tries, F.get(F.filter(parents, lambda x: x.isNotNull()), 0))
@@ -125,6 +124,11 @@ def host_domain(url: Column) -> Column:
     return present(F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1)), r"www\.", ""))
 
 
+def marked_text(nodes: Column, test, data: str) -> Column:
+    """The text of the first node that passes, else its data attribute."""
+    return let(first(nodes, test), lambda n: F.coalesce(present(n["text"]), attr(n, data)))
+
+
 def profile_email(nodes: Column, url: Column, forms: Column, text: Column) -> Column:
     """A mailto link of the page's domain (else the first), an address of the domain in the text (by the forms of the name, C12), one in a
     mail element, one after a label; the first that is a business address (C11) of the domain."""
@@ -136,11 +140,9 @@ def profile_email(nodes: Column, url: Column, forms: Column, text: Column) -> Co
     by_name = F.get(F.filter(F.transform(forms, lambda v: F.get(F.filter(said, lambda e: F.lower(e).contains(v)), 0)), lambda e: e.isNotNull()), 0)
     marked = []
     for test in [*cls("email", "contact-email"), *part("email"), lambda n: attr(n, "data-email").isNotNull(), *prop("email")]:
-        node = first(nodes, test)
-        e = first_match(F.coalesce(present(node["text"]), attr(node, "data-email")), V.EMAIL)
-        marked.append(F.when(ours(e), e))
+        marked.append(let(first_match(marked_text(nodes, test, "data-email"), V.EMAIL), lambda e: F.when(ours(e), e)))
     labelled = first_match(text, rf"(?i)(?:Email|E-mail)\s*:?\s*({V.EMAIL})", 1)
-    good = lambda e: F.when(is_business_email(e, domain), F.lower(e))
+    good = lambda c: let(c, lambda e: F.when(is_business_email(e, domain), F.lower(e)))
     return F.coalesce(good(mailto), good(F.coalesce(by_name, F.get(said, 0))), good(F.coalesce(*marked)), good(F.when(ours(labelled), labelled)))
 
 
@@ -149,8 +151,7 @@ def profile_phone(nodes: Column) -> Column:
     tel = present(F.trim(F.regexp_replace(href(first(nodes, lambda n: is_link(n) & href(n).startswith("tel:"))), "^tel:", "")))
     marked = []
     for test in [*cls("phone", "tel", "contact-phone"), *part("phone"), lambda n: attr(n, "data-phone").isNotNull(), *prop("telephone")]:
-        node = first(nodes, test)
-        marked.append(first_match(F.coalesce(present(node["text"]), attr(node, "data-phone")), V.PROFILE_PHONE))
+        marked.append(first_match(marked_text(nodes, test, "data-phone"), V.PROFILE_PHONE))
     labelled = first_match(page_text(nodes), rf"(?i)(?:Phone|Tel|Telephone)\s*:?\s*({V.PROFILE_PHONE})", 1)
     return normalize_phone(F.coalesce(tel, *marked, labelled))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, present
+from ..functions.text import any_of, let, present
 from .html import absolute, parse
 
 #: n: place in the document; up: parent; last: last node inside; own: text outside of its children.
@@ -88,8 +88,7 @@ def in_order(nodes: Column, tests: list[Test], good: Callable[[Column], Column],
     def of(test: Test) -> Column:
         if every:
             return F.get(F.filter(texts(nodes, test), good), 0)
-        t = first(nodes, test)["text"]
-        return F.when(good(t), t)
+        return let(first(nodes, test)["text"], lambda t: F.when(good(t), t))
 
     return F.coalesce(*(of(t) for t in tests))
 

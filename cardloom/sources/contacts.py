@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import domain_type, email_domain
+
 CONTACT = "row_id long, name string, email string, phone string, title string, location string, profile_url string"
 
 
-def read_contacts(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+def read_contacts(spark: SparkSession, path: str | list[str], form: str | None = None) -> DataFrame:
     """Contacts from JSON (a bare array, or an object with `contacts`), Parquet or CSV; empty text becomes null.
 
     A row without row_id gets its place: of its file by name, then within the file.
     """
-    form = form or ("parquet" if path.endswith(".parquet") else "csv" if path.endswith(".csv") else "json")
+    form = form or ("parquet" if str(path).endswith(".parquet") else "csv" if str(path).endswith(".csv") else "json")
     fields = CONTACT.replace("profile_url", "profileUrl")
     if form == "json":
         raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_"), "value")
@@ -22,7 +24,8 @@ def read_contacts(spark: SparkSession, path: str, form: str | None = None) -> Da
         either = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
         either = F.coalesce(either, F.raise_error(F.concat(F.lit("no contacts in "), "file_")).cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>>"))
         d = raw.select("file_", F.posexplode(either).alias("pos_", "c")).select("file_", "pos_", "c.*")
-        d = d.withColumn("row_id", F.coalesce("row_id", F.xxhash64("file_") * 0 + F.col("pos_")))
+        files = raw.select("file_").distinct().withColumn("rank_", F.row_number().over(Window.orderBy("file_")) - 1)  # a row per file
+        d = d.join(files, "file_").withColumn("row_id", F.coalesce("row_id", F.shiftleft(F.col("rank_").cast("long"), 33) + F.col("pos_")))
     else:
         d = spark.read.parquet(path) if form == "parquet" else spark.read.option("header", True).csv(path)
         d = d.withColumnRenamed("profile_url", "profileUrl")
@@ -39,9 +42,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_contacts(df: DataFrame, path: str, source: str, form: str = "json") -> DataFrame:
-    """The contacts and, under `<path>/metadata`, one row of counts, which is returned."""
+    """The contacts and, under `<path>/metadata`, one row of counts (contacts, fields, domains by kind), which is returned."""
     df.write.mode("overwrite").format(form).save(f"{path}/contacts")
-    meta = df.agg(F.count("*").alias("total"), F.count("email").alias("with_email"), F.count("phone").alias("with_phone")).withColumn("source", F.lit(source))
+    domain = email_domain(F.col("email"))
+    kind = domain_type(domain, missing=None)
+    meta = df.agg(
+        F.count("*").alias("total"), F.count("email").alias("with_email"), F.count("phone").alias("with_phone"), F.count_distinct(domain).alias("domains"),
+        F.count_if(kind == "business").alias("business"), F.count_if(kind == "personal").alias("personal"), F.lit(source).alias("source"),
+    )
     meta.write.mode("overwrite").format(form).save(f"{path}/metadata")
     return df.sparkSession.read.format(form).load(f"{path}/metadata")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.cleaning import clean_name, clean_plain, extract_email, extract_phone
 from ..functions.text import match_key
@@ -12,17 +16,55 @@ from ..functions.text import match_key
 
 def stream_dedup(contacts: DataFrame, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
     """The first contact of each address (else name and phone) goes on; with a time column, keys are forgotten after the delay."""
-    key = F.coalesce(F.nullif(F.lower("email"), F.lit("")), F.concat_ws("_", "name", "phone"))
+    shown = lambda c: F.coalesce(F.col(c), F.lit("undefined"))  # noqa: E731  as D1, so that a missing name differs from a missing phone
+    key = F.coalesce(F.nullif(F.lower("email"), F.lit("")), F.concat(shown("name"), F.lit("_"), shown("phone")))
     d = contacts.withColumn("dedup_key", key)
     if time_col:
         return d.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["dedup_key"])
     return d.dropDuplicates(["dedup_key"])
 
 
+TEXTS = ("name", "email", "phone", "title", "location")
+HELD = "row_id long, " + ", ".join(f"{c} string" for c in TEXTS)
+VERDICT = "row_id long, duplicate boolean, original long, match_type string, match_key string"
+
+
+def similar(a: str, b: str) -> float:
+    """1 - edit distance / longer length, in one row of memory."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def agree(a: tuple, b: tuple) -> float:
+    """Points of two held rows: 1 for an equal text, 0.5 for a similarity of 0.85."""
+    return sum(1 if x == y else 0.5 * (similar(x, y) >= 0.85) for x, y in zip(a[1:], b[1:], strict=True) if x and y)
+
+
 def stream_fuzzy_dedup(contacts: DataFrame, key: str = "email") -> DataFrame:
-    """First-seen by one normalised key; rows without it pass. Matches across keys need the batch operator."""
-    d = contacts.withColumn("match_key_", F.coalesce(match_key(F.col(key)), F.concat(F.lit("row:"), F.col("row_id").cast("string"))))
-    return d.dropDuplicates(["match_key_"]).drop("match_key_")
+    """The verdict on each contact as it arrives, against the unique ones before it under one normalised key: row_id, duplicate,
+    original, match_type, match_key. An address or profile_url that was seen makes a duplicate; a name or phone does if two points
+    agree with the latest unique contact of it, which else takes its place. Each key's state is one contact. Contacts of one batch
+    count by row_id; those without the key are unique. Matches across keys need the batch operator (D3)."""
+    primary = key in ("email", "profile_url")
+
+    def check(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = state.getOption, []
+        rows = pd.concat(list(batches)).sort_values("row_id")
+        for r in rows[["row_id", *TEXTS]].astype(object).where(rows[["row_id", *TEXTS]].notna(), None).itertuples(index=False, name=None):
+            found = held is not None and (primary or agree(r, held) >= 2)
+            out.append((r[0], found, held[0] if found else None, ("primary" if primary else "secondary") if found else None, key if found else None))
+            held = held if found else r
+        state.update((int(held[0]), *held[1:]))
+        yield pd.DataFrame(out, columns=["row_id", "duplicate", "original", "match_type", "match_key"]).astype({"original": "Int64"})
+
+    d = contacts.select("row_id", *(match_key(F.col(c)).alias(c) for c in TEXTS), match_key(F.col(key)).alias("key_"))
+    known = d.where("key_ is not null").groupBy("key_").applyInPandasWithState(check, VERDICT, HELD, "append", GroupStateTimeout.NoTimeout)
+    none = d.where("key_ is null").select("row_id", F.lit(False).alias("duplicate"), F.lit(None).cast("long").alias("original"), *(F.lit(None).cast("string").alias(c) for c in ("match_type", "match_key")))
+    return known.unionByName(none)
 
 
 def cleaned(contacts: DataFrame) -> DataFrame:

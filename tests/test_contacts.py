@@ -214,6 +214,8 @@ def test_sources(spark, tmp_path):
     a = io.read_contacts(spark, str(tmp_path / "a.json")).collect()
     assert [(x["name"], x["email"], x["profile_url"]) for x in sorted(a)] == [("Ann", None, "u"), ("Bob", None, None)]
     assert [x["phone"] for x in io.read_contacts(spark, str(tmp_path / "b.json")).collect()] == ["1"]
+    every = io.read_contacts(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")], "json").collect()
+    assert sorted((x["row_id"], x["name"]) for x in every) == [(0, "Ann"), (1, "Bob"), (1 << 33, "Cy")]
     d = io.read_contacts(spark, str(tmp_path / "a.json"))
     assert io.write_contacts(d, str(tmp_path / "out"), "test").first()["total"] == 2
     assert io.export_view(d).columns == ["Name", "Profile URL"]
@@ -234,7 +236,12 @@ def test_streams(spark, tmp_path):
         q = job.writeStream.format("memory").queryName(f"out{k}").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c{k}")).start()
         q.awaitTermination()
     assert spark.table("out0").count() == 3
-    assert spark.table("out1").count() == 4
+    assert sorted(tuple(x) for x in spark.table("out1").collect()) == [(1, False, None, None, None), (2, True, 1, "primary", "email"), *((i, False, None, None, None) for i in (3, 4, 5))]
+    near = [(1, "Ann Lee", "a@x.co", "1", None, "Paris"), (2, "ann lee", "b@x.co", "2", None, "Rome"), (3, "ANN LEE", "b@x.co", None, None, None), (4, None, None, None, None, None)]
+    table(spark, near).repartition(1).write.parquet(str(tmp_path / "near"))
+    q = jobs.stream_fuzzy_dedup(spark.readStream.schema(CONTACT).parquet(str(tmp_path / "near")), "name").writeStream.format("memory").queryName("names").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cn")).start()
+    q.awaitTermination()
+    assert {x["row_id"]: (x["original"], x["match_type"]) for x in spark.table("names").where("duplicate").collect()} == {3: (2, "secondary")} and spark.table("names").count() == 4
     assert sum(x["contacts"] for x in spark.table("out2").collect()) == 5
     jobs.stream_clean_append(source(), str(tmp_path / "clean"), str(tmp_path / "cc")).awaitTermination()
     assert "AnnPartner" not in {x["name"] for x in spark.read.parquet(str(tmp_path / "clean")).collect()}
