@@ -2,8 +2,8 @@
 
 Every document is a run of token ids with an end id; only runs longer than a sequence are cut, the first piece taking the
 remainder. Pieces go to the plan as counts per length, a table of at most `size` rows whatever the corpus. The plan takes
-lengths from the longest down and closes each gap exactly with one, two or three available lengths, found in the counts as
-complements of single lengths, pair sums and triple sums; where none fits exactly the longest length that fits is added and
+lengths from the longest down and closes each gap exactly with one, two or three available lengths, found in an index of
+single lengths, pair sums and, through these, triple sums; where none fits exactly the longest length that fits is added and
 the search goes on. A pattern is used as often as its counts allow, so the plan is a table of patterns, not of documents.
 
 Spark then deals the pieces to the plan's places: ranks within a length come from row numbers inside small cells (length,
@@ -57,30 +57,45 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size:
     return out if with_ids else out.drop("ids")
 
 
-def exact(counts: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap, the most plentiful single or pair first."""
-    if counts[gap]:
-        return (gap,)
-    a = np.arange(1, gap // 2 + 1)
-    if len(a):
-        b = gap - a
-        n = np.where(a == b, counts[a] // 2, np.minimum(counts[a], counts[b]))
-        if n.max() > 0:
-            x = int(a[n.argmax()])
-            return (gap - x, x)
-    have = np.flatnonzero(counts[:gap])
-    for x in have[::-1]:
-        rest = gap - int(x)
-        y = have[have <= rest // 2]
-        if x < rest / 2 or not len(y):
-            continue
-        z = rest - y
-        ok = np.flatnonzero((z <= x) & (counts[z] > 0))
-        for j in ok:
-            pick = (int(x), int(z[j]), int(y[j]))
-            if all(counts[v] >= n for v, n in Counter(pick).items()):
-                return pick
-    return None
+class Complements:
+    """Sums of the lengths that a plan starts with, hashed: for each sum the shorter part of every pair; a single is its own sum, and a
+    triple is a length and a pair of no longer ones. What is left of each length decides whether an entry can still be used."""
+
+    def __init__(self, counts: np.ndarray):
+        self.have = np.flatnonzero(counts)
+        held = counts > 0
+        self.pairs: dict[int, np.ndarray] = {}
+        for total in range(2, len(counts)):
+            x = self.have[: np.searchsorted(self.have, total // 2, side="right")]
+            if len(x := x[held[total - x]]):
+                self.pairs[total] = x
+
+    def pair(self, left: np.ndarray, total: int, most: int) -> tuple[int, ...] | None:
+        """The most plentiful pair with that sum, none longer than `most`."""
+        if (x := self.pairs.get(total)) is None:
+            return None
+        y = total - x
+        n = np.where(x == y, left[x] // 2, np.minimum(left[x], left[y]))
+        n[y > most] = 0
+        k = int(n.argmax())
+        return (int(y[k]), int(x[k])) if n[k] > 0 else None
+
+    def fill(self, left: np.ndarray, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to gap."""
+        if left[gap]:
+            return (gap,)
+        if found := self.pair(left, gap, gap):
+            return found
+        for x in self.have[: np.searchsorted(self.have, gap)][::-1]:
+            if 3 * x < gap:  # the longest of three
+                break
+            if left[x]:
+                left[x] -= 1
+                found = self.pair(left, gap - int(x), int(x))
+                left[x] += 1
+                if found:
+                    return (int(x), *found)
+        return None
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -88,14 +103,14 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    out = []
+    index, out = Complements(left), []
     for top in range(size, 0, -1):
         while left[top]:
             used, now = [top], left.copy()
             now[top] -= 1
             gap = size - top
             while gap:
-                if fill := exact(now, gap):
+                if fill := index.fill(now, gap):
                     used += fill
                     break
                 fits = np.flatnonzero(now[: gap + 1])

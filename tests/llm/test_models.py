@@ -135,7 +135,7 @@ def test_pseudo_likelihood(spark):
     out = pseudolm.score_documents(docs, step=64).collect()
     assert len(out) == docs.count()
     by = {x["id_"]: x for x in out}
-    assert by[2000]["n_tokens"] == 0 and by[2001]["log_likelihood"] == 0 and by[2002]["per_token"] is None
+    assert by[2000]["n_tokens"] == 0 and by[2001]["log_likelihood"] == 0 and by[2002]["n_tokens"] == 3 and by[2000]["per_token"] is None
     ordered, random_ = np.mean([by[i]["per_token"] for i in range(300)]), np.mean([by[1000 + i]["per_token"] for i in range(10)])
     assert ordered > random_ + 0.3 and ordered > -np.log(12)
     assert pseudolm.score_documents(docs.limit(0)).count() == 0

@@ -3,6 +3,7 @@
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -102,6 +103,20 @@ def test_plan_places_every_length_once(counts):
     assert used == Counter(counts)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=7), st.integers(1, 40))
+def test_complements_find_a_filling_wherever_there_is_one(counts, gap):
+    left = np.zeros(41, np.int64)
+    for v, n in counts.items():
+        left[v] = n
+    every = [v for v, n in counts.items() for _ in range(n)]
+    there = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(every, k))
+    found, before = fitpack.Complements(left).fill(left, gap), left.copy()
+    assert (found is not None) == there and (left == before).all()
+    if found:
+        assert sum(found) == gap and not Counter(found) - Counter(every)
+
+
 def test_plan_fills_exact_triples():
     assert len(fitpack.plan({30: 4, 20: 4, 14: 4}, 64)) == 1
 
