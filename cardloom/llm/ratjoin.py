@@ -19,7 +19,9 @@ too, and, if these are all alike, meets the others of its kind in one group.
 2. Keys are counted, and of each set the rarest D + 1 stay. Keys that only one set holds vanish, and of keys with the same
    members one is left. Each node is bounded and compared with the hub (least node) it shares most keys with. Linked components follow.
 3. What a group still holds in different components is compared: members outside its largest component are looked up in
-   trees over all members, first with the closest only, at last with all. Groups are cut into blocks of bounded size, so one that a third of all nodes belong to is spread over tasks.
+   trees over all members. A first pass, over points alone, finds the members that have an open pair; a second one, over these and
+   their sets, compares the pairs and gives the links that join components, never more than members. Groups are cut into
+   blocks of bounded size, so one that a third of all nodes belong to is spread over tasks.
 Every link between different sets is thus found or lies inside a component that other links have already joined.
 
 Words are runs of anything but ASCII white space, A-Z lowered; fewer words than a shingle give one shingle of them all; texts
@@ -41,9 +43,11 @@ from .base import ascii_lower, keep, same, table, text_key
 
 GROUPS = 64
 #: Rows of one side of a cell, and the count from which a point says "so many or more".
-CELL, FULL = 512, 65_535
+CELL, FULL = 256, 65_535
 #: Nodes up to which a list of ids may be broadcast.
 SMALL = 200_000
+#: Lists of keys that a set may have; with percent from 20 up there are fewer.
+LISTS = 64
 #: A band of sizes ends where the next size is more than RISE times its first; hashings tried for sets with empty groups.
 RISE, HASHINGS = 1.5, 3
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -188,13 +192,13 @@ def features(words: DataFrame, width: int, percent: int) -> DataFrame:
 
 def shared_keys(reps: DataFrame) -> DataFrame:
     """key, row_, hub (its least member), members: the groups of two nodes or more, one of those with the same members."""
-    lists = reps.select("row_", F.posexplode("lists").alias("list", "l_")).select("row_", "list", "l_.keep", F.size("l_.keys").alias("size"), "l_.keys")
-    offers = lists.select("row_", "list", "keep", "size", F.explode("keys").alias("key"))
-    often = offers.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    both = offers.join(often, "key")
-    of_list = Window.partitionBy("row_", "list")
+    lists = reps.select((F.col("row_") * LISTS).alias("first_"), F.posexplode("lists").alias("list", "l_")).select((F.col("first_") + F.col("list")).alias("list_"), "l_.keep", F.size("l_.keys").alias("size"), "l_.keys")
+    offers = lists.select("list_", F.explode("keys").alias("key"))  # two numbers a row: the widest table of the join
+    often = keep(offers.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    both = offers.join(often, "key").join(lists.select("list_", "keep", "size"), "list_")
+    of_list = Window.partitionBy("list_")
     ranked = both.withColumn("place", F.row_number().over(of_list.orderBy("often", "key"))).withColumn("alone", F.col("size") - F.count("*").over(of_list))
-    kept = keep(ranked.where(F.col("place") + F.col("alone") <= F.col("keep")).select("key", "row_"), "keys")
+    kept = keep(ranked.where(F.col("place") + F.col("alone") <= F.col("keep")).select("key", F.floor(F.col("list_") / LISTS).alias("row_")), "keys")
     hashed = F.xxhash64("row_")
     per = kept.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub"), F.bit_xor(hashed).alias("h1"), F.sum(F.shiftrightunsigned(hashed, 20)).alias("h2")).where("members > 1")
     one = per.groupBy("members", "hub", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("alike"))
@@ -263,6 +267,14 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def link(a: pa.Scalar, b: pa.Scalar, percent: int) -> bool:
+    """Whether two sets of sorted hashes link."""
+    x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     side = lambda k: sets.select(F.col("row_").alias(k), F.col("s").alias(f"s{k}"))
@@ -270,13 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = numbers(batch, "a", "b")
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            good = np.array(good, bool)
+            good = np.array([link(x, y, percent) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)], bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
@@ -322,20 +328,24 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("row_"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("row_"), F.col("v").alias("comp")).distinct())
 
 
-def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Open pairs (a, b) inside a group but across components; with `closest` only the best for each query of a block."""
+def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs inside a group but across components that their points leave open: without `sets` the members (key, row_) that have any,
+    with `sets` links (a, b) that join all components which the pairs' sets link."""
     m = members.join(labels, "row_", "left").withColumn("comp", F.coalesce("comp", "row_"))
     per = m.groupBy("key", "comp").agg(F.count("*").alias("c"))
     split = per.groupBy("key").agg(F.sum("c").alias("all_"), F.max(F.struct("c", "comp")).alias("big")).where(F.col("all_") > F.col("big.c")).select("key", "all_", F.col("big.comp").alias("big"), (F.col("all_") - F.col("big.c")).alias("out_"))
     m = m.join(split, "key").join(nodes.select("row_", "n", "point"), "row_")
+    m = m.withColumn("s", F.lit(None).cast("binary")) if sets is None else m.join(sets, "row_")
     parts, blocks = F.ceil(F.col("all_") / CELL).cast("int"), F.ceil(F.col("out_") / CELL).cast("int")
     own = lambda k, seed: F.pmod(F.xxhash64(F.lit(seed), "row_"), k).cast("int")
     upto = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    cols = ["key", "row_", "comp", "n", "point", "big"]
+    cols = ["key", "row_", "comp", "n", "point", "big", "s"]
     queries = m.where("comp != big").withColumn("qb", own(blocks, 1)).withColumn("tb", upto(parts)).select(*cols, "qb", "tb", F.lit(1).alias("asks"))
     targets = m.withColumn("tb", own(parts, 2)).withColumn("qb", upto(blocks)).select(*cols, "qb", "tb", F.lit(0).alias("asks"))
     dealt = queries.unionByName(targets).repartition("key", "qb", "tb").sortWithinPartitions("key", "qb", "tb", "asks")
 
+    first_pass = sets is None  # tasks must not hold on to a DataFrame
+
     def solve(cell: pa.Table) -> pa.RecordBatch | None:
         row, comp, n, big, asks = (cell.column(c).to_numpy() for c in ("row_", "comp", "n", "big", "asks"))
         point = blobs(cell.column("point"), GROUPS)
@@ -347,14 +357,25 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
         ok = comp[i] != comp[j]
         ok &= (comp[j] == big[j]) | (row[i] < row[j])  # of two that both ask, one way is enough
         i, j, bound = i[ok], j[ok], bound[ok]
-        if closest and len(i):
-            score = bound / np.maximum(n[i] + n[j] - bound, 1)
-            order = np.lexsort((-score, i))
-            i, j = i[order], j[order]
-            head = np.ones(len(i), bool)
-            head[1:] = i[1:] != i[:-1]
-            i, j = i[head], j[head]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], names=["a", "b"])
+        if first_pass:
+            some = np.unique(row[np.concatenate([i, j])])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell.column("key")[0].as_py())), pa.array(some)], names=["key", "row_"])
+        order = np.argsort(n[i] + n[j] - 2 * bound, kind="stable")  # the likeliest first, the more of the others needs no look
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (d := up.get(c, c)) != c:
+                up[c] = up.get(d, d)
+                c = d
+            return c
+
+        own, found = cell.column("s"), []
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            p, r = top(int(comp[x])), top(int(comp[y]))
+            if p != r and link(own[x], own[y], percent):
+                up[p] = r
+                found.append((row[x], row[y]))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -375,7 +396,7 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
         if held and (out := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "key long, row_ long" if first_pass else "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -393,11 +414,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     most = held.where("row_ != hub").groupBy("row_", "hub").agg(F.sum("alike").alias("c")).groupBy("row_").agg(F.max(F.struct("c", -F.col("hub"))).alias("m"))
     first = most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b"))
     labels = components(linked(keep(bounded(first, nodes, percent), "open")))
-    members = held.select("key", "row_")
-    for closest in (True, False):
-        more = linked(keep(crossing(members, labels, nodes, percent, closest), "open"))
-        stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
-        labels = components(stars.unionByName(more))
+    open_ = keep(crossing(held.select("key", "row_"), labels, nodes, percent), "open")
+    one_set = sets.dropDuplicates(["row_"])
+    more = keep(crossing(open_, labels, nodes, percent, one_set), "links")
+    stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
+    labels = components(stars.unionByName(more))
     named_ = classes.join(labels.withColumnRenamed("row_", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named_.groupBy("comp").agg(F.min("least_").alias("component_id"))
     final = named_.join(least, "comp").select(F.col("set_").alias("c_set_"), "component_id", F.col("comp").alias("component_"))
