@@ -415,7 +415,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b"))
     labels = components(linked(keep(bounded(first, nodes, percent), "open")))
     open_ = keep(crossing(held.select("key", "row_"), labels, nodes, percent), "open")
-    one_set = sets.dropDuplicates(["row_"])
+    one_set = sets.join(open_.select("row_").distinct(), "row_", "left_semi").dropDuplicates(["row_"])
     more = keep(crossing(open_, labels, nodes, percent, one_set), "links")
     stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
     labels = components(stars.unionByName(more))
