@@ -19,8 +19,9 @@ too, and, if these are all alike, meets the others of its kind in one group.
 2. Keys are counted, and of each set the rarest D + 1 stay. Keys that only one set holds vanish, and of keys with the same
    members one is left. Each node is bounded and compared with the hub (least node) it shares most keys with. Linked components follow.
 3. What a group still holds in different components is compared: members outside its largest component are looked up in
-   trees over all members. A first pass, over points alone, finds the members that have an open pair; a second one, over these and
-   their sets, compares the pairs and gives the links that join components, never more than members. Groups are cut into
+   trees over all members. A first pass, over points alone, finds the members that have an open pair; those that share groups
+   are drawn together, so that each is in one group from here on. A second pass, over these and their sets, compares the open
+   pairs and gives the links that join components, never more than members. Groups are cut into
    blocks of bounded size, so one that a third of all nodes belong to is spread over tasks.
 Every link between different sets is thus found or lies inside a component that other links have already joined.
 
@@ -415,8 +416,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b"))
     labels = components(linked(keep(bounded(first, nodes, percent), "open")))
     open_ = keep(crossing(held.select("key", "row_"), labels, nodes, percent), "open")
-    one_set = sets.join(open_.select("row_").distinct(), "row_", "left_semi").dropDuplicates(["row_"])
-    more = keep(crossing(open_, labels, nodes, percent, one_set), "links")
+    hubs = open_.groupBy("key").agg(F.min("row_").alias("b"))
+    near_ = components(open_.join(hubs, "key").where("row_ != b").select(F.col("row_").alias("a"), "b")).select(F.col("comp").alias("key"), "row_")
+    one_set = sets.join(near_.select("row_"), "row_", "left_semi").dropDuplicates(["row_"])
+    more = keep(crossing(near_, labels, nodes, percent, one_set), "links")
     stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
     labels = components(stars.unionByName(more))
     named_ = classes.join(labels.withColumnRenamed("row_", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
