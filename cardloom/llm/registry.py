@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontam, fitpack, knnjoin, licenses, linededup, linkcreds, pseudolm, ratjoin, repair, toxickn
+from . import decontam, fimscatter, fitpack, knnjoin, licenses, linededup, linkcreds, polyprint, pseudolm, radixaudit, ratjoin, repair, toxickn
 
 
 def queries():
@@ -19,9 +19,15 @@ def queries():
         "op8_pseudo_likelihood": pseudolm.op8_pseudo_likelihood,
         "op9_jaccard_join": ratjoin.op9_jaccard_join,
         "op10_repair_ids": repair.op10_repair_ids,
+        "op11_exact_dedup": polyprint.op11_exact_dedup,
+        "op12_fill_in_middle": fimscatter.op12_fill_in_middle,
+        "op13_filter_audit": radixaudit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op1_topk": knnjoin.ORACLE, "op3_line_dedup": linededup.ORACLE, "op4_decontamination": decontam.ORACLE}
+    return {
+        "op1_topk": knnjoin.ORACLE, "op3_line_dedup": linededup.ORACLE, "op4_decontamination": decontam.ORACLE,
+        "op11_exact_dedup": polyprint.ORACLE, "op12_fill_in_middle": fimscatter.ORACLE, "op13_filter_audit": radixaudit.ORACLE,
+    }
