@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, keep, same, table, text_key
+from .base import ascii_lower, drop, keep, same, table, text_key
 
 GROUPS = 64
 #: Rows of one side of a cell, and the count from which a point says "so many or more".
@@ -200,10 +200,13 @@ def shared_keys(reps: DataFrame) -> DataFrame:
     of_list = Window.partitionBy("list_")
     ranked = both.withColumn("place", F.row_number().over(of_list.orderBy("often", "key"))).withColumn("alone", F.col("size") - F.count("*").over(of_list))
     kept = keep(ranked.where(F.col("place") + F.col("alone") <= F.col("keep")).select("key", F.floor(F.col("list_") / LISTS).alias("row_")), "keys")
+    drop(often)
     hashed = F.xxhash64("row_")
     per = kept.groupBy("key").agg(F.count("*").alias("members"), F.min("row_").alias("hub"), F.bit_xor(hashed).alias("h1"), F.sum(F.shiftrightunsigned(hashed, 20)).alias("h2")).where("members > 1")
     one = per.groupBy("members", "hub", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("alike"))
-    return keep(kept.join(one.select("key", "members", "hub", "alike"), "key"), "groups")
+    groups = keep(kept.join(one.select("key", "members", "hub", "alike"), "key"), "groups")
+    drop(kept)
+    return groups
 
 
 def possible(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -314,7 +317,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, rows: DataF
 def components(links: DataFrame) -> DataFrame:
     """row_ and comp (its least node) for every node of a link: large and small stars by turns until nothing moves."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    before = None
+    before = last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -322,6 +325,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        if last is not None:
+            drop(last)
+        last = e
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h"), F.max(F.xxhash64("v", "u")).alias("m")).first()
         if now == before:
             break
@@ -402,9 +408,11 @@ def crossing(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: i
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id, and component_, which tells components apart whose ids are all null (null for empty sets)."""
-    rows = keep(features(word_hashes(docs, id_col, text_col), width, percent).withColumn("row_", F.monotonically_increasing_id()), "points")
-    classes = keep(rows.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
-    held = shared_keys(rows.select("row_", "lists").join(classes.select(F.col("node").alias("row_")), "row_", "left_semi"))
+    whole = keep(features(word_hashes(docs, id_col, text_col), width, percent).withColumn("row_", F.monotonically_increasing_id()), "points")
+    classes = keep(whole.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
+    held = shared_keys(whole.select("row_", "lists").join(classes.select(F.col("node").alias("row_")), "row_", "left_semi"))
+    rows = keep(whole.drop("lists"), "rows")
+    drop(whole)  # the lists are the widest part by far
     near = keep(held.select("row_").distinct(), "near")
     nodes = keep(rows.select("row_", "n", "point").join(near, "row_", "left_semi"), "nodes")
     sets = sets_of(docs, id_col, text_col, width, rows, near)
