@@ -156,3 +156,30 @@ PLACE_SIGNS = [
 URL_ATTRIBUTES = ["data-url", "data-href", "data-link", "data-profile-url", "data-profile", "data-bio-url"]
 # Words of a title that stands below a profile's heading.
 HEADING_TITLES = ["partner", "associate", "counsel", "chair", "director"]
+# Parts of a link's address and text that its score goes by.
+LINK_PATHS = ["/profile", "/lawyer", "/attorney", "/people/", "/bio", "/team/", "/staff/", "/about/"]
+LINK_WORDS = ["profile", "view", "bio", "more", "details"]
+NAVIGATION_WORDS = ["menu", "navigation", "home"]
+SOCIAL_SITES = ["linkedin.com", "twitter.com", "facebook.com"]
+# Parts of addresses of profiles to visit, and link texts that name nobody.
+VISITED_PATHS = [
+    "/agents/", "/profile/", "/realtor/", "/team/", "/broker/", "/member/", "/lawyer/", "/Lawyers/", "/attorney/", "/people/",
+    "/professionals/", "/attorneys/", "/our-team/", "/staff/",
+]
+GENERIC_LINKS = ["view", "profile", "more", "details"]
+# Selectors of page controls, and of hints of endless lists.
+PAGE_NAVIGATION = 'nav[aria-label*="pagination" i], nav[role="navigation"], .pagination, [class*="paginat"], [class*="Paginat"]'
+NEXT_PAGE = """a[rel="next"]:not(.disabled):not([aria-disabled="true"]), a[aria-label*="next" i]:not([aria-disabled="true"]), button[aria-label*="next" i]:not([disabled]),
+ a[class*="next"]:not(.disabled), button[class*="next"]:not(.disabled), a[class*="Next"]:not(.disabled), button[class*="Next"]:not(.disabled)"""
+PREVIOUS_PAGE = """a[rel="prev"]:not(.disabled), a[aria-label*="prev" i]:not([aria-disabled="true"]), a[aria-label*="previous" i]:not([aria-disabled="true"]),
+ button[aria-label*="prev" i]:not([disabled]), a[class*="prev"]:not(.disabled), button[class*="prev"]:not(.disabled)"""
+PAGE_LINKS = 'a[aria-label*="page" i], .page-link, [class*="page-number"], [data-page], button[data-page], a.page, [class*="PageNumber"]'
+CURRENT_PAGE = [".active[data-page]", '[aria-current="page"]', ".current", '[class*="active"][data-page]', ".selected[data-page]"]
+LAZY = '[data-lazy], [loading="lazy"], .lazy-load, .lazy, [data-src], .lazyload'
+LOAD_ZONES = "[data-load-more], .load-more-zone, #load-more-trigger, .infinite-scroll-trigger, [data-infinite], .loading-trigger"
+LOAD_BUTTONS = 'button[class*="load-more"], button[class*="loadmore"], a[class*="load-more"], .show-more, #show-more, [data-action="load-more"]'
+# Links that count as contacts of a page, in order.
+CONTACT_LINKS = [
+    'a[href*="/profile"]', 'a[href*="/people/"]', 'a[href*="/attorney"]', 'a[href*="/lawyer"]', 'a[href*="/team/"]', 'a[href*="/staff/"]',
+    'a[href*="/agents/"]', 'a[href*="/professionals/"]', 'a[href*="/bio/"]',
+]

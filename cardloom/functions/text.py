@@ -227,16 +227,11 @@ def confidence_band(score: Column) -> Column:
 
 
 def validate_field(field: Column, value: Column) -> Column:
-    """struct(valid, message) by field name."""
-    v = present(F.trim(value))
-    words = F.size(F.split(v, r"\s+"))
-    n = F.length(digits(v))
-    ok = (
-        F.when(v.isNull(), F.lit(False))
-        .when(field == "name", F.length(v).between(2, 100) & words.between(1, 6) & v.rlike("[a-zA-Z]"))
-        .when(field == "email", v.rlike(rf"^{V.EMAIL}\z"))
-        .when(field == "phone", n.between(7, 15))
-        .when(field == "profile_url", v.rlike(r"^(https?://|/)\S+\z"))
-        .otherwise(F.length(v).between(2, 200))
-    )
-    return F.struct(ok.alias("valid"), F.when(v.isNull(), "missing").when(ok, "ok").otherwise(F.concat(F.lit("invalid "), field)).alias("message"))
+    """struct(valid, message) by field name: any text will do but for names (no @, no phone, six words at most), addresses, phones
+    (7 to 15 digits) and profile_url (from http or /); no message for what is valid."""
+    v = present(F.regexp_replace(value, r"^\s+|\s+\z", ""))
+    wrong = lambda test, text: F.when(test, F.lit(text))
+    name = F.coalesce(wrong(v.contains("@"), "an address, not a name"), wrong(v.rlike(r"^\+?[\d\s\-()]{7,}\z"), "a phone, not a name"), wrong(F.size(F.split(v, r"\s+")) > 6, "more than six words"))
+    other = F.when(field == "name", name).when(field == "email", wrong(~v.rlike(rf"^{V.EMAIL}\z"), "no valid address")).when(field == "phone", wrong(~F.length(digits(v)).between(7, 15), "not 7 to 15 digits"))
+    message = F.when(v.isNull(), F.lit("no value")).otherwise(other.when(field == "profile_url", wrong(~v.startswith("http") & ~v.startswith("/"), "no valid URL")))
+    return F.struct(message.isNull().alias("valid"), message.alias("message"))

@@ -5,12 +5,18 @@ Null or empty pages have no cards; cards without a field have null there; ties g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.text import any_of, digits, first_match, matches, no_text, presence_confidence, present
-from .html import SOCIAL, absolute
+from .html import SOCIAL, absolute, parse
+from .labels import LABELS, label_value
 from .trees import attr, class_part, distinct_by_value, first, has_class, holds, href, in_order, is_link, joined_url, page_text, texts, within
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5")
@@ -262,8 +268,9 @@ def apply_field_methods(cards: DataFrame, config: DataFrame, domain: Column, fie
     per = config.groupBy("domain", "field").agg(F.min(F.struct("method", F.coalesce("confidence", F.lit(85)).alias("confidence"))).alias("how"))
     per = per.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("field", "how"))).alias("how_"))  # a row per domain
     d = cards.withColumn("domain", domain).join(per, "domain").withColumns({f"m_{k}": present(v) for k, v in by_method(F.col("nodes"), F.col("text"), F.col("url")).items()})
-    names = ("mailto-link", "regex-email", "tel-link", "regex-phone", "href-link", "coordinate-text")
-    value = {f: F.coalesce(*(F.when(F.col("how_")[f]["method"] == k, F.col(f"m_{k}")) for k in names)) for f in fields}
+    names = tuple(by_method(F.col("nodes"), F.col("text"), F.col("url")))
+    how = lambda f, k: F.col("how_")[f]["method"] == k
+    value = {f: F.coalesce(*(F.when(how(f, k), F.col(f"m_{k}")) for k in names), *(F.when(how(f, "label-value"), label_value(F.col("nodes"), f)) for _ in range(f in LABELS))) for f in fields}
     d = d.withColumns({f: v for f, v in value.items()}).where(F.coalesce(*(F.col(f) for f in fields)).isNotNull())
     got = F.map_filter("how_", lambda k, v: F.array_contains(F.filter(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields)), lambda x: x.isNotNull()), k))
     return d.select("page_id", "card_index", "domain", *fields, got.alias("methods"))
@@ -282,33 +289,73 @@ def visit_extract(trees: DataFrame) -> DataFrame:
     return d.select("page_id", F.coalesce(sure, F.get("e_", 0)["v"]).alias("email"), F.get("p_", 0)["shown"].alias("phone"), name.alias("name"))
 
 
-def repeated_cards(trees: DataFrame, least: float = 65.0) -> DataFrame:
-    """page_id, n, like, score: elements that look like the first element of their parent and tag (`like`), by structure alone: tag 20,
-    parents up to three 15, number of children 15, tags of children 15, classes 15, links 10, address and phone 10. Each element meets one
-    other, so a list of any length costs its length."""
-    n = F.col("nodes")
-    own = F.filter(n, lambda x: ~x["tag"].isin("html", "head", "body", "script", "style", "meta", "link", "title", "br"))
-    d = trees.select("page_id", "nodes", F.explode(own).alias("x"))
-    inside = F.filter(n, lambda y: (y["n"] > F.col("x.n")) & (y["n"] <= F.col("x.last")))
-    kids = F.filter(n, lambda y: y["up"] == F.col("x.n"))
-    up = lambda k: F.get(n, k["up"])
-    chain = [F.col("x")]
-    for _ in range(3):
-        chain.append(up(chain[-1]))
-    look = F.struct(
-        F.array(*(F.struct(c["tag"].alias("tag"), F.split(c["cls"], r"\s+").alias("cls")) for c in chain[1:])).alias("parents"), F.size(kids).alias("count"), F.transform(kids, lambda y: y["tag"]).alias("tags"),
-        F.array_distinct(F.filter(F.split(F.col("x.cls"), r"\s+"), lambda c: c != "")).alias("cls"), F.size(F.filter(inside, lambda y: y["tag"] == "a")).alias("links"),
-        F.col("x.text").rlike(V.EMAIL).alias("email"), F.col("x.text").rlike(r"[\d\s\-().+]{7,}").alias("phone"),
-    )
-    each = d.where(F.size(kids) > 0).select("page_id", F.col("x.n").alias("n"), F.col("x.up").alias("up"), F.col("x.tag").alias("tag"), look.alias("me"))
-    each = each.withColumn("it", F.first(F.struct("n", "me")).over(Window.partitionBy("page_id", "up", "tag").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    a, b = F.col("me"), F.col("it.me")
-    pairs = F.filter(F.arrays_zip(a["parents"].alias("p"), b["parents"].alias("q")), lambda z: z["p"]["tag"].isNotNull() & z["q"]["tag"].isNotNull())
-    parents = F.aggregate(pairs, F.lit(0.0), lambda s, z: s + F.when(z["p"]["tag"] == z["q"]["tag"], F.when(F.exists(z["p"]["cls"], lambda c: (c != "") & F.array_contains(z["q"]["cls"], c)), 1.5).otherwise(1.0)).otherwise(0.0)) / F.greatest(F.size(pairs), F.lit(1))
-    kinds = F.array_distinct(F.concat(a["tags"], b["tags"]))
-    times = lambda tags, t: F.size(F.filter(tags, lambda y: y == t))
-    alike = F.aggregate(kinds, F.lit(0.0), lambda s, t: s + F.least(times(a["tags"], t), times(b["tags"], t)) / F.greatest(times(a["tags"], t), times(b["tags"], t))) / F.greatest(F.size(kinds), F.lit(1))
-    classes = F.when((F.size(a["cls"]) == 0) & (F.size(b["cls"]) == 0), 1.0).otherwise(2 * F.size(F.array_intersect(a["cls"], b["cls"])) / F.greatest(F.size(a["cls"]) + F.size(b["cls"]), F.lit(1)))
-    links = F.when((a["links"] > 0) == (b["links"] > 0), 5 + F.greatest(F.lit(0), 5 - F.abs(a["links"] - b["links"]))).otherwise(0)
-    score = 20 + 15 * parents + 15 * F.greatest(F.lit(0.0), 1 - F.abs(a["count"] - b["count"]) / 10) + 15 * alike + 15 * classes + links + F.when(a["email"] == b["email"], 5).otherwise(0) + F.when(a["phone"] == b["phone"], 5).otherwise(0)
-    return each.withColumn("score", F.round(score, 4)).where((F.col("n") != F.col("it.n")) & (F.col("score") >= least)).select("page_id", "n", F.col("it.n").alias("like"), "score")
+#: Elements that are no cards.
+NO_CARDS = frozenset({"html", "head", "body", "script", "style", "meta", "link", "title", "br"})
+MAIL_IN, PHONE_IN = re.compile(V.EMAIL), re.compile(r"[\d\s\-().+]{7,}")
+#: What the score compares: parents (tag and classes, three up), number and tags of children, classes, links inside, address, phone.
+Look = tuple[tuple[tuple[str, frozenset], ...], int, tuple[tuple[str, int], ...], frozenset, int, bool, bool]
+
+
+def looks(rows: list[tuple]) -> dict[int, Look]:
+    """The look of each parsed element that has children, in one pass up the tree: links add up from below, parents from above."""
+    links, kids = [int(r[3] == "a") for r in rows], [[] for _ in rows]
+    for i in range(len(rows) - 1, -1, -1):
+        if (up := rows[i][1]) >= 0:
+            links[up] += links[i]
+            kids[up].append(rows[i][3])
+    own = [(r[3], frozenset(r[4].split())) for r in rows]
+    out = {}
+    for i, r in enumerate(rows):
+        if kids[i] and r[3] not in NO_CARDS:
+            parents, up = [], r[1]
+            while up >= 0 and len(parents) < 3:
+                parents.append(own[up])
+                up = rows[up][1]
+            out[i] = (tuple(parents), len(kids[i]), tuple(sorted(Counter(kids[i]).items())), own[i][1], links[i] - (r[3] == "a"), bool(MAIL_IN.search(r[6])), bool(PHONE_IN.search(r[6])))
+    return out
+
+
+def likeness(a: Look, b: Look) -> float:
+    """Points of two elements of one tag: tag 20, parents up to three 15 (half as much again with a class in common), number of children 15,
+    tags of children 15, classes 15, links 10, address and phone 5 each."""
+    both = list(zip(a[0], b[0], strict=False))
+    parents = sum((1.5 if p[1] & q[1] else 1.0) if p[0] == q[0] else 0.0 for p, q in both) / max(len(both), 1)
+    x, y = dict(a[2]), dict(b[2])
+    tags = sum(min(x.get(t, 0), y.get(t, 0)) / max(x.get(t, 0), y.get(t, 0)) for t in x | y) / max(len(x | y), 1)
+    classes = 2 * len(a[3] & b[3]) / (len(a[3]) + len(b[3])) if a[3] or b[3] else 1.0
+    links = 5 + max(0, 5 - abs(a[4] - b[4])) if (a[4] > 0) == (b[4] > 0) else 0
+    return 20 + 15 * parents + 15 * max(0.0, 1 - abs(a[1] - b[1]) / 10) + 15 * tags + 15 * classes + links + 5 * (a[5] == b[5]) + 5 * (a[6] == b[6])
+
+
+def alike(html: str | None, least: float) -> list[tuple[int, int, float]]:
+    """(element, the earlier one that it is like, score) of a page.
+
+    Siblings of one tag with equal looks are settled by a table. A new look is compared with the block's leaders, those before it that are like
+    none before them, and joins the first of enough points or leads itself. Leaders differ from one another in children or links, so their number
+    grows with the root of the block's elements at most, and a list of equal cards costs its length.
+    """
+    rows, out = parse(html), []
+    blocks: dict[tuple, tuple[dict, list]] = {}
+    for i, look in looks(rows).items():
+        known, leaders = blocks.setdefault((rows[i][1], rows[i][3]), ({}, []))
+        if look not in known:
+            best = next(((j, s) for j, other in leaders if (s := likeness(look, other)) >= least), None)
+            known[look] = best or (i, likeness(look, look))
+            if best is None:
+                leaders.append((i, look))
+        j, score = known[look]
+        if j != i:
+            out.append((i, j, round(score, 4)))
+    return out
+
+
+def repeated_cards(pages: DataFrame, least: float = 65.0) -> DataFrame:
+    """page_id, n, like, score: elements that look like an earlier sibling of their tag, by structure alone (`likeness`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, *x) for p, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in alike(html, least)]
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["page_id", "n", "like", "score"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, n int, like int, score double")

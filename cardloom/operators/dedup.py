@@ -10,13 +10,21 @@ from ..functions.text import match_key, present, string_similarity
 TEXTS = ["name", "email", "phone", "title", "location", "profile_url"]
 
 
+def contact_key() -> Column:
+    """D1's key: the address, else name and phone, a missing one written out so that it differs from the other."""
+    shown = lambda c: F.coalesce(F.col(c), F.lit("undefined"))
+    return F.coalesce(present(F.col("email")), F.concat(shown("name"), F.lit("_"), shown("phone")))
+
+
+def completeness() -> Column:
+    """How many of name, address and phone a row has."""
+    return sum((F.when(present(F.col(c)).isNotNull(), 1).otherwise(0) for c in ("name", "email", "phone")), F.lit(0))
+
+
 def dedup_contacts(df: DataFrame) -> DataFrame:
     """Per address (else name and phone) the most complete row, ties to the earliest; `first_row` is where the key first stood."""
-    shown = lambda c: F.coalesce(F.col(c), F.lit("undefined"))
-    key = F.coalesce(present(F.col("email")), F.concat(shown("name"), F.lit("_"), shown("phone")))
-    full = sum((F.when(present(F.col(c)).isNotNull(), 1).otherwise(0) for c in ("name", "email", "phone")), F.lit(0))
-    d = df.withColumn("key_", key)
-    best = F.struct(-full, F.col("row_id"))  # an aggregate, so that one large group costs one row per task
+    d = df.withColumn("key_", contact_key())
+    best = F.struct(-completeness(), F.col("row_id"))  # an aggregate, so that one large group costs one row per task
     pick = d.groupBy("key_").agg(F.min(best).alias("best_"), F.min("row_id").alias("first_row"))
     pick = pick.select(F.col("best_.row_id").alias("row_id"), "first_row")
     return df.join(pick, "row_id")
@@ -66,10 +74,10 @@ def _checked(rows: DataFrame) -> DataFrame:
     d = rows.select("me", "unique", F.col("me.row_id").alias("row_id")).join(per, "row_id", "left")
     hit = {k: F.col(k).isNotNull() & (F.lit(True) if k in KEYS[:2] else _agree("me", k) >= 2) for k in KEYS}
     verdict = F.coalesce(*(F.when(hit[k], F.struct(F.col(f"{k}.row_id").alias("original"), F.lit("primary" if k in KEYS[:2] else "secondary").alias("match_type"), F.lit(k).alias("match_key"))) for k in KEYS))
-    return d.select("me", "unique", verdict.alias("now"))
+    return d.select("me", "unique", F.when(~F.col("me.known"), verdict).alias("now"))
 
 
-def dedup_fuzzy(df: DataFrame) -> DataFrame:
+def dedup_fuzzy(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """D3: each row against the unique rows before it, by address or url, then, with two points of agreement, by name or phone, where
     the latest unique row of the key counts: row_id, duplicate, original, match_type, match_key.
 
@@ -77,14 +85,25 @@ def dedup_fuzzy(df: DataFrame) -> DataFrame:
     it gives back unchanged. That is found by checking all rows at once against a marking, at first of all rows, until no mark
     changes; after n rounds all rows are right that hang on n others in a row at most. A key that many rows share is cut into
     pieces of row ids, each sorted in a task. Needs a checkpoint directory. Rows without keys are unique; null ids are not allowed.
+    Rows of `known`, of smaller ids, were found to be unique before: they are compared with and get no verdict.
     """
-    rows = df.select(F.struct("row_id", *(match_key(F.col(c)).alias(c) for c in TEXTS)).alias("me"), F.lit(True).alias("unique")).checkpoint()
+    side = lambda d, k: d.select(F.struct("row_id", *(match_key(F.col(c)).alias(c) for c in TEXTS), F.lit(k).alias("known")).alias("me"), F.lit(True).alias("unique"))
+    rows = (side(df, False) if known is None else side(df, False).unionByName(side(known, True))).checkpoint()
     while True:
         seen = _checked(rows).checkpoint()
         if seen.where(F.col("unique") != F.col("now").isNull()).isEmpty():
             break
         rows = seen.select("me", F.col("now").isNull().alias("unique"))
-    return seen.select(F.col("me.row_id").alias("row_id"), F.col("now").isNotNull().alias("duplicate"), "now.original", "now.match_type", "now.match_key")
+    return seen.where("not me.known").select(F.col("me.row_id").alias("row_id"), F.col("now").isNotNull().alias("duplicate"), "now.original", "now.match_type", "now.match_key")
+
+
+def holders(known: DataFrame, df: DataFrame, small: int = 200_000) -> DataFrame:
+    """The rows of known that share a key with any row of df: all that D3 can compare df's rows with."""
+    pairs = lambda d: F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), match_key(F.col(k)).alias("value")) for k in KEYS)))
+    keys = df.select(pairs(df).alias("o")).where("o.value is not null").select("o.kind", "o.value").distinct()
+    keys = F.broadcast(keys) if keys.count() <= small else keys
+    ids = known.select("row_id", pairs(known).alias("o")).select("row_id", "o.kind", "o.value").join(keys, ["kind", "value"], "left_semi").select("row_id").distinct()
+    return known.join(ids, "row_id", "left_semi")
 
 
 def duplicate_pairs(df: DataFrame, checked: DataFrame) -> DataFrame:

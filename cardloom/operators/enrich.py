@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_location_profile, detect_noise, split_name_title
 from ..functions.text import digits, no_text, present
+from .fingerprint import page_fingerprint_check  # noqa: F401
+from .matching import plain_name
 from .postclean import post_clean
 
 FIELDS = ["name", "email", "phone", "title", "location", "bio"]
+LISTS = ["education", "practice_areas", "bar_admissions"]
 
 
 def no_list() -> Column:
@@ -51,8 +54,10 @@ def decide(field: str, o: Column, p: Column, clean: Column, dirty: Column, remov
 
 def enrich(contacts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Contacts left-joined to their profile (one per url, the least by value if repeated). Adds has_profile and, per field, merged_<field>,
-    a struct of value, action, confidence, original, removed, flag and review. An extracted title fills a title that is still missing."""
-    cols = [c for c in FIELDS if c in profiles.columns]
+    a struct of value, action, confidence, original, removed, flag and review. An extracted title fills a title that is still missing. The
+    lists of LISTS that a contact doesn't have come from the profile as they are; an empty list is one."""
+    lists = [c for c in LISTS if c in profiles.columns]
+    cols = [c for c in FIELDS if c in profiles.columns] + lists
     one = profiles.where(F.col("profile_url").isNotNull()).groupBy("profile_url").agg(F.min(F.struct(*cols)).alias("profile_"))
     d = contacts.join(one, "profile_url", "left")
     value = lambda c: present(F.trim(F.col(c) if c in contacts.columns else no_text()))
@@ -67,7 +72,9 @@ def enrich(contacts: DataFrame, profiles: DataFrame) -> DataFrame:
     taken = (F.col("merged_name.action") == "CLEANED") & F.col("n_.contaminated")
     title = F.coalesce(F.col("merged_title.value"), F.when(taken, F.col("n_.title")))
     d = d.withColumn("merged_title", F.col("merged_title").withField("value", title)).withColumn("has_profile", F.col("profile_").isNotNull())
-    return d.select(*contacts.columns, "has_profile", *(f"merged_{c}" for c in FIELDS))
+    filled = {c: F.coalesce(F.col(c), F.col(f"profile_.{c}")) if c in contacts.columns else F.col(f"profile_.{c}") for c in lists}
+    own = [filled.pop(c).alias(c) if c in filled else F.col(c) for c in contacts.columns]
+    return d.select(*own, *(v.alias(c) for c, v in filled.items()), "has_profile", *(f"merged_{c}" for c in FIELDS))
 
 
 def actions_long(enriched: DataFrame) -> DataFrame:
@@ -84,16 +91,32 @@ def majority_confidence(levels: Column) -> Column:
 
 
 def enrichment_metadata(enriched: DataFrame) -> DataFrame:
-    """Actions, removed noise ("x from field"), flags, review, overall confidence and the audit map of changed originals."""
+    """Actions, removed noise ("x from field"), flags, review, overall confidence and that of each field, details, and the audit map.
+
+    details: per field old and new value, what was removed, action, source (profile or original) and a note where a title came from the name.
+    audit: the originals of changed fields; a field that was null and is filled keeps its key, with null.
+    """
     m = lambda k: [F.col(f"merged_{c}.{k}") for c in FIELDS]
     names = F.array(*(F.lit(c) for c in FIELDS))
-    said = lambda c: F.transform(F.coalesce(F.col(f"merged_{c}.removed"), F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(f" from {c}")))
+    none = F.array().cast("array<string>")
+    said = lambda c: F.transform(F.coalesce(F.col(f"merged_{c}.removed"), none), lambda x: F.concat(x, F.lit(f" from {c}")))
     removed = F.concat(*(said(c) for c in FIELDS))
-    audit = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"merged_{c}.original").alias("was")) for c in FIELDS)), lambda e: e["was"].isNotNull()))
+    raw = {c: F.col(c) if c in enriched.columns else no_text() for c in FIELDS}
+    filled = {c: (F.col(f"merged_{c}.action") == "ENRICHED") & raw[c].isNull() if c in enriched.columns else F.lit(False) for c in FIELDS}
+    audit = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"merged_{c}.original").alias("was"), filled[c].alias("filled")) for c in FIELDS))
+    audit = F.map_from_entries(F.transform(F.filter(audit, lambda e: e["was"].isNotNull() | e["filled"]), lambda e: F.struct(e["field"], e["was"])))
+
+    def detail(c: str) -> Column:
+        x = F.col(f"merged_{c}")
+        source = F.when(x["action"].isin("VALIDATED", "UNCHANGED"), "original").otherwise("profile")
+        note = F.when((x["action"] == "UNCHANGED") & x["original"].isNull() & raw[c].isNull() & x["value"].isNotNull(), "extracted from the name's end") if c == "title" else no_text()
+        return F.struct(F.coalesce(x["original"], present(raw[c])).alias("old"), F.coalesce(x["removed"], none).alias("removed"), x["value"].alias("new"), x["action"].alias("action"), source.alias("source"), note.alias("note"))
+
+    sure = F.map_filter(F.map_from_arrays(names, F.array(*m("confidence"))), lambda k, v: v.isNotNull())
     return enriched.select(
         "row_id", F.map_from_arrays(names, F.array(*m("action"))).alias("actions"), removed.alias("removed"),
         F.filter(F.array(*m("flag")), lambda x: x.isNotNull()).alias("flags"), F.exists(F.array(*m("review")), lambda x: x).alias("needs_review"),
-        majority_confidence(F.array(*m("confidence"))).alias("overall"), audit.alias("audit"),
+        majority_confidence(F.array(*m("confidence"))).alias("overall"), sure.alias("confidences"), F.map_from_arrays(names, F.array(*map(detail, FIELDS))).alias("details"), audit.alias("audit"),
     )
 
 
@@ -117,7 +140,7 @@ def fill_from_profile(contacts: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def words_of(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^a-z\s]", " ")), r"\s+"), lambda w: F.length(w) > 1))
+    return F.array_distinct(F.filter(F.split(plain_name(c), r"\s+"), lambda w: F.length(w) > 1))
 
 
 def match_profiles_by_name(contacts: DataFrame, links: DataFrame, least: float = 0.8) -> DataFrame:
@@ -146,24 +169,6 @@ def needs_visit(contacts: DataFrame, even_with_email: bool = False, done: DataFr
     return d.join(done.select("profile_url").distinct(), "profile_url", "left_anti") if done is not None else d
 
 
-def page_fingerprint_check(rows: DataFrame, first: int = 5) -> DataFrame:
-    """listing_id, page_num, verdict: a page against page 1 of its listing by its first names and urls.
-
-    rows: listing_id, page_num, position, name, profile_url. Only the first positions of a page are kept before anything is gathered.
-    """
-    head = rows.groupBy("listing_id", "page_num").agg(
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("position") <= first, F.struct("position", "name", "profile_url")))), 1, first).alias("h"),
-        F.max(F.struct("position", "name", "profile_url")).alias("last"), F.min(F.struct("position", "name", "profile_url")).alias("top"), F.count("profile_url").alias("n"),
-    )
-    one = head.where("page_num = 1").select("listing_id", F.col("h").alias("h1"), F.col("last").alias("last1"), F.col("top").alias("top1"))
-    d = head.join(one, "listing_id", "left")
-    values = lambda h, k: F.transform(h, lambda x: x[k])
-    same = lambda k: (F.size("h") > 0) & (values(F.col("h"), k) == values(F.col("h1"), k))
-    ends = (F.col("last.name") == F.col("last1.name")) & (F.col("top.name") == F.col("top1.name"))
-    verdict = F.when(F.col("page_num") == 1, "first").when(F.col("h1").isNull(), "valid").when(same("profile_url"), "duplicate_urls").when(same("name"), "duplicate_names").when(ends, "duplicate_boundaries").otherwise("unique")
-    return d.select("listing_id", "page_num", verdict.alias("verdict"))
-
-
 CORE = ["name", "email", "phone", "title", "location", "profile_url"]
 ASIDE = {"row_id", "enrichment", "domain", "domain_type", "confidence", "source"}
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import first_match, matches, present
+from ..functions.text import any_of, first_match, matches, present
+from .selectors import css, whole_number
 
-NODES = "page_id long, node_id int, parent_id int, path string, tag string, class string, attrs map<string,string>, text string, own_text string"
+NODES = "page_id long, node_id int, parent_id int, path string, tag string, class string, attrs map<string,string>, text string, own_text string, last_id int"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript"}
 
@@ -59,16 +60,25 @@ def parse(html: str | None) -> list[tuple]:
     return [(i, up, path, tag, a.get("class", ""), a, squeeze(x), squeeze(own)) for i, (up, path, tag, a, x, own) in enumerate(t.nodes)]
 
 
+def last_inside(parents: list[int]) -> list[int]:
+    """The last node inside each, from the nodes' parents in document order."""
+    last = list(range(len(parents)))
+    for i in range(len(parents) - 1, -1, -1):
+        if (up := parents[i]) >= 0:
+            last[up] = max(last[up], last[i])
+    return last
+
+
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """H1: a row per element of page_id, html. Filter pages first: filters don't move below this job."""
+    """H1: a row per element of page_id, html; last_id is the last one inside. Filter pages first: filters don't move below this job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
-        names = ["page_id", "node_id", "parent_id", "path", "tag", "class", "attrs", "text", "own_text"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32()]
+        names = ["page_id", "node_id", "parent_id", "path", "tag", "class", "attrs", "text", "own_text", "last_id"]
         for batch in batches:
             for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = parse(html)
-                cols = [[i] * len(rows), *([r[k] for r in rows] for k in range(8))]
+                cols = [[i] * len(rows), *([r[k] for r in rows] for k in range(8)), last_inside([r[1] for r in rows])]
                 cols[6] = [list(a.items()) for a in cols[6]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -103,22 +113,43 @@ def social_links(links: DataFrame) -> DataFrame:
     return links.select("page_id", "url", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("s")).select("page_id", "s.platform", "url", "s.username")
 
 
-PROFILE_PATH = r"(?i)/(people|attorneys?|lawyers?|agents?|team|profiles?|staff|members?|professionals|bio)/"
-
-
 def link_scores(links: DataFrame) -> DataFrame:
-    """H8: profile likelihood of each distinct link of a page; best first by score, then position."""
-    t = F.col("text")
-    capitals = t.rlike(r"^[A-Z][\w'.-]*( [A-Z][\w'.-]*){1,3}\z")
-    s = F.lit(70) + F.when(F.col("url").rlike(PROFILE_PATH), 15).otherwise(0) + F.when(t.rlike(r"(?i)\b(profile|bio|view|details)\b"), 10).otherwise(0) + F.when(capitals, 15).otherwise(0)
-    s = s - F.when(t.rlike(r"(?i)^(home|about|contact|next|previous|menu|search)\b"), 30).otherwise(0) - F.when(F.col("url").rlike("linkedin|twitter|facebook|instagram"), 20).otherwise(0)
-    d = links.where(~F.lower("href").rlike("^(mailto|tel|javascript|#)")).withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), s)))
-    return d.groupBy("page_id", "url").agg(F.max("score").alias("score"), F.min("node_id").alias("node_id"))
-
-
-def profile_links(links: DataFrame) -> DataFrame:
-    """The links of a page that lead to profiles, first by address."""
-    return links.where(F.col("url").rlike(PROFILE_PATH)).groupBy("page_id", "url").agg(F.min_by("text", "node_id").alias("text"), F.min("node_id").alias("node_id"))
+    """H8: page_id, url, score, node_id, best of each distinct link of a page; `best` marks the page's best one (ties to the first).
+
+    70; +15 for a profile's address, +10 for a word that asks to look, +15 for two to four capitalised words, -30 for scripts, bare marks
+    and words of navigation, -10 for the three networks; between 0 and 100. A direct hit on the screen is not known here.
+    """
+    t, low = F.lower("text"), F.lower("url")
+    words = F.split(F.trim("text"), r"\s+")
+    named = F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike(r"^[A-Z][a-z]+\z"))
+    s = F.lit(70) + F.when(any_of([low.contains(p) for p in V.LINK_PATHS]), 15).otherwise(0) + F.when(any_of([t.contains(w) for w in V.LINK_WORDS]), 10).otherwise(0) + F.when(named, 15).otherwise(0)
+    aside = low.contains("javascript:") | (F.col("href") == "#") | any_of([t.contains(w) for w in V.NAVIGATION_WORDS])
+    s = s - F.when(aside, 30).otherwise(0) - F.when(any_of([low.contains(w) for w in V.SOCIAL_SITES]), 10).otherwise(0)
+    first = links.groupBy("page_id", "url").agg(F.min(F.struct("node_id", "text", "href")).alias("m")).select("page_id", "url", "m.*")  # an address counts once, as it first stands
+    d = first.select("page_id", "url", F.greatest(F.lit(0), F.least(F.lit(100), s)).alias("score"), "node_id")
+    top = d.groupBy("page_id").agg(F.min(F.struct(-F.col("score"), "node_id")).alias("top_"))
+    return d.join(top, "page_id").withColumn("best", F.col("node_id") == F.col("top_.node_id")).drop("top_")
+
+
+#: Cards that a generic link takes its name from, and where in them.
+CARDS, CARD_NAMES = '.card, .member, .attorney, .lawyer, .team-member, .person, [class*="card"]', 'h2, h3, h4, .name, [class*="name"]'
+
+
+def profile_links(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The links of a page that lead to profiles, each address once as it first stands; a text that is short or says only "view" or
+    the like gives way to the heading of the nearest card around it, if `nodes` (with last_id) are given; '' becomes null."""
+    low = F.lower("url")
+    d = links.where(any_of([low.contains(p.lower()) for p in V.VISITED_PATHS])).groupBy("page_id", "url").agg(F.min_by("text", "node_id").alias("text"), F.min("node_id").alias("node_id"))
+    if nodes is not None:
+        generic = (F.length("text") < 3) | F.lower("text").isin(V.GENERIC_LINKS)
+        card = nodes.where(css(CARDS)).select("page_id", F.col("node_id").alias("card_"), F.col("last_id").alias("end_"))
+        # Cards around a link, the innermost last; all of one page meet, and a page is one record of the input.
+        around = d.where(generic).select("page_id", "node_id").join(card, "page_id").where((F.col("card_") <= F.col("node_id")) & (F.col("node_id") <= F.col("end_")))
+        around = around.groupBy("page_id", "node_id").agg(F.max(F.struct("card_", "end_")).alias("c")).select("page_id", "node_id", "c.*")
+        heading = nodes.where(css(CARD_NAMES)).select("page_id", F.col("node_id").alias("h_"), F.col("text").alias("name_"))
+        named = around.join(heading, "page_id").where((F.col("h_") > F.col("card_")) & (F.col("h_") <= F.col("end_"))).groupBy("page_id", "node_id").agg(F.min_by("name_", "h_").alias("name_"))
+        d = d.join(named, ["page_id", "node_id"], "left").withColumn("text", F.when(generic & F.col("name_").isNotNull(), F.col("name_")).otherwise(F.col("text")))
+    return d.select("page_id", "url", present(F.col("text")).alias("text"), "node_id")
 
 
 def max_page_from_text(text: Column) -> Column:
@@ -131,14 +162,40 @@ def max_page_from_text(text: Column) -> Column:
     return F.coalesce(*(good(whole(p, 1)) for p in said), good(F.ceil(F.when(size > 0, whole(r, 3) / size)).cast("long")))
 
 
+def page_text_of(text: str = "text") -> Column:
+    """An aggregate over a page's nodes: the text of its body, or of all its outermost elements in order where no body is marked."""
+    tops = F.array_sort(F.collect_list(F.when(F.col("parent_id") == -1, F.struct("node_id", text))))
+    return F.coalesce(F.min(F.when(F.col("tag") == "body", F.struct("node_id", text)))[text], F.array_join(F.transform(tops, lambda x: x[text]), " "))
+
+
+def max_page(nodes: DataFrame) -> DataFrame:
+    """H29 for pages: page_id, max_page by the body's text, else by the first element whose data attributes give one; pages without are left out."""
+    given = F.coalesce(*(present(F.col("attrs")[a]) for a in ("data-total-pages", "data-max-page", "data-page-count")))
+    number = whole_number(given)
+    d = nodes.groupBy("page_id").agg(page_text_of().alias("text_"), F.min(F.when(number.between(1, 9999), F.struct("node_id", number.alias("n")))).alias("data_"))
+    page = F.coalesce(max_page_from_text(F.col("text_")), F.col("data_.n"))
+    return d.select("page_id", page.alias("max_page")).where("max_page is not null")
+
+
 def pagination_controls(nodes: DataFrame) -> DataFrame:
-    """Per page the numbers its links and buttons show (1 to 9999), next and previous, and the kind of control."""
-    d = nodes.where(F.col("tag").isin("a", "button"))
-    n = F.when(F.col("text").rlike(r"^\d{1,4}\z"), F.col("text").try_cast("int"))
-    label = F.lower(F.concat_ws(" ", "text", "class", F.col("attrs")["rel"], F.col("attrs")["aria-label"]))
-    per = d.groupBy("page_id").agg(F.array_sort(F.collect_set(F.when(n > 0, n))).alias("numbers"), F.coalesce(F.bool_or(label.rlike(r"\bnext\b")), F.lit(False)).alias("next_"), F.coalesce(F.bool_or(label.rlike(r"\bprev(ious)?\b")), F.lit(False)).alias("prev_"))
-    kind = F.when(F.size("numbers") > 1, "numeric").when(F.col("next_") | F.col("prev_"), "next-prev").otherwise("none")
-    return per.select("page_id", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.array_max("numbers").alias("max_page"), F.col("next_").alias("has_next"), F.col("prev_").alias("has_prev"), kind.alias("kind"))
+    """Per page the numbers its page links show (1 to 9999), the greatest one (else H29's), the current one, next and previous, the
+    kind of control and whether there is any. Whether an element can be seen is not known here."""
+    shown, data = whole_number(F.col("text")), whole_number(F.col("attrs")["data-page"])
+    in_range = lambda n: F.when(n.between(1, 9999), n)
+    link = css(V.PAGE_LINKS)
+    at = [F.min(F.when(css(c), F.struct("node_id", F.coalesce(F.when(shown > 0, shown), F.when(data > 0, data)).alias("n")))).alias(f"at{k}_") for k, c in enumerate(V.CURRENT_PAGE)]
+    per = nodes.groupBy("page_id").agg(
+        F.collect_set(F.when(link, in_range(shown))).alias("a_"), F.collect_set(F.when(link, in_range(data))).alias("b_"), F.bool_or(css(V.NEXT_PAGE) | (css('svg[data-icon="chevron-right"]:in(a)'))).alias("has_next"),
+        F.bool_or(css(V.PREVIOUS_PAGE)).alias("has_prev"), F.bool_or(css(V.PAGE_NAVIGATION)).alias("in_"), *at,
+    )
+    per = per.withColumn("numbers", F.array_sort(F.array_union("a_", "b_")))
+    numeric = F.size("numbers") > 0
+    kind = F.when(numeric, "numeric").when(F.col("has_next") | F.col("has_prev"), "next-prev").otherwise("none")
+    d = per.join(max_page(nodes).withColumnRenamed("max_page", "said_"), "page_id", "left")
+    return d.select(
+        "page_id", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.coalesce(F.array_max("numbers"), F.col("said_")).alias("max_page"), F.coalesce(*(F.col(f"at{k}_.n") for k in range(len(at)))).alias("current_page"),
+        "has_next", "has_prev", kind.alias("kind"), (F.col("in_") | F.col("has_next") | numeric).alias("has_pagination"),
+    )
 
 
 def visible_text(html: Column) -> Column:
@@ -155,12 +212,18 @@ def page_content_stats(pages: DataFrame) -> DataFrame:
 
 
 def infinite_scroll_score(pages: DataFrame) -> DataFrame:
-    """Static hints of endless lists: lazy images, scroll scripts, load zones and buttons, observers; found from 4."""
-    h = F.col("html")
-    hint = lambda p, n: F.when(h.rlike(p), n).otherwise(0)
-    s = F.when(F.regexp_count(h, F.lit(r"(?i)loading=.lazy|data-src=")) > 5, 2).otherwise(0) + hint(r"(?i)infinite-?scroll|waypoint", 2) + hint(r"(?i)class=.[^\"']*(load-?more|sentinel)", 2) + hint(r"(?i)<button[^>]*>\s*(load|show) more", 1)
-    s = s + F.when(F.regexp_count(h, F.lit(r"(?i)virtual-?(list|item)")) > 10, 2).otherwise(0) + hint("IntersectionObserver", 1)
-    return pages.select("page_id", s.alias("score"), (s >= 4).alias("infinite"))
+    """Static hints of endless lists, by selectors: over five lazy elements 2, a script that listens for scrolling 2, a load zone 2, a
+    button for more 1, over ten indexed rows 2, observed elements 1; found from 4. Pages without elements score 0."""
+    nodes = html_nodes(pages)
+    any_, times = lambda c: F.coalesce(F.bool_or(c), F.lit(False)), lambda c: F.count_if(css(c))
+    button = css(V.LOAD_BUTTONS) | (F.col("tag").eqNullSafe("button") & F.contains("text", F.lit("Load More")))
+    per = nodes.groupBy("page_id").agg(times(V.LAZY).alias("lazy"), any_(css(V.LOAD_ZONES)).alias("zone"), any_(button).alias("button"), times("[data-index]").alias("rows"), any_(css("[data-observe], .observe")).alias("seen"))
+    scripts = matches(F.col("html"), r"(?is)<script[^>]*>(.*?)</script>", 1)
+    listens = F.exists(scripts, lambda s: (s.contains("addEventListener") | s.contains("onscroll")) & (s.contains("scroll") | s.contains("loadMore")))
+    d = pages.select(F.col("page_id").cast("long"), F.coalesce(listens, F.lit(False)).alias("listens")).join(per, "page_id", "left")
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    s = points(F.col("lazy") > 5, 2) + points(F.col("listens"), 2) + points(F.col("zone"), 2) + points(F.col("button"), 1) + points(F.col("rows") > 10, 2) + points(F.col("seen"), 1)
+    return d.select("page_id", s.alias("score"), (s >= 4).alias("infinite"))
 
 
 def fill_missing_fields(d: DataFrame, found: DataFrame, key: str = "row_id") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import page_param
+from ..functions.urls import domain, page_param, params, with_query
 
 
 def page_boundary(pages: DataFrame, cap: int = 500) -> DataFrame:
@@ -50,3 +50,14 @@ def latest_pattern(cache: DataFrame) -> DataFrame:
     rest = [c for c in cache.columns if c not in ("domain", "cached_at")]
     d = cache.where("confidence >= 70").groupBy("domain").agg(F.max(F.struct("cached_at", *rest)).alias("m"))
     return d.select("domain", "m.*")
+
+
+def rebased_pattern(cache: DataFrame, pages: DataFrame, small: int = 200_000) -> DataFrame:
+    """S7 on read: page_id, url, name, base_url, changed: the newest pattern of each page's domain (cache: domain, name, base_url, cached_at,
+    confidence) with its base put onto the page's own address: site and path, and the parameters but the pattern's own. Pages of unknown domains
+    are left out; of a repeated parameter every value goes."""
+    known = latest_pattern(cache.select("domain", "name", "base_url", "cached_at", "confidence"))
+    known = F.broadcast(known) if known.count() <= small else known
+    d = pages.select("page_id", "url").withColumn("domain", domain(F.col("url"))).join(known, "domain")
+    base = with_query(F.col("url"), F.filter(params(F.col("url")), lambda p: p["name"] != F.col("name")))
+    return d.select("page_id", "url", "name", base.alias("base_url"), (base != F.coalesce("base_url", F.lit(""))).alias("changed"))

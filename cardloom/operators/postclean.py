@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed as V
 from ..functions.cleaning import normalize_location, quality_score
 from ..functions.places import country_code, country_of, multi_location, phone_location_check
-from ..functions.text import domain_type, email_domain
+from ..functions.text import domain_type, email_domain, matches, present
+from .fingerprint import page_fingerprint_check
+from .html import absolute, html_nodes, page_text_of
+from .selectors import css
 
 
 def post_clean(contacts: DataFrame, us_first: bool = True) -> DataFrame:
@@ -37,13 +41,52 @@ def noise_summary(long: DataFrame) -> DataFrame:
     return long.where(F.size("noise") > 0).groupBy("field").agg(F.count("*").alias("noisy"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("noise", lambda n: n["type"]))))), ",").alias("types"))
 
 
-def page_contact_count(pages: DataFrame, least: int = 1) -> DataFrame:
-    """Contacts of a page by its mailto links, else profile links (three at least), else distinct addresses, else tel links; valid from `least`."""
-    h = F.col("html")
-    n = lambda p: F.nullif(F.regexp_count(h, F.lit(p)), F.lit(0))
-    profiles = n(r"(?i)href=.[^\"'>]*/(people|attorneys?|lawyers?|agents?|team|profiles?|staff)/")
-    addresses = F.nullif(F.size(F.array_distinct(F.regexp_extract_all(h, F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0)))), F.lit(0))
-    count = F.coalesce(n("(?i)href=.mailto:"), F.when(profiles >= 3, profiles), addresses, n("(?i)href=.tel:"), F.lit(0))
-    return pages.select("page_id", count.alias("contacts"), (count >= least).alias("valid"))
+def page_contacts(pages: DataFrame, card_selector: str | None = None, first: int = 10) -> DataFrame:
+    """What a page counts as contacts: page_id, method, contacts, found (the first ones in order: name, profile_url).
+
+    With a card selector its elements; else mailto links, else the first of the known profile paths with three links, else distinct addresses
+    in the text, else tel links. A card's name is its first heading, name-like element or link with a text. Every page gives a row.
+    """
+    nodes = html_nodes(pages).join(pages.select(F.col("page_id").cast("long"), F.col("url").alias("base_")), "page_id")
+    text = F.col("text")
+    to = F.when(F.col("attrs")["href"].isNotNull(), absolute(F.col("attrs")["href"], F.col("base_")))
+    if card_selector:
+        d = nodes.where(css(card_selector)).select("page_id", F.col("node_id").alias("card_"), F.col("last_id").alias("end_"))
+        kinds = [css(x) for x in ("h1", "h2", "h3", "h4", ".name", '[class*="name"]', "a")]
+        rank = F.coalesce(*(F.when(k, i) for i, k in enumerate(kinds)))
+        link = css(", ".join(f'a[href*="{x}"]' for x in ("/profile", "/people/", "/attorney", "/lawyer", "/team/", "/bio/")) + ", a")
+        inside = nodes.where(rank.isNotNull() | link).select("page_id", "node_id", "text", rank.alias("rank_"), F.when(link, to).alias("to_"))
+        inside = d.join(inside, "page_id").where((F.col("node_id") > F.col("card_")) & (F.col("node_id") <= F.col("end_"))).groupBy("page_id", "card_").agg(
+            F.min(F.when(F.col("rank_").isNotNull() & (text != ""), F.struct("rank_", "node_id", "text")))["text"].alias("name"), F.min(F.when(F.col("to_").isNotNull(), F.struct("node_id", "to_")))["to_"].alias("profile_url"),
+        )
+        rows = d.join(inside, ["page_id", "card_"], "left").select("page_id", F.lit(0).alias("k_"), F.col("card_").alias("at_"), "name", "profile_url")
+    else:
+        kinds = ['a[href^="mailto:"]', *V.CONTACT_LINKS]
+        hits = F.filter(F.array(*(F.when(css(c), F.lit(i)) for i, c in enumerate(kinds)), F.when(css('a[href^="tel:"]'), F.lit(len(kinds) + 1))), lambda x: x.isNotNull())
+        links = nodes.where("tag = 'a'").select("page_id", F.explode(hits).alias("k_"), F.col("node_id").alias("at_"), present(text).alias("name"), to.alias("profile_url"))
+        body = nodes.groupBy("page_id").agg(page_text_of().alias("t_"))
+        said = body.select("page_id", F.lit(len(kinds)).alias("k_"), F.posexplode(F.array_distinct(matches(F.col("t_"), V.EMAIL))).alias("at_", "name"), F.lit(None).cast("string").alias("profile_url"))
+        rows = links.unionByName(said)
+    per = rows.groupBy("page_id", "k_").agg(F.count("*").alias("contacts"), F.slice(F.array_sort(F.collect_list(F.struct("at_", "name", "profile_url"))), 1, first).alias("found"))
+    enough = per.where(F.lit(True) if card_selector else ~F.col("k_").between(1, len(V.CONTACT_LINKS)) | (F.col("contacts") >= 3))
+    best = enough.groupBy("page_id").agg(F.min(F.struct("k_", "contacts", "found")).alias("m"))
+    methods = {0: "card-selector"} if card_selector else {0: "mailto-links", len(V.CONTACT_LINKS) + 1: "email-regex", len(V.CONTACT_LINKS) + 2: "tel-links"}
+    method = F.coalesce(*(F.when(F.col("m.k_") == k, v) for k, v in methods.items()), F.when(F.col("m.k_").isNotNull(), "profile-links"), F.lit("none"))
+    d = pages.select(F.col("page_id").cast("long")).join(best, "page_id", "left")
+    found = F.transform(F.coalesce("m.found", F.array().cast("array<struct<at_:int,name:string,profile_url:string>>")), lambda x: F.struct(x["name"].alias("name"), x["profile_url"].alias("profile_url")))
+    return d.select("page_id", method.alias("method"), F.coalesce("m.contacts", F.lit(0)).cast("long").alias("contacts"), found.alias("found"))
+
+
+def page_contact_count(pages: DataFrame, least: int = 1, card_selector: str | None = None) -> DataFrame:
+    """Contacts of a page and whether they are enough."""
+    return page_contacts(pages, card_selector).select("page_id", "contacts", (F.col("contacts") >= least).alias("valid"))
 
 
+def stored_listings(pages: DataFrame, least: int = 1, card_selector: str | None = None) -> DataFrame:
+    """What W1 asks of stored pages (page_id, listing_id, page_num, url, html): listing_id, page_num, valid. A page is valid if it has
+    enough contacts (H32) and they are not those of its listing's page 1 (J4)."""
+    d = pages.select("page_id", "listing_id", "page_num").join(page_contacts(pages, card_selector), "page_id")
+    rows = d.select("listing_id", "page_num", F.posexplode("found").alias("position", "c")).select("listing_id", "page_num", "position", "c.*")
+    verdict = page_fingerprint_check(rows, pages=d.select("listing_id", "page_num"))
+    good = F.col("verdict").isin("first", "valid", "unique")
+    return d.select("listing_id", "page_num", "contacts").join(verdict, ["listing_id", "page_num"]).select("listing_id", "page_num", ((F.col("contacts") >= least) & good).alias("valid"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.text import any_of, digits, first_match, is_business_email, let, matches, name_variations, normalize_phone, present
+from .labels import label_value
 from .trees import attr, class_part, first, has_class, href, in_order, is_link, page_text, texts, within
 
 PERSON = "array<struct<`@type`:string,name:string,email:string,telephone:string,jobTitle:string,description:string,worksFor:struct<name:string>>>"
@@ -167,13 +168,5 @@ def profile_fields(trees: DataFrame) -> DataFrame:
 def label_values(trees: DataFrame, field: str) -> DataFrame:
     """page_id and the value of a field by its label in the text nodes: what follows the colon (over two characters), else the first
     of the next four texts of 3 to 99 characters that is no label itself. Confidence 75. What stands to the right on screen is not known here."""
-    labels = {"name": "name|full name", "email": "e-?mail", "phone": "phone|telephone|tel|mobile|cell", "title": "title|position|role|job title", "location": "location|address|office|city"}
-    every = "|".join(labels.values())
-    own = F.filter(F.transform("nodes", lambda n: n["own"]), lambda t: t != "")
-    at = F.filter(F.transform(own, lambda t, i: F.when(t.rlike(rf"(?i)^({labels[field]})\s*(:|\z)"), i)), lambda i: i.isNotNull())
-    here = F.get(at, 0)
-    after = F.trim(F.regexp_replace(F.get(own, here), r"^[^:]*:?", ""))
-    following = F.filter(F.slice(own, here + 2, F.lit(4)), lambda t: F.length(t).between(3, 99) & ~t.rlike(rf"(?i)^({every})\s*:?\z"))
-    value = F.when(here.isNotNull(), F.coalesce(F.when(F.length(after) > 2, after), F.get(following, 0)))
-    clean = {"email": F.lower(first_match(value, V.EMAIL)), "phone": F.when(F.length(digits(value)) >= 7, F.trim(value))}.get(field, F.trim(value))
+    clean = label_value(F.col("nodes"), field)
     return trees.select("page_id", clean.alias(field), F.when(clean.isNotNull(), 75).alias("confidence"))

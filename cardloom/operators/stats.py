@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import quality_score
-from ..functions.text import domain_type, email_domain, presence_confidence, present, validate_field
+from ..functions.text import any_of, domain_type, email_domain, presence_confidence, present, validate_field
 
 REPORTED = ["name", "email", "phone", "title", "location"]
 
@@ -19,30 +19,45 @@ def share(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)), 4)
 
 
-def contact_stats(df: DataFrame) -> DataFrame:
-    """A1: one row of counts."""
-    level = presence_confidence(F.col("name"), F.col("email"), F.col("phone"))
-    return df.agg(
+def contact_stats(df: DataFrame, extracted: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """A1: one row of counts. Levels are the rows' own `confidence`, else C7's; sources count where there is a `source` column; with the
+    rows before dedup, also total_extracted and duplicates_removed, with the pages (one row each), pages_scraped."""
+    level = F.col("confidence") if "confidence" in df.columns else presence_confidence(F.col("name"), F.col("email"), F.col("phone"))
+    sources = [F.count_if(F.col("source") == k).alias(f"from_{k}") for k in ("html", "pdf", "merged")] if "source" in df.columns else []
+    out = df.agg(
         F.count("*").alias("total"), F.count_if(has("email")).alias("with_email"), F.count_if(has("phone")).alias("with_phone"), F.count_if(has("email") & has("phone")).alias("with_both"),
-        F.count_if(has("name") & has("email") & has("phone")).alias("complete"), *(F.count_if(level == k).alias(k) for k in ("high", "medium", "low")),
+        F.count_if(has("name") & has("email") & has("phone")).alias("complete"), *(F.count_if(level == k).alias(k) for k in ("high", "medium", "low")), *sources,
     )
+    if pages is not None:
+        out = out.crossJoin(pages.agg(F.count("*").alias("pages_scraped")))  # single rows
+    if extracted is not None:
+        out = out.crossJoin(extracted.agg(F.count("*").alias("total_extracted"))).withColumn("duplicates_removed", F.col("total_extracted") - F.col("total"))
+    return out
 
 
-def with_domain(df: DataFrame) -> DataFrame:
+def with_domain(df: DataFrame, personal: DataFrame | None = None, small: int = 200_000) -> DataFrame:
+    """df with domain and domain_type. P3: `personal` (domain) has further domains of private persons; up to `small` of them (counted) are
+    broadcast, more are joined by a shuffle, in which missing domains take no part."""
     d = df.withColumn("domain", email_domain(F.col("email")))
-    return d.withColumn("domain_type", domain_type(F.col("domain")))
+    kind = domain_type(F.col("domain"))
+    if personal is None:
+        return d.withColumn("domain_type", kind)
+    own = personal.select(F.regexp_replace(F.lower(F.trim("domain")), r"^www\.", "").alias("domain")).where("domain <> ''").distinct().withColumn("private_", F.lit(True))
+    own = F.broadcast(own) if own.count() <= small else own
+    known = d.where("domain is not null").join(own, "domain", "left").withColumn("domain_type", F.when(F.col("private_"), "personal").otherwise(kind)).drop("private_")
+    return known.unionByName(d.where("domain is null").withColumn("domain_type", kind))
 
 
-def domain_counts(df: DataFrame) -> DataFrame:
+def domain_counts(df: DataFrame, personal: DataFrame | None = None) -> DataFrame:
     """A row per domain: contacts, first_row, domain_type."""
-    return with_domain(df).where("domain is not null").groupBy("domain", "domain_type").agg(F.count("*").alias("contacts"), F.min("row_id").alias("first_row"))
+    return with_domain(df, personal).where("domain is not null").groupBy("domain", "domain_type").agg(F.count("*").alias("contacts"), F.min("row_id").alias("first_row"))
 
 
-def domain_stats(df: DataFrame) -> DataFrame:
+def domain_stats(df: DataFrame, personal: DataFrame | None = None) -> DataFrame:
     """A2: one row: addresses, distinct domains, business domains, contacts of either kind."""
     n = F.coalesce(F.sum("contacts"), F.lit(0))
     of = lambda k: F.coalesce(F.sum(F.when(F.col("domain_type") == k, F.col("contacts"))), F.lit(0))
-    rolled = domain_counts(df).agg(n.alias("parsed"), F.count("*").alias("unique_domains"), F.count_if(F.col("domain_type") == "business").alias("business_domains"), of("business").alias("business_contacts"), of("personal").alias("personal_contacts"))
+    rolled = domain_counts(df, personal).agg(n.alias("parsed"), F.count("*").alias("unique_domains"), F.count_if(F.col("domain_type") == "business").alias("business_domains"), of("business").alias("business_contacts"), of("personal").alias("personal_contacts"))
     return rolled.crossJoin(df.agg(F.count_if(has("email")).alias("with_email")))  # two single rows
 
 
@@ -77,6 +92,23 @@ def enrichment_stats(long: DataFrame) -> DataFrame:
     return long.groupBy("field", "action").agg(F.count("*").alias("contacts"))
 
 
+def contacts_by_action(long: DataFrame) -> DataFrame:
+    """How many contacts have at least one field of each action."""
+    kinds = ("ENRICHED", "VALIDATED", "CLEANED", "REPLACED")
+    per = long.groupBy("row_id").agg(*(F.coalesce(F.bool_or(F.col("action") == k), F.lit(False)).alias(k) for k in kinds))
+    return per.agg(F.count("*").alias("processed"), *(F.count_if(k).alias(k.lower()) for k in kinds))
+
+
+def flag_counts(long: DataFrame) -> DataFrame:
+    """How often each flag was raised."""
+    return long.where("flag is not null").groupBy("flag").agg(F.count("*").alias("contacts"))
+
+
+def enrichment_rate(enriched: DataFrame) -> DataFrame:
+    """How many of all contacts met a profile."""
+    return enriched.agg(F.count("*").alias("total"), F.count_if("has_profile").alias("enriched")).select("total", "enriched", share(F.col("enriched"), F.col("total")).alias("rate"))
+
+
 def enrichment_summary(long: DataFrame) -> DataFrame:
     """Per action its count and share of all fields; BOTH_MISSING is listed with none."""
     actions = F.explode(F.array(*(F.lit(a) for a in ("ENRICHED", "VALIDATED", "CLEANED", "REPLACED", "UNCHANGED", "BOTH_MISSING"))))
@@ -100,22 +132,34 @@ def field_breakdown(enriched: DataFrame) -> DataFrame:
     )
 
 
-def data_quality(df: DataFrame, level: Column) -> DataFrame:
-    """A10: weighted completeness, prevailing confidence and score of a table; `level` is each row's confidence."""
+def data_quality(df: DataFrame, level: Column, review: DataFrame | None = None, first: int = 10) -> DataFrame:
+    """A10: weighted completeness, prevailing confidence (none for an empty table) and score of a table; `level` is each row's confidence.
+    With `review` (row_id, needs_review, flags), also the number of issues and the first ones by row_id: contact and reason."""
     weights = {"name": 0.3, "email": 0.3, "phone": 0.2, "title": 0.1, "location": 0.1}
     d = df.withColumn("level_", level).agg(F.count("*").alias("n"), *(F.count_if(has(c)).alias(c) for c in weights), *(F.count_if(F.col("level_") == k).alias(f"l_{k}") for k in ("high", "medium", "low")))
     full = sum((F.col(c) / F.greatest(F.col("n"), F.lit(1)) * w for c, w in weights.items()), F.lit(0.0))
-    overall = F.when(F.col("l_low") > F.col("l_high"), "low").when(F.col("l_medium") > F.col("l_high"), "medium").otherwise("high")
+    overall = F.when(F.col("n") == 0, "none").when(F.col("l_low") > F.col("l_high"), "low").when(F.col("l_medium") > F.col("l_high"), "medium").otherwise("high")
     factor = F.when(overall == "high", 1.0).when(overall == "medium", 0.8).otherwise(0.6)
-    return d.select("n", F.round(full, 4).alias("completeness"), overall.alias("confidence"), F.round(full * factor * 100, 2).alias("score"))
-
-
-def recommendations(long: DataFrame, df: DataFrame) -> DataFrame:
-    """What the figures call for, or success."""
-    m = long.agg(F.count("*").alias("n"), F.count_if(F.col("action") == "REPLACED").alias("r"), F.count_if(F.col("confidence") == "low").alias("low"))
+    out = d.select("n", F.round(full, 4).alias("completeness"), overall.alias("confidence"), F.round(full * factor * 100, 2).alias("score"))
+    if review is not None:
+        bad = df.select("row_id", F.coalesce(present(F.col("name")), F.lit("Unknown")).alias("contact")).join(review.where("needs_review").select("row_id", "flags"), "row_id")
+        bad = bad.withColumn("reason", F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("needs review"))
+        some = bad.orderBy("row_id").limit(first).agg(F.array_sort(F.collect_list(F.struct("row_id", "contact", "reason"))).alias("issues"))  # `first` rows
+        out = out.crossJoin(bad.agg(F.count("*").alias("issue_count"))).crossJoin(some)  # single rows
+    return out
+
+
+def recommendations(long: DataFrame, df: DataFrame, processed: int | None = None, errors: int = 0) -> DataFrame:
+    """What the figures call for, or success: addresses under half, over 10 % of contacts with a replaced field, errors over 10 % of
+    what was processed, over 20 % of contacts of low confidence."""
+    per = long.groupBy("row_id").agg(F.coalesce(F.bool_or(F.col("action") == "REPLACED"), F.lit(False)).alias("r"), F.count("confidence").alias("k"), F.count_if(F.col("confidence") == "low").alias("low"))
+    m = per.agg(F.count("*").alias("n"), F.count_if("r").alias("r"), F.count_if((F.col("k") == 0) | (2 * F.col("low") > F.col("k"))).alias("low"))
     d = m.crossJoin(df.agg(F.count("*").alias("rows"), F.count_if(has("email")).alias("mail")))  # two single rows
-    n = F.greatest(F.col("n"), F.lit(1))
-    said = F.array(F.when(F.col("mail") < 0.5 * F.col("rows"), F.lit("low_email_coverage")), F.when(F.col("r") > 0.1 * n, F.lit("many_replacements")), F.when(F.col("low") > 0.2 * n, F.lit("low_confidence")))
+    often = F.lit(errors) > 0.1 * (F.lit(processed) if processed is not None else F.col("n"))
+    said = F.array(
+        F.when((F.col("mail") < 0.5 * F.col("rows")) | (F.col("rows") == 0), F.lit("low_email_coverage")), F.when(F.col("r") > 0.1 * F.col("rows"), F.lit("many_replacements")), F.when(F.lit(errors > 0) & often, F.lit("high_error_rate")),
+        F.when(F.col("low") > 0.2 * F.col("rows"), F.lit("low_confidence")),
+    )
     said = F.filter(said, lambda x: x.isNotNull())
     return d.select(F.explode(F.when(F.size(said) == 0, F.array(F.lit("success"))).otherwise(said)).alias("recommendation"))
 
@@ -133,23 +177,48 @@ def review_queue(long: DataFrame) -> DataFrame:
     return long.where("review").groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_list("flag")), ",").alias("flags"))
 
 
+EXTRACTED = ("email", "phone")
+REMOVALS = ("titleSuffix", "credentialSuffix", "email", "phone", "spam")
+
+
+def _of_type(kind: str):
+    return lambda r: r["type"] == kind
+
+
 def cleaning_report(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFrame:
-    """Per field of clean_<field> structs: extracted, nullified, unchanged, modified, removed items, and an alert over 10 % nullified."""
-    d = cleaned.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"clean_{c}.value").alias("v"), F.col(f"clean_{c}.original").alias("o"), F.col(f"clean_{c}.modified").alias("m"), F.size(f"clean_{c}.removed").alias("k")) for c in fields))).alias("x")).select("x.*")
-    gone = F.count_if(F.col("o").isNotNull() & F.col("v").isNull())
-    had = F.count("o")
-    return d.groupBy("field").agg(
-        F.count_if(F.col("v").isNotNull() & F.col("m")).alias("extracted"), gone.alias("nullified"), F.count_if(F.col("o").isNotNull() & (F.col("o") == F.col("v"))).alias("unchanged"),
-        F.count_if(F.col("v").isNotNull() & F.col("m")).alias("modified"), F.sum("k").alias("removed"), (gone > 0.1 * had).alias("alert"),
+    """Per field of clean_<field> structs: extracted (addresses and phones that were changed), nullified, modified, unchanged (what
+    was empty counts as such), removals by type, and an alert over 10 % nullified."""
+    kinds = [F.size(F.filter(F.col("rm"), _of_type(k))).alias(k) for k in REMOVALS]
+    d = cleaned.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"clean_{c}.value").alias("v"), F.col(f"clean_{c}.original").alias("o"), F.col(f"clean_{c}.modified").alias("m"), F.col(f"clean_{c}.removed").alias("rm")) for c in fields))).alias("x")).select("x.*")
+    had, gone = F.col("o").isNotNull(), F.col("o").isNotNull() & F.col("v").isNull()
+    taken = F.col("field").isin(*EXTRACTED)
+    changed = had & F.when(taken, gone | F.col("m")).otherwise(F.col("m"))
+    out = d.select("field", had.alias("had"), gone.alias("gone"), changed.alias("changed"), taken.alias("taken"), *(F.when(~taken & had & F.col("m"), k).otherwise(0).alias(n) for k, n in zip(kinds, REMOVALS, strict=True)))
+    return out.groupBy("field").agg(
+        F.count("*").alias("total"), F.count_if(F.col("taken") & F.col("changed") & ~F.col("gone")).alias("extracted"), F.count_if("gone").alias("nullified"), F.count_if("changed").alias("modified"), F.count_if(~F.col("changed")).alias("unchanged"),
+        F.map_from_arrays(F.array(*map(F.lit, REMOVALS)), F.array(*map(F.sum, REMOVALS))).alias("removals"), (F.count_if("gone") > 0.1 * F.count_if("had")).alias("alert"),
     )
 
 
+def cleaning_summary(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFrame:
+    """Rows and fields modified. A value that was only given up doesn't make its row a modified one, but its field."""
+    row = any_of([F.coalesce(F.col(f"clean_{c}.modified"), F.lit(False)) for c in fields])
+    per = cleaning_report(cleaned, fields).agg(F.coalesce(F.sum("modified"), F.lit(0)).alias("fields_modified"))
+    rows = cleaned.agg(F.count("*").alias("contacts"), F.count_if(row).alias("contacts_modified"), F.count_if(~row).alias("contacts_unchanged"))
+    return rows.crossJoin(per)  # two single rows
+
+
 def extraction_quality(df: DataFrame) -> DataFrame:
-    """100, less 20 for names under half, 15 for addresses under 30 %, 10 for any invalid address; band at 80 and 50."""
+    """100, less 20 for names under half, 15 for addresses under 30 %, 10 for any invalid address, with the issues; high from 80, medium
+    from 50, else low; an empty table is none with a score of 0."""
     bad = F.count_if(has("email") & ~F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"))
     d = df.agg(F.count("*").alias("n"), F.count_if(has("name")).alias("names"), F.count_if(has("email")).alias("mails"), bad.alias("invalid"))
-    s = F.lit(100) - F.when(F.col("names") < 0.5 * F.col("n"), 20).otherwise(0) - F.when(F.col("mails") < 0.3 * F.col("n"), 15).otherwise(0) - F.when(F.col("invalid") > 0, 10).otherwise(0)
-    return d.select("n", "invalid", s.alias("score"), F.when(s >= 80, "good").when(s >= 50, "fair").otherwise("poor").alias("band"))
+    rate = lambda c: F.floor(100 * F.col(c) / F.greatest(F.col("n"), F.lit(1)) + 0.5).cast("string")
+    cases = [(F.col("names") < 0.5 * F.col("n"), 20, F.concat(F.lit("names "), rate("names"), F.lit("%"))), (F.col("mails") < 0.3 * F.col("n"), 15, F.concat(F.lit("addresses "), rate("mails"), F.lit("%"))), (F.col("invalid") > 0, 10, F.lit("invalid addresses"))]
+    s = sum((-F.when(c, n).otherwise(0) for c, n, _ in cases), F.lit(100))
+    empty = F.col("n") == 0
+    issues = F.when(empty, F.array(F.lit("no contacts"))).otherwise(F.filter(F.array(*(F.when(c, t) for c, _, t in cases)), lambda x: x.isNotNull()))
+    return d.select("n", "invalid", F.when(empty, 0).otherwise(s).alias("score"), F.when(empty, "none").when(s >= 80, "high").when(s >= 50, "medium").otherwise("low").alias("band"), issues.alias("issues"))
 
 
 def validation_issues(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, let, present
-from .html import absolute, parse
+from .html import absolute, last_inside, parse
 
 #: n: place in the document; up: parent; last: last node inside; own: text outside of its children.
 NODE = "struct<n:int,up:int,last:int,tag:string,cls:string,attrs:map<string,string>,text:string,own:string>"
@@ -22,10 +22,7 @@ def page_trees(pages: DataFrame) -> DataFrame:
 
     def tree(html: str | None) -> list[dict]:
         rows = parse(html)
-        last = list(range(len(rows)))
-        for i in range(len(rows) - 1, -1, -1):
-            if (up := rows[i][1]) >= 0:
-                last[up] = max(last[up], last[i])
+        last = last_inside([r[1] for r in rows])
         return [{"n": i, "up": up, "last": last[i], "tag": tag, "cls": c, "attrs": list(a.items()), "text": t, "own": own} for i, up, _, tag, c, a, t, own in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

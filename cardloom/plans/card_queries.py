@@ -83,12 +83,43 @@ def card_nodes(spark, sf):
 
 
 def paged(spark, sf):
-    """Pages with numbered links, and hints of endless lists on some."""
+    """Pages with page links, controls, totals and hints of endless lists on some, and on all of them what only looks like one."""
     d = built(spark, sf, "select k, 'https://' || site || '/list' as url from x")
-    some = lambda n, text: F.when(C("k") % n == 0, text).otherwise("")
-    numbers = F.array_join(F.transform(F.sequence(F.lit(1), (C("k") % 5 + 1).cast("int")), lambda i: F.concat(F.lit("<a href='?p="), i.cast("string"), F.lit("'>"), i.cast("string"), F.lit("</a>"))), "")
-    body = F.concat(numbers, some(2, "<a class='go' rel='next'>on</a>"), some(3, "<button>Previous</button>"), some(4, "<img loading='lazy'>" * 6), some(6, "<script src='infinite-scroll.js'></script>"), some(5, "<button>Load more</button>"), some(7, "<script>new IntersectionObserver(f)</script>"))
-    return d.select(C("k").alias("page_id"), "url", F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    some = lambda n, text, r=0: F.when(C("k") % n == r, text).otherwise("")
+    numbers = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), (C("k") % 5).cast("int")), lambda i: i > 0), lambda i: F.concat(F.lit("<a class='page-link' href='?p="), i.cast("string"), F.lit("'>"), i.cast("string"), F.lit("</a>"))), "")
+    controls = F.concat(numbers, some(2, "<a class='go' rel='next'>on</a>"), some(3, "<a rel='prev'>back</a>"), some(4, "<button data-page='12'>last</button>", 1), some(6, "<nav class='my-paginator'></nav>", 1), some(8, "<b class='current'>2</b>", 3), some(8, "<b aria-current='page'>7</b>", 5))
+    totals = F.concat(some(7, "<p>Page 1 of 30</p>"), some(9, "<div data-total-pages='44'></div>"))
+    hints = F.concat(some(4, "<img loading='lazy'>" * 6), some(6, "<script>window.addEventListener('scroll', f)</script>"), some(5, "<div data-infinite></div>"), some(7, "<button>Load More</button>"), some(10, "<li data-index='1'></li>" * 11), some(11, "<i class='observe'></i>"))
+    none = F.lit("<a href='/x'>99</a><p>next, previous, IntersectionObserver, infinite-scroll</p><a class='off next disabled'>5</a>")
+    return d.select(C("k").alias("page_id"), "url", F.concat(F.lit("<html><body>"), none, controls, totals, hints, F.lit("</body></html>")).alias("html"))
+
+
+# A page's links: address, text, and (in SQL) the score each should have; None where a page has no such link.
+LINK_PARTS = [
+    ("'/people/' || slug", "name", "100"), ("'/people/' || slug || '/cv'", "'CV'", "85"), ("'/x/' || slug", "name", "85"), ("'/x'", "'More'", "80"), ("'/y'", "'Search tips'", "70"), ("'/about/us'", "'View details'", "95"),
+    ("'/home'", "'Home'", "40"), ("'/menu/bio'", "'Menu of bios'", "65"), ("'https://www.linkedin.com/in/' || slug", "name", "75"), ("'https://instagram.com/' || slug", "'me'", "70"), ("'#'", "'Top'", "40"), ("'mailto:' || box || '@' || site", "'Mail'", "70"),
+]
+LINKS = "[" + ", ".join(f"{{'n': {i}, 's': {s}, 'u': case when k % {i % 4 + 2} > 0 then {a if a.startswith(chr(39) + 'https') or a.startswith(chr(39) + 'mailto') else chr(39) + 'https://' + chr(39) + ' || site || ' + (chr(39) + '/' + chr(39) + ' || ' if a == chr(39) + '#' + chr(39) else '') + a} end}}" for i, (a, _, s) in enumerate(LINK_PARTS)) + "]"
+
+
+def linked(spark, sf):
+    """Pages of links of many kinds, each twice."""
+    each = " || ".join(f"case when k % {i % 4 + 2} > 0 then '<a href=\"' || {a} || '\">' || {t} || '</a>' else '' end" for i, (a, t, _) in enumerate(LINK_PARTS))
+    return built(spark, sf, f"select k as page_id, 'https://' || site || '/' as url, {each} || {each} as html from x")
+
+
+def headed(spark, sf):
+    """Profile links in cards, some with a text that says nothing; the card's name stands in a heading or in a part that is called name."""
+    link = "'<a href=\"/our-team/' || slug || '\">' || case k % 3 when 0 then 'View' when 1 then '' else name end || '</a>'"
+    card = f"case k % 4 when 0 then '<div class=\"outer-card\"><h2>Outer</h2><div class=\"person\"><i class=\"full-name\">' || name || '</i><p>' || {link} || '</p></div></div>' when 1 then '<div class=\"card\">' || {link} || '<h3>' || name || '</h3></div>' when 2 then '<div class=\"team-member\">' || {link} || '</div>' else {link} end"
+    return built(spark, sf, f"select k as page_id, 'https://' || site || '/' as url, '<h2>Title</h2>' || {card} || '<a href=\"/realtor/' || slug || '\">' || name || '</a>' as html from x")
+
+
+def grids(spark, sf):
+    """Lists of equal cards after a first sibling that is unlike them, and one odd card at the end."""
+    item = "'<li class=\"item\"><a href=\"/p\">' || name || '</a><p>' || city || '</p></li>'"
+    odd = "'<li class=\"sep\"><b>1</b><b>2</b><b>3</b><b>4</b><b>5</b><b>6</b><b>7</b><b>8</b><b>9</b></li>'"
+    return built(spark, sf, f"select k as page_id, 'https://' || site || '/' as url, '<ul>' || {odd} || repeat({item}, cast(1 + k % 4 as int)) || '</ul>' as html from x")
 
 
 STEP_FROM = "case k % 4 when 0 then 'https://' || site || '/l?a=7&page=' || cast(k % 9 as varchar(9)) when 1 then 'https://' || site || '/l?start=0' when 2 then 'https://' || site || '/l/' || cast(k % 9 as varchar(9)) else 'https://' || site || '/l?x=1' end"
@@ -141,6 +172,11 @@ QUERIES = {
         lambda s, d: html.profile_links(links_of(s, d)).select("page_id", "url", "text"),
         f"with {DUCK} select (k // 8)::bigint as page_id, {URL_HERE} as url, case when k % 6 = 2 then name else 'View profile' end as text from x where k % 4 <> 1",
     ),
+    "h26_named_profile_links": (
+        lambda s, d: (lambda p: (lambda n: html.profile_links(html.html_links(n, p), n))(html.html_nodes(p)).select("page_id", "url", "text"))(headed(s, d)),
+        f"""with {DUCK} select k::bigint as page_id, 'https://' || site || '/our-team/' || slug as url, case when k % 3 = 2 or k % 4 in (0, 1) then name when k % 3 = 0 then 'View' end as text from x
+ union all select k::bigint, 'https://' || site || '/realtor/' || slug, name from x""",
+    ),
     "h3_email_candidates": (
         lambda s, d: cards.email_candidates(listing_cards(s, d)),
         f"""with {DUCK}, c as (select {PLACE}, k, {MAIL} as value from x) select page_id, card_index, 0 as position, value, case k % 5 when 0 then 'email-link-text' when 1 then 'mailto' when 2 then 'text' else 'data-attr' end as source,
@@ -148,7 +184,7 @@ QUERIES = {
     ),
     "h4_phone_candidates": (
         lambda s, d: cards.phone_candidates(listing_cards(s, d)),
-        f"""with {DUCK}, c as (select {PLACE}, k, {PHONE} as value from x) select page_id, card_index, 0 as position, value, regexp_replace(value, '\D', '', 'g') as digits, case when k % 4 = 0 then 'tel' else 'text' end as source,
+        rf"""with {DUCK}, c as (select {PLACE}, k, {PHONE} as value from x) select page_id, card_index, 0 as position, value, regexp_replace(value, '\D', '', 'g') as digits, case when k % 4 = 0 then 'tel' else 'text' end as source,
  case when k % 4 = 0 then 'high' else 'medium' end as confidence from c where value is not null""",
     ),
     "h5_name_candidates": (
@@ -162,17 +198,24 @@ QUERIES = {
   + case k % 4 when 0 then 4 when 1 then 14 when 3 then 12 else 0 end + case when k % 2 = 0 then 7 else 0 end + case when k % 3 <> 1 then length(city) else 0 end)::bigint as chars from x group by 1""",
     ),
     "h8_link_scores": (
-        lambda s, d: html.link_scores(links_of(s, d)).select("page_id", "url", "score"),
-        f"with {DUCK} select (k // 8)::bigint as page_id, {URL_HERE} as url, case when k % 6 = 2 then 100 else 95 end::int as score from x where k % 4 <> 1",
+        lambda s, d: (lambda p: html.link_scores(html.html_links(html.html_nodes(p), p)).select("page_id", "url", "score", "best"))(linked(s, d)),
+        f"""with {DUCK}, ll as (select k::bigint as page_id, unnest({LINKS}) as v, k from x), u as (select page_id, v.u as url, v.s::int as score, v.n as n from ll where v.u is not null)
+ select page_id, url, score, n = arg_min(n, -1000 * score + n) over (partition by page_id) as best from u""",
     ),
     "h28_pagination_controls": (
         lambda s, d: html.pagination_controls(html.html_nodes(paged(s, d))),
-        f"""with {DUCK} select k::bigint as page_id, array_to_string(list_transform(range(1, k % 5 + 2), lambda i: i::varchar), ',') as numbers, (k % 5 + 1)::int as max_page, k % 2 = 0 as has_next, k % 3 = 0 as has_prev,
- case when k % 5 > 0 then 'numeric' when k % 2 = 0 or k % 3 = 0 then 'next-prev' else 'none' end as kind from x""",
+        f"""with {DUCK}, n as (select k, list_sort(list_distinct(range(1, k % 5 + 1) || case when k % 4 = 1 then [12] else [] end)) as ns from x)
+ select k::bigint as page_id, array_to_string(list_transform(ns, lambda i: i::varchar), ',') as numbers, coalesce(list_max(ns), case when k % 7 = 0 then 30 when k % 9 = 0 then 44 end)::bigint as max_page, case when k % 8 = 3 then 2 when k % 8 = 5 then 7 end::bigint as current_page,
+ k % 2 = 0 as has_next, k % 3 = 0 as has_prev, case when len(ns) > 0 then 'numeric' when k % 2 = 0 or k % 3 = 0 then 'next-prev' else 'none' end as kind, k % 6 = 1 or k % 2 = 0 or len(ns) > 0 as has_pagination from n""",
+    ),
+    "h29_page_totals": (
+        lambda s, d: html.max_page(html.html_nodes(paged(s, d))),
+        f"with {DUCK} select k::bigint as page_id, case when k % 7 = 0 then 30 else 44 end::bigint as max_page from x where k % 7 = 0 or k % 9 = 0",
     ),
     "h30_infinite_scroll": (
         lambda s, d: html.infinite_scroll_score(paged(s, d)),
-        f"with {DUCK} select k::bigint as page_id, (case when k % 4 = 0 then 2 else 0 end + case when k % 6 = 0 then 2 else 0 end + case when k % 5 = 0 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end)::int as score, case when k % 4 = 0 then 2 else 0 end + case when k % 6 = 0 then 2 else 0 end + case when k % 5 = 0 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end >= 4 as infinite from x",
+        f"""with {DUCK}, p as (select k, (2 * (k % 4 = 0)::int + 2 * (k % 6 = 0)::int + 2 * (k % 5 = 0)::int + (k % 7 = 0)::int + 2 * (k % 10 = 0)::int + (k % 11 = 0)::int)::int as score from x)
+ select k::bigint as page_id, score, score >= 4 as infinite from p""",
     ),
     "u7_compare_urls": (
         lambda s, d: built(s, d, f"select k, {STEP_FROM} as a, {STEP_TO} as b from x").select("k", U.compare_urls(C("a"), C("b")).alias("step")).select("k", "step.*"),
@@ -191,9 +234,13 @@ QUERIES = {
  case k % 5 when 0 then '1' || area || '555' || line when 1 then area || '.555.' || line when 2 then {TEN} end as phone, case when k % 3 = 2 then 'Our Team' else name end as name from x""",
     ),
     "h31_repeated_cards": (
-        lambda s, d: cards.repeated_cards(trees.page_trees(listing_pages(s, d))).join(card_nodes(s, d), ["page_id", "n"]).groupBy("page_id").agg(F.count("*").alias("alike")),
+        lambda s, d: cards.repeated_cards(listing_pages(s, d)).join(card_nodes(s, d), ["page_id", "n"]).groupBy("page_id").agg(F.count("*").alias("alike")),
         f"with {DUCK}, p as (select (k // 8)::bigint as page_id, count(*) as n from x group by 1) select page_id, n - 1 as alike from p where n > 1",
     ),
+    "h31_cards_after_another": (
+        lambda s, d: cards.repeated_cards(grids(s, d)).join(html.html_nodes(grids(s, d)).where("tag = 'li'").select("page_id", C("node_id").alias("n")), ["page_id", "n"]).select("page_id", "n", "like", "score"),
+        f"with {DUCK}, i as (select k, unnest(range(1, k % 4 + 1)) as i from x) select k::bigint as page_id, (11 + 3 * i)::int as n, 11 as like, 100.0::double as score from i",
+    ),
     "c15_adjust_confidence": (
         lambda s, d: built(s, d, "select k, case k % 4 when 0 then 'name' when 1 then 'email' when 2 then 'phone' else 'profile_url' end as field, case k % 9 when 0 then name when 1 then box || '@' || site when 2 then area || '-555-' || line when 3 then '/people/' || slug when 4 then box when 5 then 'of one two three four five' when 7 then '' when 8 then lower(name) end as value, 60 + 5 * (k % 9) as base from x").select("k", T.adjust_confidence(C("field"), C("value"), C("base")).cast("int").alias("confidence"), T.confidence_band(T.adjust_confidence(C("field"), C("value"), C("base"))).alias("band")),
         rf"""with {DUCK}, v as (select k, case k % 4 when 0 then 'name' when 1 then 'email' when 2 then 'phone' else 'profile_url' end as field, case k % 9 when 0 then name when 1 then box || '@' || site when 2 then area || '-555-' || line when 3 then '/people/' || slug when 4 then box when 5 then 'of one two three four five' when 7 then '' when 8 then lower(name) end as value, 60 + 5 * (k % 9) as base from x),

@@ -127,8 +127,17 @@ def field_counts(d):
 
 
 def listed(spark, sf):
-    """Contacts as listings of pages of ten."""
-    return contacts(spark, sf).select((C("row_id") % 7).alias("listing_id"), (F.floor(C("row_id") / 70) + 1).alias("page_num"), (F.floor(C("row_id") / 7) % 10).alias("position"), "name", "profile_url")
+    """Contacts as listings of pages of ten; some pages repeat their listing's page 1 in addresses, in names alone, or at both ends."""
+    d = contacts(spark, sf).select((C("row_id") % 7).alias("listing_id"), (F.floor(C("row_id") / 70) + 1).alias("page_num"), (F.floor(C("row_id") / 7) % 10).alias("position"), "name", "profile_url", "row_id")
+    n, at = C("page_num") % 6, C("position").cast("string")
+    name = F.when((C("page_num") == 1) | n.isin(2, 3), F.concat(F.lit("Same "), at)).when((n == 4) & C("position").isin(0, 9), F.concat(F.lit("Same "), at)).otherwise(C("name"))
+    url = F.when(((C("page_num") == 1) | (n == 2)) & (C("position") > 0), F.concat(F.lit("/same/"), at)).when(C("page_num") == 1, F.lit(None).cast("string")).when(n == 2, F.lit(None).cast("string")).otherwise(C("profile_url"))
+    return d.where((n != 5) | (C("position") < 3)).select("listing_id", "page_num", "position", name.alias("name"), url.alias("profile_url"))
+
+
+LISTED = """l0 as (select row_id % 7 as listing_id, row_id // 70 + 1 as page_num, row_id // 7 % 10 as position, name, profile_url from contacts),
+li as (select listing_id, page_num, position, case when page_num = 1 or page_num % 6 in (2, 3) then 'Same ' || position when page_num % 6 = 4 and position in (0, 9) then 'Same ' || position else name end as name,
+ case when (page_num = 1 or page_num % 6 = 2) and position > 0 then '/same/' || position when page_num = 1 or page_num % 6 = 2 then null else profile_url end as profile_url from l0 where page_num % 6 <> 5 or position < 3)"""
 
 
 def cleaned_after(spark, sf):
@@ -139,6 +148,29 @@ def cleaned_after(spark, sf):
     return m.select("row_id", *(f(C(c)).alias(f"clean_{c}") for c, f in how.items()))
 
 
+def removals_apart(report):
+    return report.select(*(c for c in report.columns if c != "removals"), *(C("removals")[k].alias(k) for k in stats.REMOVALS))
+
+
+# A row per contact and field: o, v (before and after), ex (whether it is taken out of its text, not cleaned), removals by type.
+STRICT_TEN = r"regexp_replace(nullif(regexp_extract(phone, '" + STRICT + r"'), ''), '\D', '', 'g')"
+CLEANED_ROWS = f"""u as (select row_id, 'name' as field, false as ex, o, case when not spam and e <> '' then e end as v, regexp_matches(o, 'Partner$')::int as ts, regexp_matches(o, ', JD$')::int as cs, 0 as ph, spam::int as sp from cn2
+ union all select row_id, 'location', false, o, v, 0, 0, k, 0 from cl union all select row_id, 'title', false, title, title, 0, 0, 0, 0 from contacts
+ union all select row_id, 'email', true, email, lower(nullif(regexp_extract(email, '{EMAIL_RE}'), '')), 0, 0, 0, 0 from contacts
+ union all select row_id, 'phone', true, phone, {NORM.replace('{d}', STRICT_TEN).replace('{rest}', '')}, 0, 0, 0, 0 from contacts)"""
+CHANGED = "(o is not null and (v is null or v <> o))"
+
+
+#: Fields and the column whose values they are asked to take: their own, and others'.
+FIELD_VALUES = [("name", "name"), ("name", "email"), ("name", "phone"), ("name", "location"), ("email", "email"), ("email", "name"), ("phone", "phone"), ("phone", "email"), ("title", "name"), ("profile_url", "profile_url"), ("profile_url", "email")]
+VALID = "case when {v} is null or trim({v}) = '' then 'no value' {w} end"
+MESSAGE = {
+    "name": VALID.replace("{w}", r"when contains({v}, '@') then 'an address, not a name' when regexp_full_match(trim({v}), '\+?[\d\s\-()]{7,}') then 'a phone, not a name' when len(string_split_regex(trim({v}), '\s+')) > 6 then 'more than six words'"),
+    "email": VALID.replace("{w}", f"when not regexp_full_match(trim({{v}}), '{EMAIL_RE}') then 'no valid address'"),
+    "phone": VALID.replace("{w}", r"when length(regexp_replace({v}, '\D', '', 'g')) not between 7 and 15 then 'not 7 to 15 digits'"), "title": VALID.replace("{w}", ""),
+    "profile_url": VALID.replace("{w}", "when {v} not like 'http%' and {v} not like '/%' then 'no valid URL'"),
+}
+
 QUERIES = {
     "c1_extract_emails": (per_row(lambda: dict(emails=F.array_join(T.extract_emails(C("email")), ","))), f"{CONTACTS} select row_id, coalesce(lower(nullif(regexp_extract(email, '{EMAIL_RE}'), '')), '') as emails from contacts"),
     "c2_extract_phones": (
@@ -188,9 +220,8 @@ QUERIES = {
  case when phone is not null then least(100, 85 + case when regexp_matches(phone, '[-.()\\s]') then 5 else 0 end + case when regexp_matches(phone, '^(\\+1|1-)') then 5 else 0 end) end::int as phone from contacts""",
     ),
     "c16_validate_field": (
-        lambda s, d: contacts(s, d).select("row_id", *(T.validate_field(F.lit(c), C(c))["valid"].alias(c) for c in ("name", "email", "phone"))),
-        rf"""{CONTACTS} select row_id, name is not null and length(trim(name)) between 2 and 100 and len(string_split_regex(trim(name), '\s+')) <= 6 as name, coalesce(regexp_matches(trim(email), '^{EMAIL_RE}$'), false) as email,
- coalesce(length({DIG.format(c="phone")}) between 7 and 15, false) as phone from contacts""",
+        lambda s, d: contacts(s, d).select("row_id", *(T.validate_field(F.lit(c), C(v))["message"].alias(c + v[0]) for c, v in FIELD_VALUES)),
+        f"{CONTACTS} select row_id, " + ", ".join(f"{MESSAGE[c].replace('{v}', v)} as {c}{v[0]}" for c, v in FIELD_VALUES) + " from contacts",
     ),
     "c17_clean_name": (
         lambda s, d: cleaned(s, d).select("row_id", C("clean_name.value").alias("value"), C("clean_name.modified").alias("modified"), C("clean_name.valid").alias("valid")),
@@ -278,39 +309,58 @@ QUERIES = {
         f"""{CONTACTS}, x as (select *, {N3} as n3 from contacts), q as (select count(*) as n, count(name) / count(*) * 0.3 + count(email) / count(*) * 0.3 + count(phone) / count(*) * 0.2 + count(title) / count(*) * 0.1 + count(location) / count(*) * 0.1 as f,
  case when count(*) filter (n3 < 2) > count(*) filter (n3 = 3) then 'low' when count(*) filter (n3 = 2) > count(*) filter (n3 = 3) then 'medium' else 'high' end as confidence from x)
  select n, round(f, 4) as completeness, confidence, round(f * case confidence when 'high' then 1.0 when 'medium' then 0.8 else 0.6 end * 100, 2) as score from q""",
+    ),
+    "a10_data_quality_issues": (
+        lambda s, d: stats.data_quality(contacts(s, d), T.presence_confidence(C("name"), C("email"), C("phone")), enrich.enrichment_metadata(enriched(s, d))).select("n", "confidence", "issue_count", F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", i["row_id"].cast("string"), i["contact"], i["reason"])), "|").alias("issues")),
+        f"""{J1}, x as (select *, {N3} as n3 from contacts), rv as (select row_id, string_agg(field || '_mismatch', ', ' order by list_position(['name', 'email', 'phone', 'title', 'location'], field)) as reason from act where action = 'REPLACED' group by 1),
+ t as (select row_id || ' ' || coalesce(name, 'Unknown') || ' ' || reason as t, row_id from rv join contacts using (row_id) order by row_id limit 10)
+ select count(*) as n, case when count(*) filter (n3 < 2) > count(*) filter (n3 = 3) then 'low' when count(*) filter (n3 = 2) > count(*) filter (n3 = 3) then 'medium' else 'high' end as confidence, (select count(*) from rv) as issue_count, (select string_agg(t, '|' order by row_id) from t) as issues from x""",
     ),
     "a11_recommendations": (
-        lambda s, d: stats.recommendations(long_rows(s, d), contacts(s, d)),
-        f"""{J1}, m as (select count(*) as n, count(*) filter (action = 'REPLACED') as r, (select count(email) / count(*) from contacts) as e from act),
- a as (select unnest(list_filter([case when e < 0.5 then 'low_email_coverage' end, case when r > 0.1 * n then 'many_replacements' end, case when r > 0.2 * n then 'low_confidence' end], lambda x: x is not null)) as recommendation from m)
- select * from a union all select 'success' where not exists (select 1 from a)""",
+        lambda s, d: stats.recommendations(long_rows(s, d), contacts(s, d), errors=3, processed=20),
+        f"""{J1}, gr as (select row_id, bool_or(action = 'REPLACED') as r, count({CONF}) as k, count(*) filter ({CONF} = 'low') as low from act group by 1),
+ m as (select count(*) as n, count(*) filter (r) as r, count(*) filter (k = 0 or 2 * low > k) as low, (select count(email) / count(*) from contacts) as e from gr),
+ a as (select unnest(list_filter([case when e < 0.5 then 'low_email_coverage' end, case when r > 0.1 * n then 'many_replacements' end, 'high_error_rate', case when low > 0.2 * n then 'low_confidence' end], lambda x: x is not null)) as recommendation from m)
+ select * from a""",
     ),
     "a13_review_queue": (lambda s, d: stats.review_queue(long_rows(s, d)), f"{J1} select row_id, string_agg(field || '_mismatch', ',' order by field) as flags from act where action = 'REPLACED' group by 1"),
     "a14_cleaning_report": (
-        lambda s, d: stats.cleaning_report(cleaned(s, d), ["name", "location"]),
-        f"""{CONTACTS}, {CLEAN_NAME}, {PLAIN}, u as (select 'name' as field, o, case when not spam and e <> '' then e end as v, (regexp_matches(o, 'Partner$')::int + regexp_matches(o, ', JD$')::int + spam::int) as k from cn2 union all select 'location', o, v, k from cl)
- select field, count(*) filter (v <> o) as extracted, count(*) filter (o is not null and v is null) as nullified, count(*) filter (o = v) as unchanged, count(*) filter (v <> o) as modified, sum(k)::bigint as removed,
- count(*) filter (o is not null and v is null) > 0.1 * count(o) as alert from u group by 1""",
+        lambda s, d: removals_apart(stats.cleaning_report(cleaned(s, d))),
+        f"""{CONTACTS}, {CLEAN_NAME}, {PLAIN}, {CLEANED_ROWS} select field, count(*) as total, count(*) filter (ex and v <> o) as extracted, count(*) filter (o is not null and v is null) as nullified, count(*) filter ({CHANGED}) as modified,
+ count(*) filter (not ({CHANGED})) as unchanged, sum(case when not ex and {CHANGED} then ts else 0 end)::bigint as "titleSuffix", sum(case when not ex and {CHANGED} then cs else 0 end)::bigint as "credentialSuffix", 0::bigint as email,
+ sum(case when not ex and {CHANGED} then ph else 0 end)::bigint as phone, sum(case when not ex and {CHANGED} then sp else 0 end)::bigint as spam, count(*) filter (o is not null and v is null) > 0.1 * count(o) as alert from u group by 1""",
+    ),
+    "a14_cleaning_summary": (
+        lambda s, d: stats.cleaning_summary(cleaned(s, d)),
+        f"""{CONTACTS}, {CLEAN_NAME}, {PLAIN}, {CLEANED_ROWS}, rr as (select row_id, bool_or(case when ex then coalesce(v <> o, false) else {CHANGED} end) as m from u group by 1)
+ select count(*) as contacts, count(*) filter (m) as contacts_modified, count(*) filter (not m) as contacts_unchanged, (select count(*) filter ({CHANGED}) from u) as fields_modified from rr""",
+    ),
+    "a17_extraction_quality": (
+        lambda s, d: stats.extraction_quality(contacts(s, d).select(F.when(C("row_id") % 3 == 0, C("name")).alias("name"), F.when(C("row_id") % 5 == 0, F.when(C("row_id") % 2 == 0, C("email")).otherwise("no@where")).alias("email"), "row_id")).select("n", "invalid", "score", "band", F.array_join("issues", "|").alias("issues")),
+        rf"""{CONTACTS}, rr as (select case when row_id % 3 = 0 then name end as name, case when row_id % 5 = 0 then case when row_id % 2 = 0 then email else 'no@where' end end as email from contacts),
+ q as (select count(*) as n, count(name) as a, count(email) as e, count(*) filter (not regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$')) as invalid from rr), k as (select *, 100 - case when a < 0.5 * n then 20 else 0 end - case when e < 0.3 * n then 15 else 0 end - case when invalid > 0 then 10 else 0 end as s from q)
+ select n, invalid, s::int as score, case when s >= 80 then 'high' when s >= 50 then 'medium' else 'low' end as band,
+ concat_ws('|', case when a < 0.5 * n then 'names ' || floor(100 * a / n + 0.5)::bigint || '%' end, case when e < 0.3 * n then 'addresses ' || floor(100 * e / n + 0.5)::bigint || '%' end, case when invalid > 0 then 'invalid addresses' end) as issues from k""",
     ),
-    "a17_extraction_quality": (on_contacts(stats.extraction_quality), f"{CONTACTS} select count(*) as n, 0::bigint as invalid, (100 - case when count(name) < 0.5 * count(*) then 20 else 0 end - case when count(email) < 0.3 * count(*) then 15 else 0 end)::int as score, 'good' as band from contacts"),
     "a18_validation_issues": (on_contacts(stats.validation_issues), rf"""{CONTACTS}, q as (select count(*) as n, count(name) as a, count(profile_url) as u, count(*) filter (regexp_matches(name, '(?i)(partner|associate|counsel)') or regexp_matches(location, '\+\d')) as d from contacts)
  select unnest(list_filter([case when a < 0.8 * n then 'few_names' end, case when u < 0.5 * n then 'few_urls' end, case when d > 0 then 'contaminated:' || d end], lambda x: x is not null)) as issue from q"""),
     "w3_slice_rows": (on_contacts(lambda d: d.orderBy("row_id").offset(20).limit(50).select("row_id", "name")), f"{CONTACTS} select row_id, name from contacts order by row_id limit 50 offset 20"),
     "w4_sample_rows": (on_contacts(lambda d: d.orderBy("row_id").limit(5).select("row_id", "name")), f"{CONTACTS} select row_id, name from contacts order by row_id limit 5"),
     "j2_match_by_name": (
         lambda s, d: enrich.match_profiles_by_name(contacts(s, d).withColumn("profile_url", F.nullif(F.col("profile_url"), F.when(F.col("row_id") % 4 == 0, F.col("profile_url")))), profile_links(s, d)),
-        f"""{CONTACTS}, {PROFILES}, c as (select row_id, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) > 1))) as cw from contacts where profile_url is null or row_id % 4 = 0),
- lk as (select lw, min(position) as position from (select list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) > 1))) as lw, regexp_extract(profile_url, '(\\d+)$', 1)::int as position from profiles) group by 1),
+        f"""{CONTACTS}, {PROFILES}, c as (select row_id, list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', '', 'g')), '\\s+'), lambda x: length(x) > 1))) as cw from contacts where profile_url is null or row_id % 4 = 0),
+ lk as (select lw, min(position) as position from (select list_sort(list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(name), '[^a-z\\s]', '', 'g')), '\\s+'), lambda x: length(x) > 1))) as lw, regexp_extract(profile_url, '(\\d+)$', 1)::int as position from profiles) group by 1),
  m as (select row_id, position, len(list_intersect(cw, lw)) / len(list_distinct(cw || lw)) as score from c, lk where len(list_intersect(cw, lw)) > 0),
  r as (select *, row_number() over (partition by row_id order by score desc, position) as rn from m where score >= 0.8) select row_id, position::int as position, round(score, 4) as score from r where rn = 1""".replace("r as (select *, row_number() over (partition by row_id", "rk as (select *, row_number() over (partition by row_id").replace("from r where rn = 1", "from rk where rn = 1"),
     ),
     "j4_page_fingerprint": (
-        lambda s, d: enrich.page_fingerprint_check(listed(s, d)),
-        f"""{CONTACTS}, li as (select row_id % 7 as listing_id, row_id // 70 + 1 as page_num, row_id // 7 % 10 as position, name, profile_url from contacts),
- h as (select listing_id, page_num, list(name order by position) filter (position <= 5) as ns, list(profile_url order by position) filter (position <= 5) as us, list(coalesce(profile_url, '-') order by position) filter (position <= 5) as u2, arg_max(name, position) as ln, arg_min(name, position) as tn from li group by all),
- o as (select listing_id, ns as ns1, u2 as us1, ln as ln1, tn as tn1 from h where page_num = 1)
- select h.listing_id, page_num, case when page_num = 1 then 'first' when o.listing_id is null then 'valid' when len(ns) > 0 and u2 = us1 then 'duplicate_urls' when len(ns) > 0 and ns = ns1 then 'duplicate_names' when ln = ln1 and tn = tn1 then 'duplicate_boundaries' else 'unique' end as verdict
- from h left join o on o.listing_id = h.listing_id""",
+        lambda s, d: enrich.page_fingerprint_check(listed(s, d), pages=listed(s, d).select("listing_id", (C("page_num") + C("page_num") % 2).alias("page_num")).unionByName(listed(s, d).select("listing_id", "page_num"))),
+        f"""{CONTACTS}, {LISTED}, ln as (select *, row_number() over (partition by listing_id, page_num order by position) as rn from li), h as (select listing_id, page_num, string_agg(coalesce(name, ''), '|' order by position) filter (rn <= 5) as ns, string_agg(coalesce(profile_url, name, ''), '|' order by position) filter (rn <= 5) as us,
+  arg_max(coalesce(name, '-'), position) as ln, arg_min(coalesce(name, '-'), position) as tn, count(*) as n from ln group by all),
+ o as (select listing_id, ns as ns1, us as us1, ln as ln1, tn as tn1, n as n1 from h where page_num = 1),
+ gp as (select distinct listing_id, page_num from li union select distinct listing_id, page_num + page_num % 2 from li)
+ select listing_id, page_num, case when page_num = 1 then 'first' when n is null then 'empty' when n1 is null then 'valid' when us = us1 then 'duplicate_urls' when ns = ns1 then 'duplicate_names' when ln = ln1 and tn = tn1 and n = n1 then 'duplicate_boundaries' else 'unique' end as verdict
+ from gp left join h using (listing_id, page_num) left join o using (listing_id)""",
     ),
     "s7_latest_pattern": (
         lambda s, d: listing.latest_pattern(contacts(s, d).select(T.email_domain(C("email")).alias("domain"), C("row_id").alias("cached_at"), (C("row_id") * 7 % 101).alias("confidence"), C("profile_url").alias("pattern")).where("domain is not null")),
@@ -384,8 +434,8 @@ QUERIES = {
     "a20_field_coverage": (
         lambda s, d: stats.field_coverage(contacts(s, d)).select("field", "valid", "total", "coverage", F.array_join("samples", "|").alias("samples")),
         rf"""{CONTACTS}, flat as (select row_id, unnest(['name', 'email', 'phone', 'title', 'location']) as field, unnest([name, email, phone, title, location]) as value from contacts),
- v as (select *, case when value is null then false when field = 'name' then length(trim(value)) between 2 and 100 and len(string_split_regex(trim(value), '\s+')) <= 6 when field = 'email' then regexp_full_match(trim(value), '{EMAIL_RE}')
-  when field = 'phone' then length(regexp_replace(value, '\D', '', 'g')) between 7 and 15 else length(trim(value)) between 2 and 200 end as ok, row_number() over (partition by field, value is null order by row_id) as rn from flat),
+ v as (select *, case when value is null then false when field = 'name' then not contains(value, '@') and not regexp_full_match(trim(value), '\+?[\d\s\-()]{{7,}}') and len(string_split_regex(trim(value), '\s+')) <= 6 when field = 'email' then regexp_full_match(trim(value), '{EMAIL_RE}')
+  when field = 'phone' then length(regexp_replace(value, '\D', '', 'g')) between 7 and 15 else trim(value) <> '' end as ok, row_number() over (partition by field, value is null order by row_id) as rn from flat),
  r as (select *, row_number() over (partition by field, ok order by row_id) as r from v)
  select field, count(*) filter (ok) as valid, count(*) as total, round(count(*) filter (ok) / count(*), 4) as coverage, string_agg(value, '|' order by row_id) filter (ok and r <= 5) as samples from r group by field""".replace(" r as (select *, row_number() over (partition by field, ok", " ranked as (select *, row_number() over (partition by field, ok").replace("from r group by field", "from ranked group by field"),
     ),

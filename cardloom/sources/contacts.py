@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import domain_type, email_domain
+from .export import export_table
 
 CONTACT = "row_id long, name string, email string, phone string, title string, location string, profile_url string"
 
@@ -54,23 +57,9 @@ def write_contacts(df: DataFrame, path: str, source: str, form: str = "json") ->
     return df.sparkSession.read.format(form).load(f"{path}/metadata")
 
 
-HEADERS = {"name": "Name", "email": "Email", "phone": "Phone", "title": "Title", "location": "Location", "profile_url": "Profile URL"}
-
-
 def export_view(df: DataFrame, columns: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Chosen columns (default: those with any value) under display names, as text without nulls."""
-    names = columns or [c for c in HEADERS if c in df.columns] + sorted(c for c in df.columns if c not in HEADERS and c != "row_id")
-    names = [c for c in names if c not in (exclude or [])]
-    if columns is None:
-        filled = df.agg(*(F.count(c).alias(c) for c in names)).first()
-        names = [c for c in names if filled[c]]
-    kinds = dict(df.dtypes)
-
-    def shown(c: str):
-        x = F.array_join(c, "; ") if kinds[c] == "array<string>" else F.to_json(c) if kinds[c].startswith(("struct", "map", "array")) else F.date_format(c, "yyyy-MM-dd HH:mm") if kinds[c] == "timestamp" else F.col(c).cast("string")
-        return F.coalesce(x, F.lit("")).alias(HEADERS.get(c) or c.replace("_", " ").title())
-
-    return df.select(*map(shown, names))
+    """Chosen columns (else all with any value) under their headers, as text without nulls; see `export.export_table` for the other choices."""
+    return export_table(df, columns, every=columns is None, exclude=exclude)
 
 
 def append_export(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -78,14 +67,39 @@ def append_export(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> N
     df.write.mode("append").option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
-def resolve_site_config(pages: DataFrame, configs: DataFrame, default: dict[str, str]) -> DataFrame:
-    """S3: each page's settings: those its domain has over the defaults, key by key; a key that is there with null overrides.
+def merged_settings(default: dict, own: Column) -> Column:
+    """map<string,variant>: `own` (the same) over the default: objects merge key by key at every depth, all else that is there replaces,
+    null too. The depth is that of the default; deeper objects of `own` have nothing to meet."""
+    def value(k: str, d: object) -> Column:
+        given, fixed = own[k], F.parse_json(F.lit(json.dumps(d)))
+        there = F.coalesce(F.map_contains_key(own, k), F.lit(False))
+        if not isinstance(d, dict):
+            return F.when(there, given).otherwise(fixed)
+        inner = F.try_variant_get(given, "$", "map<string,variant>")
+        return F.when(there & inner.isNotNull(), F.to_variant_object(merged_settings(d, inner))).when(there, given).otherwise(fixed)
+
+    rest = F.map_filter(own, lambda k, v: ~k.isin(list(default))) if default else own
+    known = [x for k, d in default.items() for x in (F.lit(k), value(k, d))]
+    return F.map_concat(F.create_map(*known), rest) if known else rest
+
+
+def resolve_site_config(pages: DataFrame, configs: DataFrame, default: dict, small: int = 200_000) -> DataFrame:
+    """S3: page_id, url, domain, settings: the settings of each page's domain over the defaults.
 
-    configs: domain, settings map<string,string>, one row per domain.
+    configs: domain, settings, one row per domain. Settings as JSON text or VARIANT merge at every depth and come back as JSON text with
+    sorted keys; text that is no JSON object counts as none. Settings as map<string,string> have one level and come back as a map. They are
+    merged once per domain; up to `small` rows (counted) are broadcast to the pages.
     """
-    base = F.create_map(*(F.lit(x) for kv in default.items() for x in kv))
     domain = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
-    d = pages.withColumn("domain", domain).join(configs.select("domain", "settings"), "domain", "left")
-    own = F.coalesce("settings", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    rest = F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k))
-    return d.select("page_id", "url", "domain", F.map_concat(rest, own).alias("settings"))
+    kind = dict(configs.dtypes)["settings"]
+    if kind.startswith("map"):
+        base = F.create_map(*(F.lit(x) for kv in default.items() for x in kv))
+        d = pages.withColumn("domain", domain).join(configs.select("domain", "settings"), "domain", "left")
+        own = F.coalesce("settings", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+        rest = F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k))
+        return d.select("page_id", "url", "domain", F.map_concat(rest, own).alias("settings"))
+    own = F.col("settings") if kind == "variant" else F.try_parse_json("settings")
+    own = F.coalesce(F.try_variant_get(own, "$", "map<string,variant>"), F.try_variant_get(F.parse_json(F.lit("{}")), "$", "map<string,variant>"))
+    per = configs.select("domain", own.alias("own_")).select("domain", F.to_json(F.to_variant_object(merged_settings(default, F.col("own_")))).alias("settings"))
+    per = F.broadcast(per) if configs.count() <= small else per
+    return pages.withColumn("domain", domain).join(per, "domain", "left").select("page_id", "url", "domain", F.coalesce("settings", F.to_json(F.parse_json(F.lit(json.dumps(default))))).alias("settings"))

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.cleaning import clean_name, clean_plain, extract_email, extract_phone
 from ..functions.text import match_key
+from ..operators.dedup import TEXTS as KEYED
+from ..operators.dedup import completeness, contact_key, dedup_fuzzy, holders
 
 
 def stream_dedup(contacts: DataFrame, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -24,6 +26,14 @@ def stream_dedup(contacts: DataFrame, time_col: str | None = None, delay: str =
     return d.dropDuplicates(["dedup_key"])
 
 
+def stream_best(contacts: DataFrame) -> DataFrame:
+    """T1 with replacement, D1 on a stream: per key the most complete contact so far (ties to the least row_id) and first_row, where the key
+    first stood. Run it in update mode: a key's row comes again when a more complete one takes its place. The state is one contact a key."""
+    row = F.struct((-completeness()).alias("missing_"), "row_id", *(c for c in contacts.columns if c != "row_id"))
+    best = contacts.groupBy(contact_key().alias("dedup_key")).agg(F.min(row).alias("b"), F.min("row_id").alias("first_row"))
+    return best.select("dedup_key", *(f"b.{c}" for c in contacts.columns), "first_row")
+
+
 TEXTS = ("name", "email", "phone", "title", "location")
 HELD = "row_id long, " + ", ".join(f"{c} string" for c in TEXTS)
 VERDICT = "row_id long, duplicate boolean, original long, match_type string, match_key string"
@@ -67,6 +77,27 @@ def stream_fuzzy_dedup(contacts: DataFrame, key: str = "email") -> DataFrame:
     return known.unionByName(none)
 
 
+def stream_fuzzy_table(contacts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """T2 across keys: D3's verdicts on each batch under `<path>/verdicts`, the unique contacts under `<path>/unique`, both by batch.
+
+    A batch is settled by D3 over its rows and those unique contacts of earlier batches that share a key with any of them, so replayed batches give
+    what D3 gives over all rows at once; row_id must grow from batch to batch. A batch that runs again reads what lay before it alone and
+    overwrites its own folders, so a restart from the checkpoint neither loses nor doubles anything.
+    """
+
+    def settle(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("row_id", *KEYED).persist()
+        known = spark.read.schema(f"row_id long, {', '.join(f'{c} string' for c in KEYED)}, batch long").parquet(f"{path}/unique").where(F.col("batch") < n).drop("batch") if n else None
+        seen = dedup_fuzzy(rows, holders(known, rows) if known is not None else None)
+        seen.write.mode("overwrite").parquet(f"{path}/verdicts/batch={n}")
+        unique = spark.read.parquet(f"{path}/verdicts/batch={n}").where("not duplicate").select("row_id")
+        rows.join(unique, "row_id", "left_semi").write.mode("overwrite").parquet(f"{path}/unique/batch={n}")
+        rows.unpersist()
+
+    return contacts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(settle).trigger(availableNow=True).start()
+
+
 def cleaned(contacts: DataFrame) -> DataFrame:
     how = {"name": clean_name, "email": extract_email, "phone": extract_phone, "title": clean_plain, "location": clean_plain}
     return contacts.select(*(how[c](F.col(c))["value"].alias(c) if c in how else F.col(c) for c in contacts.columns))

@@ -160,7 +160,7 @@ def test_merge_rules(spark):
 
 PAGE = """<html><body><script>var a='no@no.co'</script><div class="card"><h2 class="name">Dr. Ann Lee</h2><a class="email" href="mailto:Ann@x.co?subject=a">Ann@x.co</a>
 <a href="tel:+1-212-555-1234">call</a><p>bob [at] x [dot] co</p><a href="/people/ann-lee"><img src="a.png">Ann Lee</a><a href="https://linkedin.com/in/annlee">in</a></div>
-<nav><a href="?page=1">1</a><a href="?page=2">2</a><a rel="next" href="?page=2">next</a></nav><br></body></html>"""
+<nav><a class="page-link" href="?page=1">1</a><a class="page-link" href="?page=2">2</a><a rel="next" href="?page=2">next</a></nav><br></body></html>"""
 
 
 def test_pages_to_contacts(spark):
