@@ -413,20 +413,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = shared_keys(whole.select("row_", "lists").join(classes.select(F.col("node").alias("row_")), "row_", "left_semi"))
     rows = keep(whole.drop("lists"), "rows")
     drop(whole)  # the lists are the widest part by far
-    near = keep(held.select("row_").distinct(), "near")
+    near = held.select("row_").distinct()
     nodes = keep(rows.select("row_", "n", "point").join(near, "row_", "left_semi"), "nodes")
-    sets = sets_of(docs, id_col, text_col, width, rows, near)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return keep(verified(pairs, sets, percent), "links")
+    def sets(need: DataFrame) -> DataFrame:
+        """Sets are made for the nodes of open pairs alone, which the points have left."""
+        return sets_of(docs, id_col, text_col, width, rows, need)
 
     most = held.where("row_ != hub").groupBy("row_", "hub").agg(F.sum("alike").alias("c")).groupBy("row_").agg(F.max(F.struct("c", -F.col("hub"))).alias("m"))
-    first = most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b"))
-    labels = components(linked(keep(bounded(first, nodes, percent), "open")))
+    first = keep(bounded(most.select(F.col("row_").alias("a"), (-F.col("m.col2")).alias("b")), nodes, percent), "open")
+    ends = first.select(F.explode(F.array("a", "b")).alias("row_")).distinct()
+    labels = components(keep(verified(first, sets(ends), percent), "links"))
     open_ = keep(crossing(held.select("key", "row_"), labels, nodes, percent), "open")
     hubs = open_.groupBy("key").agg(F.min("row_").alias("b"))
-    near_ = components(open_.join(hubs, "key").where("row_ != b").select(F.col("row_").alias("a"), "b")).select(F.col("comp").alias("key"), "row_")
-    one_set = sets.join(near_.select("row_"), "row_", "left_semi").dropDuplicates(["row_"])
+    near_ = keep(components(open_.join(hubs, "key").where("row_ != b").select(F.col("row_").alias("a"), "b")).select(F.col("comp").alias("key"), "row_"), "members")
+    one_set = sets(near_.select("row_")).dropDuplicates(["row_"])
     more = keep(crossing(near_, labels, nodes, percent, one_set), "links")
     stars = labels.where("row_ != comp").select(F.col("row_").alias("a"), F.col("comp").alias("b"))
     labels = components(stars.unionByName(more))
