@@ -7,11 +7,13 @@ word) and on parts of them mixed with license words. A temperature, fitted on he
 probabilities; under `least` a paragraph stays unknown. A prediction counts only if the paragraph also holds most of the
 word pairs of one of the family's notices (`share`), which names the matching template.
 
-Notices wrapped over several lines are found too (`wrapped`): the shortest runs of lines without a blank one between them that
-hold `share` of a notice's word pairs are named as a paragraph is, and grow by the lines next to them that hold more of it.
+Notices wrapped over several lines are found too (`wrapped`): the classifier scores every run of up to RUN lines without a blank one
+between them, and every whole block between blank lines; what it names and a template confirms is taken, shortest runs first, and
+grows by the lines next to it that hold more of the notice.
 
-Scoring is one pass over all documents without a shuffle. To hold `share` of a notice's pairs, a text must hold at least one of
-any set of pairs that is larger than what may be missing; texts without a word of such a set are passed over by a substring test.
+Scoring is one pass over all documents without a shuffle. To hold `share` of a notice's pairs, a paragraph must hold at least one of
+any set of pairs that is larger than what may be missing; texts, and runs of lines, without a word of such a set can't be confirmed
+and are passed over by a substring test.
 
 Null and empty texts have no paragraphs; repeated rows give a row each; an empty table gives an empty result; other columns
 are ignored.
@@ -70,6 +72,8 @@ FAMILIES = [*NOTICES, "unknown"]
 CORE = ("licen", "permission", "redistribut")
 WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 SIZE = 1 << 14
+#: Lines of a sliding run.
+RUN = 12
 
 
 def words(s: str) -> list[str]:
@@ -97,33 +101,33 @@ def anchors(share: float) -> list[set[str]]:
     return out
 
 
-def runs(lines: list[list[str]], t: set[tuple[str, ...]], share: float) -> list[tuple[int, int]]:
-    """The shortest runs of lines (first, last), none of them blank, that hold `share` of the pairs."""
-    at, before = [], None  # pairs in order: first and last line
-    for k, w in enumerate(lines):
-        if not w:
-            before = None
-            at.append((k, k, None))  # no run crosses it
-            continue
-        if before is not None and (before[1], w[0]) in t:
-            at.append((before[0], k, (before[1], w[0])))
-        at += [(k, k, q) for q in (zip(w, w[1:], strict=False) if len(w) > 1 else [tuple(w)]) if q in t]
-        before = k, w[-1]
-    if len({q for _, _, q in at if q}) / len(t) < share:
-        return []
-    out: dict[int, int] = {}
-    for i, (a, _, q) in enumerate(at):
-        if q is None or i and at[i - 1][0] == a and at[i - 1][2] is not None:
-            continue
-        held: set = set()
-        for _, b, q in at[i:]:
-            if q is None:
-                break
-            held.add(q)
-            if len(held) / len(t) >= share:
-                out[b] = a  # the last start is the nearest
-                break
-    return [(a, b) for b, a in out.items()]
+def runs(split: list[list[str]], hot: list[int], most: int = RUN) -> set[tuple[int, int]]:
+    """The runs of lines (first, last) to be scored, by their words: those of up to `most` lines, and whole blocks, that hold a hot line."""
+    out = set()
+    for k in hot:
+        if split[k]:
+            first = last = k
+            while first and split[first - 1]:
+                first -= 1
+            while last + 1 < len(split) and split[last + 1]:
+                last += 1
+            out |= {(a, b) for a in range(max(first, k - most + 1), k + 1) for b in range(k, min(last, a + most - 1) + 1)} | {(first, last)}
+    return out
+
+
+class Passage:
+    """Hashed n-grams of a text's words, of which any run of lines takes a part."""
+
+    def __init__(self, split: list[list[str]]):
+        self.words = [x for w in split for x in w]
+        self.at = np.cumsum([0, *map(len, split)]).tolist()
+        hashed = lambda n: np.array([zlib.crc32(" ".join(self.words[i : i + n]).encode()) % SIZE for i in range(len(self.words) - n + 1)], np.int64)
+        self.codes = [hashed(n) for n in (1, 2, 3)]
+
+    def grams(self, a: int, b: int) -> tuple[list[str], np.ndarray]:
+        """Words and distinct n-grams of the lines a to b."""
+        lo, hi = self.at[a], self.at[b + 1]
+        return self.words[lo:hi], np.unique(np.concatenate([c[lo : max(lo, hi - k)] for k, c in enumerate(self.codes)]))
 
 
 class Classifier:
@@ -184,7 +188,10 @@ class Classifier:
     def name(self, paragraph: str, least: float, share: float) -> tuple[str, int, float] | None:
         """Family, template and probability of a paragraph that is confirmed."""
         w = words(paragraph)
-        p = self.probabilities(grams(w))
+        return self.name_words(w, grams(w), least, share)
+
+    def name_words(self, w: list[str], x: list[int] | np.ndarray, least: float, share: float) -> tuple[str, int, float] | None:
+        p = self.probabilities(x)
         y = int(p.argmax())
         if y == len(FAMILIES) - 1 or p[y] < least:
             return None
@@ -203,14 +210,15 @@ def train(docs: DataFrame, id_col: str, text_col: str, sample: int = 400, paragr
     return Classifier(sorted(r["p"] for r in p.collect()))
 
 
-def find(m: Classifier, lines: list[str], least: float, share: float, wrapped: bool, near: list[int]) -> list[tuple[int, int, tuple[str, int, float]]]:
-    """First and last line and name of each notice, by the templates that are near."""
+def find(m: Classifier, lines: list[str], least: float, share: float, wrapped: bool, needed: set[str] | None = None) -> list[tuple[int, int, tuple[str, int, float]]]:
+    """First and last line and name of each notice; with `needed`, runs that hold none of these words are passed over."""
     split = [words(x) for x in lines]
     if not wrapped:
         return [(k, k, hit) for k, w in enumerate(split) if w and (hit := m.name(lines[k], least, share))]
-    found, free = [], [True] * len(lines)
-    for a, b in sorted({x for k in near for x in runs(split, TEMPLATES[k][2], share)}, key=lambda x: (x[1] - x[0], x)):
-        if all(free[a : b + 1]) and (hit := m.name("\n".join(lines[a : b + 1]), least, share)):
+    hot = [k for k, x in enumerate(lines) if needed is None or any(w in low for low in (x.lower(),) for w in needed)]
+    passage, found, free = Passage(split), [], [True] * len(lines)
+    for a, b in sorted(runs(split, hot), key=lambda x: (x[1] - x[0], x)):
+        if all(free[a : b + 1]) and (hit := m.name_words(*passage.grams(a, b), least, share)):
             t = next(t for f, k, t in TEMPLATES if (f, k) == hit[:2])
             held = lambda a, b: len(t & pairs([x for w in split[a : b + 1] for x in w]))  # noqa: B023, E731
             while b + 1 < len(lines) and split[b + 1] and free[b + 1] and held(a, b + 1) > held(a, b):
@@ -238,11 +246,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 lines = (t or "").split("\n")
                 counts.append(sum(1 for x in lines if x and not x.isspace()))
                 spans, low = [], (t or "").lower()
-                if near := [k for k, ws in enumerate(some) if any(w in low for w in ws)]:
+                if needed := {w for ws in some for w in ws if w in low}:
                     at = [0]
                     for x in lines:
                         at.append(at[-1] + len(x) + 1)
-                    for a, b, hit in find(m, lines, least, share, wrapped, near):
+                    for a, b, hit in find(m, lines, least, share, wrapped, needed):
                         spans.append({"start": at[a], "stop": at[b + 1] - 1, "family": hit[0], "template": hit[1], "probability": hit[2]})
                 found.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["id_", "n_paragraphs", "found"])

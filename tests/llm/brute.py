@@ -172,3 +172,27 @@ def toxic_ratio(pairs):
         return part.get(w, 0) + (1 - sum(part.values())) * p
 
     return lambda h, w: math.log(likelihood(1, h, w)) - math.log(likelihood(0, h, w))
+
+
+def notices(model, text, least=0.5, share=0.6, most=12):
+    """op6 in the query's mode: every run of lines of a text is put to the classifier, whatever words it holds, and confirmed by templates."""
+    from cardloom.llm import licenses as lic
+
+    lines = (text or "").split("\n")
+    blank = [not lic.words(x) for x in lines]
+    runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if not any(blank[a : b + 1])]
+    whole = {(a, b) for a, b in runs if (a == 0 or blank[a - 1]) and (b + 1 == len(lines) or blank[b + 1])}
+    held = lambda t, a, b: len(t & lic.pairs(lic.words("\n".join(lines[a : b + 1]))))
+    taken, out = set(), []
+    for a, b in sorted((r for r in runs if r[1] - r[0] < most or r in whole), key=lambda r: (r[1] - r[0], r)):
+        if taken & set(range(a, b + 1)) or not (hit := model.name("\n".join(lines[a : b + 1]), least, share)):
+            continue
+        t = next(t for f, k, t in lic.TEMPLATES if (f, k) == hit[:2])
+        while b + 1 < len(lines) and not blank[b + 1] and b + 1 not in taken and held(t, a, b + 1) > held(t, a, b):
+            b += 1
+        while a and not blank[a - 1] and a - 1 not in taken and held(t, a - 1, b) > held(t, a, b):
+            a -= 1
+        taken |= set(range(a, b + 1))
+        start = sum(len(x) + 1 for x in lines[:a])
+        out.append((hit[0], start, start + len("\n".join(lines[a : b + 1]))))
+    return sorted(out, key=lambda x: x[1])

@@ -190,3 +190,37 @@ def test_gradient_is_that_of_the_score():
         down = loss()
         p[k][i] = was
         assert abs((up - down) / (2 * d) - g[k][i]) < 2e-4
+
+
+def test_license_query_is_every_run_of_lines(spark):
+    """The mode of the query: what the classifier names among all runs and templates confirm, with nothing lost to the words asked for first."""
+    r = random.Random(5)
+    filler = "the of and license work under terms free software permission here public version may use".split()
+    every = [n for ns in licenses.NOTICES.values() for n in ns]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randint(0, 9)):
+            kind = r.random()
+            if kind < 0.35:
+                w = [x for x in r.choice(every).split() if r.random() > 0.12]
+                cut = sorted(r.sample(range(len(w) + 1), min(len(w), r.randint(0, 3))))
+                lines += [" ".join(w[a:b]) for a, b in zip([0, *cut], [*cut, len(w)], strict=True)]
+            elif kind < 0.5:
+                lines.append("")
+            else:
+                lines.append(" ".join(r.choice(filler) for _ in range(r.randint(1, 12))))
+        texts.append("\n".join(lines))
+    texts += [every[0] + "\n" + every[0], every[1].replace(" ", "\n"), "x\n" * 30 + every[9] + "\ny" * 30, None, "", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.train(docs, "doc_id", "text")
+    got = {x["id_"]: [(s["family"], s["start"], s["stop"]) for s in x["found"]] for x in licenses.scan_licenses(docs, model=model, wrapped=True).collect()}
+    want = {i: brute.notices(model, t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 30
+
+
+def test_license_scan_of_a_very_long_text(spark):
+    text = "license work\n" * 20_000 + "Released under the MIT License.\n" + "x " * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = licenses.scan_licenses(docs, wrapped=True).first()["found"]
+    assert [text[s["start"] : s["stop"]] for s in found if s["family"] == "mit"] == ["Released under the MIT License."]
