@@ -18,6 +18,7 @@ candidate; with fewer than k candidates all are returned; an empty table gives a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,13 +86,18 @@ def assign(df: DataFrame, cells: Cells, query: bool) -> DataFrame:
     return df.select("vid", "v").mapInArrow(run, "dim int, cell int, d double, vid long, v binary")
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, pivots: int = 48, query_block: int = 128, part_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k best other rows."""
+def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, pivots: int | None = None, query_block: int = 128, part_rows: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k best other rows.
+
+    Pivots grow with the root of the rows, from 48 up; bounds between all pairs of them are held by the driver and each task, so they
+    end at 2048. They decide what is pruned, never what is found.
+    """
     spark = df.sparkSession
     data = whole_vectors(df, id_col, vec_col)
     queries = data.where(F.pmod("vid", F.lit(every)) == 0).groupBy("vid").agg(F.min("v").alias("v"))
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stat = {r["dim"]: (r["n"], r["top2"]) for r in data.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top2")).collect()}  # one row per vector length
+    pivots = pivots or min(2048, max(48, math.isqrt(sum(n for n, _ in stat.values())) // 8))
     by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vid")
     some = data.withColumn("dim", F.size("v")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= 4 * pivots).select("dim", "v").collect()  # bounded for each vector length
     sample: dict[int, list] = {d: [] for d in stat}
@@ -119,7 +125,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
         bound = sorted(upper.values())[k] if len(upper) > k else np.inf  # one of the k + 1 ids may be the query's
         reach.setdefault(dim, {})[g] = apart - far - bound - 1e-6 * (1 + apart)
     total = sum(n for n, _ in stat.values())
-    parts = max(1, min(256, total // part_rows))
+    parts = max(1, total // part_rows)
+    parts = parts if parts <= 256 else 16 * math.ceil(math.sqrt(parts))  # of every group; queries go to each
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,14 +69,10 @@ def compress(ids: np.ndarray, first_rule: int, end_id: int, rounds: int | None =
 
 def spans_of(rules: np.ndarray, first_rule: int) -> np.ndarray:
     """Ids that each rule expands to; a rule only uses earlier ones."""
-    n = np.ones(len(rules), np.uint32)
-    for _ in range(64):
-        side = [np.where(rules[:, k] >= first_rule, n[np.maximum(rules[:, k].astype(np.int64) - first_rule, 0)], 1) for k in (0, 1)]
-        new = (side[0] + side[1]).astype(np.uint32)
-        if (new == n).all():
-            break
-        n = new
-    return n
+    n: list[int] = []
+    for a, b in rules.tolist():
+        n.append((n[a - first_rule] if a >= first_rule else 1) + (n[b - first_rule] if b >= first_rule else 1))
+    return np.array(n, np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
