@@ -5,12 +5,12 @@ place, are summed and squashed, and the word's probability is that of its class
 score is the sum of the logarithms over its words, each predicted with itself left out.
 
 The vocabulary counts all words of all documents. Its classes and the words in each grow with the fourth root of their total,
-so the number of words with an id of their own grows with its square root; all others share the buckets of the first class. A
+so the number of words with an id of their own grows with its square root, up to MOST_CLASSES squared; all others share the buckets of the first class. A
 bucket's probability is dealt among its words by their counts: the words without an id meet the full table of counts in a
 join, and each document sums the logarithms. Texts are turned into ids once, in the shared folder, for training and scoring.
 
 Training passes over every word of every document once: each task runs Adam over its own documents in numpy from common
-starting values, where embeddings move in the steps that meet them, and Spark averages the tasks' parameters, weighted by
+starting values, in steps that grow as it goes on, where embeddings move in the steps that meet them, and Spark averages the tasks' parameters, weighted by
 their words, in sums of WIDE parameters a row; what tasks send grows with the corpus, what reaches the driver is one model.
 Scoring is another pass; only a row of figures for each document meets its sum.
 
@@ -38,8 +38,10 @@ WORD = re.compile(r"\w+|[^\w\s]")
 #: Least classes and words in each, size of the hidden layer, words of context on either side, most words in a step of training.
 CLASSES, MEMBERS, HIDDEN, SIDE, STEP = 32, 32, 16, 2, 16_384
 VOCAB = CLASSES * MEMBERS
-#: Steps that a task should take at least, and the fewest words of a step where a corpus is too small for that.
-STEPS, LEAST_STEP = 256, 64
+#: Classes at most, so that a model has 65 000 words with an id of their own and 5 million parameters; all other words keep their exact counts.
+MOST_CLASSES = 256
+#: A task's first steps are of FIRST words and double after every SAME of them, up to STEP; words that a task should train on at least.
+FIRST, SAME, TASK_WORDS = 64, 64, 4_000_000
 #: Words without an id of their own whose bucket a task remembers; parameters in a row of the sums; texts in a run of ids.
 KNOWN, WIDE, RUN = 300_000, 64, 500
 PLACES = [-2, -1, 1, 2]
@@ -52,7 +54,12 @@ def shapes(side: int) -> dict[str, tuple[int, ...]]:
 
 def side_of(total: int) -> int:
     """Classes, and words in each, for a corpus of so many words."""
-    return max(CLASSES, int(np.ceil(total**0.25)))
+    return min(MOST_CLASSES, max(CLASSES, int(np.ceil(total**0.25))))
+
+
+def step_size(done: int, most: int = STEP) -> int:
+    """Words of a step after so many steps."""
+    return min(most, FIRST << min(done // SAME, 30))
 
 
 def words(text: str | None) -> list[str]:
@@ -236,12 +243,10 @@ def encode(docs: DataFrame, held) -> DataFrame:
 
 
 def train(coded: DataFrame, held, step: int | None = None) -> dict[str, np.ndarray]:
-    """Without a step given, small corpora take fewer tasks and smaller steps, so that each task takes STEPS of them."""
+    """The average of the tasks' models. A task's steps grow by how many it has taken, or are all of `step` words, whatever the table's size."""
     texts, side, total = coded.select("ids"), held.value.side, held.value.total
-    parts = texts.rdd.getNumPartitions()
-    if (tasks := max(1, total // (STEPS * LEAST_STEP))) < parts:
-        texts, parts = texts.coalesce(tasks), tasks
-    step = step or min(STEP, max(LEAST_STEP, total // (parts * STEPS)))
+    if (tasks := max(1, total // TASK_WORDS)) < texts.rdd.getNumPartitions():
+        texts = texts.coalesce(tasks)
     names = [f"x{j}" for j in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +257,11 @@ def train(coded: DataFrame, held, step: int | None = None) -> dict[str, np.ndarr
                 ids = v.flat(batch.column(0)[lo : lo + RUN].to_pylist())
                 at = np.flatnonzero(ids < side * side)
                 r.shuffle(at)
-                for k in range(0, len(at), step):
-                    adam.step(slopes(p, ids, at[k : k + step]))
+                k = 0
+                while k < len(at):
+                    now = step or step_size(adam.t)
+                    adam.step(slopes(p, ids, at[k : k + now]))
+                    k += now
                 n += len(at)
         if n:
             flat = np.concatenate([p[k].ravel() for k in p]).astype(float) * n

@@ -3,6 +3,7 @@
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -224,3 +225,45 @@ def test_license_scan_of_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = licenses.scan_licenses(docs, wrapped=True).first()["found"]
     assert [text[s["start"] : s["stop"]] for s in found if s["family"] == "mit"] == ["Released under the MIT License."]
+
+
+def plain_score(p, v, counts, text):
+    """A document's score, word by word, from a model's parameters and the table of counts."""
+    side = len(p["cb"])
+    ids = [v[w] for w in pseudolm.words(text)]
+    around = [side * side] * pseudolm.SIDE
+    padded, total = around + ids + around, 0.0
+    for i, (w, y) in enumerate(zip(pseudolm.words(text), ids, strict=True)):
+        at = i + pseudolm.SIDE
+        h = np.tanh(p["h"] + sum(p["e"][k][padded[at + o]] for k, o in enumerate((-2, -1, 1, 2))))
+        c = h @ p["c"] + p["cb"]
+        m = h @ p["m"][y // side] + p["mb"][y // side]
+        share = np.log(counts[w] / sum(n for x, n in counts.items() if v[x] == y)) if y < side else 0.0
+        total += c[y // side] - np.log(np.exp(c).sum()) + m[y % side] - np.log(np.exp(m).sum()) + share
+    return total
+
+
+def test_pseudo_likelihood_is_the_sum_over_words(spark, monkeypatch):
+    r = random.Random(9)
+    frequent, rare = [f"f{i}" for i in range(1100)], [f"r{i}" for i in range(400)]
+    texts = [" ".join(r.choice(rare) if r.random() < 0.1 else r.choice(frequent[: 20 if r.random() < 0.5 else 1100]) for _ in range(r.randint(1, 60))) + r.choice(["", ".", " ?!"]) for _ in range(250)] + [None, "", "r1", "f1 " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    seen, real = {}, pseudolm.train
+
+    def kept(coded, held, step=None):
+        seen["v"], seen["p"] = held.value, real(coded, held, step)
+        return seen["p"]
+
+    monkeypatch.setattr(pseudolm, "train", kept)
+    got = {x["id_"]: x["log_likelihood"] for x in pseudolm.score_documents(docs).collect()}
+    counts = Counter(w for t in texts for w in pseudolm.words(t))
+    p = {k: x.astype(float) for k, x in seen["p"].items()}
+    for i, t in enumerate(texts):
+        want = plain_score(p, seen["v"], counts, t)
+        assert got[i] == pytest.approx(want, rel=2e-4, abs=2e-3), i
+    assert any(seen["v"][w] < seen["v"].side for w in counts)
+
+
+def test_steps_grow_alike_at_every_size():
+    sizes = [pseudolm.step_size(k) for k in range(1000)]
+    assert sizes[0] == 64 and sizes[64] == 128 and sizes[-1] == pseudolm.STEP and sizes == sorted(sizes)
