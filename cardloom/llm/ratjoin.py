@@ -410,7 +410,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id_, key_ (hash of its text), n_shingles, component_id, and component_, which tells components apart whose ids are all null (null for empty sets)."""
     whole = keep(features(word_hashes(docs, id_col, text_col), width, percent).withColumn("row_", F.monotonically_increasing_id()), "points")
     classes = keep(whole.where("n > 0").groupBy("set_").agg(F.min("row_").alias("node"), F.min("id_").alias("least_")), "classes")
-    held = shared_keys(whole.select("row_", "lists").join(classes.select(F.col("node").alias("row_")), "row_", "left_semi"))
+    # Copies are named by their numbers, so that the lists needn't be shuffled to drop them where the copies are few enough to broadcast.
+    copies = keep(whole.select("set_", "row_").join(classes.select("set_", "node"), "set_").where("row_ != node").select("row_"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= SMALL else copies
+    held = shared_keys(whole.where("n > 0").select("row_", "lists").join(copies, "row_", "left_anti"))
     rows = keep(whole.drop("lists"), "rows")
     drop(whole)  # the lists are the widest part by far
     near = held.select("row_").distinct()
