@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import any_of, digits, first_match, matches, no_text, presence_confidence, present
+from ..functions.text import any_of, digits, first_match, let, matches, presence_confidence, present
 from .html import SOCIAL, absolute, parse
 from .labels import LABELS, label_value
 from .trees import attr, class_part, distinct_by_value, first, has_class, holds, href, in_order, is_link, joined_url, page_text, texts, within
@@ -47,17 +47,19 @@ def listing_cards(cards: DataFrame) -> DataFrame:
 def best_profile_link(nodes: Column, url: Column) -> Column:
     """H6: struct(url, text, score) of the link that looks most like a profile's, or null: 1 for a known part of the address (2 if it
     ends in it), 0.5 for an image inside, 0.5 for a class that names persons, 0.3 for a text of 3 to 49 characters."""
-    def score(x: Column) -> Column:
-        to = absolute(href(x), url)
-        low = F.lower(to)
-        part = F.coalesce(*(F.when(low.contains(p.lower()), F.when(to.contains(p + "/") | to.endswith(p), 2.0).otherwise(1.0)) for p in V.PROFILE_PARTS))
-        extra = F.when(holds(x, nodes, lambda d: d["tag"] == "img"), 0.5).otherwise(0.0) + F.when(x["cls"].rlike("(?i)name|person|attorney|lawyer|agent"), 0.5).otherwise(0.0)
-        return part + extra + F.when(F.length(x["text"]).between(3, 49), 0.3).otherwise(0.0)
-
-    links = F.filter(nodes, lambda x: is_link(x) & (href(x) != "") & ~href(x).rlike("^(mailto|tel):"))
-    scored = F.filter(F.transform(links, lambda x: F.struct((-score(x)).alias("minus"), x["n"].alias("n"), absolute(href(x), url).alias("url"), F.substring(x["text"], 1, 100).alias("text"))), lambda s: s["minus"].isNotNull())
-    best = F.array_min(scored)
-    return F.when(best.isNotNull(), F.struct(best["url"].alias("url"), best["text"].alias("text"), F.round(-best["minus"], 1).alias("score")))
+    def best(images: Column) -> Column:
+        links = F.filter(nodes, lambda x: is_link(x) & (href(x) != "") & ~href(x).rlike("^(mailto|tel):"))
+        found = F.transform(links, lambda x: F.struct(x["n"].alias("n"), absolute(href(x), url).alias("to"), x["text"].alias("text"), x["cls"].alias("cls"), F.exists(images, lambda i: (i > x["n"]) & (i <= x["last"])).alias("image")))
+        scored = F.filter(F.transform(found, lambda s: F.struct((-score(s)).alias("minus"), s["n"].alias("n"), s["to"].alias("url"), F.substring(s["text"], 1, 100).alias("text"))), lambda s: s["minus"].isNotNull())
+        return F.array_min(scored)
+
+    def score(s: Column) -> Column:
+        part = let(F.lower(s["to"]), lambda low: F.coalesce(*(F.when(low.contains(p.lower()), F.when(s["to"].contains(p + "/") | s["to"].endswith(p), 2.0).otherwise(1.0)) for p in V.PROFILE_PARTS)))
+        extra = F.when(s["image"], 0.5).otherwise(0.0) + F.when(s["cls"].rlike("(?i)name|person|attorney|lawyer|agent"), 0.5).otherwise(0.0)
+        return part + extra + F.when(F.length(s["text"]).between(3, 49), 0.3).otherwise(0.0)
+
+    images = F.transform(F.filter(nodes, lambda d: d["tag"] == "img"), lambda d: d["n"])
+    return let(let(images, best), lambda m: F.when(m.isNotNull(), F.struct(m["url"].alias("url"), m["text"].alias("text"), F.round(-m["minus"], 1).alias("score"))))
 
 
 def found_as(values: Column, source: str) -> Column:

@@ -97,8 +97,7 @@ def page_text(nodes: Column) -> Column:
 
 def distinct_by_value(found: Column) -> Column:
     """Of structs with a field v, the first of each v."""
-    v = F.transform(found, lambda x: x["v"])
-    return F.filter(found, lambda x, i: F.array_position(v, x["v"]) == i + 1)
+    return let(found, lambda f: let(F.transform(f, lambda x: x["v"]), lambda v: F.filter(f, lambda x, i: F.array_position(v, x["v"]) == i + 1)))
 
 
 def joined_url(link: Column, url: Column) -> Column:
