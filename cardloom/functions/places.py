@@ -20,14 +20,17 @@ CITIES = {
     "Germany": ["Frankfurt", "Berlin", "Munich"], "UK": ["London"], "France": ["Paris"], "Hong Kong": ["Hong Kong"], "Singapore": ["Singapore"], "China": ["Beijing", "Shanghai"],
     "Japan": ["Tokyo"], "Australia": ["Sydney", "Melbourne"], "India": ["Delhi", "Mumbai"],
 }
+# Cities that tell the US, larger cities of the US, and codes of its states.
 US_KNOWN = ["New York", "Los Angeles", "Chicago", "Houston", "Boston", "Seattle", "Miami", "Atlanta", "Dallas", "Austin", "San Francisco"]
 US_CITIES = [
     "New York", "Washington", "Los Angeles", "Chicago", "Houston", "Philadelphia", "Phoenix", "San Antonio", "San Diego", "Dallas", "San Jose", "Austin", "Jacksonville",
     "San Francisco", "Boston", "Seattle", "Denver", "Miami", "Atlanta", "Portland", "Las Vegas", "Detroit", "Memphis", "Nashville", "Baltimore", "Charlotte",
 ]
-STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC"
-).split()
+STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
+]
 DC = r"(?i)Washington,?\s*D\.?C\.?"
 PAIR = "struct<location:string,phone:string>"
 

@@ -25,11 +25,21 @@ def page_boundary(pages: DataFrame, cap: int = 500) -> DataFrame:
     return out.select("listing_id", last.alias("last_page"), (last < cap - 1).alias("confirmed"), (last >= cap).alias("capped"))
 
 
-def page_number(pages: DataFrame) -> DataFrame:
-    """The page number of an address: its page parameter, else its place by address among those of its site."""
+def page_number(pages: DataFrame, length: int = 12) -> DataFrame:
+    """The page number of an address: its page parameter, else its place by address among those of its site.
+
+    A site's addresses are ranked in pieces, by their first `length` characters after the site: within a piece by a window, before it by
+    the counts of the pieces that sort before, so a site of any share of all pages is spread over tasks.
+    """
     site = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     d = pages.withColumn("site_", site).withColumn("given_", F.when(page_param(F.col("url"))["type"] == "parameter", page_param(F.col("url"))["value"]))
-    return d.withColumn("page_num", F.coalesce("given_", F.row_number().over(Window.partitionBy("site_").orderBy("url", "page_id")).cast("long"))).select("page_id", "page_num")
+    d = d.withColumn("piece_", F.left("url", F.length("site_") + length))
+    counts = d.groupBy("site_", "piece_").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy("site_").orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("site_").alias("s_"), F.col("piece_").alias("p_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    ranked = d.withColumn("r_", F.row_number().over(Window.partitionBy("site_", "piece_").orderBy("url", "page_id")))
+    both = ranked.join(counts, ranked["site_"].eqNullSafe(counts["s_"]) & ranked["piece_"].eqNullSafe(counts["p_"]))
+    return both.select("page_id", F.coalesce("given_", F.col("before_") + F.col("r_")).alias("page_num"))
 
 
 def union_pages(parts: list[DataFrame]) -> DataFrame:

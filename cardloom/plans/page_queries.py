@@ -117,8 +117,15 @@ QUERIES = {
     ),
     "h32_page_contact_count": (
         lambda s, d: postclean.page_contact_count(pages(s, d)),
-        rf"""with c as (select page_id, coalesce(nullif(len(regexp_extract_all(html, '(?i)href=.mailto:')), 0), case when len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) >= 3 then len(regexp_extract_all(html, '(?i)href=.[^"''>]*/(?:people|attorneys?|lawyers?|agents?|team|profiles?|staff)/')) end,
- nullif(len(list_distinct(regexp_extract_all(html, '{V.EMAIL}'))), 0), nullif(len(regexp_extract_all(html, '(?i)href=.tel:')), 0), 0)::int as n from pages) select page_id, n as contacts, n >= 1 as valid from c""",
+        rf"""with {TEXT}, m as (select page_id, len(regexp_extract_all(html, '(?i)<a [^>]*href="mailto:')) as mail, len(regexp_extract_all(html, '(?i)<a [^>]*href="tel:')) as tel,
+  list_filter([{", ".join(f"len(regexp_extract_all(html, '<a [^>]*href=.[^{chr(34)}>]*{p}'))" for p in ("/profile", "/people/", "/attorney", "/lawyer", "/team/", "/staff/", "/agents/", "/professionals/", "/bio/"))}], lambda n: n >= 3) as profiles,
+  len(list_distinct(regexp_extract_all(regexp_replace(t, '&amp;', '&', 'g'), '{V.EMAIL}'))) as said from t),
+ c as (select page_id, coalesce(nullif(mail, 0), profiles[1], nullif(said, 0), nullif(tel, 0), 0)::bigint as n from m) select page_id, n as contacts, n >= 1 as valid from c""",
+    ),
+    "h2_page_links": (
+        lambda s, d: links(s, d).select("page_id", "href", "text"),
+        r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?s)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?s)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) as t from pages)
+ select page_id, trim(replace(href, '&amp;', '&')) as href, trim(regexp_replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) as text from a where trim(href) <> ''""",
     ),
     "h2_html_links": (links, None),
 }
