@@ -8,6 +8,7 @@ from pyspark.sql.functions import col as C
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import cards, html, matching, profiles, trees
+from ..sources.contacts import read_pages
 from .contacts import BASE
 
 # Parts of a card or page by the customer's number; both engines read these.
@@ -261,7 +262,7 @@ QUERIES = {
   case k % 7 when 2 then 1.0 when 3 then 0.75 when 4 then 0.6 when 5 then 0.35 end::double as confidence,
   case k % 7 when 0 then 'manual' when 1 then 'cache' when 2 then 'url-parameter' when 3 then 'navigation' when 4 then 'infinite-scroll-detection' when 5 then 'url-analysis' end as method from b""",
     ),
-    "h7_contacts_from_pages": (lambda s, d: cards.contacts_from_cards(cards.whole_pages(trees.page_trees(s.read.parquet(f"{d}/pages.parquet")))), None),
+    "h7_contacts_from_pages": (lambda s, d: cards.contacts_from_cards(cards.whole_pages(trees.page_trees(read_pages(s, f"{d}/pages.parquet")))), None),
     "h17_listing_cards": (
         lambda s, d: cards.listing_cards(listing_cards(s, d)),
         f"""with {DUCK} select {PLACE}, case when k % 3 < 2 then name end as name, {URL} as profile_url, case when k % 5 < 3 then box || '@' || site end as email, {PHONE} as phone,

@@ -9,10 +9,11 @@ from ..functions import fixed as V
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup, html, listing, postclean
+from ..sources.contacts import read_pages
 
 
 def pages(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    return read_pages(spark, f"{sf}/pages.parquet")
 
 
 def documents(spark, sf):

@@ -40,8 +40,17 @@ def read_contacts(spark: SparkSession, path: str | list[str], form: str | None =
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, html and nothing else."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    """page_id, url, html and nothing else.
+
+    A table too small to give every core a split of its own is dealt out anew, as its few rows cost far more to parse than to move; what is
+    moved is bounded by the cores times a split.
+    """
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    cores = spark.sparkContext.defaultParallelism
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return pages.repartition(cores) if size < cores * split else pages
 
 
 def write_contacts(df: DataFrame, path: str, source: str, form: str = "json") -> DataFrame:
