@@ -165,3 +165,24 @@ def test_top_k(spark):
 
 def test_digest_of_nothing():
     assert brute.base_spans(None)[3] == hashlib.sha256(b"").hexdigest()
+
+
+def linked_by_hand(text, scope):
+    """Weak parts of a text whose complements begin within the scope, by looking at all pairs."""
+    base, weak = linkcreds.scan(text or "")
+    spots = {(k, a, b) for a, k, b in base + weak}
+    names, secrets = [a for k, a, _ in spots if k in (1, 3)], [a for k, a, _ in spots if k in (0, 2, 4)]
+    near = lambda a, others: any(abs(a - x) <= scope for x in others)
+    asked = {3: lambda a: near(a, secrets), 4: lambda a: near(a, names), 5: lambda a: near(a, names) and near(a, secrets)}
+    return {(a, k, b) for k, a, b in spots if k in asked and asked[k](a)} | set(base)
+
+
+@pytest.mark.parametrize("scope", [40, 300])
+def test_links_are_all_pairs_within_the_scope(spark, scope):
+    r = random.Random(scope)
+    parts = ["user_name: bob%d", "login=ann%d", "password = abcdef%d", "token: Zx9Qw8Er7Ty6Ui5Op4%d", "Zx9Qw8Er7Ty6Ui5Op4As3Df2%d", "https://api.host%d.example/v1", "server=db%d.local", "AKIA00001111222233%d", "deadbeef" * 4 + "%d"]
+    text = lambda n: " ".join(r.choice(parts) % r.randrange(10) if r.random() < 0.3 else "word " * r.randint(1, 40) for _ in range(n))
+    texts = [text(r.randint(0, 30)) for _ in range(60)] + [text(4000), "x" * 500_000 + " user: bob1 " + "Zx9Qw8Er7Ty6Ui5Op4As3Df2", None, ""]
+    got = {x["doc_id"]: {tuple(s) for s in x["found"]} for x in linkcreds.link_credentials(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scope=scope).collect()}
+    want = {i: linked_by_hand(t, scope) for i, t in enumerate(texts)}
+    assert got == want and sum(k >= 3 for w in want.values() for _, k, _ in w) > 100

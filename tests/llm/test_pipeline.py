@@ -83,5 +83,11 @@ def test_whole_run(spark, folder):
 
 def test_every_query_is_registered():
     names = registry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names) and toxickn.THRESHOLD == 0.3
+
+
+def test_empty_corpus(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
