@@ -171,8 +171,8 @@ def smart_phones(nodes: Column, text: Column) -> Column:
 
 
 def counted(words: list[str], text: Column) -> Column:
-    """How many of the words the text holds."""
-    return sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    """How many of the words the text holds; 0 without a text."""
+    return F.greatest(F.size(F.filter(F.lit(words), lambda w: F.contains(text, w))), F.lit(0))
 
 
 def highest(nodes: Column, tests: list, text_ok, score) -> Column:
