@@ -414,7 +414,7 @@ QUERIES = {
         f"{CONTACTS} select 'name' as field, count(*) as noisy, 'ui_element' as types from contacts where name like 'View%' having count(*) > 0",
     ),
     "p1_contact_pipeline": (
-        lambda s, d: stats.cleaning_report(cleaned_after(s, d), ["name", "email"]),
+        lambda s, d: removals_apart(stats.cleaning_report(cleaned_after(s, d), ["name", "email"])),
         None,
     ),
     "j7_duplicate_pairs": (lambda s, d: (lambda c: dedup.duplicate_pairs(c, dedup.dedup_fuzzy(c)))(contacts(s, d)), None),
