@@ -175,7 +175,7 @@ def fuzzy_streamed(spark, sf):
 
 
 def errors(spark, sf):
-    return contacts(spark, sf).where("row_id % 4 = 0").select("row_id", F.when(C("email").isNull(), "no_email").when(C("phone").isNull(), "no_phone").otherwise("other").alias("type"), F.concat(F.lit("row "), C("row_id").cast("string")).alias("message"))
+    return contacts(spark, sf).where("row_id % 2 = 0").select("row_id", F.when(C("email").isNull(), "no_email").when(C("phone").isNull(), "no_phone").otherwise("other").alias("type"), F.concat(F.lit("row "), C("row_id").cast("string")).alias("message"))
 
 
 QUERIES = {
@@ -246,7 +246,7 @@ QUERIES = {
     "a8_enrichment_rate": (lambda s, d: stats.enrichment_rate(enriched(s, d)), f"{CONTACTS}, {PROFILES} select count(*) as total, count(p.profile_url) as enriched, round(count(p.profile_url) / count(*), 4) as rate from contacts c left join profiles p on c.profile_url = p.profile_url"),
     "a12_error_summary": (
         lambda s, d: stats.error_summary(errors(s, d)).select("type", "errors", F.array_join("samples", "|").alias("samples")),
-        f"""{CONTACTS}, er as (select row_id, case when email is null then 'no_email' when phone is null then 'no_phone' else 'other' end as type from contacts where row_id % 4 = 0), k as (select *, row_number() over (partition by type order by row_id) as rn from er)
+        f"""{CONTACTS}, er as (select row_id, case when email is null then 'no_email' when phone is null then 'no_phone' else 'other' end as type from contacts where row_id % 2 = 0), k as (select *, row_number() over (partition by type order by row_id) as rn from er)
  select type, count(*) as errors, string_agg('row ' || row_id, '|' order by row_id) filter (rn <= 5) as samples from k group by 1""",
     ),
     "c20_titles_match": (
