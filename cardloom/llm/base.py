@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,18 @@ def drop(*kept: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_turn: dict = {"to": None, "free": None}
+
+
+def turn_to(what: str, free: Callable[[], None] | None = None) -> None:
+    """Says in a task what its Python worker works at. Workers go from one operator's tasks to another's and keep what modules remember:
+    one that turns to something else lets go of that first (`free`)."""
+    if _turn["to"] != what:
+        if _turn["free"]:
+            _turn["free"]()
+        _turn.update(to=what, free=free)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

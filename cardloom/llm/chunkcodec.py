@@ -14,6 +14,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+from .base import turn_to
+
 #: Words that a Python worker remembers of each kind, and the longest that it remembers.
 CACHE_WORDS, CACHE_CHARS = 900_000, 40
 #: White space that the short way doesn't take: all but space and line feed, the part beyond ASCII second.
@@ -118,6 +120,11 @@ class ChunkCodec:
 
 
 @lru_cache(maxsize=4)
+def _codec(path: str, spaced: bool, added: bool) -> ChunkCodec:
+    return ChunkCodec(path, spaced, added)
+
+
 def codec(path: str, spaced: bool, added: bool = False) -> ChunkCodec:
     """One codec for each file in a Python worker, so that tasks which run there one after another share its words."""
-    return ChunkCodec(path, spaced, added)
+    turn_to("tokens", _codec.cache_clear)
+    return _codec(path, spaced, added)

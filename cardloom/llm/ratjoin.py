@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, drop, keep, same, table, text_key
+from .base import ascii_lower, drop, keep, same, table, text_key, turn_to
 
 GROUPS = 64
 #: Rows of one side of a cell, and the count from which a point says "so many or more".
@@ -175,6 +175,7 @@ class Lists:
 
 def features(words: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("sets")
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 batch = whole.slice(lo, 1000)

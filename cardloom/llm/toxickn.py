@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep, table
+from .base import keep, table, turn_to
 
 WORD = re.compile(r"\w+")
 #: Letters of the longest run that spelling counts, and up to which orders both classes share their counts.
@@ -44,6 +44,8 @@ FIRST, LAST = "\x02", "\x03"
 FEATURES = 5
 #: Spelled words that a worker remembers; only for speed.
 REMEMBERED = 200_000
+#: Texts that a task scores at a time.
+SLICE = 512
 
 
 def words(text: str | None) -> list[str]:
@@ -51,6 +53,7 @@ def words(text: str | None) -> list[str]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("toxicity")
     for batch in batches:
         seen: Counter = Counter()
         for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -311,9 +314,12 @@ def evidence(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = held.value.evidence(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float64())), pa.array(held.value.score(x), pa.float64())], names=[*batch.schema.names, "__evidence", "toxicity_"])
+        turn_to("toxicity")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):  # so that few texts stand in Python at a time
+                batch = whole.slice(lo, SLICE)
+                x = held.value.evidence(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(x), pa.list_(pa.float64())), pa.array(held.value.score(x), pa.float64())], names=[*batch.schema.names, "__evidence", "toxicity_"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, `__evidence` array<double>, toxicity_ double")
