@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import cards, html, matching, profiles, trees
 from ..sources.contacts import read_pages
-from .contacts import BASE
+from .contacts import BASE, customers
 
 # Parts of a card or page by the customer's number; both engines read these.
 PARTS = f"""{BASE},
@@ -44,7 +44,7 @@ PROFILE = """'<html><head><title>' || site || '</title>' ||
 
 def built(spark, sf, sql):
     text = f"with {PARTS} {sql}".replace("{", "{{").replace("}", "}}").replace("from customer ", "from {customer} ")
-    return spark.sql(text, customer=spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"))
+    return spark.sql(text, customer=customers(spark, sf))
 
 
 def listing_pages(spark, sf):

@@ -32,10 +32,18 @@ PROFILES = """profiles as (select 'https://firm' || cast(k % 17 as varchar(9)) |
 from base where k % 10 <> 9 and k % 4 <> 2 group by 1)"""
 
 
+def customers(spark: SparkSession, sf_dir: str, rows: int = 20_000) -> DataFrame:
+    """The customers' keys, dealt out by key. The file that holds them is small and would be read by a task or two, which then did all work up
+    to the first shuffle; so every core gets a part of them, and a part has about `rows` keys at most."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    n = keys.count()
+    return keys.repartition(max(min(spark.sparkContext.defaultParallelism, n // 100 + 1), -(-n // rows)), "c_custkey")
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"{CONTACTS} select * from contacts".replace("from customer ", "from {customer} "), customer=spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    return spark.sql(f"{CONTACTS} select * from contacts".replace("from customer ", "from {customer} "), customer=customers(spark, sf_dir))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = f"with {BASE}, {PROFILES} select * from profiles"
-    return spark.sql(sql.replace("from customer ", "from {customer} "), customer=spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    return spark.sql(sql.replace("from customer ", "from {customer} "), customer=customers(spark, sf_dir))

@@ -168,7 +168,7 @@ def fuzzy_streamed(spark, sf):
     d = contacts(spark, sf)
     edges = d.approxQuantile("row_id", [0.33, 0.67], 0.05)
     for k, (a, b) in enumerate(zip([-1, *edges], [*edges, 1 << 60], strict=True)):
-        d.where((C("row_id") > int(a)) & (C("row_id") <= int(b))).coalesce(1).write.parquet(f"{path}/in/{k}")
+        d.where((C("row_id") > int(a)) & (C("row_id") <= int(b))).write.parquet(f"{path}/in/{k}")
         source = spark.readStream.schema(d.schema).parquet(f"{path}/in/*")
         jobs.stream_fuzzy_table(source, path, f"{path}/state").awaitTermination()  # each part is a run of its own, from the checkpoint
     return spark.read.parquet(f"{path}/verdicts").drop("batch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, old: DataFrame | None = None) -> DataFrame:
+    """df written below the shared folder and read again, so that it is worked out once; then the files of `old`, a table that this function
+    returned and that df was made from, are deleted."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if old is not None:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(old.inputFiles()[0]).getParent() if old.inputFiles() else None
+        gone and gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from cardloom.functions import cleaning as K
 from cardloom.functions import text as T
 from cardloom.functions import urls as U
 from cardloom.operators import cards, dedup, enrich, html, listing, profiles, trees
+from cardloom.plans.contacts import contacts
 from cardloom.sources import contacts as io
 from cardloom.streaming import jobs
 
@@ -141,6 +142,39 @@ def test_dedup_fuzzy_is_the_sequential_rule(spark, tmp_path, monkeypatch, seed,
     assert any(x[1] for x in want) and dedup.dedup_fuzzy(table(spark, rows).limit(0)).count() == 0
 
 
+def test_dedup_fuzzy_takes_no_more_rounds_than_pieces(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rounds, write = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda *a: rounds.append(1) or write(*a))
+    # Each row agrees with the one before it alone, so every verdict hangs on all before it.
+    words = ["".join(chr(97 + (i * 7 + k * 5 * i) % 26) for k in range(4)) + str(i) * 3 for i in range(40)]
+    rows = [(i, "john doe", None, None, words[(i + 1) // 2], words[i // 2], None) for i in range(60)]
+    for piece, most in ((1000, 3), (20, 6)):
+        monkeypatch.setattr(dedup, "PIECE", piece)
+        rounds.clear()
+        got = sorted((r["row_id"], r["duplicate"], r["original"]) for r in dedup.dedup_fuzzy(table(spark, rows)).collect())
+        assert got == [(i, i % 2 == 1, i - 1 if i % 2 else None) for i in range(60)] and len(rounds) <= most
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_is_the_similarity(seed):
+    r = random.Random(seed)
+    for _ in range(3000):
+        a = "".join(r.choice("abc1") for _ in range(r.randint(1, 24)))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "a", "x"])
+        b = "".join(b) or "x"
+        d = round((1 - similar(a, b)) * max(len(a), len(b)))
+        assert dedup.near(a, b) == ((max(len(a), len(b)) - d) / max(len(a), len(b)) >= 0.85)
+
+
+def test_customers_are_dealt_out(spark):
+    d = contacts(spark, "/root/testdata/sf0.01")
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.select("row_id").distinct().count() == d.count() == 1650
+
+
 def test_merge_rules(spark):
     c = table(spark, [(1, "Ann Lee", None, "+1-212-555-1234", None, "NY", "u1"), (2, "Bob RayPartner", "wrong@x.co", None, None, "Paris", "u2"), (3, "Cy", None, None, None, None, "u3"), (4, "Di", None, None, None, None, None)])
     p = spark.createDataFrame([("u1", "Ann Lee", "ann@x.co", "(212) 555-1234", None, "NY, New York"), ("u2", "Bob Ray", "bob@x.co", None, None, "London"), (None, "Zed", None, None, None, None)], "profile_url string, name string, email string, phone string, title string, location string")
