@@ -152,10 +152,10 @@ def profile_links(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     return d.select("page_id", "url", present(F.col("text")).alias("text"), "node_id")
 
 
-def max_page_from_text(text: Column) -> Column:
-    """H29: "page X of Y" in four forms, else total over page size of "a-b of n", between 1 and 9999."""
+def max_page_from_text(text: Column, most: int | None = 9999) -> Column:
+    """H29: "page X of Y" in four forms, else total over page size of "a-b of n", from 1 to `most` (None: any number)."""
     said = [r"(?i)page\s+\d+\s+of\s+(\d+)", r"(?i)showing page\s+\d+\s+of\s+(\d+)", r"(?i)\d+\s+of\s+(\d+)\s+pages", r"(?i)page\s+\d+/(\d+)"]
-    good = lambda n: F.when((n > 0) & (n < 10_000), n)
+    good = lambda n: F.when((n > 0) & (n <= most if most else F.lit(True)), n)
     whole = lambda p, g: first_match(text, p, g).try_cast("long")
     r = r"(?i)(\d+)-(\d+)\s+of\s+(\d+)"
     size = whole(r, 2) - whole(r, 1) + 1

@@ -10,6 +10,7 @@ from cardloom.functions import cleaning as K
 from cardloom.functions import text as T
 from cardloom.functions import urls as U
 from cardloom.operators import cards, dedup, enrich, html, listing, profiles, trees
+from cardloom.plans import registry
 from cardloom.plans.contacts import contacts
 from cardloom.sources import contacts as io
 from cardloom.streaming import jobs
@@ -175,6 +176,14 @@ def test_customers_are_dealt_out(spark):
     assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and d.select("row_id").distinct().count() == d.count() == 1650
 
 
+def test_max_page_beyond_its_bound(spark, tmp_path):
+    spark.createDataFrame([(i, "", "") for i in (0, 99_990, 99_991, 149_999)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["max_page"] for r in registry.queries()["h29_max_page"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 99_990: 9999, 99_991: 10_000, 149_999: 15_000}
+    said = spark.sql("select 'page 1 of 10000' as t").select(html.max_page_from_text(F.col("t")).alias("a"), html.max_page_from_text(F.col("t"), None).alias("b")).first()
+    assert tuple(said) == (None, 10_000)
+
+
 def test_merge_rules(spark):
     c = table(spark, [(1, "Ann Lee", None, "+1-212-555-1234", None, "NY", "u1"), (2, "Bob RayPartner", "wrong@x.co", None, None, "Paris", "u2"), (3, "Cy", None, None, None, None, "u3"), (4, "Di", None, None, None, None, None)])
     p = spark.createDataFrame([("u1", "Ann Lee", "ann@x.co", "(212) 555-1234", None, "NY, New York"), ("u2", "Bob Ray", "bob@x.co", None, None, "London"), (None, "Zed", None, None, None, None)], "profile_url string, name string, email string, phone string, title string, location string")
