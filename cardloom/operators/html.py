@@ -98,10 +98,13 @@ def absolute(href: Column, url: Column) -> Column:
 
 def html_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """H2: page_id, node_id, href, url (absolute), text, class, has_img of every link."""
-    a = nodes.where("tag = 'a'").select("page_id", "node_id", F.trim(F.col("attrs")["href"]).alias("href"), "text", "class").where("href <> ''")
-    img = nodes.where("tag = 'img'").select("page_id", F.col("parent_id").alias("node_id")).distinct().withColumn("img", F.lit(True))
-    out = a.join(img, ["page_id", "node_id"], "left").join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    return out.select("page_id", "node_id", "href", absolute(F.col("href"), F.col("base")).alias("url"), "text", "class", F.coalesce("img", F.lit(False)).alias("has_img"))
+    link = F.when(F.col("tag") == "a", F.struct("node_id", F.trim(F.col("attrs")["href"]).alias("href"), "text", "class"))
+    holder = F.when(F.col("tag") == "a", F.col("node_id")).otherwise(F.col("parent_id")).alias("holder_")
+    # Links and images come from one pass, as nodes are parsed anew for each.
+    d = nodes.where("tag in ('a', 'img')").groupBy("page_id", holder).agg(F.collect_list(link).alias("links_"), F.bool_or(F.col("tag") == "img").alias("has_img"))
+    d = d.select("page_id", "has_img", F.explode("links_").alias("l")).where("l.href <> ''").select("page_id", "l.*", "has_img")
+    out = d.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    return out.select("page_id", "node_id", "href", absolute(F.col("href"), F.col("base")).alias("url"), "text", "class", "has_img")
 
 
 SOCIAL = {"linkedin": r"linkedin\.com/(?:in|company)/([^/?#\"']+)", "twitter": r"(?:twitter|x)\.com/([^/?#\"']+)", "facebook": r"facebook\.com/([^/?#\"']+)", "github": r"github\.com/([^/?#\"']+)"}
@@ -168,13 +171,20 @@ def page_text_of(text: str = "text") -> Column:
     return F.coalesce(F.min(F.when(F.col("tag") == "body", F.struct("node_id", text)))[text], F.array_join(F.transform(tops, lambda x: x[text]), " "))
 
 
+def _said() -> list[Column]:
+    """Aggregates over a page's nodes that H29 goes by; _max_page() reads them."""
+    number = whole_number(F.coalesce(*(present(F.col("attrs")[a]) for a in ("data-total-pages", "data-max-page", "data-page-count"))))
+    return [page_text_of().alias("text_"), F.min(F.when(number.between(1, 9999), F.struct("node_id", number.alias("n")))).alias("data_")]
+
+
+def _max_page() -> Column:
+    return F.coalesce(max_page_from_text(F.col("text_")), F.col("data_.n"))
+
+
 def max_page(nodes: DataFrame) -> DataFrame:
     """H29 for pages: page_id, max_page by the body's text, else by the first element whose data attributes give one; pages without are left out."""
-    given = F.coalesce(*(present(F.col("attrs")[a]) for a in ("data-total-pages", "data-max-page", "data-page-count")))
-    number = whole_number(given)
-    d = nodes.groupBy("page_id").agg(page_text_of().alias("text_"), F.min(F.when(number.between(1, 9999), F.struct("node_id", number.alias("n")))).alias("data_"))
-    page = F.coalesce(max_page_from_text(F.col("text_")), F.col("data_.n"))
-    return d.select("page_id", page.alias("max_page")).where("max_page is not null")
+    d = nodes.groupBy("page_id").agg(*_said())
+    return d.select("page_id", _max_page().alias("max_page")).where("max_page is not null")
 
 
 def pagination_controls(nodes: DataFrame) -> DataFrame:
@@ -186,13 +196,12 @@ def pagination_controls(nodes: DataFrame) -> DataFrame:
     at = [F.min(F.when(css(c), F.struct("node_id", F.coalesce(F.when(shown > 0, shown), F.when(data > 0, data)).alias("n")))).alias(f"at{k}_") for k, c in enumerate(V.CURRENT_PAGE)]
     per = nodes.groupBy("page_id").agg(
         F.collect_set(F.when(link, in_range(shown))).alias("a_"), F.collect_set(F.when(link, in_range(data))).alias("b_"), F.bool_or(css(V.NEXT_PAGE) | (css('svg[data-icon="chevron-right"]:in(a)'))).alias("has_next"),
-        F.bool_or(css(V.PREVIOUS_PAGE)).alias("has_prev"), F.bool_or(css(V.PAGE_NAVIGATION)).alias("in_"), *at,
+        F.bool_or(css(V.PREVIOUS_PAGE)).alias("has_prev"), F.bool_or(css(V.PAGE_NAVIGATION)).alias("in_"), *at, *_said(),
     )
     per = per.withColumn("numbers", F.array_sort(F.array_union("a_", "b_")))
     numeric = F.size("numbers") > 0
     kind = F.when(numeric, "numeric").when(F.col("has_next") | F.col("has_prev"), "next-prev").otherwise("none")
-    d = per.join(max_page(nodes).withColumnRenamed("max_page", "said_"), "page_id", "left")
-    return d.select(
+    return per.withColumn("said_", _max_page()).select(
         "page_id", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"), F.coalesce(F.array_max("numbers"), F.col("said_")).alias("max_page"), F.coalesce(*(F.col(f"at{k}_.n") for k in range(len(at)))).alias("current_page"),
         "has_next", "has_prev", kind.alias("kind"), (F.col("in_") | F.col("has_next") | numeric).alias("has_pagination"),
     )

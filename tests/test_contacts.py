@@ -184,6 +184,16 @@ def test_max_page_beyond_its_bound(spark, tmp_path):
     assert tuple(said) == (None, 10_000)
 
 
+def test_links_and_controls_parse_pages_once(spark):
+    pages = spark.createDataFrame([(1, "https://x.co/a", "<img><a href='/b'><img><img>b</a><a href=' '>no</a><p><img></p><a class='next' href='/c'>c</a><p>Page 1 of 7</p>"), (2, "https://x.co/", "")], "page_id long, url string, html string")
+    links = html.html_links(html.html_nodes(pages), pages)
+    assert sorted((r["url"], r["text"], r["has_img"]) for r in links.collect()) == [("https://x.co/b", "b", True), ("https://x.co/c", "c", False)]
+    controls = html.pagination_controls(html.html_nodes(pages))
+    assert [(r["page_id"], r["max_page"]) for r in controls.collect()] == [(1, 7)]
+    for d in (links, controls):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_merge_rules(spark):
     c = table(spark, [(1, "Ann Lee", None, "+1-212-555-1234", None, "NY", "u1"), (2, "Bob RayPartner", "wrong@x.co", None, None, "Paris", "u2"), (3, "Cy", None, None, None, None, "u3"), (4, "Di", None, None, None, None, None)])
     p = spark.createDataFrame([("u1", "Ann Lee", "ann@x.co", "(212) 555-1234", None, "NY, New York"), ("u2", "Bob Ray", "bob@x.co", None, None, "London"), (None, "Zed", None, None, None, None)], "profile_url string, name string, email string, phone string, title string, location string")
