@@ -330,13 +330,18 @@ def likeness(a: Look, b: Look) -> float:
 
 
 def alike(html: str | None, least: float) -> list[tuple[int, int, float]]:
-    """(element, the earlier one that it is like, score) of a page.
+    """(element, the earlier one that it is like, score) of a page."""
+    return alike_in(parse(html), least)
+
+
+def alike_in(rows: list[tuple], least: float) -> list[tuple[int, int, float]]:
+    """alike() over a page's parsed elements.
 
     Siblings of one tag with equal looks are settled by a table. A new look is compared with the block's leaders, those before it that are like
     none before them, and joins the first of enough points or leads itself. Leaders differ from one another in children or links, so their number
     grows with the root of the block's elements at most, and a list of equal cards costs its length.
     """
-    rows, out = parse(html), []
+    out = []
     blocks: dict[tuple, tuple[dict, list]] = {}
     for i, look in looks(rows).items():
         known, leaders = blocks.setdefault((rows[i][1], rows[i][3]), ({}, []))
@@ -352,12 +357,13 @@ def alike(html: str | None, least: float) -> list[tuple[int, int, float]]:
 
 
 def repeated_cards(pages: DataFrame, least: float = 65.0) -> DataFrame:
-    """page_id, n, like, score: elements that look like an earlier sibling of their tag, by structure alone (`likeness`)."""
+    """page_id, n, like, score, tag, class: elements that look like an earlier sibling of their tag, by structure alone (`likeness`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(p, *x) for p, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in alike(html, least)]
-            cols = list(zip(*found, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["page_id", "n", "like", "score"])
+            parsed = ((p, parse(html)) for p, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            found = [(p, *x, rows[x[0]][3], rows[x[0]][4]) for p, rows in parsed for x in alike_in(rows, least)]
+            cols = list(zip(*found, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string()), strict=True)], names=["page_id", "n", "like", "score", "tag", "class"])
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, n int, like int, score double")
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, n int, like int, score double, tag string, class string")

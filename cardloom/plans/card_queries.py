@@ -7,7 +7,7 @@ from pyspark.sql.functions import col as C
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import cards, html, matching, profiles, trees
+from ..operators import cards, html, matching, profiles, selectors, trees
 from ..sources.contacts import read_pages
 from .contacts import BASE, customers
 
@@ -79,10 +79,6 @@ def site_methods(spark, sf):
     return d.select("domain", F.explode(F.filter(how, lambda h: h["method"].isNotNull())).alias("h"), F.lit(None).cast("int").alias("confidence")).select("domain", "h.field", "h.method", "confidence")
 
 
-def card_nodes(spark, sf):
-    return trees.page_trees(listing_pages(spark, sf)).select("page_id", F.explode(F.filter("nodes", lambda n: trees.has_class(n, "card"))).alias("c")).select("page_id", "c.n")
-
-
 def paged(spark, sf):
     """Pages with page links, controls, totals and hints of endless lists on some, and on all of them what only looks like one."""
     d = built(spark, sf, "select k, 'https://' || site || '/list' as url from x")
@@ -235,11 +231,11 @@ QUERIES = {
  case k % 5 when 0 then '1' || area || '555' || line when 1 then area || '.555.' || line when 2 then {TEN} end as phone, case when k % 3 = 2 then 'Our Team' else name end as name from x""",
     ),
     "h31_repeated_cards": (
-        lambda s, d: cards.repeated_cards(listing_pages(s, d)).join(card_nodes(s, d), ["page_id", "n"]).groupBy("page_id").agg(F.count("*").alias("alike")),
+        lambda s, d: cards.repeated_cards(listing_pages(s, d)).where(selectors.css(".card")).groupBy("page_id").agg(F.count("*").alias("alike")),
         f"with {DUCK}, p as (select (k // 8)::bigint as page_id, count(*) as n from x group by 1) select page_id, n - 1 as alike from p where n > 1",
     ),
     "h31_cards_after_another": (
-        lambda s, d: cards.repeated_cards(grids(s, d)).join(html.html_nodes(grids(s, d)).where("tag = 'li'").select("page_id", C("node_id").alias("n")), ["page_id", "n"]).select("page_id", "n", "like", "score"),
+        lambda s, d: cards.repeated_cards(grids(s, d)).where("tag = 'li'").select("page_id", "n", "like", "score"),
         f"with {DUCK}, i as (select k, unnest(range(1, k % 4 + 1)) as i from x) select k::bigint as page_id, (11 + 3 * i)::int as n, 11 as like, 100.0::double as score from i",
     ),
     "c15_adjust_confidence": (
