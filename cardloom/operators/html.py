@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import any_of, first_match, matches, present
+from ..functions.text import any_of, first_match, let, matches, present
 from .selectors import css, whole_number
 
 NODES = "page_id long, node_id int, parent_id int, path string, tag string, class string, attrs map<string,string>, text string, own_text string, last_id int"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "noscript"}
+#: Nodes from which on a batch of html_nodes goes out; it ends with a page.
+BATCH = 1000
 
 
 class Tree(HTMLParser):
@@ -76,11 +78,15 @@ def html_nodes(pages: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32()]
         names = ["page_id", "node_id", "parent_id", "path", "tag", "class", "attrs", "text", "own_text", "last_id"]
         for batch in batches:
-            for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held: list[tuple] = []
+            for k, (i, html) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
                 rows = parse(html)
-                cols = [[i] * len(rows), *([r[k] for r in rows] for k in range(8)), last_inside([r[1] for r in rows])]
-                cols[6] = [list(a.items()) for a in cols[6]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                held.extend((i, *r, end) for r, end in zip(rows, last_inside([r[1] for r in rows]), strict=True))
+                if held and (len(held) >= BATCH or k == len(batch)):  # a batch for each small page would cost more than the page
+                    cols = list(zip(*held, strict=True))
+                    cols[6] = [list(a.items()) for a in cols[6]]
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
 
@@ -145,13 +151,12 @@ def profile_links(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     d = links.where(any_of([low.contains(p.lower()) for p in V.VISITED_PATHS])).groupBy("page_id", "url").agg(F.min_by("text", "node_id").alias("text"), F.min("node_id").alias("node_id"))
     if nodes is not None:
         generic = (F.length("text") < 3) | F.lower("text").isin(V.GENERIC_LINKS)
-        card = nodes.where(css(CARDS)).select("page_id", F.col("node_id").alias("card_"), F.col("last_id").alias("end_"))
-        # Cards around a link, the innermost last; all of one page meet, and a page is one record of the input.
-        around = d.where(generic).select("page_id", "node_id").join(card, "page_id").where((F.col("card_") <= F.col("node_id")) & (F.col("node_id") <= F.col("end_")))
-        around = around.groupBy("page_id", "node_id").agg(F.max(F.struct("card_", "end_")).alias("c")).select("page_id", "node_id", "c.*")
-        heading = nodes.where(css(CARD_NAMES)).select("page_id", F.col("node_id").alias("h_"), F.col("text").alias("name_"))
-        named = around.join(heading, "page_id").where((F.col("h_") > F.col("card_")) & (F.col("h_") <= F.col("end_"))).groupBy("page_id", "node_id").agg(F.min_by("name_", "h_").alias("name_"))
-        d = d.join(named, ["page_id", "node_id"], "left").withColumn("text", F.when(generic & F.col("name_").isNotNull(), F.col("name_")).otherwise(F.col("text")))
+        # Cards and headings of a page come from one pass, as nodes are parsed anew for each; a page is one record of the input.
+        card, heading = F.when(css(CARDS), F.struct("node_id", "last_id")), F.when(css(CARD_NAMES), F.struct("node_id", "text"))
+        marks = nodes.select("page_id", card.alias("card_"), heading.alias("name_")).where("card_ is not null or name_ is not null").groupBy("page_id").agg(F.collect_list("card_").alias("cards_"), F.array_sort(F.collect_list("name_")).alias("names_"))
+        around = F.filter("cards_", lambda c: (c["node_id"] <= F.col("node_id")) & (F.col("node_id") <= c["last_id"]))
+        name = let(F.array_max(around), lambda c: F.get(F.filter("names_", lambda h: (h["node_id"] > c["node_id"]) & (h["node_id"] <= c["last_id"])), 0)["text"])
+        d = d.join(marks, "page_id", "left").withColumn("text", F.when(generic, F.coalesce(name, F.col("text"))).otherwise(F.col("text")))
     return d.select("page_id", "url", present(F.col("text")).alias("text"), "node_id")
 
 

@@ -37,7 +37,7 @@ def _simple(text: str) -> Column:
         if m["tag"]:
             tests.append(F.lit(True) if m["tag"] == "*" else F.col("tag") == m["tag"].lower())
         elif m["cls"]:
-            tests.append(F.array_contains(F.split("class", r"\s+"), m["cls"]))
+            tests.append(F.col("class").contains(m["cls"]) & F.array_contains(F.split("class", r"\s+"), m["cls"]))
         elif m["id"]:
             tests.append(F.col("attrs")["id"] == m["id"])
         elif m["no"]:
