@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.text import digits, first_match
+from ..functions.text import digits, first_match, let
 
 # Labels of each field.
 LABELS = {"name": "name|full name", "email": "e-?mail", "phone": "phone|telephone|tel|mobile|cell", "title": "title|position|role|job title", "location": "location|address|office|city"}
@@ -17,9 +17,12 @@ def label_value(nodes: Column, field: str) -> Column:
     four texts of 3 to 99 characters that is no label itself; an address of it, or a phone of seven digits, where the field is one."""
     every = "|".join(LABELS.values())
     own = F.filter(F.transform(nodes, lambda n: n["own"]), lambda t: t != "")
-    at = F.filter(F.transform(own, lambda t, i: F.when(t.rlike(rf"(?i)^({LABELS[field]})\s*(:|\z)"), i)), lambda i: i.isNotNull())
-    here = F.get(at, 0)
-    after = F.trim(F.regexp_replace(F.get(own, here), r"^[^:]*:?", ""))
-    following = F.filter(F.slice(own, here + 2, F.lit(4)), lambda t: F.length(t).between(3, 99) & ~t.rlike(rf"(?i)^({every})\s*:?\z"))
-    value = F.when(here.isNotNull(), F.coalesce(F.when(F.length(after) > 2, after), F.get(following, 0)))
-    return {"email": F.lower(first_match(value, V.EMAIL)), "phone": F.when(F.length(digits(value)) >= 7, F.trim(value))}.get(field, F.trim(value))
+
+    def beside(own: Column, here: Column) -> Column:
+        after = F.trim(F.regexp_replace(F.get(own, here), r"^[^:]*:?", ""))
+        following = F.filter(F.slice(own, here + 2, F.lit(4)), lambda t: F.length(t).between(3, 99) & ~t.rlike(rf"(?i)^({every})\s*:?\z"))
+        return F.when(here.isNotNull(), F.coalesce(let(after, lambda a: F.when(F.length(a) > 2, a)), F.get(following, 0)))
+
+    at = lambda own: F.filter(F.transform(own, lambda t, i: F.when(t.rlike(rf"(?i)^({LABELS[field]})\s*(:|\z)"), i)), lambda i: i.isNotNull())
+    said = let(own, lambda o: let(F.get(at(o), 0), lambda here: beside(o, here)))
+    return let(said, lambda value: {"email": F.lower(first_match(value, V.EMAIL)), "phone": F.when(F.length(digits(value)) >= 7, F.trim(value))}.get(field, F.trim(value)))
