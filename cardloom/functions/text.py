@@ -25,7 +25,7 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
     """The first match, or null."""
-    return present(F.regexp_extract(c, pattern, group))
+    return let(F.regexp_extract(c, pattern, group), present)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

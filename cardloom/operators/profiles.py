@@ -50,17 +50,19 @@ def profile_name(nodes: Column) -> Column:
     """The first of eight name selectors, else the first h1 of 3 to 99 characters."""
     h1 = tagged("h1")
     named = [*(both(h1, t) for t in cls("name", "lawyer-name", "attorney-name", "profile-name")), *(both(h1, under(nodes, c)) for c in ("profile-header", "bio-header")), *cls("person-name"), *prop("name"), both(h1, *part("name"))]
-    head = first(nodes, h1)["text"]
-    return F.coalesce(in_order(nodes, named, lambda t: F.length(t) > 0), F.when(F.length(head).between(3, 99), head))
+    head = let(first(nodes, h1)["text"], lambda t: F.when(F.length(t).between(3, 99), t))
+    return F.coalesce(in_order(nodes, named, lambda t: F.length(t) > 0), head)
 
 
 def profile_title(nodes: Column) -> Column:
     """The first of eight title selectors (1 to 99 characters), else a short text with a title's word below the first h1."""
     tests = [*cls("title", "job-title", "position", "role"), *prop("jobTitle"), both(*part("title"), lambda n: n["tag"] != "title"), both(*cls("subtitle"), under(nodes, "profile-header")), both(*cls("title"), under(nodes, "bio-header"))]
-    head = first(nodes, tagged("h1"))
-    next_h1 = F.coalesce(first(nodes, lambda n: (n["tag"] == "h1") & (n["up"] == head["up"]) & (n["n"] > head["n"]))["n"], F.lit(2**31 - 1))
-    below = lambda n: (n["up"] == head["up"]) & (n["n"] > head["n"]) & (n["n"] < next_h1) & F.length(n["text"]).between(3, 49) & any_of([F.lower(n["text"]).contains(w) for w in V.HEADING_TITLES])
-    return F.coalesce(in_order(nodes, tests, lambda t: F.length(t).between(1, 99)), first(nodes, below)["text"])
+    beside = lambda n, head: (n["up"] == head["up"]) & (n["n"] > head["n"])
+    next_h1 = lambda head: F.coalesce(first(nodes, lambda n: (n["tag"] == "h1") & beside(n, head))["n"], F.lit(2**31 - 1))
+    below = lambda n, head, end: beside(n, head) & (n["n"] < end) & F.length(n["text"]).between(3, 49) & any_of([F.lower(n["text"]).contains(w) for w in V.HEADING_TITLES])
+    # The heading and the end of its part are worked out once a page, not once a node.
+    said = let(first(nodes, tagged("h1")), lambda head: let(next_h1(head), lambda end: first(nodes, lambda n: below(n, head, end))["text"]))
+    return F.coalesce(in_order(nodes, tests, lambda t: F.length(t).between(1, 99)), said)
 
 
 def profile_location(nodes: Column) -> Column:
@@ -111,10 +113,10 @@ def structured_person(trees: DataFrame) -> DataFrame:
     raw = first_match(F.col("html"), r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", 1)
     ld = F.get(F.filter(F.from_json(raw, PERSON), lambda x: x["@type"] == "Person"), 0)
     n = F.col("nodes")
-    box = first(n, lambda x: attr(x, "itemtype").contains("Person"))
-    micro = lambda p: first(n, lambda x: (attr(x, "itemprop") == p) & (x["n"] > box["n"]) & (x["n"] <= box["last"]))["text"]
+    micro = lambda p, box: first(n, lambda x: (attr(x, "itemprop") == p) & (x["n"] > box["n"]) & (x["n"] <= box["last"]))["text"]
     fields = ("name", "email", "telephone", "jobTitle", "description")
-    d = trees.withColumns({"ld_": ld, "micro_": F.when(box.isNotNull(), F.struct(*(micro(f).alias(f) for f in fields)))})
+    person = let(first(n, lambda x: attr(x, "itemtype").contains("Person")), lambda box: F.when(box.isNotNull(), F.struct(*(micro(f, box).alias(f) for f in fields))))
+    d = trees.withColumns({"ld_": ld, "micro_": person})
     pick = lambda f: F.when(F.col("ld_").isNotNull(), F.col(f"ld_.{f}")).otherwise(F.col(f"micro_.{f}"))
     source = F.when(F.col("ld_").isNotNull(), "json-ld").when(F.col("micro_").isNotNull(), "microdata")
     return d.select("page_id", *(pick(f).alias({"jobTitle": "job_title"}.get(f, f)) for f in fields), F.col("ld_.worksFor.name").alias("works_for"), source.alias("source"))
@@ -154,7 +156,7 @@ def profile_phone(nodes: Column) -> Column:
     for test in [*cls("phone", "tel", "contact-phone"), *part("phone"), lambda n: attr(n, "data-phone").isNotNull(), *prop("telephone")]:
         marked.append(first_match(marked_text(nodes, test, "data-phone"), V.PROFILE_PHONE))
     labelled = first_match(page_text(nodes), rf"(?i)(?:Phone|Tel|Telephone)\s*:?\s*({V.PROFILE_PHONE})", 1)
-    return normalize_phone(F.coalesce(tel, *marked, labelled))
+    return let(F.coalesce(tel, *marked, labelled), normalize_phone)
 
 
 def profile_fields(trees: DataFrame) -> DataFrame:
@@ -168,5 +170,5 @@ def profile_fields(trees: DataFrame) -> DataFrame:
 def label_values(trees: DataFrame, field: str) -> DataFrame:
     """page_id and the value of a field by its label in the text nodes: what follows the colon (over two characters), else the first
     of the next four texts of 3 to 99 characters that is no label itself. Confidence 75. What stands to the right on screen is not known here."""
-    clean = label_value(F.col("nodes"), field)
-    return trees.select("page_id", clean.alias(field), F.when(clean.isNotNull(), 75).alias("confidence"))
+    d = trees.select("page_id", label_value(F.col("nodes"), field).alias(field))
+    return d.select("page_id", field, F.when(F.col(field).isNotNull(), 75).alias("confidence"))

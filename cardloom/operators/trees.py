@@ -42,7 +42,7 @@ def cards(trees: DataFrame, token: str) -> DataFrame:
 
 
 def has_class(n: Column, token: str) -> Column:
-    return F.array_contains(F.split(n["cls"], r"\s+"), token)
+    return n["cls"].contains(token) & F.array_contains(F.split(n["cls"], r"\s+"), token)  # few nodes pass the first test, and only these are split
 
 
 def class_part(n: Column, *parts: str) -> Column:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,54 @@ def test_links_and_controls_parse_pages_once(spark):
         assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def planned(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_values_are_worked_out_once(spark):
+    t = trees.page_trees(spark.createDataFrame([(1, "https://x.co/a", "")], "page_id long, url string, html string"))
+    fields = t.select(profiles.profile_phone(C("nodes")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert fields.count("Phone|Tel|Telephone") == 1
+
+
+def test_profile_title_below_a_heading_takes_one_pass(spark):
+    page = "<h1>Ann Lee</h1>" + "<p>Read on</p>" * 4000 + "<p>Senior Counsel</p><h1>Other</h1><p>Partner</p>"
+    t = trees.page_trees(spark.createDataFrame([(1, "https://x.co/a", page), (2, "https://x.co/b", "<h1>A</h1><p>x y z</p><h1>B</h1><p>Partner</p>")], "page_id long, url string, html string"))
+    began = time.time()
+    assert [r[0] for r in t.orderBy("page_id").select(profiles.profile_title(C("nodes"))).collect()] == ["Senior Counsel", None]
+    assert time.time() - began < 20
+
+
+def test_label_is_looked_for_once(spark):
+    t = trees.page_trees(spark.createDataFrame([(1, "u", "<b>Phone:</b><i>212-555-1234</i>"), (2, "u", "<p>Tel: 212-555-9999</p>"), (3, "u", "")], "page_id long, url string, html string"))
+    d = profiles.label_values(t, "phone").select("page_id", "phone")
+    assert {r[0]: r[1] for r in d.collect()} == {1: "212-555-1234", 2: "212-555-9999", 3: None}
+    assert d._jdf.queryExecution().analyzed().toString().count("^(phone|telephone") == 1
+
+
+def test_microdata_finds_its_box_once(spark):
+    t = trees.page_trees(spark.createDataFrame([(1, "u", "<b itemprop='name'>No</b><div itemtype='https://schema.org/Person'><b itemprop='name'>Ann</b><i itemprop='jobTitle'>Chair</i></div><b itemprop='email'>no</b>")], "page_id long, url string, html string"))
+    d = profiles.structured_person(t)
+    assert tuple(d.first())[1:] == ("Ann", None, None, "Chair", None, None, "microdata")
+    assert d._jdf.queryExecution().analyzed().toString().count("itemtype") == 1
+
+
+def test_named_links_and_repeated_cards_parse_pages_once(spark):
+    pages = spark.createDataFrame([(1, "https://x.co/", "<div class='card'><h2>Out</h2><div class='person'><i class='name'>In</i><p><a href='/people/a'>View</a></p></div></div><div class='card'><a href='/people/b'>View</a></div><a href='/people/c'>View</a>"), (2, "https://x.co/", "<h2>T</h2>")], "page_id long, url string, html string")
+    nodes = html.html_nodes(pages)
+    links = html.profile_links(html.html_links(nodes, pages), nodes)
+    assert {r["url"][-1]: r["text"] for r in links.collect()} == {"a": "In", "b": "View", "c": "View"}
+    assert planned(links).count("MapInArrow") == 2  # links, then cards and headings
+    alike = registry.queries()["h31_cards_after_another"](spark, "/root/testdata/sf0.001")
+    assert planned(alike).count("MapInArrow") == 1
+
+
+def test_nodes_of_small_pages_share_batches(spark):
+    pages = spark.range(3000).select(C("id").alias("page_id"), F.when(C("id") % 7 > 0, F.lit("<p>a<b>x</b></p>")).alias("html")).coalesce(1)
+    got = html.html_nodes(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.max("last_id").alias("last")).collect()
+    assert sorted(map(tuple, got)) == [(i, 2, 1) for i in range(3000) if i % 7]
+
+
 def test_merge_rules(spark):
     c = table(spark, [(1, "Ann Lee", None, "+1-212-555-1234", None, "NY", "u1"), (2, "Bob RayPartner", "wrong@x.co", None, None, "Paris", "u2"), (3, "Cy", None, None, None, None, "u3"), (4, "Di", None, None, None, None, None)])
     p = spark.createDataFrame([("u1", "Ann Lee", "ann@x.co", "(212) 555-1234", None, "NY, New York"), ("u2", "Bob Ray", "bob@x.co", None, None, "London"), (None, "Zed", None, None, None, None)], "profile_url string, name string, email string, phone string, title string, location string")
