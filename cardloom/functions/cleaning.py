@@ -176,18 +176,25 @@ def is_only_noise(clean: Column) -> Column:
 
 def normalize_location(location: Column) -> Column:
     """struct(location, changed, phones): phone-like runs go, white space is evened out, Washington, D.C. gets its usual form."""
-    v = present(location)
     run = r"\+?\d[\d\s\-\(\)\.]{7,}"
-    phones = F.transform(F.filter(matches(v, run), lambda p: F.length(digits(p)) >= 7), lambda x: F.trim(x))
-    a = F.when(F.size(phones) > 0, F.regexp_replace(v, run, "")).otherwise(v)
-    keeps = any_of([a.rlike(p) for p in V.PRESERVED_PLACES])
-    gentle = F.trim(F.regexp_replace(F.regexp_replace(a, r"\n+", ", "), r"\s+", " "))
-    gentle = F.regexp_replace(F.regexp_replace(gentle, r"\s+,\s+", ", "), r"\s+,", ",")
-    b = F.when(keeps, gentle).otherwise(squeeze(a))
-    c = F.regexp_replace(b, r"(?i)Washington\s*,?\s*D\.?\s*C\.?", "Washington, D.C.")
-    c = F.regexp_replace(F.regexp_replace(c, r"^,\s*|,\s*\z", ""), r",\s*,+", ",")
-    c = F.trim(F.regexp_replace(c, r"\s{2,}", " "))
-    return F.struct(c.alias("location"), F.coalesce(c != v, F.lit(False)).alias("changed"), F.coalesce(phones, F.array().cast("array<string>")).alias("phones"))
+    runs = lambda v: F.transform(F.filter(matches(v, run), lambda p: F.length(digits(p)) >= 7), lambda x: F.trim(x))
+
+    def evened(a: Column) -> Column:
+        keeps = any_of([a.rlike(p) for p in V.PRESERVED_PLACES])
+        gentle = F.trim(F.regexp_replace(F.regexp_replace(a, r"\n+", ", "), r"\s+", " "))
+        gentle = F.regexp_replace(F.regexp_replace(gentle, r"\s+,\s+", ", "), r"\s+,", ",")
+        b = F.when(keeps, gentle).otherwise(squeeze(a))
+        c = F.regexp_replace(b, r"(?i)Washington\s*,?\s*D\.?\s*C\.?", "Washington, D.C.")
+        c = F.regexp_replace(F.regexp_replace(c, r"^,\s*|,\s*\z", ""), r",\s*,+", ",")
+        return F.trim(F.regexp_replace(c, r"\s{2,}", " "))
+
+    def shown(v: Column, phones: Column, c: Column) -> Column:
+        return F.struct(c.alias("location"), F.coalesce(c != v, F.lit(False)).alias("changed"), F.coalesce(phones, F.array().cast("array<string>")).alias("phones"))
+
+    def parts(v: Column, phones: Column) -> Column:
+        return let(let(F.when(F.size(phones) > 0, F.regexp_replace(v, run, "")).otherwise(v), evened), lambda c: shown(v, phones, c))
+
+    return let(present(location), lambda v: let(runs(v), lambda phones: parts(v, phones)))
 
 
 def quality_score(name: Column, location: Column, email: Column, phone: Column, phone_fits: Column) -> Column:
@@ -198,4 +205,4 @@ def quality_score(name: Column, location: Column, email: Column, phone: Column,
         (30, email.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+\z")), (15, phone.rlike(r"^\+\d+[\d\s\-\(\)]+\z")), (15, phone_fits),
     ]
     score = sum((F.when(c, n).otherwise(0) for n, c in points), F.lit(0))
-    return F.struct(score.alias("score"), F.when(score >= 80, "high").when(score >= 60, "medium").otherwise("low").alias("overall"))
+    return let(score, lambda s: F.struct(s.alias("score"), F.when(s >= 80, "high").when(s >= 60, "medium").otherwise("low").alias("overall")))

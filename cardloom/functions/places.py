@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, digits, first_match, no_text, present
+from .text import any_of, digits, first_match, let, no_text, present
 
 # Dialling codes, longest first, and their countries.
 COUNTRIES = {"852": "Hong Kong", "44": "UK", "49": "Germany", "91": "India", "86": "China", "81": "Japan", "65": "Singapore", "61": "Australia", "33": "France", "1": "US"}
@@ -37,12 +37,11 @@ PAIR = "struct<location:string,phone:string>"
 
 def country_code(phone: Column) -> Column:
     """The dialling code after a plus, or null."""
-    p = F.regexp_replace(phone, r"[\s\-\(\)]", "")
-    return F.coalesce(*(F.when(p.startswith("+" + c), F.lit(c)) for c in COUNTRIES))
+    return let(F.regexp_replace(phone, r"[\s\-\(\)]", ""), lambda p: F.coalesce(*(F.when(p.startswith("+" + c), F.lit(c)) for c in COUNTRIES)))
 
 
 def country_of(code: Column) -> Column:
-    return F.coalesce(*(F.when(code == c, F.lit(n)) for c, n in COUNTRIES.items()))
+    return let(code, lambda v: F.coalesce(*(F.when(v == c, F.lit(n)) for c, n in COUNTRIES.items())))
 
 
 def location_country(location: Column) -> Column:
@@ -53,16 +52,20 @@ def location_country(location: Column) -> Column:
 
 def phone_location_check(phone: Column, location: Column, country: Column | None = None) -> Column:
     """struct(valid, mismatch, reason). `country` is the place's country where it is known from elsewhere."""
-    p, place, code = present(phone), present(location), country_code(phone)
-    where = F.coalesce(country if country is not None else no_text(), location_country(place))
+    p = present(phone)
     area = first_match(F.regexp_replace(p, r"[\s\-\(\)]", ""), r"^\+?1(\d{3})", 1)
-    city = F.coalesce(*(F.when(area == a, F.lit(c)) for a, c in AREA_CODES.items()))
-    there = F.contains(F.lower(place), F.lower(city)) | ((city == "Washington") & place.rlike(DC))
+    city = let(area, lambda v: F.coalesce(*(F.when(v == a, F.lit(c)) for a, c in AREA_CODES.items())))
     said = lambda valid, mismatch, reason: F.struct(F.lit(valid).alias("valid"), F.lit(mismatch).alias("mismatch"), F.lit(reason).cast("string").alias("reason"))
-    return (
-        F.when(p.isNull() | place.isNull(), said(False, False, "missing-data")).when(code.isNull(), said(False, False, "no-country-code"))
-        .when(where != country_of(code), said(False, True, "country-mismatch")).when((code == "1") & city.isNotNull() & ~there, said(True, True, "city-mismatch")).otherwise(said(True, False, None))
-    )
+
+    def verdict(place: Column, code: Column, city: Column) -> Column:
+        where = F.coalesce(country if country is not None else no_text(), location_country(place))
+        there = F.contains(F.lower(place), F.lower(city)) | ((city == "Washington") & place.rlike(DC))
+        return (
+            F.when(p.isNull() | place.isNull(), said(False, False, "missing-data")).when(code.isNull(), said(False, False, "no-country-code"))
+            .when(where != country_of(code), said(False, True, "country-mismatch")).when((code == "1") & city.isNotNull() & ~there, said(True, True, "city-mismatch")).otherwise(said(True, False, None))
+        )
+
+    return let(present(location), lambda place: let(country_code(phone), lambda code: let(city, lambda c: verdict(place, code, c))))
 
 
 def looks_like_location(c: Column) -> Column:
@@ -72,10 +75,9 @@ def looks_like_location(c: Column) -> Column:
 
 
 def is_us(pair: Column) -> Column:
-    code = country_code(pair["phone"])
     place = pair["location"]
     state = first_match(place, r",\s*([A-Z]{2})\b", 1).isin(STATES)
-    return F.coalesce(F.when(code.isNotNull(), code == "1"), F.coalesce(state, F.lit(False)) | place.rlike(DC) | any_of([F.contains(place, F.lit(c)) for c in US_CITIES]))
+    return F.coalesce(country_code(pair["phone"]) == "1", F.coalesce(state, F.lit(False)) | place.rlike(DC) | any_of([F.contains(place, F.lit(c)) for c in US_CITIES]))
 
 
 def multi_location(location: Column, phone: Column, us_first: bool = True) -> Column:
@@ -94,7 +96,7 @@ def multi_location(location: Column, phone: Column, us_first: bool = True) -> Co
         both = x.rlike(r"\+\d+[\d\s\-\(\)]{7,}")
         return (
             F.when(number, state(flush(x), x, no_text()))
-            .when(both & (place != "") & looks_like_location(place), state(F.concat(s["pairs"], F.array(pair(place, inner))), s["last"], s["pending"]))
+            .when(both & let(place, lambda p: (p != "") & looks_like_location(p)), state(F.concat(s["pairs"], F.array(pair(place, inner))), s["last"], s["pending"]))
             .when(~both & looks_like_location(x), state(flush(s["last"]), s["last"], x)).otherwise(s)
         )
 
@@ -102,8 +104,9 @@ def multi_location(location: Column, phone: Column, us_first: bool = True) -> Co
         return F.when(s["pending"].isNotNull(), F.concat(s["pairs"], F.array(pair(s["pending"], F.coalesce(s["last"], phone))))).otherwise(s["pairs"])
 
     pairs = F.coalesce(F.aggregate(lines, state(none, no_text(), no_text()), step, close), none)
-    ordered = F.when(F.size(pairs) > 1, F.concat(F.filter(pairs, is_us), F.filter(pairs, lambda p: ~is_us(p)))).otherwise(pairs) if us_first else pairs
-    return F.struct(
-        (F.size(ordered) > 1).alias("several"), F.get(ordered, 0)["location"].alias("location"), F.coalesce(F.get(ordered, 0)["phone"], phone).alias("phone"),
-        F.transform(ordered, lambda p: p["location"]).alias("locations"), ordered.alias("pairs"),
+    ordered = lambda ps: F.when(F.size(ps) > 1, F.concat(F.filter(ps, is_us), F.filter(ps, lambda p: ~is_us(p)))).otherwise(ps) if us_first else ps
+    shown = lambda ps: F.struct(
+        (F.size(ps) > 1).alias("several"), F.get(ps, 0)["location"].alias("location"), F.coalesce(F.get(ps, 0)["phone"], phone).alias("phone"),
+        F.transform(ps, lambda p: p["location"]).alias("locations"), ps.alias("pairs"),
     )
+    return let(pairs, lambda ps: let(ordered(ps), shown))

@@ -121,8 +121,8 @@ def phone_near(text: Column) -> Column:
 
 def email_domain(email: Column) -> Column:
     """The normalised domain of an address, or null."""
-    d = F.regexp_replace(first_match(F.lower(F.trim(email)), r"^[^@]+@([^@]+)\z", 1), r"^www\.", "")
-    return F.when(d.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}\z"), d)
+    said = F.regexp_replace(first_match(F.lower(F.trim(email)), r"^[^@]+@([^@]+)\z", 1), r"^www\.", "")
+    return let(said, lambda d: F.when(d.rlike(r"^[a-z0-9.-]+\.[a-z]{2,}\z"), d))
 
 
 def domain_type(domain: Column, more_personal: list[str] | None = None, missing: str | None = "unknown") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import cleaning as K
 from cardloom.functions import text as T
 from cardloom.functions import urls as U
-from cardloom.operators import cards, dedup, enrich, html, listing, profiles, trees
+from cardloom.operators import cards, dedup, enrich, html, listing, postclean, profiles, stats, trees
 from cardloom.plans import registry
 from cardloom.plans.contacts import contacts
 from cardloom.sources import contacts as io
@@ -237,6 +237,16 @@ def test_named_links_and_repeated_cards_parse_pages_once(spark):
     assert planned(alike).count("MapInArrow") == 1
 
 
+def test_post_clean_works_values_out_once(spark):
+    c = table(spark, [(1, "Ann Lee", "ann@x.co", "+1-212-555-1234", None, "London\n+44 20 7946 0018\nNew York, NY\n+1-212-555-1234", None), (2, "Bob", None, "+49 69 123456", None, "Boston, MA", None), (3, None, None, None, None, None, None)])
+    d = postclean.post_clean(c)
+    got = d.orderBy("row_id").select("location", "score", "overall", "phone_reason", "other_locations").collect()
+    assert [tuple(r) for r in got] == [("New York, NY", 100, "high", None, ["London"]), ("Boston, MA", 70, "medium", None, []), (None, 15, "low", "missing-data", [])]
+    plan = planned(d)
+    assert plan.count("aggregate(") == 1 and plan.count(r"^\+?1(\d{3})") == 1 and plan.count("regexp_extract_all(") == 1  # the places, the area code, the runs of digits
+    assert planned(postclean.post_clean_stats(d)).count("aggregate(") == 1
+
+
 def test_nodes_of_small_pages_share_batches(spark):
     pages = spark.range(3000).select(C("id").alias("page_id"), F.when(C("id") % 7 > 0, F.lit("<p>a<b>x</b></p>")).alias("html")).coalesce(1)
     got = html.html_nodes(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.max("last_id").alias("last")).collect()
