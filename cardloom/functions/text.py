@@ -160,26 +160,29 @@ def is_business_email(email: Column, domain: Column | None = None) -> Column:
 def name_near_email(text: Column, email: Column) -> Column:
     """struct(name, score) of the capitalised run of one to five words before an address that scores best, or null: up to 50 for
     nearness of its line, up to 40 for the parts of the mailbox it shares, 10 for two words; ties to the nearest line, then the first in it."""
-    at = F.instr(F.lower(text), F.lower(email))
-    before = F.when(at > 0, F.substr(text, F.lit(1), at - 1))
-    lines = F.reverse(F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    lines = lambda before: F.reverse(F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     terms = F.filter(F.split(F.lower(F.split(email, "@")[0]), "[._-]+"), lambda t: F.length(t) >= 2)
 
-    def scored(line: Column, k: Column) -> Column:
+    def scored(backwards: Column, terms: Column, line: Column, k: Column) -> Column:
         # where the line's text stands last before the address
-        apart = F.length(line) + F.instr(F.reverse(before), F.reverse(line)) - 1
-        near = F.greatest(F.lit(0.0), F.lit(50.0) - apart / 2)
+        apart = F.length(line) + F.instr(backwards, F.reverse(line)) - 1
 
-        def one(run: Column, i: Column) -> Column:
-            words = F.split(F.lower(run), r"\s+")
-            shared = F.size(F.filter(terms, lambda t: F.exists(words, lambda w: w.contains(t) | t.contains(w))))
-            score = near + F.when(F.size(terms) > 0, shared / F.size(terms) * 40).otherwise(0.0) + F.when(F.size(words) >= 2, 10.0).otherwise(0.0)
-            return F.struct((-score).alias("s"), k.alias("k"), i.alias("i"), run.alias("name"))
+        def one(near: Column, run: Column, i: Column) -> Column:
+            def points(words: Column) -> Column:
+                shared = F.size(F.filter(terms, lambda t: F.exists(words, lambda w: w.contains(t) | t.contains(w))))
+                return near + F.when(F.size(terms) > 0, shared / F.size(terms) * 40).otherwise(0.0) + F.when(F.size(words) >= 2, 10.0).otherwise(0.0)
 
-        return F.filter(F.transform(matches(line, r"\b([A-Z][a-z]+(?:[\s'-][A-Z][a-z]+){0,4})\b", 1), one), lambda c: is_valid_name(c["name"]))
+            return F.struct((-let(F.split(F.lower(run), r"\s+"), points)).alias("s"), k.alias("k"), i.alias("i"), run.alias("name"))
 
-    best = F.array_min(F.flatten(F.transform(lines, scored)))
-    return F.when(best.isNotNull(), F.struct(best["name"].alias("name"), (-best["s"]).alias("score")))
+        runs = F.filter(matches(line, r"\b([A-Z][a-z]+(?:[\s'-][A-Z][a-z]+){0,4})\b", 1), is_valid_name)
+        return let(F.greatest(F.lit(0.0), F.lit(50.0) - apart / 2), lambda near: F.transform(runs, lambda run, i: one(near, run, i)))
+
+    def best(before: Column, terms: Column) -> Column:
+        return let(F.reverse(before), lambda backwards: F.array_min(F.flatten(F.transform(lines(before), lambda line, k: scored(backwards, terms, line, k)))))
+
+    before = let(F.instr(F.lower(text), F.lower(email)), lambda at: F.when(at > 0, F.substr(text, F.lit(1), at - 1)))
+    found = let(before, lambda b: let(terms, lambda t: best(b, t)))
+    return let(found, lambda x: F.when(x.isNotNull(), F.struct(x["name"].alias("name"), (-x["s"]).alias("score"))))
 
 
 def match_key(c: Column) -> Column:

@@ -247,6 +247,14 @@ def test_post_clean_works_values_out_once(spark):
     assert planned(postclean.post_clean_stats(d)).count("aggregate(") == 1
 
 
+def test_name_near_email_works_values_out_once(spark):
+    rows = [(1, "Kind Regards\nAnn Lee\nOther Person\nMail ann.lee@x.co", "ann.lee@x.co"), (2, "ann.lee@x.co first", "ann.lee@x.co"), (3, None, "a@x.co"), (4, "Ann Lee", "zed@x.co")]
+    d = spark.createDataFrame(rows, "i int, text string, email string").select("i", T.name_near_email(C("text"), C("email")).alias("b"))
+    assert [r["b"] and tuple(r["b"]) for r in d.orderBy("i").collect()] == [("Ann Lee", 50 - (7 + 1 + 12 + 1 + 5) / 2 + 40 + 10), None, None, None]
+    said = d._jdf.queryExecution().analyzed().toString()
+    assert said.count("instr(lower(") == 1 and said.count("[._-]+") == 1
+
+
 def test_nodes_of_small_pages_share_batches(spark):
     pages = spark.range(3000).select(C("id").alias("page_id"), F.when(C("id") % 7 > 0, F.lit("<p>a<b>x</b></p>")).alias("html")).coalesce(1)
     got = html.html_nodes(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.max("last_id").alias("last")).collect()
