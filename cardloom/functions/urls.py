@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .text import no_text, present
+from .text import let, no_text, present
 
 # Sites whose way of paging is known.
 KNOWN_SITES = {
@@ -153,15 +153,20 @@ def overall_confidence(method: Column, found: Column, confirmed: Column, true_ma
 
 def compare_urls(a: Column, b: Column) -> Column:
     """struct(type, name, size) of the first numeric parameter that changed from a to b: by one (or to 1) a page, from nothing by 2 to 100 an offset of that size; else the path's number that grew by one."""
-    old = F.map_from_entries(F.transform(F.filter(params(a), lambda p: p["value"].rlike(r"^\d+\z")), lambda p: F.struct(F.concat(p["name"], F.lit("#"), p["pos"].cast("string")), p["value"].cast("long"))))
-    now = F.filter(params(b), lambda p: p["value"].rlike(r"^\d+\z"))
-    before = lambda p: F.try_element_at(old, F.concat(p["name"], F.lit("#"), p["pos"].cast("string")))
-    grown = lambda p: p["value"].cast("long") - before(p)
-    paged = F.get(F.filter(now, lambda p: (grown(p) == 1) | ((before(p) == 0) & grown(p).between(2, 100))), 0)
-    step = grown(paged)
+    key = lambda p: F.concat(p["name"], F.lit("#"), p["pos"].cast("string"))
+    numbers = lambda u: F.filter(params(u), lambda p: p["value"].rlike(r"^\d+\z"))
+    old = F.map_from_entries(F.transform(numbers(a), lambda p: F.struct(key(p), p["value"].cast("long"))))
+
+    def steps(old: Column) -> Column:
+        """Parameters of b: name, before and by how much they grew."""
+        return F.transform(numbers(b), lambda p: let(F.try_element_at(old, key(p)), lambda was: F.struct(p["name"].alias("name"), was.alias("was"), (p["value"].cast("long") - was).alias("step"))))
+
+    paged = F.get(F.filter(let(old, steps), lambda p: (p["step"] == 1) | ((p["was"] == 0) & p["step"].between(2, 100))), 0)
+    found = let(paged, lambda p: F.when(p.isNotNull(), F.struct(F.when(p["step"] == 1, "parameter").otherwise("offset").alias("type"), p["name"].alias("name"), F.when(p["step"] > 1, p["step"]).alias("size"))))
     in_path = lambda u: F.regexp_extract(F.try_parse_url(u, F.lit("PATH")), r"/(\d+)(?:/|\z)", 1)
-    path = F.when((in_path(a) != "") & (F.try_to_number(in_path(b), F.lit("999999999")) == F.try_to_number(in_path(a), F.lit("999999999")) + 1), F.struct(F.lit("path").alias("type"), no_text().alias("name"), F.lit(None).cast("long").alias("size")))
-    return F.coalesce(F.when(paged.isNotNull(), F.struct(F.when(step == 1, "parameter").otherwise("offset").alias("type"), paged["name"].alias("name"), F.when(step > 1, step).alias("size"))), path)
+    number = lambda c: F.try_to_number(c, F.lit("999999999"))
+    path = let(in_path(a), lambda n: F.when((n != "") & (number(in_path(b)) == number(n) + 1), F.struct(F.lit("path").alias("type"), no_text().alias("name"), F.lit(None).cast("long").alias("size"))))
+    return F.coalesce(found, path)
 
 
 def path_prefix(url: Column) -> Column:

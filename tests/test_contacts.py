@@ -247,6 +247,13 @@ def test_post_clean_works_values_out_once(spark):
     assert planned(postclean.post_clean_stats(d)).count("aggregate(") == 1
 
 
+def test_compared_urls_are_parsed_once(spark):
+    rows = [("https://x.co/l?a=7&page=2", "https://x.co/l?a=7&page=3"), ("https://x.co/l?start=0", "https://x.co/l?start=20"), ("https://x.co/l/8", "https://x.co/l/9"), ("https://x.co/l?x=1", "https://x.co/l?x=5"), (None, "https://x.co/l?page=1"), ("https://x.co/l", None)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", U.compare_urls(C("a"), C("b")).alias("s"))
+    assert [r["s"] and tuple(r["s"]) for r in d.orderBy("i").collect()] == [("parameter", "page", None), ("offset", "start", 20), ("path", None, None), None, None, None]
+    assert d._jdf.queryExecution().analyzed().toString().count("QUERY") == 2  # one a side
+
+
 def test_name_near_email_works_values_out_once(spark):
     rows = [(1, "Kind Regards\nAnn Lee\nOther Person\nMail ann.lee@x.co", "ann.lee@x.co"), (2, "ann.lee@x.co first", "ann.lee@x.co"), (3, None, "a@x.co"), (4, "Ann Lee", "zed@x.co")]
     d = spark.createDataFrame(rows, "i int, text string, email string").select("i", T.name_near_email(C("text"), C("email")).alias("b"))
