@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,51 +26,61 @@ def result(original: Column, value: Column, removed: Column, modified: Column, v
     return F.struct(value.alias("value"), original.alias("original"), F.coalesce(modified, F.lit(False)).alias("modified"), F.coalesce(removed, F.array().cast(REMOVED)).alias("removed"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
-def strip_all(c: Column, ends: str) -> tuple[Column, Column]:
-    """The value without any number of the given ends, and the ends in the order in which they were taken off."""
+def without(c: Column, pattern: str) -> Column:
+    """struct(gone, left): the matches, and the text without them."""
+    return F.struct(matches(c, pattern).alias("gone"), F.regexp_replace(c, pattern, "").alias("left"))
+
+
+def strip_all(c: Column, ends: str) -> Column:
+    """struct(gone, left): the given ends in the order in which they were taken off, and the value without any number of them."""
     tail = first_match(c, rf"(?i)(?:{ends})+\z")
-    return F.regexp_replace(c, rf"(?i)(?:{ends})+\z", ""), F.reverse(matches(tail, rf"(?i){ends}"))
+    return F.struct(F.reverse(matches(tail, rf"(?i){ends}")).alias("gone"), F.regexp_replace(c, rf"(?i)(?:{ends})+\z", "").alias("left"))
 
 
 def clean_name(name: Column) -> Column:
     """C17 for names: without phones, addresses, repeated title and credential ends; interface phrases give null."""
-    v = present(name)
-    phones = matches(v, V.LOOSE_PHONE)
-    a = F.regexp_replace(v, V.LOOSE_PHONE, "")
-    emails = matches(a, V.EMAIL)
-    b = F.regexp_replace(a, V.EMAIL, "")
-    c, titles = strip_all(b, V.TITLE_SUFFIX)
-    d, credentials = strip_all(c, V.CREDENTIAL)
-    credentials = F.transform(credentials, lambda x: F.regexp_replace(F.regexp_replace(x, r"^,?\s*", ""), r"(?i)(?<!esq|jr|sr)\.\z", ""))
-    e = squeeze(d)
-    spam = e.rlike(V.NAME_SPAM)
     empty = F.array().cast("array<string>")
-    removed = F.concat(*(typed(k, F.coalesce(x, empty)) for k, x in (("phone", phones), ("email", emails), ("titleSuffix", titles), ("credentialSuffix", credentials), ("spam", F.when(spam, F.array(e))))))
-    bad = spam | (e == "")
-    return result(v, F.when(~bad, e), removed, F.when(bad, True).otherwise(v != e), ~bad)
+
+    def shown(v: Column, gone: list[Column], e: Column, spam: Column) -> Column:
+        phones, emails, titles, credentials = gone
+        credentials = F.transform(credentials, lambda x: F.regexp_replace(F.regexp_replace(x, r"^,?\s*", ""), r"(?i)(?<!esq|jr|sr)\.\z", ""))
+        removed = F.concat(*(typed(k, F.coalesce(x, empty)) for k, x in (("phone", phones), ("email", emails), ("titleSuffix", titles), ("credentialSuffix", credentials), ("spam", F.when(spam, F.array(e))))))
+        return let(spam | (e == ""), lambda bad: result(v, F.when(~bad, e), removed, F.when(bad, True).otherwise(v != e), ~bad))
+
+    def last(v: Column, cuts: list[Column]) -> Column:
+        return let(squeeze(cuts[-1]["left"]), lambda e: let(e.rlike(V.NAME_SPAM), lambda spam: shown(v, [c["gone"] for c in cuts], e, spam)))
+
+    def cut(v: Column) -> Column:
+        return let(
+            without(v, V.LOOSE_PHONE),
+            lambda a: let(without(a["left"], V.EMAIL), lambda b: let(strip_all(b["left"], V.TITLE_SUFFIX), lambda c: let(strip_all(c["left"], V.CREDENTIAL), lambda d: last(v, [a, b, c, d])))),
+        )
+
+    return let(present(name), cut)
 
 
 def clean_plain(text: Column) -> Column:
     """C17 for titles and locations: without phones and addresses."""
-    v = present(text)
-    a = F.regexp_replace(v, V.LOOSE_PHONE, "")
-    e = squeeze(F.regexp_replace(a, V.EMAIL, ""))
-    removed = F.concat(typed("phone", matches(v, V.LOOSE_PHONE)), typed("email", matches(a, V.EMAIL)))
-    return result(v, present(e), removed, v != e, e != "")
+    def shown(v: Column, a: Column, b: Column) -> Column:
+        removed = F.concat(typed("phone", a["gone"]), typed("email", b["gone"]))
+        return let(squeeze(b["left"]), lambda e: result(v, present(e), removed, v != e, e != ""))
+
+    return let(present(text), lambda v: let(without(v, V.LOOSE_PHONE), lambda a: let(without(a["left"], V.EMAIL), lambda b: shown(v, a, b))))
+
+
+def taken(text: Column, found: Callable[[Column], Column]) -> Column:
+    """C17 for what is taken out of its text."""
+    return let(present(text), lambda v: let(found(v), lambda x: result(v, x, F.array().cast(REMOVED), x.isNotNull() & (x != v), x.isNotNull())))
 
 
 def extract_email(text: Column) -> Column:
     """C17 for addresses: the first one in lower case."""
-    v = present(text)
-    e = F.lower(first_match(v, V.EMAIL))
-    return result(v, e, F.array().cast(REMOVED), e.isNotNull() & (e != v), e.isNotNull())
+    return taken(text, lambda v: F.lower(first_match(v, V.EMAIL)))
 
 
 def extract_phone(text: Column) -> Column:
     """C17 for phones: the first strict one, normalised."""
-    v = present(text)
-    p = normalize_phone(first_match(v, V.STRICT_PHONE), "strict")
-    return result(v, p, F.array().cast(REMOVED), p.isNotNull() & (p != v), p.isNotNull())
+    return taken(text, lambda v: let(first_match(v, V.STRICT_PHONE), lambda p: normalize_phone(p, "strict")))
 
 
 def normalize_title(title: Column) -> Column:

@@ -185,6 +185,11 @@ def _of_type(kind: str):
     return lambda r: r["type"] == kind
 
 
+def _changed(taken: Column, original: Column, value: Column, modified: Column) -> Column:
+    """Whether a field counts as modified: what is taken out of its text also does when nothing was found."""
+    return original.isNotNull() & F.when(taken, value.isNull() | modified).otherwise(modified)
+
+
 def cleaning_report(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFrame:
     """Per field of clean_<field> structs: extracted (addresses and phones that were changed), nullified, modified, unchanged (what
     was empty counts as such), removals by type, and an alert over 10 % nullified."""
@@ -192,7 +197,7 @@ def cleaning_report(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFra
     d = cleaned.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"clean_{c}.value").alias("v"), F.col(f"clean_{c}.original").alias("o"), F.col(f"clean_{c}.modified").alias("m"), F.col(f"clean_{c}.removed").alias("rm")) for c in fields))).alias("x")).select("x.*")
     had, gone = F.col("o").isNotNull(), F.col("o").isNotNull() & F.col("v").isNull()
     taken = F.col("field").isin(*EXTRACTED)
-    changed = had & F.when(taken, gone | F.col("m")).otherwise(F.col("m"))
+    changed = _changed(taken, F.col("o"), F.col("v"), F.col("m"))
     out = d.select("field", had.alias("had"), gone.alias("gone"), changed.alias("changed"), taken.alias("taken"), *(F.when(~taken & had & F.col("m"), k).otherwise(0).alias(n) for k, n in zip(kinds, REMOVALS, strict=True)))
     return out.groupBy("field").agg(
         F.count("*").alias("total"), F.count_if(F.col("taken") & F.col("changed") & ~F.col("gone")).alias("extracted"), F.count_if("gone").alias("nullified"), F.count_if("changed").alias("modified"), F.count_if(~F.col("changed")).alias("unchanged"),
@@ -203,9 +208,9 @@ def cleaning_report(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFra
 def cleaning_summary(cleaned: DataFrame, fields: list[str] = REPORTED) -> DataFrame:
     """Rows and fields modified. A value that was only given up doesn't make its row a modified one, but its field."""
     row = any_of([F.coalesce(F.col(f"clean_{c}.modified"), F.lit(False)) for c in fields])
-    per = cleaning_report(cleaned, fields).agg(F.coalesce(F.sum("modified"), F.lit(0)).alias("fields_modified"))
-    rows = cleaned.agg(F.count("*").alias("contacts"), F.count_if(row).alias("contacts_modified"), F.count_if(~row).alias("contacts_unchanged"))
-    return rows.crossJoin(per)  # two single rows
+    each = [_changed(F.lit(c in EXTRACTED), *(F.col(f"clean_{c}.{k}") for k in ("original", "value", "modified"))) for c in fields]
+    d = cleaned.select(row.alias("row"), sum((F.when(c, 1).otherwise(0) for c in each), F.lit(0)).alias("fields"))
+    return d.agg(F.count("*").alias("contacts"), F.count_if("row").alias("contacts_modified"), F.count_if(~F.col("row")).alias("contacts_unchanged"), F.coalesce(F.sum("fields"), F.lit(0)).alias("fields_modified"))
 
 
 def extraction_quality(df: DataFrame) -> DataFrame:

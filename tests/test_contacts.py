@@ -247,6 +247,17 @@ def test_post_clean_works_values_out_once(spark):
     assert planned(postclean.post_clean_stats(d)).count("aggregate(") == 1
 
 
+def test_cleaning_works_values_out_once(spark):
+    c = table(spark, [(1, "Ann Lee, JDPartner 212-555-1234", "x Ann@X.co", "call 212-555-1234", None, "Paris ann@x.co", None), (2, "Bob Ray", "none", "+1-212-555-1234", "", "Rome", None), (3, None, None, None, None, None, None)])
+    cleaned = c.select("row_id", K.clean_name(C("name")).alias("clean_name"), K.extract_email(C("email")).alias("clean_email"), K.extract_phone(C("phone")).alias("clean_phone"), *(K.clean_plain(C(x)).alias(f"clean_{x}") for x in ("title", "location")))
+    report, summary = stats.cleaning_report(cleaned), stats.cleaning_summary(cleaned)
+    assert {r["field"]: (r["total"], r["extracted"], r["nullified"], r["modified"]) for r in report.collect()} == {"name": (3, 0, 0, 1), "email": (3, 1, 1, 2), "phone": (3, 1, 0, 1), "title": (3, 0, 0, 0), "location": (3, 0, 0, 1)}
+    assert summary.first().asDict() == {"contacts": 3, "contacts_modified": 1, "contacts_unchanged": 2, "fields_modified": 5}
+    name = c.select(K.clean_name(C("name")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert name.count("regexp_extract_all(") == 4  # phones, addresses, titles, credentials
+    assert planned(summary).count("LogicalRDD") == 1  # one pass, and no row a field
+
+
 def test_compared_urls_are_parsed_once(spark):
     rows = [("https://x.co/l?a=7&page=2", "https://x.co/l?a=7&page=3"), ("https://x.co/l?start=0", "https://x.co/l?start=20"), ("https://x.co/l/8", "https://x.co/l/9"), ("https://x.co/l?x=1", "https://x.co/l?x=5"), (None, "https://x.co/l?page=1"), ("https://x.co/l", None)]
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select("i", U.compare_urls(C("a"), C("b")).alias("s"))
