@@ -145,13 +145,19 @@ def dedup_fuzzy(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return state.where("not known").select("row_id", F.col("original").isNotNull().alias("duplicate"), "original", "match_type", "match_key")
 
 
+def of_rows(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df with one of the row ids. Ids grow with the rows while their compressed files look small enough to broadcast; merged, none of them goes
+    through the driver."""
+    return df.join(ids.hint("merge"), "row_id", "left_semi")
+
+
 def holders(known: DataFrame, df: DataFrame, small: int = 200_000) -> DataFrame:
     """The rows of known that share a key with any row of df: all that D3 can compare df's rows with."""
     pairs = lambda d: F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), match_key(F.col(k)).alias("value")) for k in KEYS)))
     keys = df.select(pairs(df).alias("o")).where("o.value is not null").select("o.kind", "o.value").distinct()
     keys = F.broadcast(keys) if keys.count() <= small else keys
     ids = known.select("row_id", pairs(known).alias("o")).select("row_id", "o.kind", "o.value").join(keys, ["kind", "value"], "left_semi").select("row_id").distinct()
-    return known.join(ids, "row_id", "left_semi")
+    return of_rows(known, ids)
 
 
 def duplicate_pairs(df: DataFrame, checked: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.cleaning import clean_name, clean_plain, extract_email, extract_phone
 from ..functions.text import match_key
 from ..operators.dedup import TEXTS as KEYED
-from ..operators.dedup import completeness, contact_key, dedup_fuzzy, holders
+from ..operators.dedup import completeness, contact_key, dedup_fuzzy, holders, of_rows
 
 
 def stream_dedup(contacts: DataFrame, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -92,7 +92,7 @@ def stream_fuzzy_table(contacts: DataFrame, path: str, checkpoint: str) -> Strea
         seen = dedup_fuzzy(rows, holders(known, rows) if known is not None else None)
         seen.write.mode("overwrite").parquet(f"{path}/verdicts/batch={n}")
         unique = spark.read.parquet(f"{path}/verdicts/batch={n}").where("not duplicate").select("row_id")
-        rows.join(unique, "row_id", "left_semi").write.mode("overwrite").parquet(f"{path}/unique/batch={n}")
+        of_rows(rows, unique).write.mode("overwrite").parquet(f"{path}/unique/batch={n}")
         rows.unpersist()
 
     return contacts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(settle).trigger(availableNow=True).start()

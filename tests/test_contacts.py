@@ -273,6 +273,17 @@ def test_name_near_email_works_values_out_once(spark):
     assert said.count("instr(lower(") == 1 and said.count("[._-]+") == 1
 
 
+def test_row_ids_of_a_stream_do_not_go_through_the_driver(spark, tmp_path):
+    rows = table(spark, [(i, f"Ann {i}", f"a{i}@x.co", None, None, None, None) for i in range(50)])
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows.select("row_id").where("row_id % 2 = 0").write.parquet(f"{tmp_path}/ids")
+    stored, ids = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("rows", "ids"))
+    held = dedup.holders(stored, stored.where("row_id < 10"), small=0)
+    for d, want in ((dedup.of_rows(stored, ids), list(range(0, 50, 2))), (held, list(range(10)))):
+        assert sorted(r["row_id"] for r in d.collect()) == want
+    assert "Broadcast" not in dedup.of_rows(stored, ids)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nodes_of_small_pages_share_batches(spark):
     pages = spark.range(3000).select(C("id").alias("page_id"), F.when(C("id") % 7 > 0, F.lit("<p>a<b>x</b></p>")).alias("html")).coalesce(1)
     got = html.html_nodes(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.max("last_id").alias("last")).collect()
