@@ -7,7 +7,8 @@ score is the sum of the logarithms over its words, each predicted with itself le
 The vocabulary counts all words of all documents. Its classes and the words in each grow with the fourth root of their total,
 so the number of words with an id of their own grows with its square root, up to MOST_CLASSES squared; all others share the buckets of the first class. A
 bucket's probability is dealt among its words by their counts: the words without an id meet the full table of counts in a
-join, and each document sums the logarithms. Texts are turned into ids once, in the shared folder, for training and scoring.
+join, and each document sums the logarithms. Texts are split once, into runs that name each of their words once; counts and ids come from the runs,
+and ids are kept in the shared folder for training and scoring.
 
 Training passes over every word of every document once: each task runs Adam over its own documents in numpy from common
 starting values, in steps that grow as it goes on, where embeddings move in the steps that meet them, and Spark averages the tasks' parameters, weighted by
@@ -23,7 +24,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import keep, table
+from .base import drop, keep, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
+#: Marks that are looked for in texts without other characters; marks of other texts are gathered from them, if no more than so many.
+ASCII_MARKS, FEW_MARKS = [c for c in map(chr, range(128)) if WORD.match(c) and not re.match(r"\w", c)], 64
 #: Least classes and words in each, size of the hidden layer, words of context on either side, most words in a step of training.
 CLASSES, MEMBERS, HIDDEN, SIDE, STEP = 32, 32, 16, 2, 16_384
 VOCAB = CLASSES * MEMBERS
@@ -42,8 +44,11 @@ VOCAB = CLASSES * MEMBERS
 MOST_CLASSES = 256
 #: A task's first steps are of FIRST words and double after every SAME of them, up to STEP; words that a task should train on at least.
 FIRST, SAME, TASK_WORDS = 64, 64, 4_000_000
-#: Words without an id of their own whose bucket a task remembers; parameters in a row of the sums; texts in a run of ids.
-KNOWN, WIDE, RUN = 300_000, 64, 500
+#: Words without an id of their own whose bucket a task remembers; parameters in a row of the sums; texts in a run of ids, and words after which
+#: a run of split texts ends; words whose probabilities are worked out at once, so that they stay in the processor's cache.
+KNOWN, WIDE, RUN, RUN_WORDS, BLOCK = 300_000, 64, 500, 1_000_000, 512
+#: Sums of exponentials within these are taken as they are; else scores are shifted by their largest first.
+LEAST, LARGEST = 1e-30, 1e30
 PLACES = [-2, -1, 1, 2]
 
 
@@ -63,7 +68,25 @@ def step_size(done: int, most: int = STEP) -> int:
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """What WORD finds in the lower-cased text: marks are set apart by spaces, as that takes a third of the time."""
+    t = (text or "").lower()
+    if t.isascii():
+        marks = [c for c in ASCII_MARKS if c in t]
+    else:
+        marks = [c for c in set(t) if not (c.isalnum() or c == "_" or c.isspace())]
+        if len(marks) > FEW_MARKS:
+            return WORD.findall(t)
+    for c in marks:
+        t = t.replace(c, f" {c} ")
+    return t.split()
+
+
+class Places(dict):
+    """Word to its place among the different words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = len(self)
+        return i
 
 
 class Vocabulary(dict):
@@ -95,75 +118,98 @@ def start(side: int = CLASSES, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: (r.normal(scale=0.1, size=s) if len(s) > 1 and k != "cb" else np.zeros(s)).astype(np.float32) for k, s in shapes(side).items()}
 
 
-def softmax(z: np.ndarray, scale: np.float32) -> np.ndarray:
-    """In place, each row with `scale` as its sum."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= (scale / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
-    return z
+def hidden(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray):
+    """For the words at the given places, by id in order: their order, ids, ids around them, and the hidden layer, a column a word, over a row of ones."""
+    order = np.argsort(ids[at], kind="stable")
+    at = at[order]
+    around = [ids[at + o] for o in PLACES]
+    h = p["h"] + sum(e.take(x, 0) for e, x in zip(p["e"], around, strict=True))
+    out = np.ones((HIDDEN + 1, len(at)), h.dtype)
+    out[:-1] = np.tanh(h, out=h).T
+    return order, ids[at], around, out
 
 
-def log_softmax_at(z: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The logarithm at one place of each row; changes z."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(j)), j]
-    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where a value begins, of values in order."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
-def forward(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray):
-    """For the words at the given places, by class in order: hidden layer, and classes and members before the softmax."""
-    side = len(p["cb"])
-    order = np.argsort(ids[at] // side, kind="stable")
-    at = at[order]
-    y = ids[at]
-    h = p["h"] + sum(p["e"][k].take(ids[at + o], 0) for k, o in enumerate(PLACES))
-    np.tanh(h, out=h)
-    zc = h @ p["c"]
-    zc += p["cb"]
-    edge = np.searchsorted(y // side, np.arange(side + 1))
-    zm = np.empty((len(y), side), h.dtype)
-    for k in range(side):
-        a, b = edge[k], edge[k + 1]
-        if a < b:
-            np.matmul(h[a:b], p["m"][k], out=zm[a:b])
-            zm[a:b] += p["mb"][k]
-    return order, at, y, h, zc, zm, edge
+def pieces(p: dict[str, np.ndarray], y: np.ndarray, h: np.ndarray, shift: bool):
+    """The two softmaxes for words by id in order, BLOCK of them at once: from, to, and for each softmax its scores, which the next piece overwrites,
+    and their parts: the class (None: the softmax over classes), from and to within the piece, and the weights with the bias as last row."""
+    side, n = len(p["cb"]), len(y)
+    c, m = np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["m"], p["mb"][:, None]], 1)
+    buffers, classes = np.empty((2, BLOCK, side), h.dtype), y // side
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        edge = [*heads(classes[a:b]).tolist(), b - a]
+        both = [(buffers[0, : b - a], [(None, 0, b - a, c)]), (buffers[1, : b - a], [(k := int(classes[a + lo]), lo, hi, m[k]) for lo, hi in zip(edge, edge[1:])])]
+        for z, parts in both:
+            for _, lo, hi, w in parts:
+                np.matmul(h[:, a + lo : a + hi].T, w, out=z[lo:hi])
+            if shift:
+                z -= z.max(1, keepdims=True)
+        yield a, b, both
+
+
+def in_range(sums: np.ndarray) -> bool:
+    return bool(LEAST < sums.min() and sums.max() < LARGEST)
 
 
 def log_likelihood(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, share: np.ndarray | float) -> np.ndarray:
     """Of the words at the given places; `share` is added for each bucket."""
     side = len(p["cb"])
-    out, share = np.empty(len(at), np.float64), np.broadcast_to(share, side)
+    out, share, row = np.empty(len(at), np.float64), np.broadcast_to(share, side), np.arange(BLOCK)
     for lo in range(0, len(at), STEP):
-        order, _, y, _, zc, zm, _ = forward(p, ids, at[lo : lo + STEP])
-        out[lo + order] = log_softmax_at(zc, y // side) + log_softmax_at(zm, y % side) + np.where(y < side, share[y % side], 0.0)
+        order, y, _, h = hidden(p, ids, at[lo : lo + STEP])
+        branch, one = (y // side, y % side), np.ones(side, h.dtype)
+        for shift in (False, True):
+            own, sums = np.zeros(len(y), h.dtype), np.empty((2, len(y)), h.dtype)
+            with np.errstate(over="ignore"):
+                for a, b, both in pieces(p, y, h, shift):
+                    for (z, _), j, s in zip(both, branch, sums, strict=True):
+                        own[a:b] += z[row[: b - a], j[a:b]]
+                        np.matmul(np.exp(z, out=z), one, out=s[a:b])
+            if in_range(sums):
+                break
+        out[lo + order] = own - np.log(sums).sum(0) + np.where(y < side, share[y % side], 0.0)
     return out
 
 
-def slopes(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> dict:
+def slopes(p: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, shift: bool = False) -> dict:
     """The gradient; that of the embeddings as rows and their values, for each place."""
-    side = len(p["cb"])
-    _, at, y, h, zc, zm, edge = forward(p, ids, at)
-    i = np.arange(len(y))
-    scale = np.float32(1 / len(y))
-    dc, dm = softmax(zc, scale), softmax(zm, scale)
-    dc[i, y // side] -= scale
-    dm[i, y % side] -= scale
-    g = {"c": h.T @ dc, "cb": dc.sum(0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-    dh = dc @ p["c"].T
-    for k in range(side):
-        a, b = edge[k], edge[k + 1]
-        if a < b:
-            g["m"][k], g["mb"][k] = h[a:b].T @ dm[a:b], dm[a:b].sum(0)
-            dh[a:b] += dm[a:b] @ p["m"][k].T
-    dh *= 1 - h * h
-    g["h"], g["e"] = dh.sum(0), []
-    for o in PLACES:
-        x = ids[at + o]
+    side, n = len(p["cb"]), len(at)
+    _, y, around, h = hidden(p, ids, at)
+    kind = h.dtype.type
+    scale, one, sums = kind(1 / n), np.ones(side, kind), np.empty((2, n), kind)
+    dh, c, m = np.zeros((HIDDEN, n), kind), np.zeros((HIDDEN + 1, side), kind), np.zeros((side, HIDDEN + 1, side), kind)
+    back = np.empty((HIDDEN, BLOCK), kind)
+    with np.errstate(all="ignore"):
+        for a, b, both in pieces(p, y, h, shift):
+            for (z, parts), total in zip(both, sums, strict=True):  # the exponentials stay as they are, what is narrower is divided by their sum
+                s = scale / np.matmul(np.exp(z, out=z), one, out=total[a:b])
+                by, d = h[:, a:b] * s, back[:, : b - a]
+                for k, lo, hi, w in parts:
+                    to = c if k is None else m[k]
+                    to += by[:, lo:hi] @ z[lo:hi]
+                    np.matmul(w[:-1], z[lo:hi].T, out=d[:, lo:hi])
+                d *= s
+                dh[:, a:b] += d
+    if not shift and not in_range(sums):
+        return slopes(p, ids, at, True)
+    head = heads(y)  # less what belongs to the words themselves, added up by word and by class
+    k, j = np.divmod(y[head], side)
+    own, first = np.add.reduceat(h, head, 1) * scale, heads(k)
+    m[k, :, j] -= own.T
+    c[:, k[first]] -= np.add.reduceat(own, first, 1)
+    dh -= np.repeat((p["c"][:, k] + p["m"][k, :, j].T) * scale, np.diff(np.append(head, n)), 1)
+    dh *= 1 - h[:-1] * h[:-1]
+    g, rows = {"c": c[:-1], "cb": c[-1], "m": m[:, :-1], "mb": m[:, -1], "h": dh.sum(1), "e": []}, np.ascontiguousarray(dh.T)
+    for x in around:
         order = np.argsort(x, kind="stable")
         x = x[order]
-        head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        g["e"].append((x[head], np.add.reduceat(dh.take(order, 0), head)))
+        head = heads(x)
+        g["e"].append((x[head], np.add.reduceat(rows.take(order, 0), head)))
     return g
 
 
@@ -179,6 +225,7 @@ class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float = 0.01):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.spare = {k: np.empty_like(x) for k, x in p.items() if k != "e"}
 
     def step(self, g: dict) -> None:
         self.t += 1
@@ -186,28 +233,64 @@ class Adam:
         for k, x in self.p.items():
             if k == "e":
                 for x_, m_, v_, (rows, d) in zip(x, self.m[k], self.v[k], g[k], strict=True):
-                    m, v = m_[rows], v_[rows]
-                    m += np.float32(0.1) * (d - m)
-                    v += np.float32(0.001) * (d * d - v)
+                    m, v = m_.take(rows, 0), v_.take(rows, 0)
+                    by = self.change(m, v, d, np.empty_like(d), rate)
                     m_[rows], v_[rows] = m, v
-                    x_[rows] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+                    x_[rows] = x_.take(rows, 0) - by
             else:
-                self.m[k] += np.float32(0.1) * (g[k] - self.m[k])
-                self.v[k] += np.float32(0.001) * (g[k] * g[k] - self.v[k])
-                x -= rate * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+                x -= self.change(self.m[k], self.v[k], g[k], self.spare[k], rate)
+
+    @staticmethod
+    def change(m: np.ndarray, v: np.ndarray, d: np.ndarray, out: np.ndarray, rate: np.float32) -> np.ndarray:
+        """Moves both averages; what the parameters go down by, in `out`."""
+        np.subtract(d, m, out=out)
+        out *= np.float32(0.1)
+        m += out
+        np.multiply(d, d, out=out)
+        out -= v
+        out *= np.float32(0.001)
+        v += out
+        np.sqrt(v, out=out)
+        out += np.float32(1e-8)
+        np.divide(m, out, out=out)
+        out *= rate
+        return out
+
+
+def split(docs: DataFrame) -> DataFrame:
+    """A row per run of texts: r_ (its first row's own number), i_ and size (words) of each text, the run's different words w and their counts n, and
+    ids, the place in w of each word, in two bytes or four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            i, texts, lo = batch.column(0), batch.column(1), 0
+            while lo < batch.num_rows:
+                places, ids, size = Places(), array("I"), []
+                while lo + len(size) < batch.num_rows and len(size) < RUN and len(ids) < RUN_WORDS:
+                    before = len(ids)
+                    ids.extend(map(places.__getitem__, words(texts[lo + len(size)].as_py())))
+                    size.append(len(ids) - before)
+                own = np.frombuffer(ids, np.uint32)
+                n = np.bincount(own, minlength=len(places))
+                own = own.astype(np.uint16) if len(places) <= 1 << 16 else own
+                values = [at, i[lo : lo + len(size)].to_pylist(), size, list(places), n, own.tobytes()]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["r_", "i_", "size", "w", "n", "ids"])
+                at, lo = at + len(size), lo + len(size)
+
+    return docs.select("i_", "t_").mapInArrow(run, "r_ long, i_ array<long>, size array<int>, w array<string>, n array<long>, ids binary")
+
+
+def counted(runs: DataFrame) -> DataFrame:
+    """w, n: every word of the runs."""
+    each = runs.select(F.explode(F.arrays_zip("w", "n")).alias("x"))
+    return keep(each.groupBy(F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n")), "words")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """w, n: every word of the column t_."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update(words(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    return keep(docs.select("t_").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    return counted(split(docs.select(F.lit(0).cast("long").alias("i_"), "t_")))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -221,25 +304,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in top], side, buckets, total)
 
 
-def encode(docs: DataFrame, held) -> DataFrame:
-    """A row per row of docs, kept: r_ (its own number), i_, ids, rare (the words without an id of their own)."""
+def encode(runs: DataFrame, held) -> DataFrame:
+    """A row per text of the runs, kept: r_ (its own number), i_, ids, rare (the words without an id of their own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, at = held.value, TaskContext.get().partitionId() << 40
+        v = held.value
         for batch in batches:
-            i, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, RUN):
-                ids, rare = [], []
-                for t in texts[lo : lo + RUN].to_pylist():
-                    w = words(t)
-                    own = array(v.type, map(v.__getitem__, w))
-                    ids.append(own.tobytes())
-                    rare.append([x for x, k in zip(w, own, strict=True) if k < v.side])
-                numbers = pa.array(np.arange(at, at + len(ids)))
-                at += len(ids)
-                yield pa.RecordBatch.from_arrays([numbers, i[lo : lo + RUN], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["r_", "i_", "ids", "rare"])
-
-    return keep(docs.select("i_", "t_").mapInArrow(run, "r_ long, i_ long, ids binary, rare array<string>"), "ids")
+            for j in range(batch.num_rows):
+                at, i, size, w, places = (batch.column(k)[j] for k in range(5))
+                w, n = w.values, len(i)
+                known = np.fromiter(map(v.__getitem__, w.to_pylist()), v.type, len(w))
+                places = np.frombuffer(places.as_buffer(), np.uint16 if len(w) <= 1 << 16 else np.uint32)
+                own, end = known[places], np.concatenate([[0], np.cumsum(size.values)])
+                rare = own < v.side
+                before = np.concatenate([[0], np.cumsum(rare)])[end]
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((end * own.itemsize).astype(np.int32)), pa.py_buffer(own)])
+                rare = pa.ListArray.from_arrays(pa.array(before, pa.int32()), w.take(pa.array(places[rare])))
+                yield pa.RecordBatch.from_arrays([pa.array(at.as_py() + np.arange(n)), i.values, ids, rare], names=["r_", "i_", "ids", "rare"])
+
+    columns = runs.select("r_", "i_", "size", "w", "ids")
+    return keep(columns.mapInArrow(run, "r_ long, i_ long, ids binary, rare array<string>"), "ids")
 
 
 def train(coded: DataFrame, held, step: int | None = None) -> dict[str, np.ndarray]:
@@ -284,9 +368,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_, n_tokens, log_likelihood (sum), per_token."""
     sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("i_"), F.col(text_col).cast("string").alias("t_"))
-    counts = word_counts(d)
+    runs = keep(split(d), "runs")
+    counts = counted(runs)
     held = sc.broadcast(vocabulary(counts))
-    coded = encode(d, held)
+    coded = encode(runs, held)
+    drop(runs)
     model = sc.broadcast(train(coded, held, step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

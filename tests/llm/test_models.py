@@ -267,3 +267,47 @@ def test_pseudo_likelihood_is_the_sum_over_words(spark, monkeypatch):
 def test_steps_grow_alike_at_every_size():
     sizes = [pseudolm.step_size(k) for k in range(1000)]
     assert sizes[0] == 64 and sizes[64] == 128 and sizes[-1] == pseudolm.STEP and sizes == sorted(sizes)
+
+
+def test_words_are_what_the_pattern_finds():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 60):
+        t = " ".join(f"a{c}b{c}{c} {c}" for c in every[lo : lo + 60])
+        assert pseudolm.words(t) == pseudolm.WORD.findall(t.lower()), lo
+    many = "".join(every[0x2190:0x2400]) + "x"
+    assert pseudolm.words(many) == pseudolm.WORD.findall(many.lower()) and len(pseudolm.words(many)) > pseudolm.FEW_MARKS
+    assert pseudolm.words(None) == pseudolm.words(" \n\x1c\x85") == []
+
+
+def test_runs_hold_every_text_once(spark, monkeypatch):
+    """Texts are split once: counts and ids both come from the runs, which end after RUN texts or RUN_WORDS words."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice("ab") + str(r.randrange(40)) for _ in range(r.randrange(30))) + r.choice(["", "!", " é—"]) for _ in range(1200)] + [None, "", "long " * 1_100_000, " ".join(f"u{i}" for i in range(70_000)), "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i_ long, t_ string").coalesce(1)
+    got, sizes, numbers = {}, [], set()
+    for x in pseudolm.split(docs).collect():
+        w, ids, at = x["w"], np.frombuffer(x["ids"], np.uint16 if len(x["w"]) <= 1 << 16 else np.uint32), 0
+        assert list(np.bincount(ids, minlength=len(w))) == x["n"] and len(set(w)) == len(w)
+        sizes.append(len(x["i_"]))
+        for k, (i, n) in enumerate(zip(x["i_"], x["size"], strict=True)):
+            got[i], at = [w[j] for j in ids[at : at + n]], at + n
+            numbers.add(x["r_"] + k)
+    assert got == {i: pseudolm.words(t) for i, t in enumerate(texts)} and len(numbers) == len(texts)
+    assert sizes == [500, 500, 203, 2]
+
+
+@pytest.mark.parametrize("wide", [1, 400])
+def test_scores_out_of_range_are_shifted(wide):
+    """Exponentials are taken without a shift where their sums allow it; with weights too large for that, scores and slopes stay what doubles give."""
+    r = np.random.default_rng(2)
+    ids = np.concatenate([[pseudolm.VOCAB] * 2, r.integers(0, pseudolm.VOCAB, 1500), [pseudolm.VOCAB] * 2]).astype(np.uint16)
+    at = np.flatnonzero(ids < pseudolm.VOCAB)
+    p = {k: x * np.float32(wide if k in ("c", "m") else 5) for k, x in pseudolm.start().items()}
+    double = {k: x.astype(float) for k, x in p.items()}
+    want, got = pseudolm.log_likelihood(double, ids, at, 0.0), pseudolm.log_likelihood(p, ids, at, 0.0)
+    assert np.isfinite(got).all() and np.abs(got - want).max() < 1e-5 * max(10, np.abs(want).max())
+    g, d = pseudolm.gradient(p, ids, at), pseudolm.gradient(double, ids, at)
+    assert all(np.abs(g[k] - d[k]).max() < 1e-4 * max(1e-2, np.abs(d[k]).max()) for k in g)
+    _, y, _, h = pseudolm.hidden(p, ids, at)
+    seen = [z.max() for _, _, both in pseudolm.pieces(p, y, h, False) for z, _ in both]
+    assert len(seen) == 2 * 3 and (max(seen) > 88) == (wide == 400)
