@@ -1,12 +1,15 @@
 """Exact top-k search by a Voronoi kNN join.
 
-Inner products become distances by one more coordinate: with M the greatest norm of all data, |q' - x'|^2 = |q|^2 + M^2 - 2 q.x.
+Inner products become distances by one more coordinate: with M the greatest norm of the data of one length, |q' - x'|^2 = |q|^2 + M^2 - 2 q.x.
 Pivots, a bounded sample of distinct vectors, cut the space into cells. Of each cell Spark keeps a summary: the number of
-data and the least distances to its pivot, and, for queries, the greatest. From these alone every group of queries gets a
-bound on the distance of its k-th best datum, and by the triangle inequality a datum at distance d from the pivot of its
-cell is sent to a group only if d >= |pivot, pivot| - group radius - bound. Groups and their data meet in blocks in an
-equi-join on (group, part), so a cell that a third of all rows fall into is spread over parts; each block pair is one matrix
-product and gives k rows per query, and the best k of these are ranked in a window.
+data and the least distances to its pivot, and, for queries, the greatest. From these alone the queries of every cell get a
+bound on the distance of their k-th best datum, and by the triangle inequality they need a datum at distance d from the pivot of
+its cell only if d >= |pivot, pivot| - radius of the queries - bound. Near cells form groups of at most `group_queries` queries,
+and a datum goes to each group with a cell that needs it. What a group needs is counted, then dealt out over parts of at most
+`unit_rows` data; its queries go to each of these. A group and a part meet in a task through a cogroup, whatever the tables' sizes: what
+travels is N data for each group and all queries for each part, so nothing is broadcast and neither side grows with the other's cells.
+There the bounds of single cells apply again; what they leave open is matrix products in slices, of which the
+k best are kept, and the best k over all parts are ranked in a window.
 
 Summaries are at most `pivots` rows of k + 1 numbers for each length of vectors: the k + 1 nearest different ids, of which a
 query's own is one at most. Vectors become floor(256 x) first; scores are exact integers, held at the ends of a long beyond it.
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 
 from .base import keep, table
 
-#: Beyond this, sums in doubles might round, and Python's integers take their place.
-EXACT = float(1 << 52)
+#: Beyond this, sums in doubles might round, and Python's integers take their place; up to SINGLE, floats are exact.
+EXACT, SINGLE = float(1 << 52), float(1 << 24)
+
+#: Bytes of vectors that a group's queries or a part's data have at most.
+MOST_BYTES = 32_000_000
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
@@ -56,41 +62,136 @@ def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 class Cells:
     """Pivots of each dimension, in the space with one more coordinate."""
 
-    def __init__(self, pivots: dict[int, np.ndarray], top2: float):
+    def __init__(self, pivots: dict[int, np.ndarray], top2: dict[int, float]):
         self.top2 = top2
-        self.p = {d: np.column_stack([p, self.last(p)]) for d, p in pivots.items()}
-        self.apart = {d: np.sqrt(np.maximum(self.square(p, p), 0)) for d, p in self.p.items()}
+        self.p = {d: np.column_stack([p, self.last(d, p)]) for d, p in pivots.items()}
 
-    def last(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.top2 - (x * x).sum(1), 0))
+    def last(self, dim: int, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.top2[dim] - (x * x).sum(1), 0))
 
     @staticmethod
     def square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
 
+    def apart(self, dim: int) -> np.ndarray:
+        return np.sqrt(np.maximum(self.square(self.p[dim], self.p[dim]), 0))
+
+    def slack(self, dim: int) -> float:
+        """More than the rounding of four distances between vectors of the greatest norm."""
+        return 8 * math.sqrt((dim + 8) * np.finfo(float).eps * self.top2[dim])
+
     def nearest(self, dim: int, x: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
-        y = np.column_stack([x, np.zeros(len(x)) if query else self.last(x)])
-        d = self.square(y, self.p[dim])
-        c = d.argmin(1)
-        return c, np.sqrt(np.maximum(d[np.arange(len(x)), c], 0))
+        y = np.column_stack([x, np.zeros(len(x)) if query else self.last(dim, x)])
+        c, d2 = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for lo in range(0, len(x), 1024):
+            d = self.square(y[lo : lo + 1024], self.p[dim])
+            c[lo : lo + 1024] = d.argmin(1)
+            d2[lo : lo + 1024] = d.min(1)
+        return c, np.sqrt(np.maximum(d2, 0))
+
+
+def kind(top2: float) -> str:
+    """The narrowest type that holds whole numbers of vectors of at most this square."""
+    return "<i2" if top2 < 32_000.0**2 else "<i4" if top2 < 2_000_000_000.0**2 else "<f8"
+
+
+def binaries(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix, as bytes."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
 
 
-def assign(df: DataFrame, cells: Cells, query: bool) -> DataFrame:
+def joined(col: pa.Array) -> bytes:
+    """The bytes of all rows in one."""
+    return b"".join(col.to_pylist())
+
+
+def assign(df: DataFrame, cells: Cells, kinds: dict[int, str], query: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, x in by_dim(batch):
                 c, d = cells.nearest(dim, x, query)
-                raw = x.astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(d), pa.array(ids), pa.array([r.tobytes() for r in raw], pa.binary())], names=["dim", "cell", "d", "vid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), dim, np.int32)), pa.array(c.astype(np.int32)), pa.array(d), pa.array(ids), binaries(x.astype(kinds[dim]))], names=["dim", "cell", "d", "vid", "v"])
 
     return df.select("vid", "v").mapInArrow(run, "dim int, cell int, d double, vid long, v binary")
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, pivots: int | None = None, query_block: int = 128, part_rows: int = 2048) -> DataFrame:
+def near_cells(points: np.ndarray, weights: np.ndarray, most: int) -> list[np.ndarray]:
+    """Cells halved, by weight and along the coordinate in which they lie farthest apart, until each part weighs `most` at most or is one cell."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        some = todo.pop()
+        if len(some) == 1 or weights[some].sum() <= most:
+            out.append(some)
+            continue
+        some = some[np.argsort(points[some, np.ptp(points[some], axis=0).argmax()], kind="stable")]
+        heavy = weights[some].cumsum()
+        cut = min(max(int(np.searchsorted(heavy, heavy[-1] / 2)), 1), len(some) - 1)
+        todo += [some[cut:], some[:cut]]
+    return out
+
+
+def places(hit: np.ndarray) -> np.ndarray:
+    """np.flatnonzero where few are set, eight at a time."""
+    n = len(hit) // 8 * 8
+    some = (np.flatnonzero(hit[:n].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[hit[some]], n + np.flatnonzero(hit[n:])])
+
+
+def best_rows(y: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, width: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, data row and score of the k best data of each query, but for those of its own id; x is in the order of its ids, so the first of a tie wins."""
+    norm = lambda m: math.sqrt((m.astype(float) ** 2).sum(1).max(initial=0))
+    bound = norm(y) * norm(x) * (1 + 1e-9)
+    if bound >= EXACT:
+        return best_exact(y, qid, x, xid, k)
+    y, x = (m.astype(np.float32 if bound < SINGLE else float) for m in (y, x))
+    first, last = np.searchsorted(xid, qid, "left"), np.searchsorted(xid, qid, "right")
+    found, space, over = [], np.empty(1024 * width, y.dtype), np.empty(1024 * width, bool)  # used again and again: new ones take more time than products
+    for lo in range(0, len(y), 1024):
+        q, f, t = y[lo : lo + 1024], first[lo : lo + 1024], last[lo : lo + 1024]
+        top, at = np.full((len(q), k), -np.inf, y.dtype), np.full((len(q), k), -1)
+        for c in range(0, len(x), width):
+            w = min(width, len(x) - c)
+            s = np.matmul(q, x[c : c + w].T, out=space[: len(q) * w].reshape(len(q), w))
+            for i in np.flatnonzero((f < t) & (f < c + width) & (t > c)):
+                s[i, max(f[i] - c, 0) : t[i] - c] = -np.inf
+            hit = np.greater(s, top[:, -1:], out=over[: len(q) * w].reshape(len(q), w))
+            if s.shape[1] > k and np.count_nonzero(hit) > 8 * k * len(q):  # too many to sort: the first k of each row, of ties the first
+                least = np.partition(s, -k, axis=1)[:, -k, None]
+                more, tie = s > least, s == least
+                hit &= more | (tie & (tie.cumsum(1) <= k - more.sum(1)[:, None]))
+            r, j = divmod(places(hit.ravel()), s.shape[1])
+            if not len(r):
+                continue
+            row = np.concatenate([np.repeat(np.arange(len(q)), k), r])
+            score, col = np.concatenate([top.ravel(), s[r, j]]), np.concatenate([at.ravel(), c + j])
+            order = np.lexsort((col, -score, row))
+            n = k + np.bincount(r, minlength=len(q))
+            keep = order[((n.cumsum() - n)[:, None] + np.arange(k)).ravel()]
+            top, at = score[keep].reshape(-1, k), col[keep].reshape(-1, k)
+        i, j = np.nonzero(at >= 0)
+        found.append((lo + i, at[i, j], top[i, j].astype(np.int64)))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def best_exact(y: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    whole, found = np.frompyfunc(int, 1, 1), []
+    x = whole(x).T
+    for i in range(len(y)):
+        s = np.clip(whole(y[i]) @ x, -(2**63), 2**63 - 1).astype(np.int64)
+        others = np.flatnonzero(xid != qid[i])
+        take = others[np.argsort(-1 - s[others], kind="stable")[:k]]
+        found.append((np.full(len(take), i), take, s[take]))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, every: int = 50, pivots: int | None = None, query_block: int = 128, part_rows: int = 2048,
+          group_queries: int = 16384, unit_rows: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k best other rows.
 
     Pivots grow with the root of the rows, from 48 up; bounds between all pairs of them are held by the driver and each task, so they
-    end at 2048. They decide what is pruned, never what is found.
+    end at 2048. They decide what is pruned, never what is found. Rows travel in blocks of at most `query_block` queries and `part_rows` data.
     """
     spark = df.sparkSession
     data = whole_vectors(df, id_col, vec_col)
@@ -105,75 +206,123 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
         sample[r["dim"]].append(r["v"])
     points = {d: np.unique(np.array(rows, float).reshape(len(rows), d), axis=0) for d, rows in sample.items()}
     points = {d: p[np.linspace(0, len(p) - 1, min(pivots, len(p))).astype(int)] for d, p in points.items()}
-    top2 = max((t for _, t in stat.values()), default=0.0)
-    cells = Cells(points, top2)
-    held = keep(assign(data, cells, False), "cells")
-    asked = keep(assign(queries, cells, True), "queries")
+    cells, kinds = Cells(points, {d: t for d, (_, t) in stat.items()}), {d: kind(t) for d, (_, t) in stat.items()}
+    fit = {d: max(1, MOST_BYTES // (max(1, d) * np.dtype(t).itemsize)) for d, t in kinds.items()}  # vectors in MOST_BYTES
+    held = keep(assign(data, cells, kinds, False), "cells")
+    asked = keep(assign(queries, cells, kinds, True), "queries")
     closest = Window.partitionBy("dim", "cell").orderBy("d", "vid")
     least = held.groupBy("dim", "cell", "vid").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(closest)).where(F.col("r") <= k + 1)
-    near: dict[tuple[int, int], list] = {}
+    near: dict[int, list] = {}
     for r in least.select("dim", "cell", "vid", "d").collect():  # k + 1 rows of each cell
-        near.setdefault((r["dim"], r["cell"]), []).append((r["d"], r["vid"]))
-    groups = {(r["dim"], r["cell"]): (r["n"], r["far"]) for r in asked.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}  # as many
-    reach: dict[int, dict[int, np.ndarray]] = {}  # of each group, for each cell: the least distance from its pivot that is needed
-    for (dim, g), (_, far) in groups.items():
-        apart = cells.apart[dim][g]
-        upper: dict[int, float] = {}
-        for c in range(len(apart)):
-            for d, i in near.get((dim, c), []):
-                upper[i] = min(upper.get(i, np.inf), far + apart[c] + d)
-        bound = sorted(upper.values())[k] if len(upper) > k else np.inf  # one of the k + 1 ids may be the query's
-        reach.setdefault(dim, {})[g] = apart - far - bound - 1e-6 * (1 + apart)
-    total = sum(n for n, _ in stat.values())
-    parts = max(1, total // part_rows)
-    parts = parts if parts <= 256 else 16 * math.ceil(math.sqrt(parts))  # of every group; queries go to each
+        near.setdefault(r["dim"], []).append((r["cell"], r["vid"], r["d"]))
+    radii: dict[int, dict[int, tuple[int, float]]] = {}
+    for r in asked.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect():  # as many
+        radii.setdefault(r["dim"], {})[r["cell"]] = (r["n"], r["far"])
+    reach: dict[int, np.ndarray] = {}  # for the queries of each cell, and each cell: the least distance from its pivot that is needed
+    low: dict[int, np.ndarray] = {}  # the same for each group
+    first: dict[int, np.ndarray] = {}  # group of each cell; a cell of more than group_queries queries has `slots` from there on
+    slots: dict[int, np.ndarray] = {}
+    for dim, of_dim in radii.items():
+        apart = cells.apart(dim)
+        c, ids, d = (np.array(x) for x in zip(*near[dim], strict=True))
+        reach[dim] = np.full(apart.shape, np.inf)
+        for g, (_, far) in of_dim.items():
+            upper = far + apart[g][c] + d
+            order = np.argsort(upper)
+            once = np.sort(np.unique(ids[order], return_index=True)[1])
+            bound = upper[order[once[k]]] if len(once) > k else np.inf  # one of the k + 1 ids may be the query's
+            reach[dim][g] = apart[g] - far - bound - 1e-6 * (1 + apart[g]) - cells.slack(dim)
+        full = np.array(sorted(of_dim))
+        weights = np.array([of_dim[g][0] for g in full])
+        most = min(group_queries, fit[dim])
+        first[dim], slots[dim] = np.zeros(len(apart), np.int64), np.ones(len(apart), np.int64)
+        rows: list[np.ndarray] = []
+        for some in near_cells(cells.p[dim][full], weights, most):
+            first[dim][full[some]] = len(rows)
+            slots[dim][full[some]] = n = max(1, -(-int(weights[some].sum()) // most)) if len(some) == 1 else 1
+            rows += [reach[dim][full[some]].min(0)] * n
+        low[dim] = np.array(rows)
+
+    def wanted(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Dimension, group and rows that it needs."""
+        dims, cell, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for dim in np.unique(dims):
+            of_dim = np.flatnonzero(dims == dim)
+            for g, from_ in enumerate(low.get(int(dim), ())):
+                yield int(dim), g, of_dim[d[of_dim] >= from_[cell[of_dim]]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for dim, g, go in wanted(batch):
+                n[dim, g] = n.get((dim, g), 0) + len(go)
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([x for x, _ in n], pa.int32()), "g": pa.array([g for _, g in n], pa.int32()), "n": pa.array(list(n.values()), pa.int64())})
+
+    needs = held.select("dim", "cell", "d").mapInArrow(count, "dim int, g int, n long").groupBy("dim", "g").agg(F.sum("n").alias("n"))
+    need = {(r["dim"], r["g"]): r["n"] for r in needs.collect()}  # a row of each group
+    even = max(4096, -(-sum(need.values()) // (4 * spark.sparkContext.defaultParallelism)))  # smaller parts where there are few
+    size = {dim: min(unit_rows, even, n) for dim, n in fit.items()}
+    parts = {(dim, g): max(1, -(-need.get((dim, g), 0) // size[dim])) for dim in low for g in range(len(low[dim]))}
+    block = {dim: max(1, min(part_rows, n // 8)) for dim, n in size.items()}
+
+    def packed(batch: pa.RecordBatch, some: np.ndarray, dim: int, g: int, part: int) -> pa.RecordBatch:
+        cell, d, ids = (batch.column(i).to_numpy(zero_copy_only=False)[some].astype(t).tobytes() for i, t in ((1, "<i4"), (2, "<f8"), (3, "<i8")))
+        of = [pa.array([x], pa.int32()) for x in (dim, g, part)]
+        return pa.RecordBatch.from_arrays([*of, *(pa.array([x], pa.binary()) for x in (cell, d, ids, joined(batch.column(4).take(pa.array(some)))))], names=["dim", "g", "part", "cells", "ds", "ids", "m"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn: dict[tuple[int, int], int] = {}  # blocks of a group go to its parts in turn, from one that the task's first id says
         for batch in batches:
-            dims, cell, d, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            vec = batch.column(4)
-            for dim in np.unique(dims):
-                of_dim = np.flatnonzero(dims == dim)
-                for g, least in reach.get(int(dim), {}).items():
-                    go = of_dim[d[of_dim] >= least[cell[of_dim]]]
-                    for lo in range(0, len(go), part_rows):
-                        some = go[lo : lo + part_rows]
-                        blob = b"".join(vec.take(pa.array(some)).to_pylist())
-                        part = (int(ids[some[0]]) * 2654435761 >> 7) % parts
-                        yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([g], pa.int32()), pa.array([part], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["dim", "g", "part", "ids", "m"])
-
-    blocks = held.mapInArrow(replicate, "dim int, g int, part int, ids binary, m binary")
-    slots = {key: -(-n // query_block) for key, (n, _) in groups.items()}
-    most = F.create_map(*(F.lit(x) for (dim, g), s in slots.items() for x in (f"{dim}:{g}", s))) if slots else F.lit(None).cast("map<string,int>")
-    slot = F.pmod(F.xxhash64("vid"), F.coalesce(F.try_element_at(most, F.concat_ws(":", "dim", "cell")), F.lit(1)))
-    qblocks = asked.withColumn("slot", slot).groupBy("dim", F.col("cell").alias("g"), "slot").agg(F.collect_list(F.struct("vid", "v")).alias("q"))  # about query_block rows each
-    spread = qblocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = blocks.join(spread, ["dim", "g", "part"]).select("dim", "ids", "m", "q")
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for dim, g, go in wanted(batch):
+                for lo in range(0, len(go), block[dim]):
+                    some = go[lo : lo + block[dim]]
+                    turn[dim, g] = (turn[dim, g] if (dim, g) in turn else batch.column(3)[int(some[0])].as_py() * 2654435761 >> 7) + 1
+                    yield packed(batch, some, dim, g, turn[dim, g] % parts[dim, g])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, ids, m, q in zip(*(batch.column(i) for i in range(4)), strict=True):
-                dim = dim.as_py()
-                x, xid = np.frombuffer(m.as_py(), "<f8"), np.frombuffer(ids.as_py(), "<i8")
-                x = x.reshape(len(xid), dim)
-                q = q.as_py()
-                qid, y = np.array([r["vid"] for r in q], np.int64), np.frombuffer(b"".join(r["v"] for r in q), "<f8").reshape(len(q), dim)
-                if np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * max(dim, 1) < EXACT:
-                    s = (y @ x.T).astype(np.int64)
+            dims, cell, _, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for dim in map(int, np.unique(dims)):
+                of_dim = np.flatnonzero(dims == dim)
+                spot = ids[of_dim].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                group = first[dim][cell[of_dim]] + (spot % slots[dim][cell[of_dim]].astype(np.uint64)).astype(np.int64)
+                for g in map(int, np.unique(group)):
+                    go = of_dim[group == g]
+                    step = min(query_block, fit[dim])
+                    for lo in range(0, len(go), step):
+                        yield packed(batch, go[lo : lo + step], dim, g, parts[dim, g])
+
+    shape = "dim int, g int, part int, cells binary, ds binary, ids binary, m binary"
+    n_tasks = min(20_000, max(1, sum(parts.values())))
+    blocks = held.mapInArrow(replicate, shape).repartition(n_tasks, "dim", "g", "part")
+    spread = asked.mapInArrow(gather, shape).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).repartition(n_tasks, "dim", "g", "part")
+
+    def solve(key: tuple, datum: pa.Table, query: pa.Table) -> pa.Table:
+        dim, out = key[0].as_py(), []
+        if datum.num_rows and query.num_rows:
+            read = lambda t, name, of: np.frombuffer(joined(t.column(name)), of)
+            xid, qid, qcell = read(datum, "ids", "<i8"), read(query, "ids", "<i8"), read(query, "cells", "<i4")
+            order = np.argsort(xid, kind="stable")
+            x, xid = read(datum, "m", kinds[dim]).reshape(len(xid), dim)[order], xid[order]
+            y = read(query, "m", kinds[dim]).reshape(len(qid), dim)
+            xcell, d = read(datum, "cells", "<i4")[order], read(datum, "ds", "<f8")[order]
+            jobs, most = [], (np.zeros(len(qid), bool), np.zeros(len(xid), bool))  # cells that need more than half of the data go together
+            for g in np.unique(qcell):
+                asks, open_ = qcell == g, d >= reach[dim][g][xcell]
+                if 2 * np.count_nonzero(open_) > len(xid):
+                    most[0][asks], most[1][open_] = True, True
                 else:
-                    whole = np.frompyfunc(int, 1, 1)
-                    s = np.clip(whole(y) @ whole(x).T, -(2**63), 2**63 - 1).astype(np.int64)
-                order = np.argsort(xid, kind="stable")
-                s, xid = s[:, order], xid[order]
-                own = qid[:, None] == xid[None, :]
-                take = np.argsort(np.where(own, np.iinfo(np.int64).max, -1 - s), axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(qid)), take.shape[1])
-                cols = take.ravel()
-                good = ~own[rows, cols]
-                rows, cols = rows[good], cols[good]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(xid[cols]), pa.array(s[rows, cols])], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(solve, "query_id long, vec_id long, score long")
+                    jobs.append((asks, open_))
+            for asks, open_ in [*jobs, most]:
+                q, c = np.flatnonzero(asks), np.flatnonzero(open_)
+                if len(q) and len(c):
+                    i, j, s = best_rows(y[q], qid[q], x[c], xid[c], k)
+                    out.append((qid[q][i], xid[c][j], s))
+        ids, found, scores = (np.concatenate(z) for z in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({"query_id": ids, "vec_id": found, "score": scores})
+
+    at = ("dim", "g", "part")
+    found = blocks.groupBy(*at).cogroup(spread.groupBy(*at)).applyInArrow(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -163,6 +163,62 @@ def test_top_k(spark):
     assert knnjoin.top_k(df.limit(0)).count() == 0
 
 
+def nearest_by_hand(rows, k=5):
+    """(query, rank, id, score) of whole vectors by looking at all pairs."""
+    out = []
+    for i, v in rows:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_broadcasts_no_queries(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(6000)], "vec_id long, embedding array<double>")
+    plan = knnjoin.top_k(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan  # queries once for every part, whole through the driver
+
+
+@pytest.mark.parametrize("long", [1, 3000])  # sums in floats, and in doubles
+def test_top_k_in_many_groups_and_parts(spark, long):
+    r = np.random.default_rng(5)
+    base = r.integers(-40, 40, (700, 4)) + 400 * np.eye(4, dtype=int)[r.integers(0, 4, 700)]
+    base[::3] = base[3]  # a cell of more queries than a group has
+    rows = [(i, [int(x) * long for x in v]) for i, v in enumerate(base)]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = knnjoin.top_k(df, pivots=9, query_block=2, part_rows=16, group_queries=3, unit_rows=256)
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got.collect()) == nearest_by_hand(rows)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 14, 1 << 28])  # floats, doubles, Python's integers
+def test_best_rows(scale):
+    r = np.random.default_rng(scale)
+    x = (r.integers(-3, 4, (300, 5)) * scale).astype(float)
+    x[:120] = np.sort(x[:120], 0)  # later ones are better, so all of a slice are hits
+    xid = np.sort(r.integers(0, 200, 300))
+    xid[40:90] = xid[40]  # an id that fills slices
+    xid.sort()
+    qid, y = np.array([int(xid[60]), 7, 10**9]), (r.integers(-3, 4, (3, 5)) * scale).astype(float)
+    for k, width in ((5, 16), (40, 16), (5, 2048), (400, 2048)):
+        got = {}
+        for i, j, s in zip(*knnjoin.best_rows(y, qid, x, xid, k, width), strict=True):
+            assert s == sum(int(a) * int(b) for a, b in zip(y[i], x[j], strict=True))
+            got.setdefault(int(i), []).append((-int(s), int(xid[j])))
+        for i in range(3):
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(y[i], x[j], strict=True)), int(xid[j])) for j in range(300) if xid[j] != qid[i])[:k]
+            assert sorted(got[i]) == want
+
+
+def test_near_cells():
+    r = np.random.default_rng(1)
+    points, weights = r.normal(size=(50, 3)), r.integers(1, 30, 50)
+    parts = knnjoin.near_cells(points, weights, 60)
+    assert sorted(int(i) for p in parts for i in p) == list(range(50))
+    assert all(weights[p].sum() <= 60 for p in parts) and len(parts) < 30
+    assert len(knnjoin.near_cells(np.zeros((3, 2)), np.array([9, 9, 9]), 5)) == 3
+
+
 def test_digest_of_nothing():
     assert brute.base_spans(None)[3] == hashlib.sha256(b"").hexdigest()
 
