@@ -147,7 +147,8 @@ def best_rows(y: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
         return best_exact(y, qid, x, xid, k)
     y, x = (m.astype(np.float32 if bound < SINGLE else float) for m in (y, x))
     first, last = np.searchsorted(xid, qid, "left"), np.searchsorted(xid, qid, "right")
-    found, space, over = [], np.empty(1024 * width, y.dtype), np.empty(1024 * width, bool)  # used again and again: new ones take more time than products
+    most = min(1024, len(y)) * min(width, len(x))
+    found, space, over = [], np.empty(most, y.dtype), np.empty(most, bool)  # used again and again: new ones each time cost more than their comparison
     for lo in range(0, len(y), 1024):
         q, f, t = y[lo : lo + 1024], first[lo : lo + 1024], last[lo : lo + 1024]
         top, at = np.full((len(q), k), -np.inf, y.dtype), np.full((len(q), k), -1)
