@@ -117,6 +117,17 @@ def assign(df: DataFrame, cells: Cells, kinds: dict[int, str], query: bool) -> D
     return df.select("vid", "v").mapInArrow(run, "dim int, cell int, d double, vid long, v binary")
 
 
+def some_vectors(data: DataFrame, most: int) -> DataFrame:
+    """dim, v of about `most` rows of each vector length, the first by their hashes.
+
+    Spark cuts ranks before the shuffle up to 1000 only; beyond it, all rows of a length would go to one task. So several buckets of hashes give 500 each.
+    """
+    buckets = -(-most // 500)
+    by_hash = Window.partitionBy("dim", "bucket").orderBy("h", "vid")
+    hashed = data.select(F.size("v").alias("dim"), "vid", "v", F.xxhash64("v").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    return hashed.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= -(-most // buckets)).select("dim", "v")
+
+
 def near_cells(points: np.ndarray, weights: np.ndarray, most: int) -> list[np.ndarray]:
     """Cells halved, by weight and along the coordinate in which they lie farthest apart, until each part weighs `most` at most or is one cell."""
     todo, out = [np.arange(len(points))], []
@@ -200,10 +211,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stat = {r["dim"]: (r["n"], r["top2"]) for r in data.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top2")).collect()}  # one row per vector length
     pivots = pivots or min(2048, max(48, math.isqrt(sum(n for n, _ in stat.values())) // 8))
-    by_hash = Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vid")
-    some = data.withColumn("dim", F.size("v")).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= 4 * pivots).select("dim", "v").collect()  # bounded for each vector length
     sample: dict[int, list] = {d: [] for d in stat}
-    for r in some:
+    for r in some_vectors(data, 4 * pivots).collect():  # bounded for each vector length
         sample[r["dim"]].append(r["v"])
     points = {d: np.unique(np.array(rows, float).reshape(len(rows), d), axis=0) for d, rows in sample.items()}
     points = {d: p[np.linspace(0, len(p) - 1, min(pivots, len(p))).astype(int)] for d, p in points.items()}

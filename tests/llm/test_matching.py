@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -180,6 +181,16 @@ def test_top_k_broadcasts_no_queries(spark):
     assert "Broadcast" not in plan, plan  # queries once for every part, whole through the driver
 
 
+def test_sample_of_vectors_is_cut_before_the_shuffle(spark):
+    r = np.random.default_rng(4)
+    data = knnjoin.whole_vectors(spark.createDataFrame([(i, [float(r.normal())] * (1 + i % 2)) for i in range(8000)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    for most in (192, 2400):
+        some = knnjoin.some_vectors(data, most)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"WindowGroupLimit .*Partial", plan), plan  # else all rows of a length go to one task
+        assert all(0.8 * most < x["count"] <= most + 5 for x in some.groupBy("dim").count().collect())
+
+
 @pytest.mark.parametrize("long", [1, 3000])  # sums in floats, and in doubles
 def test_top_k_in_many_groups_and_parts(spark, long):
     r = np.random.default_rng(5)
